@@ -106,7 +106,7 @@ def lock_differences(lock: DataFrame, observed: DataFrame, key: str) -> DataFram
     ))
     return (
         l.join(o, key, "left")
-        .withColumn("differences", F.array_join(found, ","))
+        .withColumn("differences", F.when(F.col("o").isNull(), "").otherwise(F.array_join(found, ",")))
         .select(
             key,
             "differences",

@@ -20,7 +20,7 @@ def session(app: str = "tallyroom", master: str | None = None, shuffle_partition
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        builder = builder.master(master)
+        builder = builder.master(master).config("spark.ui.showConsoleProgress", "false").config("spark.ui.enabled", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
