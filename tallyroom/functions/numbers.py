@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # A printed number: grouped by space or comma, or plain, with an optional
 # decimal part, not touching another digit.
-TOKEN = r"(?<![0-9])(?:[0-9]{1,3}(?:[ ,  ][0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?(?![0-9])"
+TOKEN = r"(?<![0-9])(?:[0-9]{1,3}(?:[ ,\u00a0\u202f][0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?(?![0-9])"
 
 
 def number_tokens(text: Column) -> Column:
@@ -20,7 +20,7 @@ def canonical_number(token: Column) -> Column:
     With both separators the later one is the decimal mark; a lone comma before
     three digits groups, before another count it is the decimal mark.
     """
-    compact = F.regexp_replace(token, r"[\s  $()−-]", "")
+    compact = F.regexp_replace(token, r"[\s\u00a0\u202f$()\u2212-]", "")
     has_comma, has_dot = compact.contains(","), compact.contains(".")
     last_comma = F.length(compact) - F.instr(F.reverse(compact), ",")
     last_dot = F.length(compact) - F.instr(F.reverse(compact), ".")
@@ -39,7 +39,7 @@ def tolerant_pattern(token: Column) -> Column:
     """A pattern that finds the number under spacing and grouping noise."""
     canonical = canonical_number(token)
     spaced = lambda digits, gap: F.array_join(F.filter(F.split(digits, ""), lambda d: d != ""), gap)
-    whole = spaced(F.substring_index(canonical, ".", 1), r"[\s,  ]*")
+    whole = spaced(F.substring_index(canonical, ".", 1), r"[\s,\u00a0\u202f]*")
     part = F.when(
         canonical.contains("."), F.concat(F.lit(r"\s*[.,]\s*"), spaced(F.substring_index(canonical, ".", -1), r"\s*"))
     ).otherwise("")
@@ -47,7 +47,7 @@ def tolerant_pattern(token: Column) -> Column:
 
 
 def all_present(patterns: Column, text: Column) -> Column:
-    return F.forall(patterns, lambda p: text.rlike(p))
+    return F.forall(patterns, lambda p: F.rlike(text, p))
 
 
 def renderings(amount: Column, scale: Column) -> Column:
@@ -77,7 +77,7 @@ def magnitude_patterns(amount: Column, scale: Column) -> Column:
         exact = (printed >= size) & (tenths == F.floor(tenths))
         text = F.regexp_replace(F.round(quotient, 1).cast("decimal(20,1)").cast("string"), r"\.0$", "")
         number = F.replace(text, F.lit("."), F.lit(r"\s*[.,]\s*"))
-        gap = F.lit(r"\s*(?:-|–)?\s*")
+        gap = F.lit(r"\s*(?:-|\u2013)?\s*")
         found.append(F.when(exact, F.concat(F.lit("(?i)"), number, gap, F.lit(word))))
         found.append(F.when(exact, F.concat(number, gap, F.lit(letter + r"\b"))))
     return F.array_compact(F.array(*found))
@@ -86,11 +86,11 @@ def magnitude_patterns(amount: Column, scale: Column) -> Column:
 def negative_context(pattern: Column) -> Column:
     """The pattern where the page marks it negative: a minus, or parentheses."""
     bare = F.regexp_replace(pattern, r"^\Q(?<![0-9])\E", "")
-    return F.concat(F.lit(r"(?:[-−]\s*\$?\s*"), bare, F.lit(r"|\(\s*\$?\s*"), bare, F.lit(r"\s*\))"))
+    return F.concat(F.lit(r"(?:[-\u2212]\s*\$?\s*"), bare, F.lit(r"|\(\s*\$?\s*"), bare, F.lit(r"\s*\))"))
 
 
 def any_match(patterns: Column, text: Column) -> Column:
-    return F.exists(patterns, lambda p: text.rlike(p))
+    return F.exists(patterns, lambda p: F.rlike(text, p))
 
 
 def match_count(patterns: Column, text: Column) -> Column:

@@ -47,8 +47,10 @@ def _peel(edges: DataFrame) -> DataFrame:
         if count in (0, size):
             return live
         size = count
-        inner = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        live = cut_lineage(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        for _ in range(2):  # two rounds per write
+            live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            live = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        live = cut_lineage(live)
 
 
 def _colours(edges: DataFrame) -> DataFrame:

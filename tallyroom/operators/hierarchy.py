@@ -116,7 +116,7 @@ def contained(claims: DataFrame, governed: DataFrame, closure: DataFrame) -> Dat
     reach = closure.select(F.col("code").alias("geography"), "ancestor").unionByName(
         claims.select("geography", F.col("geography").alias("ancestor")).distinct()
     )
-    via = claims.join(reach, "geography")
+    via = spread_join(claims, reach, ["geography"], "inner", spread_on=["body"])
     held = governed.select("parent", F.col("geography").alias("ancestor"), F.lit(True).alias("_held")).distinct()
     return spread_join(via, held, ["parent", "ancestor"], "left", spread_on=["body", "geography"]).groupBy(
         "body", "parent", "geography"

@@ -27,7 +27,7 @@ def line_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def facts_on_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """One fact per page, quoting it exactly, in capitals, without its spaces, by
+    """One fact per page, quoting it exactly, with wider spaces, without spaces, by
     its numbers only, from the page before, or not at all."""
     p = line_pages(spark, sf)
     kind = (F.col("page") % 6)
@@ -37,24 +37,57 @@ def facts_on_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws(":", F.col("source_id").cast("string"), F.col("page").cast("string")).alias("fact_id"),
         "source_id",
         F.when(kind == 4, F.col("page") - 1).otherwise(F.col("page")).alias("page"),
-        F.when(kind == 1, F.upper("text")).when(kind == 2, squeezed).when(kind == 3, digits)
+        F.when(kind == 1, F.replace("text", F.lit(" "), F.lit("  "))).when(kind == 2, squeezed).when(kind == 3, digits)
         .when(kind == 5, F.concat(F.lit("zzqx "), "text")).otherwise(F.col("text")).alias("excerpt"),
     )
 
 
-SQL_TIERS = SQL_PAGES + r""",
+# Number tokens and their tolerant patterns, for an engine without lookaround.
+SQL_TOKEN = r"'(?:[0-9]{1,3}(?:[ ,\x{00A0}\x{202F}][0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?'"
+
+
+def sql_canonical(tokens: str) -> str:
+    compact = rf"list_transform({tokens}, lambda t: regexp_replace(t, '[\s\x{{00A0}}\x{{202F}}$()\x{{2212}}-]', '', 'g'))"
+    return f'''list_transform({compact}, lambda c:
+      CASE WHEN contains(c, ',') AND contains(c, '.') THEN
+             CASE WHEN instr(reverse(c), ',') < instr(reverse(c), '.') THEN replace(replace(c, '.', ''), ',', '.') ELSE replace(c, ',', '') END
+           WHEN contains(c, ',') AND len(string_split(c, ',')) = 2 AND length(split_part(c, ',', 2)) <> 3 THEN replace(c, ',', '.')
+           ELSE replace(c, ',', '') END)'''
+
+
+def sql_patterns(tokens: str) -> str:
+    return rf'''list_transform({sql_canonical(tokens)}, lambda k:
+      '(^|[^0-9])' || array_to_string(string_split(split_part(k, '.', 1), ''), '[\s,\x{{00A0}}\x{{202F}}]*')
+      || CASE WHEN contains(k, '.') THEN '\s*[.,]\s*' || array_to_string(string_split(split_part(k, '.', 2), ''), '\s*') ELSE '' END || '($|[^0-9])')'''
+
+
+SQL_TIERS = SQL_PAGES + rf''',
 facts AS (
   SELECT CAST(doc_id AS VARCHAR) || ':' || CAST(page AS VARCHAR) AS fact_id, doc_id, CASE WHEN page % 6 = 4 THEN page - 1 ELSE page END AS page,
-    trim(CASE page % 6 WHEN 1 THEN upper(body) WHEN 2 THEN regexp_replace(body, '\s', '', 'g')
+    trim(CASE page % 6 WHEN 1 THEN replace(body, ' ', '  ') WHEN 2 THEN regexp_replace(body, '\s', '', 'g')
          WHEN 3 THEN array_to_string(regexp_extract_all(body, '[0-9]+'), ' / ') WHEN 5 THEN 'zzqx ' || body ELSE body END) AS excerpt
   FROM pages_
 ),
+letters AS (SELECT doc_id, text AS doc, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS doc_al FROM documents),
 m AS (
-  SELECT f.fact_id, excerpt, p.body AS page, d.text AS doc, lower(regexp_replace(excerpt, '\s+', ' ', 'g')) AS ws, regexp_replace(lower(excerpt), '[^\p{L}\p{N}]', '', 'g') AS al,
-         regexp_extract_all(excerpt, '[0-9]+') AS nums,
-         list_transform(regexp_extract_all(excerpt, '[\p{L}]{4,}'), w -> lower(w)) AS words
-  FROM facts f JOIN documents d ON d.doc_id = f.doc_id LEFT JOIN pages_ p ON p.doc_id = f.doc_id AND p.page = f.page
-)"""
+  SELECT f.fact_id, f.doc_id, excerpt, p.body AS page, doc, doc_al,
+         trim(lower(regexp_replace(excerpt, '\s+', ' ', 'g'))) AS ws, regexp_replace(lower(excerpt), '[^\p{{L}}\p{{N}}]', '', 'g') AS al,
+         {sql_patterns(f"regexp_extract_all(excerpt, {SQL_TOKEN})")} AS pats,
+         list_transform(regexp_extract_all(excerpt, '[\p{{L}}]{{4,}}'), lambda w: lower(w)) AS words
+  FROM facts f JOIN letters d ON d.doc_id = f.doc_id LEFT JOIN pages_ p ON p.doc_id = f.doc_id AND p.page = f.page
+),
+tiers AS (
+  SELECT fact_id, doc_id, CASE
+    WHEN page IS NULL THEN 'bad-page-number' WHEN excerpt = '' THEN 'no-excerpt' WHEN contains(page, excerpt) THEN 'verbatim'
+    WHEN contains(trim(lower(regexp_replace(page, '\s+', ' ', 'g'))), ws) THEN 'normalized'
+    WHEN al <> '' AND contains(regexp_replace(lower(page), '[^\p{{L}}\p{{N}}]', '', 'g'), al) THEN 'alnum'
+    WHEN len(pats) > 0 AND len(list_filter(pats, lambda q: NOT regexp_matches(page, q))) = 0 THEN
+      CASE WHEN len(words) > 0 AND len(list_filter(words, lambda w: contains(lower(page), w))) >= greatest(2, round_even(len(words) * 0.6, 0)) THEN 'row-bound' ELSE 'numbers-only' END
+    WHEN al <> '' AND contains(doc_al, al) THEN 'wrong-page'
+    WHEN len(pats) > 0 AND len(list_filter(pats, lambda q: NOT regexp_matches(doc, q))) = 0 THEN 'wrong-page'
+    ELSE 'not-found' END AS tier
+  FROM m
+)'''
 
 
 @query("page_split", f"""
@@ -74,13 +107,19 @@ def page_split(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("citation_audit")
+@query("citation_audit", f"WITH {SQL_TIERS} SELECT fact_id, tier FROM tiers")
 def citation_audit(spark: SparkSession, sf: str) -> DataFrame:
     whole = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text")
     return evidence.citation_tiers(facts_on_pages(spark, sf), line_pages(spark, sf), whole)
 
 
-@query("evidence_coverage")
+@query("evidence_coverage", f"""
+WITH {SQL_TIERS}
+SELECT t.doc_id AS source_id, count(*) AS counted, count(CASE WHEN tier IN ('verbatim', 'normalized', 'alnum', 'row-bound') THEN 1 END) AS strong,
+  CAST(count(CASE WHEN tier IN ('verbatim', 'normalized', 'alnum', 'row-bound') THEN 1 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS coverage,
+  CASE WHEN CAST(count(CASE WHEN tier IN ('verbatim', 'normalized', 'alnum', 'row-bound') THEN 1 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) >= CAST(0.9 AS DOUBLE) THEN 'published' ELSE 'refused' END AS status
+FROM tiers t JOIN labels q ON q.doc_id = t.doc_id AND quality = 1 GROUP BY 1
+""")
 def evidence_coverage(spark: SparkSession, sf: str) -> DataFrame:
     tiers = citation_audit(spark, sf).withColumn("source_id", F.split("fact_id", ":")[0].cast("bigint"))
     labelled = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("source_id"))
@@ -105,7 +144,7 @@ def excerpt_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("row_bound", f"""
 WITH {SQL_PAGES},
-f AS (SELECT doc_id, page, body, regexp_extract_all(body, '[0-9]+') AS nums, list_transform(regexp_extract_all(body, '[\\p{{L}}]{{4,}}'), w -> lower(w)) AS words FROM pages_)
+f AS (SELECT doc_id, page, body, regexp_extract_all(body, '[0-9]+') AS nums, list_transform(regexp_extract_all(body, '[\\p{{L}}]{{4,}}'), lambda w: lower(w)) AS words FROM pages_)
 SELECT doc_id, CAST(page AS INTEGER) AS page FROM f
 WHERE len(words) >= 2 AND len(nums) > 0
 """)
@@ -115,7 +154,11 @@ def row_bound(spark: SparkSession, sf: str) -> DataFrame:
     return pages.filter(evidence.row_bound(F.col("text"), F.col("text"))).select(F.col("source_id").alias("doc_id"), "page")
 
 
-@query("number_tokens")
+@query("number_tokens", f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, {SQL_TOKEN}) AS toks FROM documents),
+c AS (SELECT doc_id, toks, {sql_canonical('toks')} AS canon FROM t)
+SELECT doc_id, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS pos, unnest(toks) AS token, unnest(canon) AS canonical FROM c
+""")
 def number_tokens(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(numbers.number_tokens(F.col("text"))).alias("pos", "token"))
     return rows.withColumn("canonical", numbers.canonical_number(F.col("token")))
@@ -336,7 +379,7 @@ def name_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("slugify", """
 WITH w AS (
-  SELECT p_partkey AS code, list_filter(string_split(replace(replace(lower(p_name), '.', ''), '/', ' ') || ' ' || CASE WHEN p_size % 2 = 0 THEN 'tp' ELSE 'st' END, ' '), x -> x NOT IN ('', 'tp', 'c', 't', 'r', 'uco', 'st', 'lt', 'ut')) AS words FROM part
+  SELECT p_partkey AS code, list_filter(string_split(replace(replace(lower(p_name), '.', ''), '/', ' ') || ' ' || CASE WHEN p_size % 2 = 0 THEN 'tp' ELSE 'st' END, ' '), lambda x: x NOT IN ('', 'tp', 'c', 't', 'r', 'uco', 'st', 'lt', 'ut')) AS words FROM part
 )
 SELECT code, CASE WHEN len(words) > 0 THEN array_to_string(words, '-') ELSE 'muni-' || CAST(code AS VARCHAR) END || '-on' AS slug FROM w
 """)
@@ -393,7 +436,7 @@ def sensitive_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("luhn_ids", r"""
 WITH c AS (SELECT event_id, lpad(CAST((event_id * 7919 + user_id * 104729 + 123456789) % 1000000000 AS VARCHAR), 9, '0') AS d FROM events),
-s AS (SELECT event_id, d, list_sum(list_transform(range(1, 10), i -> CASE WHEN i % 2 = 0 THEN (CAST(substr(d, i, 1) AS INTEGER) * 2) // 10 + (CAST(substr(d, i, 1) AS INTEGER) * 2) % 10 ELSE CAST(substr(d, i, 1) AS INTEGER) END)) AS total FROM c)
+s AS (SELECT event_id, d, list_sum(list_transform(range(1, 10), lambda i: CASE WHEN i % 2 = 0 THEN (CAST(substr(d, i, 1) AS INTEGER) * 2) // 10 + (CAST(substr(d, i, 1) AS INTEGER) * 2) % 10 ELSE CAST(substr(d, i, 1) AS INTEGER) END)) AS total FROM c)
 SELECT event_id FROM s WHERE total % 10 = 0
 """)
 def luhn_ids(spark: SparkSession, sf: str) -> DataFrame:

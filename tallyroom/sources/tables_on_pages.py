@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def row_pattern(areas: int) -> str:
     """A label, a net figure, a levy, then one percentage and amount per area."""
-    return r"^(.+?)\s+\(?([0-9,]+)\)?\s+\$\(?([0-9,]+)\)?" + r"\s+([0-9.]+)%\s+\$\(?([0-9,]+)\)?" * areas + r"\s*$"
+    return r"^\S.* \(?[0-9,]+\)? \$\(?[0-9,]+\)?" + r" [0-9.]+% \$\(?[0-9,]+\)?" * areas + "$"
 
 
 def whole_money(text: Column) -> Column:
@@ -20,18 +20,20 @@ def whole_money(text: Column) -> Column:
 def service_rows(rows: DataFrame, row: str, areas: list[str]) -> DataFrame:
     """One row per printed line and area; a line that does not parse keeps a
     reason instead of being dropped."""
-    pattern = row_pattern(len(areas))
     clean = F.trim(F.regexp_replace(row, r"\s+", " "))
-    parsed = rows.withColumn("_row", clean).withColumn("_ok", F.col("_row").rlike(pattern))
-    group = lambda i: F.regexp_extract("_row", pattern, i)
+    width = 2 + 2 * len(areas)
+    # One match decides whether the row parses; its cells are then plain words.
+    parsed = rows.withColumn("_ok", clean.rlike(row_pattern(len(areas)))).withColumn("_w", F.split(clean, " "))
+    at = lambda i: F.try_element_at("_w", F.lit(i - width - 1))
+    label = F.array_join(F.slice("_w", F.lit(1), F.greatest(F.lit(0), F.size("_w") - width)), " ")
     cells = F.array(*[
-        F.struct(F.lit(a).alias("area"), group(4 + 2 * k).alias("pct"), whole_money(group(5 + 2 * k)).alias("household"))
+        F.struct(F.lit(a).alias("area"), F.regexp_replace(at(3 + 2 * k), "%", "").alias("pct"), whole_money(at(4 + 2 * k)).alias("household"))
         for k, a in enumerate(areas)
     ])
     return parsed.select(
         *[c for c in rows.columns if c != row],
-        F.trim(F.regexp_replace(group(1), r"\([0-9]+\)\s*$", "")).alias("label"),
-        whole_money(group(2)).alias("net"), whole_money(group(3)).alias("levy"),
+        F.when(F.col("_ok"), F.trim(F.regexp_replace(label, r"\([0-9]+\)\s*$", ""))).alias("label"),
+        F.when(F.col("_ok"), whole_money(at(1))).alias("net"), F.when(F.col("_ok"), whole_money(at(2))).alias("levy"),
         F.when(~F.col("_ok"), "could not parse the table row").alias("reason"),
         F.explode_outer(F.when(F.col("_ok"), cells)).alias("_c"),
     ).select("*", F.col("_c.area").alias("area"), F.col("_c.pct").alias("pct"), F.col("_c.household").alias("household")).drop("_c")
