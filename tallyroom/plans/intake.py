@@ -155,16 +155,17 @@ def edition_events(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").withColumn("line_no", F.col("o_orderkey"))
     remark = F.concat(F.lit("Now part of (dissolution) - Maintenant partie de (dissolution) - "), town, F.lit(" , TP"))
     code = F.when(F.col("o_orderpriority") == "2-HIGH", "1").otherwise("4")
-    legacy = orders.filter("o_orderstatus = 'F'").select("line_no", F.array(place, e, kind, code, day, spaced, e, remark).alias("cells"))
+    row = lambda *cells: [c.alias(f"c{i}") for i, c in enumerate(cells)]
+    legacy = orders.filter("o_orderstatus = 'F'").select("line_no", *row(place, e, kind, code, day, spaced, e, remark))
     other = F.when(F.col("o_orderpriority") == "5-LOW", "Elsewhere").otherwise(town)
     tail = [F.concat(F.lit("35"), digits), place, kind]
-    numbered = orders.filter("o_orderstatus <> 'O'").select("line_no", F.array(e, other, F.lit("TP"), e, e, *tail, F.lit("4"), day, e).alias("cells"))
+    numbered = orders.filter("o_orderstatus <> 'O'").select("line_no", *row(e, other, F.lit("TP"), e, e, *tail, F.lit("4"), day, e))
     words = F.when(F.col("o_orderpriority") == "3-MEDIUM", "Dissolution / dissolution").otherwise("Annexation")
-    described = orders.select("line_no", F.array(e, town, F.lit("TP"), e, e, *tail, e, words, day, e).alias("cells"))
+    described = orders.select("line_no", *row(e, town, F.lit("TP"), e, e, *tail, e, words, day, e))
     return editions.union_editions({
         "legacy": (legacy, editions.legacy_events),
-        "numbered": (numbered, lambda rows, s: editions.gaining_losing_events(rows, s, 8)),
-        "described": (described, lambda rows, s: editions.gaining_losing_events(rows, s, 9, code_is_text=True)),
+        "numbered": (numbered, lambda rows, s: editions.gaining_losing_events(rows, s, 8, 9)),
+        "described": (described, lambda rows, s: editions.gaining_losing_events(rows, s, 9, 10, code_is_text=True)),
     })
 
 

@@ -96,22 +96,22 @@ def member_blocks(archives: DataFrame, encoding: str = "utf-8", fallback: str |
                             head, cut, tail = (rest + chunk).rpartition(b"\n")
                             rest = tail
                             if cut:
-                                yield pd.DataFrame({"path": [path], "block": [number], "text": [decode(head).lstrip("﻿") if number == 0 else decode(head)]})
+                                yield pd.DataFrame({"path": [path], "block": [number], "text": [decode(head).removeprefix("\ufeff") if number == 0 else decode(head)]})
                                 number += 1
                         if rest:
-                            yield pd.DataFrame({"path": [path], "block": [number], "text": [decode(rest).lstrip("﻿") if number == 0 else decode(rest)]})
+                            yield pd.DataFrame({"path": [path], "block": [number], "text": [decode(rest).removeprefix("\ufeff") if number == 0 else decode(rest)]})
 
     return archives.select("path", "content", "member").mapInPandas(blocks, schema)
 
 
 @F.pandas_udf(T.BinaryType())
 def pack_member(names: pd.Series, texts: pd.Series) -> pd.Series:
-    """A one-member archive of a text."""
+    """A one-member archive of a text, stored uncompressed."""
 
     def pack(name, text):
         buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text.encode("utf-8"), zipfile.ZIP_DEFLATED)
+        with zipfile.ZipFile(buffer, "w") as archive:
+            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text.encode("utf-8"))
         return buffer.getvalue()
 
     return pd.Series([pack(n, t) for n, t in zip(names, texts)])

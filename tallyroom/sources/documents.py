@@ -84,12 +84,12 @@ LEDGER_SCHEMA = """
 def ledger_nodes(ledgers: DataFrame, document: str) -> DataFrame:
     """The five arrays of an evidence document as one node table."""
     parsed = ledgers.select(F.from_json(document, LEDGER_SCHEMA).alias("d"))
-    kinds = ["sources", "facts", "derived", "gaps", "findings"]
-    nodes = F.concat(*[
-        F.coalesce(
-            F.transform(F.col(f"d.{kind}"), lambda n, i, kind=kind: F.struct(F.lit(kind).alias("kind"), i.alias("position"), n["id"].alias("node_id"))),
-            F.array().cast("array<struct<kind:string,position:int,node_id:string>>"),
+
+    def listed(kind: str) -> Column:
+        nodes = F.transform(
+            F.col(f"d.{kind}"), lambda n, i: F.struct(F.lit(kind).alias("kind"), i.alias("position"), n["id"].alias("node_id"))
         )
-        for kind in kinds
-    ])
+        return F.coalesce(nodes, F.array().cast("array<struct<kind:string,position:int,node_id:string>>"))
+
+    nodes = F.concat(*[listed(kind) for kind in ("sources", "facts", "derived", "gaps", "findings")])
     return parsed.select(F.col("d.id").alias("ledger"), F.explode(nodes).alias("n")).select("ledger", "n.kind", "n.position", "n.node_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.functions.text import slash_date
@@ -17,8 +17,18 @@ REGION_PREFIX = "35"
 REMARK = r"\(dissolution\)[^-]*-\s*([^-]+?)\s*,\s*([A-ZÉ-]{1,4})\s*$"
 
 
+def read_edition(spark: SparkSession, path: str, width: int, encoding: str = "windows-1252") -> DataFrame:
+    """``(line_no, c0 … c<width-1>)`` of a headerless change list. Text files
+    carry no line order in Spark, so the number is the row's offset rank within
+    its file: partition id and row id rise along the file."""
+    schema = ", ".join(f"c{i} STRING" for i in range(width))
+    rows = spark.read.schema(schema).option("encoding", encoding).option("mode", "PERMISSIVE").option("multiLine", "true").csv(path)
+    # multiLine reads a file in one task, so its ids count its lines
+    return rows.withColumn("line_no", (F.monotonically_increasing_id() % F.lit(1 << 33)) + 1)
+
+
 def _cell(i: int) -> Column:
-    return F.trim(F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit("")))
+    return F.trim(F.coalesce(F.col(f"c{i}"), F.lit("")))
 
 
 def _events(rows: DataFrame, source_id: str, dissolved, dissolved_type, successor, successor_type, effective, sgc) -> DataFrame:
@@ -34,23 +44,22 @@ def _events(rows: DataFrame, source_id: str, dissolved, dissolved_type, successo
 
 
 def legacy_events(rows: DataFrame, source_id: str) -> DataFrame:
-    """``rows(line_no, cells)`` of the bilingual layout: subject rows with code
+    """``rows(line_no, c0 … c7)`` of the bilingual layout: subject rows with code
     4; the remark names the successor."""
-    subject = rows.filter((F.size("cells") >= 7) & (_cell(0) != "") & (_cell(3) == DISSOLUTION_CODE))
+    subject = rows.filter(F.col("c6").isNotNull() & (_cell(0) != "") & (_cell(3) == DISSOLUTION_CODE))
     remark = _cell(7)
     return _events(
         subject, source_id, _cell(0), _cell(2), F.regexp_extract(remark, REMARK, 1), F.regexp_extract(remark, REMARK, 2), _cell(4), _cell(5)
     )
 
 
-def gaining_losing_events(rows: DataFrame, source_id: str, code_column: int, code_is_text: bool = False) -> DataFrame:
-    """The gaining/losing layout: losing side in the region, date second from
-    the end, the code a number or a description."""
+def gaining_losing_events(rows: DataFrame, source_id: str, code_column: int, date_column: int, code_is_text: bool = False) -> DataFrame:
+    """The gaining/losing layout: losing side in the region, the date in the
+    second-last column, the code a number or a description."""
     code = _cell(code_column)
     dissolved = F.lower(code).contains("dissolution") if code_is_text else code == DISSOLUTION_CODE
-    wanted = rows.filter((F.size("cells") > code_column) & _cell(5).startswith(REGION_PREFIX) & dissolved)
-    effective = F.trim(F.try_element_at("cells", F.lit(-2)))
-    return _events(wanted, source_id, _cell(6), _cell(7), _cell(1), _cell(2), effective, _cell(5))
+    wanted = rows.filter(_cell(5).startswith(REGION_PREFIX) & dissolved)
+    return _events(wanted, source_id, _cell(6), _cell(7), _cell(1), _cell(2), _cell(date_column), _cell(5))
 
 
 def union_editions(editions: dict[str, tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]]) -> DataFrame:
