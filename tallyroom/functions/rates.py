@@ -60,7 +60,10 @@ def rate_rows(pages: DataFrame, text: str, declared: str | None = None) -> DataF
     unit_word = F.lit(declared).cast("string")
     rows = pages.withColumn("_rows", F.regexp_extract_all(text, F.lit(RATE_ROW), F.lit(0)))
     rows = rows.select(*pages.columns, F.posexplode("_rows").alias("row_no", "row"))
-    group = lambda i: F.regexp_extract("row", RATE_ROW, i)
+    # One match per row: its groups are written next to each other and split.
+    marked_up = F.regexp_replace("row", RATE_ROW, "\x1f".join(f"${i}" for i in range(1, 10)))
+    rows = rows.withColumn("_g", F.split(marked_up, "\x1f"))
+    group = lambda i: F.get("_g", F.lit(i - 1))
     rows = rows.select(
         *pages.columns, "row_no", F.trim(F.regexp_replace("row", r"\s+", " ")).alias("excerpt"),
         F.trim(F.regexp_replace(group(1), r"\s+", " ")).alias("label"),

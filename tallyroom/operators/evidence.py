@@ -69,38 +69,36 @@ def citation_tiers(facts: DataFrame, pages: DataFrame, documents: DataFrame) ->
     """``facts(fact_id, source_id, page, excerpt)`` against
     ``pages(source_id, page, text)`` and ``documents(source_id, text)``.
 
-    The page decides most facts; only the rest meet the whole document, whose
-    normalised form is made once per document before that join. A source cited
-    by very many facts is a hot key of both joins and is spread.
+    The page decides most facts; only the rest carry a key into the join with
+    the whole document (a decided fact joins on null, which spread_join keeps
+    apart), whose normalised form is made once per document. A source cited by
+    very many facts is a hot key of both joins and is spread; its weight is
+    counted on the facts alone.
     """
     page_rows = pages.select("source_id", "page", F.col("text").alias("_page"))
     whole = documents.select(
-        "source_id", F.col("text").alias("_doc"), collapse_alnum(F.col("text")).alias("_letters")
+        F.col("source_id").alias("_open"), F.col("text").alias("_doc"), collapse_alnum(F.col("text")).alias("_letters")
     )
-    known = documents.select("source_id", F.lit(True).alias("_known"))
-    excerpt = F.trim(F.coalesce("excerpt", F.lit("")))
-    facts = facts.select("fact_id", "source_id", "page", excerpt.alias("excerpt"))
-    paged = facts.filter("page IS NOT NULL")
-    cited = spread_join(paged, page_rows, ["source_id", "page"], "left", spread_on=["fact_id"]).select(
-        "fact_id", "source_id", "excerpt", F.col("_page").isNotNull().alias("_on_page"),
-        page_tier(F.col("excerpt"), F.col("_page")).alias("tier"),
+    facts = facts.select("fact_id", "source_id", "page", F.trim(F.coalesce("excerpt", F.lit(""))).alias("excerpt"))
+    cited = spread_join(facts, page_rows, ["source_id", "page"], "left", spread_on=["fact_id"]).select(
+        "fact_id", "source_id", "page", "excerpt", F.col("_page").isNotNull().alias("_on_page"),
+        page_tier(F.col("excerpt"), F.col("_page")).alias("_tier"),
     )
-    done = cited.filter("tier IS NOT NULL").select("fact_id", "tier")
-    open_facts = cited.filter("tier IS NULL").select("fact_id", "source_id", "excerpt", "_on_page").unionByName(
-        facts.filter("page IS NULL").select("fact_id", "source_id", "excerpt", F.lit(None).cast("boolean").alias("_on_page"))
+    # No page cited: the whole document is searched, so the page said nothing.
+    keyed = cited.withColumn("_tier", F.when(F.col("page").isNotNull() & F.col("_on_page"), F.col("_tier"))).withColumn(
+        "_open", F.when(F.col("_tier").isNull(), F.col("source_id"))
     )
-    judged = spread_join(open_facts, whole, ["source_id"], "left", spread_on=["fact_id"]).select(
+    weigh = facts.select(F.col("source_id").alias("_open"))
+    excerpt, doc, letters = F.col("excerpt"), F.col("_doc"), F.col("_letters")
+    return spread_join(keyed, whole, ["_open"], "left", spread_on=["fact_id"], weigh=weigh).select(
         "fact_id",
-        F.when(F.col("_doc").isNull(), "unverifiable")
-        .when(~F.col("_on_page"), "bad-page-number")
-        .when(
-            F.col("_on_page").isNull(),
-            F.coalesce(page_tier(F.col("excerpt"), F.col("_doc")), document_tier(F.col("excerpt"), F.col("_doc"), F.col("_letters"))),
-        )
-        .otherwise(document_tier(F.col("excerpt"), F.col("_doc"), F.col("_letters")))
+        F.when(F.col("_tier").isNotNull(), F.col("_tier"))
+        .when(doc.isNull(), "unverifiable")
+        .when(F.col("page").isNotNull() & ~F.col("_on_page"), "bad-page-number")
+        .when(F.col("page").isNull(), F.coalesce(page_tier(excerpt, doc), document_tier(excerpt, doc, letters)))
+        .otherwise(document_tier(excerpt, doc, letters))
         .alias("tier"),
     )
-    return done.unionByName(judged)
 
 
 def amount_issue(amount: Column, scale: Column, page: Column) -> Column:

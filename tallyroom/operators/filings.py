@@ -55,19 +55,21 @@ def group_of(line: Column) -> Column:
 
 
 def spend_groups(facts: DataFrame) -> DataFrame:
-    """One row per filer and group: printed rollup, component sum and count.
+    """One row per filer and group: printed rollup, component sum and count; the
+    grand total travels as a group of its own (``grand`` set, nothing else).
 
     Partial aggregation reduces a filer of any size to at most one row per
     two-digit group before the shuffle.
     """
-    line = F.col("line")
+    line, amount = F.col("line"), F.col("cents")
+    grand = line == GRAND_LINE
     rollup = line.endswith("99")
-    part = ~rollup | (line == OTHER_GROUP)
-    body = facts.filter(line != GRAND_LINE)
-    return body.groupBy("code", group_of(line).alias("grp")).agg(
-        F.max(F.when(rollup, F.col("cents"))).alias("printed"),
-        F.coalesce(F.sum(F.when(~rollup, F.col("cents"))), F.lit(0)).cast("bigint").alias("parts"),
-        F.count(F.when(~rollup, F.lit(1))).alias("n_parts"),
+    part = ~rollup & ~grand
+    return facts.groupBy("code", F.when(~grand, group_of(line)).alias("grp")).agg(
+        F.max(F.when(rollup, amount)).alias("printed"),
+        F.coalesce(F.sum(F.when(part, amount)), F.lit(0)).cast("bigint").alias("parts"),
+        F.count(F.when(part, F.lit(1))).alias("n_parts"),
+        F.max(F.when(grand, amount)).alias("grand"),
     )
 
 
@@ -75,7 +77,7 @@ def group_identity(groups: DataFrame, tolerance: int = TOLERANCE_CENTS) -> DataF
     """Components against the printed rollup of their group."""
     gap = F.col("parts") - F.col("printed")
     return (
-        groups.withColumn("difference", gap)
+        groups.filter("grp IS NOT NULL").drop("grand").withColumn("difference", gap)
         .withColumn(
             "reason",
             F.when(F.col("grp") == OTHER_GROUP, F.lit(None).cast("string"))
@@ -90,28 +92,19 @@ def spend_totals(facts: DataFrame, tolerance: int = TOLERANCE_CENTS) -> DataFram
     """Per filer: totals and the refusal ladder in filing order — missing grand
     total, orphan components, group identity (first group by code), grand
     identity."""
-    grand = facts.filter(F.col("line") == GRAND_LINE).groupBy("code").agg(F.max("cents").alias("grand"))
-    other = F.col("grp") == OTHER_GROUP
-    orphan = ~other & F.col("printed").isNull()
-    off = ~other & F.col("printed").isNotNull() & (F.abs(F.col("parts") - F.col("printed")) > tolerance)
-    per_filer = spend_groups(facts).groupBy("code").agg(
+    body, other = F.col("grp").isNotNull(), F.col("grp") == OTHER_GROUP
+    named = body & ~other
+    orphan = named & F.col("printed").isNull()
+    off = named & F.col("printed").isNotNull() & (F.abs(F.col("parts") - F.col("printed")) > tolerance)
+    joined = spend_groups(facts).groupBy("code").agg(
+        F.max("grand").alias("grand"),
         # at most one hundred two-digit groups exist, so this set is bounded
         F.array_join(F.array_sort(F.collect_set(F.when(orphan, F.col("grp")))), ",").alias("orphans"),
         F.min(F.when(off, F.col("grp"))).alias("bad_group"),
-        F.coalesce(F.sum(F.when(~other, F.col("printed"))), F.lit(0)).cast("bigint").alias("functions_cents"),
+        F.coalesce(F.sum(F.when(named, F.col("printed"))), F.lit(0)).cast("bigint").alias("functions_cents"),
         F.coalesce(F.sum(F.when(other, F.col("parts"))), F.lit(0)).cast("bigint").alias("other_cents"),
-        F.max(F.when(~other, F.col("printed"))).alias("largest_function"),
-        F.min(F.when(~other, F.col("printed"))).alias("smallest_function"),
-    )
-    joined = per_filer.join(grand, "code", "full").select(
-        "code",
-        "grand",
-        F.coalesce("orphans", F.lit("")).alias("orphans"),
-        "bad_group",
-        F.coalesce("functions_cents", F.lit(0)).cast("bigint").alias("functions_cents"),
-        F.coalesce("other_cents", F.lit(0)).cast("bigint").alias("other_cents"),
-        "largest_function",
-        "smallest_function",
+        F.max(F.when(named, F.col("printed"))).alias("largest_function"),
+        F.min(F.when(named, F.col("printed"))).alias("smallest_function"),
     )
     return joined.withColumn(
         "reason",
@@ -204,18 +197,21 @@ def levy_verdicts(facts: DataFrame, tolerance: int = TOLERANCE_CENTS) -> DataFra
     """Levy receipt per filer with its ladder: upper tier, no assessment, no
     education, rate outside the provincial constant, class parts, no classes,
     and no residential total."""
-    wanted = facts.filter(
-        F.col("class").isin(list(PROPERTY_CLASSES)) & F.col("measure").isin(list(MEASURES))
+    # All rows of a filer stay in, so an upper tier without a listed class is
+    # still seen; unlisted classes count for nothing but the tier.
+    wide = facts.groupBy("code", "class").agg(
+        F.max("tier").alias("tier"),
+        *[F.max(F.when(F.col("measure") == code, F.col("cents"))).alias(name) for code, name in MEASURES.items()],
     )
-    wide = measure_pivot(wanted, ["code", "class"], MEASURES)
     parts = (
         F.coalesce("lower_or_single_tier", F.lit(0))
         + F.coalesce("upper_tier", F.lit(0))
         + F.coalesce("education", F.lit(0))
     )
     home = F.col("class") == RESIDENTIAL
-    counted = F.col("total_taxes").isNotNull()
-    classes = wide.groupBy("code").agg(
+    counted = F.col("class").isin(list(PROPERTY_CLASSES)) & F.col("total_taxes").isNotNull()
+    filers = wide.groupBy("code").agg(
+        F.max("tier").alias("tier"),
         F.max(F.when(home, F.col("assessment"))).alias("assessment"),
         F.max(F.when(home, F.col("education"))).alias("education"),
         F.max(F.when(home, F.col("total_taxes"))).alias("total_taxes"),
@@ -224,11 +220,9 @@ def levy_verdicts(facts: DataFrame, tolerance: int = TOLERANCE_CENTS) -> DataFra
         F.min(F.when(counted & (F.abs(parts - F.col("total_taxes")) > tolerance), F.col("class"))).alias("bad_class"),
         F.count(F.when(counted, F.lit(1))).alias("n_classes"),
     )
-    filers = facts.groupBy("code").agg(F.max("tier").alias("tier"))
     rate = F.try_divide(F.col("education").cast("double"), F.col("assessment").cast("double"))
     return (
-        filers.join(classes, "code", "left")
-        .withColumn("education_rate", rate)
+        filers.withColumn("education_rate", rate)
         .withColumn(
             "reason",
             first_reason([

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,25 +22,29 @@ def spread_join(
     how: str = "inner",
     spread_on: list[str] | None = None,
     fan: int = FAN,
+    weigh: DataFrame | None = None,
 ) -> DataFrame:
-    """Join many rows to a table with one row per key, splitting hot keys.
+    """Join many rows to a table with few rows per key, splitting hot keys.
 
     A key is hot above ``spark.tallyroom.hotRows`` rows, so there are at most
     rows / limit hot keys and that list alone is broadcast. Hot rows spread over
     ``fan`` salts by a hash of ``spread_on`` (a deterministic salt, safe under
-    task retries) and only the hot keys of ``small`` are repeated.
+    task retries) and only the hot keys of ``small`` are repeated. Rows with a
+    null key match nothing and are spread as well. ``weigh`` is a cheaper table
+    with the same keys to count instead of ``big``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the row side is kept on the left")
     hot = (
-        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        (weigh if weigh is not None else big).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_row_limit(big))
         .select(*keys, F.lit(True).alias("_hot"))
     )
     salt = F.pmod(F.xxhash64(*(spread_on or big.columns)), F.lit(fan)).cast("int")
+    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     rows = (
         big.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
+        .withColumn("_salt", F.when(F.col("_hot") | null_key, salt).otherwise(F.lit(0)))
         .drop("_hot")
     )
     copies = (

@@ -67,38 +67,31 @@ def spend_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Long spend facts from order lines: components, printed rollups and a
     printed grand total, with the defects a filing can have."""
     flag = F.col("l_returnflag")
-    comp = (
-        table(spark, sf, "lineitem")
-        .groupBy(
-            F.col("l_orderkey").alias("code"),
-            F.when(flag == "A", "02").when(flag == "N", "04").otherwise("19").alias("g"),
-            "l_linenumber",
-        )
-        .agg(F.sum(F.when(flag == "R", -cents("l_extendedprice")).otherwise(cents("l_extendedprice"))).alias("cents"))
+    amounts = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("code"),
+        F.when(flag == "A", "02").when(flag == "N", "04").otherwise("19").alias("g"),
+        F.lpad(F.col("l_linenumber").cast("string"), 2, "0").alias("n"),
+        F.when(flag == "R", -cents("l_extendedprice")).otherwise(cents("l_extendedprice")).alias("cents"),
     )
+    # Components, rollups and grand totals in one pass over the lines.
+    sums = amounts.groupingSets(
+        [[F.col("code"), F.col("g"), F.col("n")], [F.col("code"), F.col("g")], [F.col("code")]], "code", "g", "n"
+    ).agg(F.sum("cents").alias("cents"), F.grouping("g").alias("no_g"), F.grouping("n").alias("no_n"))
     filer = table(spark, sf, "orders").select(F.col("o_orderkey").alias("code"), "o_orderstatus", "o_orderpriority")
     priority = F.col("o_orderpriority")
-    rollups = (
-        comp.groupBy("code", "g").agg(F.sum("cents").alias("cents")).join(filer, "code")
-        .filter((F.col("g") == "02") | ((F.col("g") == "04") & (priority != "1-URGENT")))
-        .select(
-            "code", F.concat("g", F.lit("99")).alias("line"),
-            (F.col("cents") + F.when(F.col("o_orderstatus") == "P", 52).otherwise(0)).cast("bigint").alias("cents"),
-        )
-    )
-    grand = (
-        comp.groupBy("code").agg(F.sum("cents").alias("cents")).join(filer, "code")
-        .filter(priority != "4-NOT SPECIFIED")
-        .select(
-            "code", F.lit("9910").alias("line"),
-            (F.col("cents") + F.when(priority == "5-LOW", 52).when(priority == "2-HIGH", 51).otherwise(0))
-            .cast("bigint").alias("cents"),
-        )
+    component, grand = F.col("no_n") == 0, F.col("no_g") == 1
+    printed = (
+        F.when(grand, priority != "4-NOT SPECIFIED")
+        .when(component, True)
+        .otherwise((F.col("g") == "02") | ((F.col("g") == "04") & (priority != "1-URGENT")))
     )
-    lines = comp.select(
-        "code", F.concat("g", F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("line"), "cents"
+    drift = (
+        F.when(component, 0)
+        .when(grand, F.when(priority == "5-LOW", 52).when(priority == "2-HIGH", 51).otherwise(0))
+        .otherwise(F.when(F.col("o_orderstatus") == "P", 52).otherwise(0))
     )
-    return lines.unionByName(rollups).unionByName(grand)
+    line = F.when(grand, filings.GRAND_LINE).when(component, F.concat("g", "n")).otherwise(F.concat("g", F.lit("99")))
+    return sums.join(filer, "code").filter(printed).select("code", line.alias("line"), (F.col("cents") + drift).cast("bigint").alias("cents"))
 
 
 SQL_LEVY = f"""
