@@ -16,13 +16,10 @@ def repeated_on_other_pages(pages: DataFrame, doc: str, page: str, text: str) ->
     a line that repeats very often never produces pairs.
     """
     rows = pages.filter(F.trim(text) != "").select(doc, page, F.xxhash64(text).alias("_h"), F.md5(text).alias("_m"))
-    stats = rows.groupBy(doc, "_h", "_m").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(page).alias("_first"),
-    ).filter("_n > 1")
-    second = spread_join(rows, stats, [doc, "_h", "_m"], "inner", spread_on=[page])
-    # The first page of a repeated text points to the second one.
-    runner_up = second.filter(F.col(page) > F.col("_first")).groupBy(doc, "_h", "_m").agg(F.min(page).alias("_next"))
-    return spread_join(second, runner_up, [doc, "_h", "_m"], "inner", spread_on=[page]).select(
-        doc, page, (F.col("_n") - 1).alias("other_pages"),
-        F.when(F.col(page) == F.col("_first"), F.col("_next")).otherwise(F.col("_first")).alias("first_other"),
-    )
+    key = [doc, "_h", "_m"]
+    stats = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(page).alias("_first")).filter("_n > 1")
+    later = spread_join(rows, stats, key, "inner", spread_on=[page]).filter(F.col(page) > F.col("_first"))
+    # The first page of a repeated text points to the second one: one row per text.
+    runner_up = later.groupBy(*key).agg(F.min(page).alias("_next"))
+    first = stats.join(runner_up, key).select(doc, F.col("_first").alias(page), (F.col("_n") - 1).alias("other_pages"), F.col("_next").alias("first_other"))
+    return later.select(doc, page, (F.col("_n") - 1).alias("other_pages"), F.col("_first").alias("first_other")).unionByName(first)

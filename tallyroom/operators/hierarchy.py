@@ -94,33 +94,39 @@ def parent_verdicts(bodies: DataFrame) -> DataFrame:
     )
 
 
-def ancestors(nodes: DataFrame, depth: int = 3) -> DataFrame:
-    """``nodes(code, parent_code)`` to (code, ancestor, distance), a fixed number
-    of levels: each step joins the children found so far to their parents."""
-    parents = nodes.select(F.col("code").alias("ancestor"), F.col("parent_code").alias("_next"))
-    found = nodes.filter("parent_code IS NOT NULL").select("code", F.col("parent_code").alias("ancestor"), F.lit(1).alias("distance"))
-    level, result = found, found
-    for step in range(2, depth + 1):
-        level = (
-            spread_join(level, parents, ["ancestor"], "inner", spread_on=["code"])
-            .filter("_next IS NOT NULL")
-            .select("code", F.col("_next").alias("ancestor"), F.lit(step).alias("distance"))
+def ancestor_chains(nodes: DataFrame, depth: int = 3) -> DataFrame:
+    """``nodes(code, parent_code)`` to (code, ancestors nearest first), a fixed
+    number of levels.
+
+    The chains are built on the codes that are parents, a far smaller table, and
+    then meet all nodes in one join that spreads a parent of very many children.
+    """
+    used = nodes.filter("parent_code IS NOT NULL").select(F.col("parent_code").alias("code")).distinct()
+    parents = nodes.select("code", "parent_code").join(used, "code", "left_semi")
+    chains = parents.select(F.col("code").alias("parent_code"), F.array("code").alias("_chain"))
+    for _ in range(depth - 1):
+        up = parents.select(F.col("code").alias("_below"), "parent_code")
+        longer = spread_join(up, chains, ["parent_code"], "left", spread_on=["_below"], weigh=parents)
+        chains = longer.select(
+            F.col("_below").alias("parent_code"),
+            F.concat(F.array("_below"), F.coalesce("_chain", F.array().cast(chains.schema["_chain"].dataType))).alias("_chain"),
         )
-        result = result.unionByName(level)
-    return result
+    below = nodes.filter("parent_code IS NOT NULL").select("code", "parent_code")
+    return spread_join(below, chains, ["parent_code"], "inner", spread_on=["code"]).select("code", F.col("_chain").alias("ancestors"))
 
 
-def contained(claims: DataFrame, governed: DataFrame, closure: DataFrame) -> DataFrame:
+def contained(claims: DataFrame, governed: DataFrame, chains: DataFrame) -> DataFrame:
     """Claims ``(body, parent, geography)`` whose geography is, or lies under, a
     geography the parent governs ``governed(parent, geography)``."""
-    reach = closure.select(F.col("code").alias("geography"), "ancestor").unionByName(
-        claims.select("geography", F.col("geography").alias("ancestor")).distinct()
+    above = chains.select(F.col("code").alias("geography"), "ancestors")
+    via = spread_join(claims, above, ["geography"], "left", spread_on=["body"]).select(
+        "body", "parent", "geography",
+        F.explode(F.when(F.col("ancestors").isNull(), F.array("geography")).otherwise(F.concat(F.array("geography"), F.col("ancestors")))).alias("ancestor"),
     )
-    via = spread_join(claims, reach, ["geography"], "inner", spread_on=["body"])
     held = governed.select("parent", F.col("geography").alias("ancestor"), F.lit(True).alias("_held")).distinct()
-    return spread_join(via, held, ["parent", "ancestor"], "left", spread_on=["body", "geography"]).groupBy(
-        "body", "parent", "geography"
-    ).agg(F.coalesce(F.max("_held"), F.lit(False)).alias("contained"))
+    return spread_join(
+        via, held, ["parent", "ancestor"], "left", spread_on=["body", "geography"], weigh=claims, hot_on=["parent"]
+    ).groupBy("body", "parent", "geography").agg(F.coalesce(F.bool_or("_held"), F.lit(False)).alias("contained"))
 
 
 def stage_verdicts(stages: DataFrame, key: str, stage: str) -> DataFrame:

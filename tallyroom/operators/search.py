@@ -43,14 +43,13 @@ def matches(records: DataFrame, fields: list[Column], query: str) -> DataFrame:
 def place_search(records: DataFrame, fields: list[Column], query: str, order: list, limit=None) -> DataFrame:
     """First rows in directory order with the exact total and a capped flag.
 
-    The shown rows are a take-ordered limit; the total is one counter joined on
-    as a single row.
+    The shown rows are a take-ordered limit; the total is a scalar subquery.
     """
     shown = clamp_limit(limit)
     found = matches(records, fields, query)
     total = found.agg(F.count(F.lit(1)).alias("total_matches"))
     top = found.orderBy(*order).limit(shown)
-    return top.join(F.broadcast(total), F.lit(True)).withColumn("capped", F.col("total_matches") > shown)
+    return top.withColumn("total_matches", total.scalar()).withColumn("capped", F.col("total_matches") > shown)
 
 
 def quota(records: DataFrame, kind: str, first: str, order: list, limit: int = MAX_RESULTS) -> DataFrame:

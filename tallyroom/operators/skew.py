@@ -23,6 +23,7 @@ def spread_join(
     spread_on: list[str] | None = None,
     fan: int = FAN,
     weigh: DataFrame | None = None,
+    hot_on: list[str] | None = None,
 ) -> DataFrame:
     """Join many rows to a table with few rows per key, splitting hot keys.
 
@@ -31,24 +32,25 @@ def spread_join(
     ``fan`` salts by a hash of ``spread_on`` (a deterministic salt, safe under
     task retries) and only the hot keys of ``small`` are repeated. Rows with a
     null key match nothing and are spread as well. ``weigh`` is a cheaper table
-    with the same keys to count instead of ``big``.
+    to count instead of ``big``, and ``hot_on`` the part of the key to count by.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the row side is kept on the left")
+    counted = hot_on or keys
     hot = (
-        (weigh if weigh is not None else big).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        (weigh if weigh is not None else big).groupBy(*counted).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_row_limit(big))
-        .select(*keys, F.lit(True).alias("_hot"))
+        .select(*counted, F.lit(True).alias("_hot"))
     )
     salt = F.pmod(F.xxhash64(*(spread_on or big.columns)), F.lit(fan)).cast("int")
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     rows = (
-        big.join(F.broadcast(hot), keys, "left")
+        big.join(F.broadcast(hot), counted, "left")
         .withColumn("_salt", F.when(F.col("_hot") | null_key, salt).otherwise(F.lit(0)))
         .drop("_hot")
     )
     copies = (
-        small.join(F.broadcast(hot), keys, "left")
+        small.join(F.broadcast(hot), counted, "left")
         .withColumn(
             "_salt",
             F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))),

@@ -311,8 +311,8 @@ SELECT node, node NOT IN (SELECT node FROM b) AND node IN (SELECT node FROM g) A
 def lineage_verified(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").filter("p_partkey > 0")
     last = table(spark, sf, "part").agg(F.max("p_partkey").alias("last"))
-    nodes = part.join(F.broadcast(last), F.lit(True)).select(
-        F.col("p_partkey").alias("node"), (F.col("p_partkey") * 2 > F.col("last")).alias("is_leaf"), (F.col("p_size") > 1).alias("verified")
+    nodes = part.select(
+        F.col("p_partkey").alias("node"), (F.col("p_partkey") * 2 > last.scalar()).alias("is_leaf"), (F.col("p_size") > 1).alias("verified")
     )
     edges = part.select(F.col("p_partkey").alias("src"), F.explode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 3)).alias("dst"))
     return graph.lineage_verified(nodes, edges)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.functions.text import slash_date
+from tallyroom.sources.encodings import windows_text
 
 # Types that never levied, the dissolution code, the region prefix.
 NON_LEVYING_TYPES = ["IRI", "NO", "S-E", "S-É", "SE"]
@@ -17,14 +18,16 @@ REGION_PREFIX = "35"
 REMARK = r"\(dissolution\)[^-]*-\s*([^-]+?)\s*,\s*([A-ZÉ-]{1,4})\s*$"
 
 
-def read_edition(spark: SparkSession, path: str, width: int, encoding: str = "windows-1252") -> DataFrame:
-    """``(line_no, c0 … c<width-1>)`` of a headerless change list. Text files
-    carry no line order in Spark, so the number is the row's offset rank within
-    its file: partition id and row id rise along the file."""
+def read_edition(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """``(line_no, c0 … c<width-1>)`` of a headerless Windows-1252 change list.
+
+    A file is read by one task here (these lists are small, and the line number
+    has to count from the top), so row ids within the task are line numbers.
+    """
     schema = ", ".join(f"c{i} STRING" for i in range(width))
-    rows = spark.read.schema(schema).option("encoding", encoding).option("mode", "PERMISSIVE").option("multiLine", "true").csv(path)
-    # multiLine reads a file in one task, so its ids count its lines
-    return rows.withColumn("line_no", (F.monotonically_increasing_id() % F.lit(1 << 33)) + 1)
+    rows = spark.read.schema(schema).option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").option("multiLine", "true").csv(path)
+    cells = [windows_text(F.col(f"c{i}")).alias(f"c{i}") for i in range(width)]
+    return rows.select(((F.monotonically_increasing_id() % F.lit(1 << 33)) + 1).alias("line_no"), *cells)
 
 
 def _cell(i: int) -> Column:
@@ -45,8 +48,9 @@ def _events(rows: DataFrame, source_id: str, dissolved, dissolved_type, successo
 
 def legacy_events(rows: DataFrame, source_id: str) -> DataFrame:
     """``rows(line_no, c0 … c7)`` of the bilingual layout: subject rows with code
-    4; the remark names the successor."""
-    subject = rows.filter(F.col("c6").isNotNull() & (_cell(0) != "") & (_cell(3) == DISSOLUTION_CODE))
+    4; the remark names the successor. A row cut short before its remark is
+    refused like one whose remark cannot be read."""
+    subject = rows.filter((_cell(0) != "") & (_cell(3) == DISSOLUTION_CODE))
     remark = _cell(7)
     return _events(
         subject, source_id, _cell(0), _cell(2), F.regexp_extract(remark, REMARK, 1), F.regexp_extract(remark, REMARK, 2), _cell(4), _cell(5)
