@@ -48,14 +48,21 @@ def fold_marks(values: pd.Series) -> pd.Series:
     return values.map(fold)
 
 
+def folded(value: Column) -> Column:
+    """``fold_marks``, with plain ASCII text handled in the JVM: Python only
+    receives the texts that need it."""
+    special = value.rlike(r"[^\x00-\x7F]")
+    return F.when(special, fold_marks(F.when(special, value))).otherwise(F.lower(value))
+
+
 def normalized_name(name: Column) -> Column:
     """Join key of a name: folded, ``&`` read as ``and``, letters and digits only."""
-    return F.regexp_replace(F.regexp_replace(fold_marks(name), "&", " and "), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.regexp_replace(folded(name), "&", " and "), "[^a-z0-9]+", "")
 
 
 def search_text(value: Column) -> Column:
     """Folded words with single spaces between them, for search."""
-    return F.trim(F.regexp_replace(fold_marks(value), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(folded(value), r"[^\p{L}\p{N}]+", " "))
 
 
 def slug(name: Column, code: Column, ending: str = "") -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions.money import MONEY, RATE, round_to_quantum
 from tallyroom.operators.gates import first_reason
+from tallyroom.operators.skew import hot_keys, spread_join
 
 RATE_SUM_TOLERANCE = "0.0000000001"
 SCHEDULE_ROUNDING_TOLERANCE = 5
@@ -128,11 +129,9 @@ def peer_ratio(values: DataFrame, group: str, key: str, value: str) -> DataFrame
     The peer sums come from one aggregation; a group with a large part of the
     rows is split by the spread join.
     """
-    from tallyroom.operators.skew import spread_join
-
     sums = values.groupBy(group).agg(F.sum(value).cast("bigint").alias("_s"), F.count(F.lit(1)).alias("_n"))
     peers = F.when(F.col("_n") > 1, (F.col("_s") - F.col(value)).cast("double") / (F.col("_n") - 1).cast("double"))
-    return spread_join(values, sums, [group], "inner", spread_on=[key]).select(
+    return spread_join(values, sums, [group], "inner", spread_on=[key], hot=hot_keys(sums, [group], "_n")).select(
         key, group, value, peers.alias("peer_mean"),
         F.try_divide(F.col(value).cast("double"), peers).alias("ratio"),
     )

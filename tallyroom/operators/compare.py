@@ -70,12 +70,16 @@ def overlay(ledger: DataFrame, lock: DataFrame, key: str, field: str) -> DataFra
 
 
 def write_once(store: DataFrame, incoming: DataFrame, key: str, digest: str) -> DataFrame:
-    """Same key and bytes: no-op. New key: insert. Same key, other bytes: conflict."""
+    """Same key and bytes: no-op. New key: insert. Same key, other bytes, in the
+    store or within the drop itself: conflict. One row per incoming key; a key
+    that is dropped very often combines before the join."""
     s = store.select(key, F.col(digest).alias("_stored"))
-    return incoming.join(s, key, "left").select(
+    drop = incoming.groupBy(key).agg(F.min(digest).alias(digest), F.max(digest).alias("_last"))
+    return drop.join(s, key, "left").select(
         key,
         digest,
-        F.when(F.col("_stored").isNull(), "insert")
+        F.when(F.col(digest) != F.col("_last"), "conflict")
+        .when(F.col("_stored").isNull(), "insert")
         .when(F.col("_stored") == F.col(digest), "no-op")
         .otherwise("conflict")
         .alias("action"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.operators.gates import first_reason
+from tallyroom.operators.skew import hot_keys, spread_join
 
 
 def name_crosswalk(directory: DataFrame, filers: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -22,10 +23,12 @@ def name_crosswalk(directory: DataFrame, filers: DataFrame, overrides: DataFrame
         F.min("code").alias("match_code"), F.count(F.lit(1)).alias("matches")
     )
     known = filers.select(F.col("code").alias("override_code"), F.lit(True).alias("override_known"))
+    claimed = spread_join(
+        overrides.withColumnRenamed("code", "override_code"), known, ["override_code"], "left", spread_on=["entry"]
+    )
     resolved = (
-        directory.join(overrides.withColumnRenamed("code", "override_code"), "entry", "left")
-        .join(known, "override_code", "left")
-        .join(candidates, ["name_key", "tier"], "left")
+        spread_join(directory, candidates, ["name_key", "tier"], "left", spread_on=["entry"])
+        .join(claimed, "entry", "left")
         .select(
             "entry",
             "override_code",
@@ -36,7 +39,7 @@ def name_crosswalk(directory: DataFrame, filers: DataFrame, overrides: DataFrame
     )
     uses = resolved.filter("code IS NOT NULL").groupBy("code").agg(F.count(F.lit(1)).alias("uses"))
     by_name = F.col("override_code").isNull()
-    return resolved.join(uses, "code", "left").select(
+    return spread_join(resolved, uses, ["code"], "left", spread_on=["entry"], hot=hot_keys(uses, ["code"], "uses")).select(
         "entry",
         "code",
         F.when(~by_name, "override").when(F.col("matches") > 0, "name").otherwise("none").alias("basis"),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.functions import numbers
-from tallyroom.operators.skew import spread_join
+from tallyroom.operators.skew import hot_keys, spread_join
 
 # Tiers that count as strong evidence, tiers that fail outright.
 STRONG_TIERS = ["verbatim", "normalized", "alnum", "row-bound"]
@@ -88,9 +88,9 @@ def citation_tiers(facts: DataFrame, pages: DataFrame, documents: DataFrame) ->
     keyed = cited.withColumn("_tier", F.when(F.col("page").isNotNull() & F.col("_on_page"), F.col("_tier"))).withColumn(
         "_open", F.when(F.col("_tier").isNull(), F.col("source_id"))
     )
-    weigh = facts.select(F.col("source_id").alias("_open"))
+    hot = hot_keys(facts.select(F.col("source_id").alias("_open")), ["_open"])
     excerpt, doc, letters = F.col("excerpt"), F.col("_doc"), F.col("_letters")
-    return spread_join(keyed, whole, ["_open"], "left", spread_on=["fact_id"], weigh=weigh).select(
+    return spread_join(keyed, whole, ["_open"], "left", spread_on=["fact_id"], hot=hot).select(
         "fact_id",
         F.when(F.col("_tier").isNotNull(), F.col("_tier"))
         .when(doc.isNull(), "unverifiable")

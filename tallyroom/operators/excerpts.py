@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.operators.skew import spread_join
+from tallyroom.operators.skew import hot_keys, spread_join
 
 
 def repeated_on_other_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
@@ -18,7 +18,7 @@ def repeated_on_other_pages(pages: DataFrame, doc: str, page: str, text: str) ->
     rows = pages.filter(F.trim(text) != "").select(doc, page, F.xxhash64(text).alias("_h"), F.md5(text).alias("_m"))
     key = [doc, "_h", "_m"]
     stats = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(page).alias("_first")).filter("_n > 1")
-    later = spread_join(rows, stats, key, "inner", spread_on=[page]).filter(F.col(page) > F.col("_first"))
+    later = spread_join(rows, stats, key, "inner", spread_on=[page], hot=hot_keys(stats, key, "_n")).filter(F.col(page) > F.col("_first"))
     # The first page of a repeated text points to the second one: one row per text.
     runner_up = later.groupBy(*key).agg(F.min(page).alias("_next"))
     first = stats.join(runner_up, key).select(doc, F.col("_first").alias(page), (F.col("_n") - 1).alias("other_pages"), F.col("_next").alias("first_other"))

@@ -9,18 +9,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyroom.operators.skew import FAN, hot_keys, salted_copies, spread_join
 from tallyroom.session import cut_lineage
 
 
-def reachable(start: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
+def _settled_hot(edges: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Hot keys of an edge table, or None when it has none: the loops join many
+    times, so they look once and skip the salting when there is nothing to spread."""
+    hot = cut_lineage(hot_keys(edges, keys))
+    return None if hot.isEmpty() else hot
+
+
+def _join(big: DataFrame, small: DataFrame, key: str, how: str, spread_on: str, hot: DataFrame | None) -> DataFrame:
+    return big.join(small, key, how) if hot is None else spread_join(big, small, [key], how, spread_on=[spread_on], hot=hot)
+
+
+class _Links:
+    """Edges written once, the out-edges of a hub spread over salts, for joins
+    with one frontier after another."""
+
+    def __init__(self, edges: DataFrame, src: str = "src", dst: str = "dst", hot: DataFrame | None | str = "look"):
+        self.rows = cut_lineage(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+        self.hot = _settled_hot(self.rows, ["src"]) if isinstance(hot, str) else hot
+        if self.hot is not None:
+            salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("dst"), F.lit(FAN)).cast("int")).otherwise(F.lit(0))
+            self.rows = cut_lineage(self.rows.join(F.broadcast(self.hot), "src", "left").select("src", "dst", salt.alias("_salt")))
+
+    def follow(self, frontier: DataFrame, how: str = "left_semi") -> DataFrame:
+        """Edges that leave the frontier ``(src, …)``."""
+        if self.hot is None:
+            return self.rows.join(frontier, "src", how)
+        return self.rows.join(salted_copies(frontier, self.hot), ["src", "_salt"], how)
+
+
+def reachable(start: DataFrame, edges: DataFrame | _Links, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
     """Every node reached from ``start`` along ``edges``, with its least number
     of steps."""
-    links = edges.select(src, dst).distinct()
+    links = edges if isinstance(edges, _Links) else _Links(edges, src, dst)
     frontier = cut_lineage(start.select(node).distinct().withColumn("steps", F.lit(0)))
     seen, step = frontier, 0
     while not frontier.isEmpty():
         step += 1
-        reached = links.join(frontier.select(F.col(node).alias(src)), src, "left_semi").select(F.col(dst).alias(node)).distinct()
+        reached = links.follow(frontier.select(F.col(node).alias("src"))).select(F.col("dst").alias(node)).distinct()
         frontier = cut_lineage(reached.join(seen, node, "left_anti").withColumn("steps", F.lit(step)))
         seen = seen.unionByName(frontier)
     return seen
@@ -29,7 +59,7 @@ def reachable(start: DataFrame, edges: DataFrame, node: str = "node", src: str =
 def lineage_verified(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes(node, is_leaf, verified)``: whether all leaves below a node are
     verified, and whether any is. Both are reachability against the edges."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = _Links(edges, "dst", "src")
     bad = reachable(nodes.filter("is_leaf AND NOT verified").select("node"), back).select("node", F.lit(True).alias("_bad"))
     good = reachable(nodes.filter("is_leaf AND verified").select("node"), back).select("node", F.lit(True).alias("_good"))
     return nodes.select("node").join(bad, "node", "left").join(good, "node", "left").select(
@@ -39,7 +69,7 @@ def lineage_verified(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _peel(edges: DataFrame) -> DataFrame:
+def _peel(edges: DataFrame, hot_src: DataFrame | None, hot_dst: DataFrame | None) -> DataFrame:
     """Drop edges until every source is also a target and every target a source."""
     live, size = cut_lineage(edges), -1
     while True:
@@ -47,21 +77,21 @@ def _peel(edges: DataFrame) -> DataFrame:
         if count in (0, size):
             return live
         size = count
-        for _ in range(2):  # two rounds per write
-            live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            live = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        live = cut_lineage(live)
+        # Both sets come from the written table, so a round reads it three times.
+        targets, sources = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
+        live = _join(live, targets, "src", "left_semi", "dst", hot_src)
+        live = _join(live, sources, "dst", "left_semi", "src", hot_dst)
+        live = cut_lineage(live.select("src", "dst"))
 
 
-def _colours(edges: DataFrame) -> DataFrame:
+def _colours(links: _Links) -> DataFrame:
     """Each node's greatest node that reaches it, by label propagation."""
+    edges = links.rows
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     labels = cut_lineage(nodes.withColumn("colour", F.col("node")).withColumn("fresh", F.lit(True)))
     while not labels.filter("fresh").isEmpty():
-        pushed = (
-            edges.join(labels.filter("fresh").select(F.col("node").alias("src"), "colour"), "src")
-            .groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("pushed"))
-        )
+        moving = labels.filter("fresh").select(F.col("node").alias("src"), "colour")
+        pushed = links.follow(moving, "inner").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("pushed"))
         grown = F.coalesce(F.col("pushed") > F.col("colour"), F.lit(False))
         labels = cut_lineage(
             labels.drop("fresh").join(pushed, "node", "left")
@@ -78,24 +108,31 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     node, and the component of a colour's root is what reaches the root within
     the colour.
     """
-    live = _peel(edges.select("src", "dst").distinct())
+    edges = cut_lineage(edges.select("src", "dst").distinct())
+    # Later rounds work on a part of these edges, so their hubs are among these.
+    hot_src, hot_dst = _settled_hot(edges, ["src"]), _settled_hot(edges, ["dst"])
+    back = None if hot_dst is None else hot_dst.withColumnRenamed("dst", "src")
+    live = _peel(edges, hot_src, hot_dst)
     loops = live.filter("src = dst").select(F.col("src").alias("node"))
     found = loops
     while not live.isEmpty():
-        colours = _colours(live)
-        tinted = (
-            live.join(colours.withColumnRenamed("node", "src").withColumnRenamed("colour", "cs"), "src")
-            .join(colours.withColumnRenamed("node", "dst").withColumnRenamed("colour", "cd"), "dst")
-        )
-        within = cut_lineage(tinted.filter("cs = cd").select("src", "dst", F.col("cs").alias("colour")))
+        links = _Links(live, hot=hot_src)
+        colours = _colours(links)
+        tinted = _join(live, colours.withColumnRenamed("node", "src").withColumnRenamed("colour", "cs"), "src", "inner", "dst", links.hot)
+        tinted = _join(tinted, colours.withColumnRenamed("node", "dst").withColumnRenamed("colour", "cd"), "dst", "inner", "src", hot_dst)
+        within = tinted.filter("cs = cd").select("src", "dst")
         roots = colours.filter("node = colour").select("node")
-        members = reachable(roots, within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("node")
+        members = reachable(roots, _Links(within, "dst", "src", hot=back)).select("node")
         members = cut_lineage(members.join(colours, "node"))
         sizes = members.groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
-        found = found.unionByName(members.join(sizes.filter("n > 1").select("colour"), "colour", "left_semi").select("node"))
+        several = sizes.filter("n > 1").select("colour")
+        found = found.unionByName(
+            spread_join(members, several, ["colour"], "left_semi", spread_on=["node"], hot=hot_keys(sizes, ["colour"], "n")).select("node")
+        )
         gone = members.select("node")
-        rest = live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        live = _peel(rest.select("src", "dst"))
+        rest = _join(live, gone.withColumnRenamed("node", "src"), "src", "left_anti", "dst", hot_src)
+        rest = _join(rest, gone.withColumnRenamed("node", "dst"), "dst", "left_anti", "src", hot_dst)
+        live = _peel(rest.select("src", "dst"), hot_src, hot_dst)
     return found.distinct()
 
 
@@ -107,21 +144,28 @@ def primary_citation(refs: DataFrame, inputs: DataFrame, facts: DataFrame) -> Da
     ``facts(fact_id, url)``.
     """
     f = facts.select("fact_id", "url")
-    direct = refs.join(f.withColumnRenamed("fact_id", "node_id"), "node_id").select(
-        "ref_id", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("position"), F.col("node_id").alias("fact_id"), "url"
+    # Resolve each cited node once, then hand the answer to all its references.
+    nodes = refs.select("node_id").distinct()
+    direct = nodes.join(f.withColumnRenamed("fact_id", "node_id"), "node_id").select(
+        "node_id", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("position"), F.col("node_id").alias("fact_id"), "url"
     )
-    one = refs.join(inputs, "node_id").select("ref_id", "position", F.col("input_id").alias("next"))
-    first = one.join(f.withColumnRenamed("fact_id", "next"), "next").select(
-        "ref_id", F.lit(1).alias("level"), F.col("position").cast("bigint").alias("position"), F.col("next").alias("fact_id"), "url"
+    one = inputs.join(nodes, "node_id", "left_semi").select("node_id", "position", F.col("input_id").alias("next"))
+    hot_next = hot_keys(inputs.select(F.col("input_id").alias("next")), ["next"])
+    first = spread_join(one, f.withColumnRenamed("fact_id", "next"), ["next"], spread_on=["node_id", "position"], hot=hot_next).select(
+        "node_id", F.lit(1).alias("level"), F.col("position").cast("bigint").alias("position"), F.col("next").alias("fact_id"), "url"
     )
-    two = one.join(inputs.select(F.col("node_id").alias("next"), F.col("position").alias("p2"), F.col("input_id").alias("deep")), "next")
-    second = two.join(f.withColumnRenamed("fact_id", "deep"), "deep").select(
-        "ref_id", F.lit(2).alias("level"), (F.col("position") * 1000 + F.col("p2")).cast("bigint").alias("position"), F.col("deep").alias("fact_id"), "url"
+    below = inputs.select(F.col("node_id").alias("next"), F.col("position").alias("p2"), F.col("input_id").alias("deep"))
+    two = spread_join(one, below, ["next"], spread_on=["node_id", "position"], hot=hot_next)
+    second = spread_join(
+        two, f.withColumnRenamed("fact_id", "deep"), ["deep"], spread_on=["node_id", "position"],
+        hot=hot_next.withColumnRenamed("next", "deep"),
+    ).select(
+        "node_id", F.lit(2).alias("level"), (F.col("position") * 1000 + F.col("p2")).cast("bigint").alias("position"), F.col("deep").alias("fact_id"), "url"
     )
     every = direct.unionByName(first).unionByName(second)
     rank = F.struct(F.col("url").isNull().alias("no_link"), "level", "position", "fact_id")
-    picked = every.groupBy("ref_id").agg(F.min(F.struct(rank.alias("r"), F.col("url").alias("u"))).alias("_b"), F.count_distinct("fact_id").alias("facts"))
-    return refs.select("ref_id").join(picked, "ref_id", "left").select(
+    picked = every.groupBy("node_id").agg(F.min(F.struct(rank.alias("r"), F.col("url").alias("u"))).alias("_b"), F.count_distinct("fact_id").alias("facts"))
+    return spread_join(refs, picked, ["node_id"], "left", spread_on=["ref_id"]).select(
         "ref_id", F.col("_b.r.fact_id").alias("primary_fact"), F.col("_b.u").alias("url"), F.col("_b.r.level").alias("level"),
         F.coalesce("facts", F.lit(0)).alias("facts"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.operators.gates import first_reason
-from tallyroom.operators.skew import spread_join
+from tallyroom.operators.skew import hot_keys, spread_join
 
 # Code length and parent code length of each geography level.
 LEVELS = {1: "region", 2: "province-territory", 4: "census-division", 7: "census-subdivision"}
@@ -106,7 +106,7 @@ def ancestor_chains(nodes: DataFrame, depth: int = 3) -> DataFrame:
     chains = parents.select(F.col("code").alias("parent_code"), F.array("code").alias("_chain"))
     for _ in range(depth - 1):
         up = parents.select(F.col("code").alias("_below"), "parent_code")
-        longer = spread_join(up, chains, ["parent_code"], "left", spread_on=["_below"], weigh=parents)
+        longer = spread_join(up, chains, ["parent_code"], "left", spread_on=["_below"], hot=hot_keys(parents, ["parent_code"]))
         chains = longer.select(
             F.col("_below").alias("parent_code"),
             F.concat(F.array("_below"), F.coalesce("_chain", F.array().cast(chains.schema["_chain"].dataType))).alias("_chain"),
@@ -125,7 +125,7 @@ def contained(claims: DataFrame, governed: DataFrame, chains: DataFrame) -> Data
     )
     held = governed.select("parent", F.col("geography").alias("ancestor"), F.lit(True).alias("_held")).distinct()
     return spread_join(
-        via, held, ["parent", "ancestor"], "left", spread_on=["body", "geography"], weigh=claims, hot_on=["parent"]
+        via, held, ["parent", "ancestor"], "left", spread_on=["body", "geography"], hot=hot_keys(claims, ["parent"])
     ).groupBy("body", "parent", "geography").agg(F.coalesce(F.bool_or("_held"), F.lit(False)).alias("contained"))
 
 

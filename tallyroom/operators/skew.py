@@ -15,6 +15,15 @@ def hot_row_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.tallyroom.hotRows", str(HOT_ROWS)))
 
 
+def hot_keys(df: DataFrame, keys: list[str], count: str | None = None) -> DataFrame:
+    """Keys above ``spark.tallyroom.hotRows`` rows: at most rows / limit of them,
+    which is what makes the list safe to broadcast. ``count`` names a column of
+    ``df`` that already holds the rows per key."""
+    limit = hot_row_limit(df)
+    counted = df if count else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.filter(F.col(count or "_n") > limit).select(*keys, F.lit(True).alias("_hot"))
+
+
 def spread_join(
     big: DataFrame,
     small: DataFrame,
@@ -22,42 +31,36 @@ def spread_join(
     how: str = "inner",
     spread_on: list[str] | None = None,
     fan: int = FAN,
-    weigh: DataFrame | None = None,
-    hot_on: list[str] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to a table with few rows per key, splitting hot keys.
 
-    A key is hot above ``spark.tallyroom.hotRows`` rows, so there are at most
-    rows / limit hot keys and that list alone is broadcast. Hot rows spread over
-    ``fan`` salts by a hash of ``spread_on`` (a deterministic salt, safe under
-    task retries) and only the hot keys of ``small`` are repeated. Rows with a
-    null key match nothing and are spread as well. ``weigh`` is a cheaper table
-    to count instead of ``big``, and ``hot_on`` the part of the key to count by.
+    Rows of hot keys spread over ``fan`` salts by a hash of ``spread_on`` (a
+    deterministic salt, safe under task retries) and only the hot keys of
+    ``small`` are repeated. Rows with a null key match nothing and are spread as
+    well. ``hot`` is the list of hot keys when a cheaper table than ``big`` can
+    tell them (see ``hot_keys``); it may hold a part of the key columns.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the row side is kept on the left")
-    counted = hot_on or keys
-    hot = (
-        (weigh if weigh is not None else big).groupBy(*counted).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_row_limit(big))
-        .select(*counted, F.lit(True).alias("_hot"))
-    )
+    if hot is None:
+        hot = hot_keys(big, keys)
+    on = [c for c in hot.columns if c != "_hot"]
     salt = F.pmod(F.xxhash64(*(spread_on or big.columns)), F.lit(fan)).cast("int")
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     rows = (
-        big.join(F.broadcast(hot), counted, "left")
+        big.join(F.broadcast(hot), on, "left")
         .withColumn("_salt", F.when(F.col("_hot") | null_key, salt).otherwise(F.lit(0)))
         .drop("_hot")
     )
-    copies = (
-        small.join(F.broadcast(hot), counted, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot")
-    )
-    return rows.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return rows.join(salted_copies(small, hot, fan), [*keys, "_salt"], how).drop("_salt")
+
+
+def salted_copies(small: DataFrame, hot: DataFrame, fan: int = FAN) -> DataFrame:
+    """``small`` with a ``_salt``: hot keys once per salt, the others once."""
+    on = [c for c in hot.columns if c != "_hot"]
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))
+    return small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
 
 
 def _before(df: DataFrame, keys: list[str], chunk: str, carry: Column, fold) -> DataFrame:

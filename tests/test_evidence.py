@@ -213,6 +213,20 @@ def edges(spark, pairs):
     return spark.createDataFrame(pairs, "src string, dst string")
 
 
+def test_closure_through_a_hub(spark, hot_keys):
+    pairs = [("hub", f"n{i}") for i in range(20)] + [("n3", "deep"), ("r", "hub")]
+    got = graph.reachable(spark.createDataFrame([("r",)], "node string"), edges(spark, pairs))
+    assert got.count() == 23 and dict(rows(got, "node", "steps"))["deep"] == 3
+
+
+def test_citation_within_two_levels(spark, hot_keys):
+    refs = spark.createDataFrame([(i, "d1") for i in range(6)] + [(10, "f1"), (11, "d2"), (12, "gone")], "ref_id int, node_id string")
+    inputs = spark.createDataFrame([("d1", 0, "f2"), ("d1", 1, "f1"), ("d2", 0, "d1")], "node_id string, position int, input_id string")
+    facts = spark.createDataFrame([("f1", "u1"), ("f2", None)], "fact_id string, url string")
+    got = rows(graph.primary_citation(refs, inputs, facts), "ref_id", "primary_fact", "url", "level", "facts")
+    assert got == [*[(i, "f1", "u1", 1, 2) for i in range(6)], (10, "f1", "u1", 0, 1), (11, "f1", "u1", 2, 2), (12, None, None, None, 0)]
+
+
 def test_closure_through_levels(spark):
     got = graph.reachable(spark.createDataFrame([("r",)], "node string"), edges(spark, [("r", "a"), ("a", "b"), ("r", "b"), ("x", "y")]))
     assert rows(got, "node", "steps") == [("a", 1), ("b", 1), ("r", 0)]
@@ -248,8 +262,13 @@ def py_cyclic(pairs):
     [("a", "a"), ("a", "b")],
     [(str(random.Random(3 + i).randrange(14)), str(random.Random(90 + i).randrange(14))) for i in range(22)],
 ])
-def test_cycles(spark, pairs):
-    assert {r.node for r in graph.cyclic_nodes(edges(spark, pairs)).collect()} == py_cyclic(pairs)
+@pytest.mark.parametrize("limit", ["2000000", "1"])
+def test_cycles(spark, pairs, limit):
+    spark.conf.set("spark.tallyroom.hotRows", limit)
+    try:
+        assert {r.node for r in graph.cyclic_nodes(edges(spark, pairs)).collect()} == py_cyclic(pairs)
+    finally:
+        spark.conf.unset("spark.tallyroom.hotRows")
 
 
 @pytest.mark.parametrize("text,labels", [
