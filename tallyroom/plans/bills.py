@@ -396,12 +396,13 @@ def place_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("quota_topk", """
-WITH m AS (SELECT o_orderkey AS code, o_orderpriority AS kind FROM orders WHERE o_totalprice > 497000),
-a AS (SELECT *, row_number() OVER (ORDER BY code) AS r FROM m WHERE kind = '1-URGENT'),
-b AS (SELECT *, row_number() OVER (ORDER BY code) AS r FROM m WHERE kind <> '1-URGENT')
-SELECT code, kind FROM a WHERE r <= 20
-UNION ALL SELECT code, kind FROM b WHERE r <= 20 - least(20, (SELECT count(*) FROM a))
+WITH m AS (SELECT r_name AS name, 'receipt' AS kind FROM region UNION ALL SELECT n_name, 'directory' FROM nation UNION ALL SELECT c_name, 'directory' FROM customer),
+a AS (SELECT *, row_number() OVER (ORDER BY name) AS r FROM m WHERE kind = 'receipt'),
+b AS (SELECT *, row_number() OVER (ORDER BY name) AS r FROM m WHERE kind <> 'receipt')
+SELECT name, kind FROM a WHERE r <= 20
+UNION ALL SELECT name, kind FROM b WHERE r <= 20 - least(20, (SELECT count(*) FROM a))
 """)
 def quota_topk(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").filter("o_totalprice > 497000").select(F.col("o_orderkey").alias("code"), F.col("o_orderpriority").alias("kind"))
-    return search.quota(rows, "kind", "1-URGENT", ["code"])
+    kinds = [("region", "r_name", "receipt"), ("nation", "n_name", "directory"), ("customer", "c_name", "directory")]
+    parts = [table(spark, sf, t).select(F.col(c).alias("name"), F.lit(k).alias("kind")) for t, c, k in kinds]
+    return search.quota(parts[0].unionByName(parts[1]).unionByName(parts[2]), "kind", "receipt", ["name"])

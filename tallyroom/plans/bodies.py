@@ -155,14 +155,14 @@ def provenance_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("coverage_counts", """
-SELECT o_orderpriority AS tier, o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS yr, count(*) AS records, max(CAST(o_orderdate AS DATE)) AS newest
+SELECT o_orderpriority AS tier, o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS yr, count(*) AS records, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS newest
 FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), (CAST(year(o_orderdate) AS INTEGER)), (o_orderpriority, o_orderstatus), ())
 """)
 def coverage_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("tier"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("yr"), F.col("o_orderdate").cast("date").alias("d")
     )
-    return coverage.counts_by(rows, [["tier"], ["status"], ["yr"], ["tier", "status"], []], "d")
+    return coverage.counts_by(rows, [["tier"], ["status"], ["yr"], ["tier", "status"], []], "d").withColumn("newest", F.col("newest").cast("string"))
 
 
 @query("coverage_status", """

@@ -402,7 +402,7 @@ def name_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("date_normalize", """
 WITH d AS (SELECT o_orderkey AS code, CAST(o_orderdate AS DATE) AS d, day(o_orderdate) AS dd FROM orders)
-SELECT code, CASE WHEN dd <= 28 THEN d + 0 END AS compact, CASE WHEN dd <= 12 THEN d END AS slashed, dd % 2 = 0 AS has_offset FROM d
+SELECT code, CASE WHEN dd <= 28 THEN CAST(d AS VARCHAR) END AS compact, CASE WHEN dd <= 12 THEN CAST(d AS VARCHAR) END AS slashed, dd % 2 = 0 AS has_offset FROM d
 """)
 def date_normalize(spark: SparkSession, sf: str) -> DataFrame:
     # Printed dates: compact with an impossible day after the 28th, day and month
@@ -412,7 +412,7 @@ def date_normalize(spark: SparkSession, sf: str) -> DataFrame:
     slashed = F.when(dd <= 12, F.date_format(d, "d/M/yyyy")).otherwise(F.date_format(d, "d-M-yyyy"))
     stamped = F.concat(F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"), F.when(dd % 2 == 0, "-05:00").otherwise(""))
     return table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("code"), text.compact_date(compact).alias("compact"), text.slash_date(slashed).alias("slashed"),
+        F.col("o_orderkey").alias("code"), text.compact_date(compact).cast("string").alias("compact"), text.slash_date(slashed).cast("string").alias("slashed"),
         text.offset_timestamp(stamped).isNotNull().alias("has_offset"),
     )
 

@@ -169,20 +169,21 @@ def edition_events(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
-@query("edition_union", f"WITH {SQL_EVENTS} SELECT *, CAST(NULL AS VARCHAR) AS reason FROM events_")
+@query("edition_union", f"WITH {SQL_EVENTS} SELECT * REPLACE (CAST(effective_date AS VARCHAR) AS effective_date), CAST(NULL AS VARCHAR) AS reason FROM events_")
 def edition_union(spark: SparkSession, sf: str) -> DataFrame:
-    return edition_events(spark, sf)
+    return edition_events(spark, sf).withColumn("effective_date", F.col("effective_date").cast("string"))
 
 
 @query("event_dedupe", f"""
 WITH {SQL_EVENTS},
 r AS (SELECT *, CASE source_id WHEN 'legacy' THEN 0 WHEN 'numbered' THEN 1 ELSE 2 END AS rank FROM events_)
-SELECT sgc_code, effective_date, arg_min(dissolved, rank) AS dissolved, arg_min(successor, rank) AS successor, arg_min(levied, rank) AS levied,
+SELECT sgc_code, CAST(effective_date AS VARCHAR) AS effective_date, arg_min(dissolved, rank) AS dissolved, arg_min(successor, rank) AS successor, arg_min(levied, rank) AS levied,
   arg_min(source_id, rank) AS source_id, count(*) AS copies, CASE WHEN count(DISTINCT dissolved || '|' || successor) = 1 THEN 'accepted' ELSE 'conflict' END AS status
 FROM r GROUP BY 1, 2
 """)
 def event_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return editions.dedupe_events(edition_events(spark, sf), EDITION_ORDER)
+    events = editions.dedupe_events(edition_events(spark, sf), EDITION_ORDER)
+    return events.withColumn("effective_date", F.col("effective_date").cast("string"))
 
 
 @query("inventory_diff", """

@@ -19,7 +19,7 @@ WITH v AS (
   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3
 )
 SELECT code, min(c_name) AS c_name, min(c_mktsegment) AS c_mktsegment, count(*) AS identities,
-       CAST(sum(n) AS BIGINT) AS rows, max(d) AS last_updated,
+       CAST(sum(n) AS BIGINT) AS rows, CAST(max(d) AS VARCHAR) AS last_updated,
        CASE WHEN count(*) = 1 THEN 'accepted' ELSE 'refused' END AS status
 FROM v GROUP BY code
 """)
@@ -31,7 +31,7 @@ def filer_identity(spark: SparkSession, sf: str) -> DataFrame:
     named = rows.join(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     identities = gates.identity_scan(named.withColumnRenamed("c_custkey", "code"), "code", ["c_name", "c_mktsegment"], "updated")
     counted = named.groupBy(F.col("c_custkey").alias("code")).agg(F.sum("rows").alias("n"))
-    return identities.drop("rows").join(counted.withColumnRenamed("n", "rows"), "code")
+    return identities.drop("rows").join(counted.withColumnRenamed("n", "rows"), "code").withColumn("last_updated", F.col("last_updated").cast("string"))
 
 
 @query("identity_conflict", """
@@ -175,19 +175,18 @@ def set_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("set_overlap", """
-WITH f AS (SELECT l_suppkey AS code, list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS kinds FROM lineitem WHERE l_quantity >= 45 GROUP BY 1),
-g AS (SELECT l_suppkey AS code, list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS kinds FROM lineitem WHERE l_discount >= 0.095 GROUP BY 1)
-SELECT f.code, array_to_string(list_sort(list_intersect(f.kinds, g.kinds)), ',') AS shared,
-       len(list_intersect(f.kinds, g.kinds)) = 0 AS disjoint
-FROM f JOIN g ON g.code = f.code
+WITH k AS (SELECT l_orderkey AS code, l_returnflag || l_linestatus AS kind, l_discount < 0.05 AS low FROM lineitem),
+s AS (SELECT code, coalesce(list(DISTINCT kind) FILTER (low), []) AS a, coalesce(list(DISTINCT kind) FILTER (NOT low), []) AS b FROM k GROUP BY 1)
+SELECT code, array_to_string(list_sort(list_intersect(a, b)), ',') AS shared, len(list_intersect(a, b)) = 0 AS disjoint FROM s
 """)
 def set_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").withColumn("kind", F.concat("l_returnflag", "l_linestatus"))
     # Both flags are one-letter codes, so a set holds a handful of kinds.
-    sets = lambda df, name: df.groupBy(F.col("l_suppkey").alias("code")).agg(F.collect_set("kind").alias(name))
-    a = sets(lines.filter("l_quantity >= 45"), "a")
-    b = sets(lines.filter("l_discount >= 0.095D"), "b")
-    return a.join(b, "code").select(
+    lines = table(spark, sf, "lineitem").withColumn("kind", F.concat("l_returnflag", "l_linestatus"))
+    low = F.col("l_discount") < F.lit(0.05)
+    sets = lines.groupBy(F.col("l_orderkey").alias("code")).agg(
+        F.collect_set(F.when(low, F.col("kind"))).alias("a"), F.collect_set(F.when(~low, F.col("kind"))).alias("b")
+    )
+    return sets.select(
         "code",
         F.array_join(F.array_sort(F.array_intersect("a", "b")), ",").alias("shared"),
         (~F.arrays_overlap("a", "b")).alias("disjoint"),
@@ -282,9 +281,9 @@ def context_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("request_cover", """
 WITH a AS (
-  SELECT l_partkey AS code, CASE l_returnflag WHEN 'A' THEN 'closing' WHEN 'N' THEN 'non-closing' ELSE 'gap' END AS kind,
+  SELECT l_orderkey AS code, CASE l_returnflag WHEN 'A' THEN 'closing' WHEN 'N' THEN 'non-closing' ELSE 'gap' END AS kind,
          CASE WHEN l_returnflag = 'A' THEN '' ELSE l_linestatus END AS reason
-  FROM lineitem WHERE l_quantity >= 48
+  FROM lineitem
 ),
 p AS (
   SELECT code, reason, max(CASE WHEN kind = 'closing' THEN 1 ELSE 0 END) AS c, max(CASE WHEN kind = 'non-closing' THEN 1 ELSE 0 END) AS n,
@@ -292,8 +291,8 @@ p AS (
 ),
 f AS (SELECT code, max(c) AS c, max(n) AS n, max(g) AS g, max(n * g) AS s FROM p GROUP BY 1),
 j AS (
-  SELECT coalesce(p_partkey, code) AS code, p_size > 10 AS required, coalesce(c, 0) AS c, coalesce(n, 0) AS n, coalesce(g, 0) AS g, coalesce(s, 0) AS s
-  FROM (SELECT * FROM part WHERE p_type <> 'PROMO') FULL JOIN f ON code = p_partkey
+  SELECT coalesce(o_orderkey, code) AS code, o_orderpriority <> '5-LOW' AS required, coalesce(c, 0) AS c, coalesce(n, 0) AS n, coalesce(g, 0) AS g, coalesce(s, 0) AS s
+  FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') FULL JOIN f ON code = o_orderkey
 ),
 v AS (
   SELECT code, CASE WHEN required IS NULL THEN 'not requested'
@@ -304,10 +303,14 @@ v AS (
 SELECT code, reason, CASE WHEN reason IS NULL THEN 'covered' ELSE 'refused' END AS status FROM v
 """)
 def request_cover(spark: SparkSession, sf: str) -> DataFrame:
-    requests = table(spark, sf, "part").filter("p_type <> 'PROMO'").select(F.col("p_partkey").alias("code"), (F.col("p_size") > 10).alias("required"))
+    """Orders are the requested documents (not the ones in status P); their
+    lines are closing sources, non-closing sources and gaps."""
+    requests = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(
+        F.col("o_orderkey").alias("code"), (F.col("o_orderpriority") != "5-LOW").alias("required")
+    )
     flag = F.col("l_returnflag")
-    answers = table(spark, sf, "lineitem").filter("l_quantity >= 48").select(
-        F.col("l_partkey").alias("code"),
+    answers = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("code"),
         F.when(flag == "A", "closing").when(flag == "N", "non-closing").otherwise("gap").alias("kind"),
         F.when(flag == "A", "").otherwise(F.col("l_linestatus")).alias("reason"),
     )
@@ -330,7 +333,7 @@ def area_fanout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("alias_enrich", """
-WITH f AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50),
+WITH f AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey),
 g AS (SELECT l_suppkey, count(*) AS n, string_agg(p_brand, ', ' ORDER BY p_brand) AS names FROM f GROUP BY 1)
 SELECT s_suppkey AS code, s_name AS name, coalesce(names, '') AS former,
        CASE WHEN n = 1 THEN 'Includes the former ' || names WHEN n > 1 THEN 'Includes the former places ' || names END AS note
@@ -338,7 +341,7 @@ FROM supplier LEFT JOIN g ON l_suppkey = s_suppkey
 """)
 def alias_enrich(spark: SparkSession, sf: str) -> DataFrame:
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"))
-    pairs = table(spark, sf, "lineitem").filter("l_quantity >= 50").join(
+    pairs = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct().join(
         table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
     ).select(F.col("l_suppkey").alias("code"), F.col("p_brand").alias("former_name")).distinct()
     former = pairs.join(suppliers, "code").select(F.upper("name").alias("successor"), "former_name")
