@@ -32,6 +32,27 @@ def provenance_verdicts(records: DataFrame, snapshots: DataFrame, catalog: DataF
     )
 
 
+def layer_verdicts(layers: DataFrame, observed: DataFrame) -> DataFrame:
+    """Evidence rules of coverage layers.
+
+    ``layers(jurisdiction, layer, status, sources, expected)`` and
+    ``observed(jurisdiction, layer, bodies)``: a claimed layer names a source, a
+    partial one has a verified body, a complete one has exactly the expected
+    number of them.
+    """
+    claimed = F.col("status").isin("partial", "complete")
+    bodies = F.coalesce("bodies", F.lit(0))
+    return layers.join(observed, ["jurisdiction", "layer"], "left").select(
+        "jurisdiction", "layer", "status",
+        first_reason([
+            ("claimed coverage requires a locked source", claimed & (F.coalesce(F.size("sources"), F.lit(0)) < 1)),
+            ("partial coverage requires a verified body", (F.col("status") == "partial") & (bodies < 1)),
+            ("complete coverage requires an expected count", (F.col("status") == "complete") & (F.coalesce("expected", F.lit(0)) < 1)),
+            ("complete coverage has another count", (F.col("status") == "complete") & (bodies != F.col("expected"))),
+        ]).alias("reason"),
+    )
+
+
 def counts_by(rows: DataFrame, sets: list[list[str]], date: str) -> DataFrame:
     """Counts and newest date for several groupings in one pass."""
     columns = list(dict.fromkeys(c for s in sets for c in s))

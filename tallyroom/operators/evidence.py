@@ -130,6 +130,19 @@ def evidence_coverage(tiers: DataFrame, load_bearing: DataFrame, by: list[str])
     )
 
 
+def citation_findings(tiers: DataFrame, strict: bool) -> DataFrame:
+    """Findings per fact: a hard tier is an error on a draft too, an issue of
+    the binding (``issue``, null when bound) an error once sealed, a weak tier a
+    warning that only the coverage threshold turns into a refusal."""
+    tier = F.col("tier")
+    return tiers.select(
+        "fact_id", "tier", "issue",
+        F.when(tier.isin(HARD_TIERS), "error")
+        .when(F.col("issue").isNotNull(), "error" if strict else "warning")
+        .when(~tier.isin(STRONG_TIERS), "warning").alias("severity"),
+    )
+
+
 def value_binding(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     """``printed(path, cited_id, amount, sibling, rate, assessment)`` against
     ``nodes(node_id, value)``; doubles as in the documents.
@@ -162,7 +175,7 @@ def value_binding(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame) -> DataFrame:
+def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
     """Derived metrics from stored inputs, formulas as rows.
 
     ``derived(derived_id, stored, tolerance, control)``;
@@ -171,27 +184,38 @@ def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame) -> DataFra
     numerator factors over the denominator ones. ``control`` (a value or null)
     is the other side of a sum identity. One join to the nodes, then the two
     aggregation levels of the formula; an input cited by very many formulas is
-    spread.
+    spread. With ``inputs(derived_id, input_id)`` a term that uses an undeclared
+    input refuses its metric.
     """
+    if inputs is None:
+        stated = terms.withColumn("_stated", F.lit(True))
+    else:
+        listed = inputs.select("derived_id", "input_id", F.lit(True).alias("_listed")).distinct()
+        stated = terms.join(listed, ["derived_id", "input_id"], "left").withColumn(
+            "_stated", F.col("input_id").isNull() | F.coalesce("_listed", F.lit(False))
+        ).drop("_listed")
     valued = spread_join(
-        terms.withColumnRenamed("input_id", "node_id"),
+        stated.withColumnRenamed("input_id", "node_id"),
         nodes.select("node_id", F.col("value").alias("_v")),
         ["node_id"], "left", spread_on=["derived_id", "factor_no"],
     ).withColumn("_x", F.when(F.col("node_id").isNull(), F.col("constant")).otherwise(F.col("_v")))
     factors = valued.groupBy("derived_id", "factor_no", "numerator").agg(
         F.sum((F.col("sign") * F.col("_x")).cast("decimal(30,8)")).alias("_f"),
         F.count(F.when(F.col("_x").isNull(), F.lit(1))).alias("_lost"),
+        F.bool_and("_stated").alias("_stated"),
     )
     values = factors.groupBy("derived_id").agg(
         F.product(F.when(F.col("numerator"), F.col("_f").cast("double"))).alias("_num"),
         F.product(F.when(~F.col("numerator"), F.col("_f").cast("double"))).alias("_den"),
         F.sum("_lost").alias("_lost"),
+        F.bool_and("_stated").alias("_stated"),
     )
     computed = F.try_divide(F.coalesce("_num", F.lit(1.0)), F.coalesce("_den", F.lit(1.0)))
     out = derived.join(values, "derived_id", "left").withColumn("_c", computed)
     return out.select(
         "derived_id",
         F.when(F.col("_lost").isNull(), "no formula")
+        .when(~F.col("_stated"), "formula input is not declared")
         .when(F.col("_lost") > 0, "formula input is missing")
         .when(F.col("_c").isNull(), "division by zero")
         .when(F.col("control").isNotNull() & (F.abs(F.col("_c") - F.col("control")) > F.col("tolerance")), "identity fails")

@@ -194,6 +194,24 @@ def test_recompute(spark, hot_keys):
         "off": "does not recompute", "ident": "identity fails", "bare": "no formula"}
 
 
+def test_undeclared_input(spark):
+    nodes = spark.createDataFrame([("a", 10.0), ("b", 4.0)], "node_id string, value double")
+    terms = spark.createDataFrame([("x", 1, True, 1, "a", None), ("x", 1, True, 1, "b", None), ("y", 1, True, 1, "a", None), ("y", 2, False, 1, None, 2.0)],
+                                  "derived_id string, factor_no int, numerator boolean, sign int, input_id string, constant double")
+    derived = spark.createDataFrame([("x", 14.0, 0.005, None), ("y", 5.0, 0.005, None)], "derived_id string, stored double, tolerance double, control double")
+    inputs = spark.createDataFrame([("x", "a"), ("y", "a")], "derived_id string, input_id string")
+    assert rows(evidence.recompute(derived, terms, nodes, inputs), "derived_id", "status") == [("x", "formula input is not declared"), ("y", "recomputed")]
+
+
+@pytest.mark.parametrize("tier,issue,strict,severity", [
+    ("wrong-page", None, False, "error"), ("verbatim", "amount-sign-mismatch", False, "warning"), ("verbatim", "amount-sign-mismatch", True, "error"),
+    ("numbers-only", None, True, "warning"), ("row-bound", None, True, None),
+])
+def test_finding_severity(spark, tier, issue, strict, severity):
+    df = spark.createDataFrame([("f", tier, issue)], "fact_id string, tier string, issue string")
+    assert rows(evidence.citation_findings(df, strict), "severity") == [(severity,)]
+
+
 def test_scope_is_the_nearest_ancestor(spark, hot_keys):
     paths = spark.createDataFrame([("d", "a/b/c"), ("d", "a/b"), ("d", "a/x"), ("d", "ab/c"), ("e", "a/b/c")], "doc string, path string")
     holders = spark.createDataFrame([("d", "a", 1), ("d", "a/b", 2)], "doc string, path string, v int")

@@ -116,6 +116,22 @@ def test_coverage_status(spark):
     assert rows(hierarchy.coverage_status(l, "k", "layer", "status", ["x"]), "k", "status") == [("a", "complete"), ("b", "partial"), ("c", "planned")]
 
 
+def test_layer_evidence(spark):
+    layers = df(spark, "jurisdiction string, layer string, status string, sources array<string>, expected int",
+                ("a", "m", "complete", ["s"], 3), ("b", "m", "complete", ["s"], 2), ("c", "m", "partial", ["s"], None), ("d", "m", "partial", [], None),
+                ("e", "m", "planned", None, None), ("f", "m", "complete", ["s"], None))
+    observed = df(spark, "jurisdiction string, layer string, bodies long", ("a", "m", 3), ("b", "m", 3), ("d", "m", 1))
+    assert dict(rows(coverage.layer_verdicts(layers, observed), "jurisdiction", "reason")) == {
+        "a": None, "b": "complete coverage has another count", "c": "partial coverage requires a verified body",
+        "d": "claimed coverage requires a locked source", "e": None, "f": "complete coverage requires an expected count"}
+
+
+def test_write_once(spark):
+    store = df(spark, "k string, d string", ("a", "1"), ("b", "1"))
+    drop = df(spark, "k string, d string", ("a", "1"), ("a", "1"), ("b", "2"), ("c", "3"), ("e", "4"), ("e", "5"))
+    assert rows(compare.write_once(store, drop, "k", "d"), "k", "action") == [("a", "no-op"), ("b", "conflict"), ("c", "insert"), ("e", "conflict")]
+
+
 def test_history(spark):
     f = df(spark, "k string, y int, name string", ("a", 2025, "A"), ("a", 2024, "A old"), ("b", 2024, "B"), ("c", 2023, "C"), ("a", 2023, "A"))
     d = df(spark, "k string", ("a",), ("b",), ("c",), ("d",))

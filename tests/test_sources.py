@@ -121,6 +121,29 @@ def test_inventory(spark, tmp_path):
         ("a.txt", "changed", "sha256"), ("b.txt", "unlisted", ""), ("c.txt", "missing", "")]
 
 
+def test_classification(spark, tmp_path):
+    from tallyroom.sources.registry_files import read_classification
+
+    path = tmp_path / "c.csv"
+    path.write_text('Level,Hierarchical structure,Code,Class title\n1,Region,3,Ontario\n2,Province,35,Ontario\n3,Division,3518,"Durham, R"\n4,Subdivision,3518013,Oshawa\n3,Division,36,Odd\n9,x,123,Bad\n')
+    assert rows(read_classification(spark, str(path)), "code", "level", "parent_code", "reason") == [
+        ("123", None, None, "code has no level"), ("3", "region", None, None), ("35", "province-territory", "3", None),
+        ("3518", "census-division", "35", None), ("3518013", "census-subdivision", "3518", None), ("36", "province-territory", "3", "level does not fit the code")]
+
+
+def test_governing_bodies(spark):
+    from tallyroom.operators.gates import duplicate_keys
+    from tallyroom.sources.registry_files import external_ids, governing_bodies
+
+    good = {"id": "on-0001", "body_type": "municipal-government", "official_names": {"en": "A", "fr": "A"}, "url": "https://a.example", "external_ids": {"sgc": "1"},
+            "geography_ids": ["g1"], "effective_from": "2001-01-01"}
+    bad = {**good, "id": "On 2", "owner": "x", "url": "http://b", "geography_ids": ["g", "g"], "effective_to": "2000-01-01"}
+    out = governing_bodies(spark.createDataFrame([(json.dumps(good),), (json.dumps(bad),)], "d string"), "d")
+    assert {r.id: r.violations for r in out.collect()} == {
+        "on-0001": [], "On 2": ["unknown-field", "id", "url", "repeated-geography", "end-before-start"]}
+    assert rows(duplicate_keys(external_ids(out), ["scheme", "value"]), "scheme", "value", "copies") == [("sgc", "1", 2)]
+
+
 def test_receipts_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(2023, "0001", 5), (2024, "0001", 6)], "fiscal_year int, code string, grand long")
     docs = sinks.receipt_documents(df.withColumn("y", F.col("fiscal_year")), "code", ["fiscal_year", "grand"])
