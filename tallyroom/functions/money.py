@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyroom.operators.skew import hot_keys, spread_join
+
 MONEY = "decimal(20,2)"
 RATE = "decimal(18,12)"
 
@@ -19,8 +21,8 @@ def round_to_quantum(value: Column, quantum: str = "0.01", method: str = "half-u
 def shares_of_total(parts: DataFrame, keys: list[str], amount: str) -> DataFrame:
     """Each part over the total of its key; null unless the total is positive.
 
-    ``parts`` has one row per key and part code, so the join is one-to-few.
+    The totals come from one aggregation; a key with very many parts is spread.
     """
-    totals = parts.groupBy(*keys).agg(F.sum(amount).cast("bigint").alias("total"))
+    totals = parts.groupBy(*keys).agg(F.sum(amount).cast("bigint").alias("total"), F.count(F.lit(1)).alias("_n"))
     share = F.when(F.col("total") > 0, F.col(amount).cast("double") / F.col("total").cast("double"))
-    return parts.join(totals, keys).withColumn("share", share)
+    return spread_join(parts, totals.drop("_n"), keys, "inner", hot=hot_keys(totals, keys, "_n")).withColumn("share", share)

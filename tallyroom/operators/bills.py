@@ -53,14 +53,15 @@ def prorata(lines: DataFrame, bills: DataFrame, key: str, line: str) -> DataFram
     Integer cents throughout, so the residual is exact. Weights and bills of
     either sign round half away from zero, like the rest of the money path.
     """
-    base = lines.groupBy(key).agg(F.sum("weight").cast("bigint").alias("base"))
+    base = lines.groupBy(key).agg(F.sum("weight").cast("bigint").alias("base"), F.count(F.lit(1)).alias("_n"))
     product = F.col("bill_cents").cast("decimal(20,0)") * F.col("weight").cast("decimal(18,0)")
     share = F.round(
         (F.abs(product) / F.abs(F.col("base")).cast("decimal(20,0)")).cast("decimal(38,8)"), 0
     ).cast("bigint")
     sign = F.signum(product.cast("double")) * F.signum(F.col("base").cast("double"))
+    billed = base.drop("_n").join(bills, key)
     allocated = (
-        lines.join(base.join(bills, key), key)
+        spread_join(lines, billed, [key], "inner", spread_on=[line], hot=hot_keys(base, [key], "_n"))
         .filter("base <> 0")
         .select(key, F.col(line).cast("string").alias(line), (share * sign.cast("bigint")).alias("cents"))
     )

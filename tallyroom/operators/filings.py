@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.operators.gates import first_reason
+from tallyroom.operators.skew import hot_keys, spread_join
 
 # Addresses, tolerances and floors of the filing format.
 SPEND_ADDRESS = r"^slc\.40X\.L(\d{4})\.C01\.07$"
@@ -255,8 +256,8 @@ def levy_shares(verdicts: DataFrame) -> DataFrame:
 
 
 def materiality(lines: DataFrame, key: str, floor_share: float = 0.0025) -> DataFrame:
-    """Each line against the materiality floor of its levy. ``lines`` holds one
-    row per (key, line), so a key has at most one row per address."""
-    levy = lines.groupBy(key).agg(F.sum("cents").cast("bigint").alias("levy"))
+    """Each line against the materiality floor of its levy."""
+    levy = lines.groupBy(key).agg(F.sum("cents").cast("bigint").alias("levy"), F.count(F.lit(1)).alias("_n"))
     share = F.col("cents").cast("double") / F.col("levy").cast("double")
-    return lines.join(levy, key).withColumn("material", F.col("levy").isNotNull() & (share >= floor_share))
+    joined = spread_join(lines, levy.drop("_n"), [key], "inner", hot=hot_keys(levy, [key], "_n"))
+    return joined.withColumn("material", F.col("levy").isNotNull() & (share >= floor_share))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.functions.text import search_text
-from tallyroom.operators.skew import magnitude_chunk, running_sum
+from tallyroom.operators.skew import hot_keys, magnitude_chunk, running_sum, spread_join
 
 # The most places one search shows, and the line budget of a view.
 MAX_RESULTS = 20
@@ -92,9 +92,9 @@ def cumulative_share(parts: DataFrame, key: str, order: str, amount: str) -> Dat
     ``order`` is a bounded line number, so one chunk per value is enough.
     """
     kept = parts.filter(F.col(amount) > 0)
-    totals = kept.groupBy(key).agg(F.sum(amount).cast("bigint").alias("_total"))
+    totals = kept.groupBy(key).agg(F.sum(amount).cast("bigint").alias("_total"), F.count(F.lit(1)).alias("_n"))
     run = running_sum(kept.withColumn("_chunk", F.col(order)), [key], "_chunk", [order], amount, "_end")
-    joined = run.join(totals, key)
+    joined = spread_join(run, totals.drop("_n"), [key], "inner", spread_on=[order], hot=hot_keys(totals, [key], "_n"))
     share = lambda c: c.cast("double") / F.col("_total").cast("double")
     return joined.select(
         key, order, amount,

@@ -11,7 +11,8 @@ ORACLES = entry.oracle_sql()
 # Their values at this scale do not change with salting; run them on the salted path too.
 SALTED = [
     "hierarchy_check", "crosswalk_exact", "parent_rules", "ancestor_contains", "provenance_join", "peer_ratio",
-    "scope_asof", "value_binding", "derived_recompute", "excerpt_search",
+    "scope_asof", "value_binding", "derived_recompute", "excerpt_search", "citation_audit", "citation_resolve", "name_crosswalk",
+    "prorata_allocation", "shares", "materiality_filter", "cumulative_share", "rate_distribution", "lineage_closure",
 ]
 
 
