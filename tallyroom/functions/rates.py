@@ -34,7 +34,8 @@ RATE_ROW = (
 def unit_of(name: Column) -> Column:
     """Canonical unit of a unit name or printed suffix; null when unknown."""
     clean = F.regexp_replace(F.lower(F.trim(name)), r"\s+", " ")
-    return F.coalesce(*[F.when(clean == n, F.lit(u)) for n, u in UNIT_NAMES.items()])
+    names = F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
+    return F.try_element_at(names, clean)
 
 
 def rate_value(raw: Column, unit: Column) -> Column:

@@ -13,27 +13,31 @@ def row_pattern(areas: int) -> str:
 
 def whole_money(text: Column) -> Column:
     """``1,234`` and ``(1,234)`` as whole units, parentheses negative."""
-    digits = F.regexp_replace(text, r"[^0-9]", "").try_cast("bigint")
+    digits = F.translate(text, "$(),", "").try_cast("bigint")
     return F.when(text.contains("("), -digits).otherwise(digits)
 
 
 def service_rows(rows: DataFrame, row: str, areas: list[str]) -> DataFrame:
     """One row per printed line and area; a line that does not parse keeps a
     reason instead of being dropped."""
-    clean = F.trim(F.regexp_replace(row, r"\s+", " "))
     width = 2 + 2 * len(areas)
+    clean = rows.withColumn("_row", F.trim(F.regexp_replace(row, r"\s+", " ")))
     # One match decides whether the row parses; its cells are then plain words.
-    parsed = rows.withColumn("_ok", clean.rlike(row_pattern(len(areas)))).withColumn("_w", F.split(clean, " "))
+    parsed = clean.withColumn("_ok", F.col("_row").rlike(row_pattern(len(areas)))).withColumn("_w", F.split("_row", " "))
     at = lambda i: F.try_element_at("_w", F.lit(i - width - 1))
     label = F.array_join(F.slice("_w", F.lit(1), F.greatest(F.lit(0), F.size("_w") - width)), " ")
     cells = F.array(*[
-        F.struct(F.lit(a).alias("area"), F.regexp_replace(at(3 + 2 * k), "%", "").alias("pct"), whole_money(at(4 + 2 * k)).alias("household"))
+        F.struct(F.lit(a).alias("area"), F.translate(at(3 + 2 * k), "%", "").alias("pct"), whole_money(at(4 + 2 * k)).alias("household"))
         for k, a in enumerate(areas)
     ])
-    return parsed.select(
-        *[c for c in rows.columns if c != row],
+    kept = [c for c in rows.columns if c != row]
+    read = parsed.select(
+        *kept,
         F.when(F.col("_ok"), F.trim(F.regexp_replace(label, r"\([0-9]+\)\s*$", ""))).alias("label"),
         F.when(F.col("_ok"), whole_money(at(1))).alias("net"), F.when(F.col("_ok"), whole_money(at(2))).alias("levy"),
         F.when(~F.col("_ok"), "could not parse the table row").alias("reason"),
-        F.explode_outer(F.when(F.col("_ok"), cells)).alias("_c"),
-    ).select("*", F.col("_c.area").alias("area"), F.col("_c.pct").alias("pct"), F.col("_c.household").alias("household")).drop("_c")
+        F.when(F.col("_ok"), cells).alias("_cells"),
+    )
+    # The line's own cells are read above, once, before the areas fan out.
+    fanned = read.select(*kept, "label", "net", "levy", "reason", F.explode_outer("_cells").alias("_c"))
+    return fanned.select(*kept, "label", "net", "levy", "reason", "_c.area", "_c.pct", "_c.household")
