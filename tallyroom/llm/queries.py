@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import decontamination, jaccard, langid, maxscore, pieces, pii, tokenfiles, toxicity
+from tallyroom.llm import chat, decontamination, jaccard, langid, maxscore, pieces, pii, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,13 @@ SELECT doc_id, item_id, n_item, n_shared FROM held JOIN sizes ON id = item_id WH
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], given.schema)
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    nodes, paths = chat.format_chats(given.unionAll(added), tokenizer)
+    return chat.read_back(nodes, paths, tokenizer)

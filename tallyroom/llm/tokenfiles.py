@@ -150,11 +150,13 @@ class Words:
     INNER = re.compile(r"(?<=[A-Za-z])(?=[.,])")
     KEPT = 400_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """``plain``: special tokens spelled in a text are ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ids, self.inner = {}, {}
 
@@ -172,9 +174,9 @@ class Words:
             self.inner.update(zip(fresh, self._library(fresh)))
         self.ids.update(zip(new, [b"".join(map(self.inner.__getitem__, xs)) for xs in split]))
 
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, with the end id."""
-        tail = struct.pack("<I", end)
+    def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, with the end id if there is one."""
+        tail = b"" if end is None else struct.pack("<I", end)
         whole = [any(s in t for s in self.special) for t in texts]
         parts = [[] if w else self.PART.findall(t) for w, t in zip(whole, texts)]
         self.learn({p for ps in parts for p in ps})
