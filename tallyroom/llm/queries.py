@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import chat, decontamination, jaccard, langid, maxscore, pieces, pii, tokenfiles, toxicity
+from tallyroom.llm import chat, decontamination, jaccard, langid, maxscore, pieces, pii, substrings, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,8 @@ def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = tokenizer_path("byte_bpe_50k.json")
     nodes, paths = chat.format_chats(given.unionAll(added), tokenizer)
     return chat.read_back(nodes, paths, tokenizer)
+
+
+@query
+def op10_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
