@@ -96,21 +96,24 @@ def _groups(row: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, np.ndarray
 OUT = "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint"
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document and item it holds to three quarters or more."""
-    spark = documents.sparkSession
+def item_blocks(benchmark: DataFrame) -> list[Index]:
+    """Indexes of all items, each over a block of bounded size."""
     items = (
         benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text"))
         .filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     )
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK_CHARS // 2)))  # half full on average, as a hash deals them
+    parts = (items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) for block in range(blocks))
+    return [build(sorted((r.item_id, r.text) for r in part.collect())) for part in parts]
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """One row per document and item it holds to three quarters or more."""
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     result = None
-    for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = build(sorted((r.item_id, r.text) for r in own.collect()))
-        handle = share(spark, index)
+    for index in item_blocks(benchmark):
+        handle = share(documents.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
             index, shingler, sets = shared(handle), Shingler(), {}
@@ -133,7 +136,19 @@ def leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     return result
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without those that hold an item."""
-    held = leaks(documents, benchmark).select("doc_id").distinct()
-    return documents.join(held, "doc_id", "left_anti").select(*documents.columns)
+def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """``documents`` without the rows that hold an item, in one pass per block of items."""
+    schema = documents.schema
+    for index in item_blocks(benchmark):
+        handle = share(documents.sparkSession, index)
+
+        def keep(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
+            index, shingler, sets = shared(handle), Shingler(), {}
+            bits = index.bitmap()
+            for batch in batches:
+                for part, texts in slices(batch, text):
+                    held = {f[0] for f in search(texts, shingler, index, bits, sets)}
+                    yield part.filter(pa.array([k not in held for k in range(len(texts))]))
+
+        documents = documents.mapInArrow(keep, schema)
+    return documents

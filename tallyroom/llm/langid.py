@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm import crf
-from tallyroom.llm.words import VOCABULARY, Vocabulary, gather, ngram_features, share, shared, slices
+from tallyroom.llm.words import VOCABULARY, Vocabulary, gather, ngram_features, output, share, shared, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BITS = 17
 SIZES = (1, 2, 3, 4)
-#: Rows the field is fitted on, per language; characters and pieces of each.
+#: Rows the field is fitted on, per language; words of a piece and pieces of a row.
 SAMPLE_ROWS, PIECE_WORDS, PIECES = 250, 25, 8
 UNKNOWN = "und"
 
@@ -79,8 +79,8 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
 
 
 def sample_rows(documents: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` rows of each of at most 64 languages, picked by a hash of the id;
-    only the first words' worth of a row (PIECES pieces) is used to fit."""
+    """At most ``rows`` rows of each of at most 64 languages, picked by a hash of the
+    id; up to PIECES pieces spread over each of their texts are used to fit."""
     known = documents.filter(allowed & F.col("doc_id").isNotNull() & (F.trim("lang") != "") & F.col("text").isNotNull())
     languages = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
     picked = []
@@ -156,8 +156,7 @@ def predict(documents: DataFrame, model: Model | None, keep: list[str], text: st
                     names=[*keep, "lang_pred", "score", "runs"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema.fields)
-    return source.mapInArrow(label, f"{schema}, {out}")
+    return source.mapInArrow(label, output(source, keep, out))
 
 
 def language(documents: DataFrame, learn_from: Column, keep: list[str] | None = None) -> DataFrame:

@@ -110,11 +110,11 @@ def spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
-def find(documents: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``documents`` and ``pii``: confirmed spans by start, then kind."""
-    source = F.coalesce(F.col(text), F.lit(""))
+def find(documents: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
+    """All columns of ``documents`` and ``out``: confirmed spans by start, then kind."""
+    source = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     every = F.array_sort(F.concat(*(spans(source, kind) for kind in KINDS)))
-    return documents.withColumn("pii", every)
+    return documents.withColumn(out, every)
 
 
 def listed(found: Column) -> Column:
@@ -127,7 +127,9 @@ def listed(found: Column) -> Column:
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with every confirmed span replaced by its kind in brackets.
     Of overlapping spans the first one names the replacement of them all."""
-    source = F.col(text)
+    source, held = F.col(f"`{text}`"), "_pii"
+    while held in documents.columns:
+        held += "_"
 
     def cut(acc: Column, s: Column) -> Column:
         apart = s["start"] >= acc["at"]
@@ -140,8 +142,8 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
         )
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    walked = F.aggregate(F.col("_pii"), zero, cut)
+    walked = F.aggregate(F.col(held), zero, cut)
     tail = F.substring(source, walked["at"] + 1, F.length(source))
-    clean = F.when(F.size("_pii") > 0, F.concat(F.array_join(walked["out"], ""), tail)).otherwise(source)
-    found = find(documents, text).withColumnRenamed("pii", "_pii")
+    clean = F.when(F.size(held) > 0, F.concat(F.array_join(walked["out"], ""), tail)).otherwise(source)
+    found = find(documents, text, held)
     return found.select(*(clean.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm import crf
-from tallyroom.llm.words import VOCABULARY, WORD, Vocabulary, buckets, gather, ngram_features, share, shared, slices, word_hash
+from tallyroom.llm.words import VOCABULARY, WORD, Vocabulary, buckets, gather, ngram_features, output, share, shared, slices, word_hash
 
 BITS = 16
 SIZES = (3,)
@@ -168,8 +168,25 @@ def score(documents: DataFrame, model: Model | None, keep: list[str], text: str
                     names=[*keep, "score", "offending"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema.fields)
-    return source.mapInArrow(tag, f"{schema}, {OUT}")
+    return source.mapInArrow(tag, output(source, keep, OUT))
+
+
+def reject(documents: DataFrame, model: Model | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """``documents`` without the rows whose score reaches ``threshold``."""
+    if model is None:
+        return documents
+    handle = share(documents.sparkSession, model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, vocabulary, tables = shared(handle), Vocabulary(), []
+        for batch in batches:
+            for part, texts in slices(batch, text):
+                if len(vocabulary) > VOCABULARY:
+                    vocabulary, tables = Vocabulary(), []
+                scores, _ = tag_texts(texts, fitted, vocabulary, tables)
+                yield part.filter(pa.array([s < threshold for s in scores]))
+
+    return documents.mapInArrow(keep, documents.schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, learn_from: Column, keep: list[str] | None = None) -> DataFrame:

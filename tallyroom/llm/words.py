@@ -10,7 +10,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = re.compile(r"\w+")
 #: An executor's Python worker forgets its words beyond this many, so memory stays bounded.
@@ -87,3 +89,13 @@ def share(spark: SparkSession, value):
 
 def shared(handle):
     return pickle.loads(handle.value)
+
+
+def output(source: DataFrame, keep: list[str], added: str) -> StructType:
+    """The kept columns of ``source`` and those that a DDL string adds."""
+    return StructType([source.schema[c] for c in keep] + StructType.fromDDL(added).fields)
+
+
+def all_columns(documents: DataFrame) -> list[Column]:
+    """Every column by its quoted name."""
+    return [F.col(f"`{c}`") for c in documents.columns]
