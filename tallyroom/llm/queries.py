@@ -71,6 +71,50 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+}
+_SQL_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM t"
+    for rank, (kind, pattern) in enumerate(_SQL_PATTERNS.items())
+)
+ORACLES["op6_pii"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_SQL_MATCHES}),
+u AS (SELECT doc_id, kind, rank, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+spans AS (
+  SELECT doc_id, kind, rank, hits[i] AS hit, regexp_replace(hits[i], '[^0-9]', '', 'g') AS digits,
+         regexp_replace(hits[i], ' ', '', 'g') AS plain,
+         CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) AS BIGINT)
+           + CAST(coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS begin
+  FROM u
+), valid AS (
+  SELECT * FROM spans WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k:
+      CASE WHEN (length(digits) - k) % 2 = 0 THEN CAST(digits[k] AS INT)
+           ELSE (2 * CAST(digits[k] AS INT)) // 10 + (2 * CAST(digits[k] AS INT)) % 10 END)) % 10 = 0
+    WHEN 'iban' THEN length(plain) BETWEEN 15 AND 34 AND list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(plain[5:] || plain[1:4], ''),
+      lambda c: CAST(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT))),
+      lambda acc, v: (acc * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1
+    ELSE TRUE END
+), lists AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+         count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         string_agg(kind || ':' || begin || ':' || (begin + length(hit)), ',' ORDER BY begin, rank) AS spans,
+         string_agg(kind || ':' || begin || ':' || (begin + length(hit)), ',' ORDER BY begin, rank) FILTER (kind <> 'iban') AS base
+  FROM valid GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(coalesce(n_email, 0) AS BIGINT) AS n_email, CAST(coalesce(n_ip, 0) AS BIGINT) AS n_ip,
+       CAST(coalesce(n_card, 0) AS BIGINT) AS n_card, CAST(coalesce(n_phone, 0) AS BIGINT) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN lists USING (doc_id)
+"""
+
+
 @query
 def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -122,6 +166,30 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op5_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS s
+  FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+held AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM held JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)
+), edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach(u, v) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) ON u = d.doc_id
+"""
+
+
 @query
 def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -132,6 +200,26 @@ def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(nodes, paths, tokenizer)
 
 
+ORACLES["op9_chat_tree"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), turns AS (
+  SELECT *, CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
+                 ELSE 1 + 2 * length(role) - length(translate(role, '\:#<', '')) END
+            + 2 * length(text) - length(translate(text, '\#<', '')) + length('### : ') + length(' </turn>') + 1 AS chars
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 @query
 def op10_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
