@@ -122,29 +122,29 @@ def _read(group: pa.Table, name: str, kind: str) -> np.ndarray:
 
 
 def repeated(documents: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, places: minimisers that occur in several documents; a place is
-    twice its offset, plus one if it is hot."""
+    """name, places: minimisers that occur in several texts (a text goes by its
+    name, so copies are one); a place is twice its offset, plus one if it is hot."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, held, size = set(), [], 0
 
         def flush() -> pa.RecordBatch:
-            hashed, doc, place = (np.concatenate(x) for x in zip(*held))
+            hashed, name, place = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(hashed, kind="stable")
-            hashed, doc, place = hashed[order], doc[order], place[order]
-            return _blobs((hashed % np.uint64(buckets)).astype(np.int64), {"hash": hashed, "doc": doc, "place": place})
+            hashed, name, place = hashed[order], name[order], place[order]
+            return _blobs((hashed % np.uint64(buckets)).astype(np.int64), {"hash": hashed, "name": name, "place": place})
 
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                for doc, text in zip(part.column("doc_id").to_pylist(), texts):
+                for name, text in zip(part.column("name").to_pylist(), texts):
                     data = text.encode("utf-8", "surrogatepass")
-                    name = hashlib.blake2b(data, digest_size=12).digest()
-                    # a text is sent once by a task; its copies are told apart by their ids alone
-                    if len(data) < WINDOW or name in sent:
+                    digest = hashlib.blake2b(data, digest_size=12).digest()
+                    # a text is sent once by a task, however many copies there are
+                    if len(data) < WINDOW or digest in sent:
                         continue
-                    sent.add(name)
+                    sent.add(digest)
                     at, hashed = minimisers(data)
-                    held.append((hashed, np.full(len(at), doc, np.int64), at))
+                    held.append((hashed, np.full(len(at), name, np.int64), at))
                     size += len(at)
                 if size > 1_500_000:
                     yield flush()
@@ -153,27 +153,27 @@ def repeated(documents: DataFrame, buckets: int) -> DataFrame:
             yield flush()
 
     def keep(key: tuple, group: pa.Table) -> pa.Table:
-        hashed, doc, place = _read(group, "hash", "<u8"), _read(group, "doc", "<i8"), _read(group, "place", "<i8")
+        hashed, name, place = _read(group, "hash", "<u8"), _read(group, "name", "<i8"), _read(group, "place", "<i8")
         order = np.argsort(hashed, kind="stable")
-        hashed, doc, place = hashed[order], doc[order], place[order]
+        hashed, name, place = hashed[order], name[order], place[order]
         begin = np.flatnonzero(np.append(True, hashed[1:] != hashed[:-1])) if len(hashed) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(hashed)))
-        several = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin) if len(begin) else np.zeros(0, bool)
+        several = np.minimum.reduceat(name, begin) < np.maximum.reduceat(name, begin) if len(begin) else np.zeros(0, bool)
         good = np.repeat(several, size)
-        doc, place = doc[good], 2 * place[good] + np.repeat(size >= HOT, size)[good]
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-        end = np.append(at[1:], len(doc))
+        name, place = name[good], 2 * place[good] + np.repeat(size >= HOT, size)[good]
+        order = np.lexsort((place, name))
+        name, place = name[order], place[order]
+        at = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
+        end = np.append(at[1:], len(name))
         return pa.table({
-            "doc_id": pa.array(doc[at], pa.int64()),
+            "name": pa.array(name[at], pa.int64()),
             "places": pa.array([place[a:b].astype("<i8").tobytes() for a, b in zip(at, end)], pa.binary()),
         })
 
-    dealt = documents.mapInArrow(send, "bucket int, hash binary, doc binary, place binary")
-    found = dealt.groupBy("bucket").applyInArrow(keep, "doc_id bigint, places binary")
-    # at most the minimisers of a document
-    return found.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    dealt = documents.mapInArrow(send, "bucket int, hash binary, name binary, place binary")
+    found = dealt.groupBy("bucket").applyInArrow(keep, "name bigint, places binary")
+    # at most the minimisers of a text
+    return found.groupBy("name").agg(F.collect_list("places").alias("places"))
 
 
 def _cuts(place: int, hot: int, size: int) -> list[tuple[int, int, int, int]]:
@@ -349,7 +349,7 @@ def remove_repeats(documents: DataFrame, text: str = "text", with_text: bool = F
     ).withColumn("name", F.xxhash64("text"))
     known = rows.filter(F.col("doc_id").isNotNull())
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    places = cut_lineage(repeated(known.select("doc_id", "text"), max(8, -(-total // (16 * BUCKET)))))
+    places = cut_lineage(repeated(known.select("name", "text"), max(8, -(-total // (16 * BUCKET)))))
     held = F.aggregate("places", F.lit(0), lambda n, b: n + F.octet_length(b))
     count = (places.agg(F.sum(held)).first()[0] or 0) // 8
 
@@ -358,7 +358,7 @@ def remove_repeats(documents: DataFrame, text: str = "text", with_text: bool = F
     earliest = whole.groupBy("sha").agg(F.min("doc_id").alias("first"))
     judged = cut_lineage(whole.join(earliest, "sha").select("doc_id", "name", "n", (F.col("doc_id") > F.col("first")).alias("copy")))
     copies = judged.filter("copy").select("doc_id", "name", F.array(F.lit(0).cast("bigint"), "n").alias("spans"))
-    search = places.join(judged.filter("NOT copy").select("doc_id", "name").distinct(), "doc_id")
+    search = places.join(judged.filter("NOT copy").select("doc_id", "name").distinct(), "name")
 
     met = packed_texts(known).join(search, ["doc_id", "name"]).select("doc_id", "name", "data", "places")
     found = marks(contexts(met, max(8, -(-count // CONTEXTS))))
