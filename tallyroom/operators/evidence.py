@@ -15,6 +15,8 @@ HARD_TIERS = ["not-found", "wrong-page", "bad-page-number"]
 COVERAGE_THRESHOLD = 0.90
 BOUND_CENTS = 1.1  # a cent and a tenth, for printed amounts rounded from exact ones
 LETTER_WORD = r"[\p{L}]{4,}"
+# Every mark that ends a line of a page, form feeds included.
+LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]"
 
 
 def collapse_space(text: Column) -> Column:
@@ -38,7 +40,7 @@ def row_bound(excerpt: Column, page: Column) -> Column:
             F.size(F.filter(words, lambda w: low.contains(w))) >= need
         )
 
-    return (F.size(words) > 0) & (F.size(patterns) > 0) & F.exists(F.split(page, "\n"), holds)
+    return (F.size(words) > 0) & (F.size(patterns) > 0) & F.exists(F.split(page, LINE_END), holds)
 
 
 def page_tier(excerpt: Column, page: Column) -> Column:

@@ -76,13 +76,14 @@ def spend_groups(facts: DataFrame) -> DataFrame:
 
 def group_identity(groups: DataFrame, tolerance: int = TOLERANCE_CENTS) -> DataFrame:
     """Components against the printed rollup of their group."""
-    gap = F.col("parts") - F.col("printed")
+    other = F.col("grp") == OTHER_GROUP
+    # Lines of the group without a rollup are never its members, printed or not.
+    gap = F.when(other, F.lit(0)).otherwise(F.col("parts")) - F.col("printed")
     return (
         groups.filter("grp IS NOT NULL").drop("grand").withColumn("difference", gap)
         .withColumn(
             "reason",
-            F.when(F.col("grp") == OTHER_GROUP, F.lit(None).cast("string"))
-            .when(F.col("printed").isNull(), "no-rollup")
+            F.when(~other & F.col("printed").isNull(), "no-rollup")
             .when(F.abs(gap) > tolerance, "parts-differ"),
         )
         .withColumn("status", F.when(F.col("reason").isNull(), "accepted").otherwise("refused"))
@@ -96,16 +97,18 @@ def spend_totals(facts: DataFrame, tolerance: int = TOLERANCE_CENTS) -> DataFram
     body, other = F.col("grp").isNotNull(), F.col("grp") == OTHER_GROUP
     named = body & ~other
     orphan = named & F.col("printed").isNull()
-    off = named & F.col("printed").isNotNull() & (F.abs(F.col("parts") - F.col("printed")) > tolerance)
+    # A printed rollup of the other group has no members and is judged like any group.
+    members = F.when(other, F.lit(0)).otherwise(F.col("parts"))
+    off = body & F.col("printed").isNotNull() & (F.abs(members - F.col("printed")) > tolerance)
     joined = spend_groups(facts).groupBy("code").agg(
         F.max("grand").alias("grand"),
         # at most one hundred two-digit groups exist, so this set is bounded
         F.array_join(F.array_sort(F.collect_set(F.when(orphan, F.col("grp")))), ",").alias("orphans"),
         F.min(F.when(off, F.col("grp"))).alias("bad_group"),
-        F.coalesce(F.sum(F.when(named, F.col("printed"))), F.lit(0)).cast("bigint").alias("functions_cents"),
+        F.coalesce(F.sum(F.when(body, F.col("printed"))), F.lit(0)).cast("bigint").alias("functions_cents"),
         F.coalesce(F.sum(F.when(other, F.col("parts"))), F.lit(0)).cast("bigint").alias("other_cents"),
-        F.max(F.when(named, F.col("printed"))).alias("largest_function"),
-        F.min(F.when(named, F.col("printed"))).alias("smallest_function"),
+        F.max(F.when(body, F.col("printed"))).alias("largest_function"),
+        F.min(F.when(body, F.col("printed"))).alias("smallest_function"),
     )
     return joined.withColumn(
         "reason",
@@ -161,7 +164,7 @@ def nest_spend(facts: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(~line.endswith("99"), F.struct("line", "cents")))).alias("components"),
     )
     total = F.coalesce(
-        F.col("printed"),
+        F.when(F.col("grp") != OTHER_GROUP, F.col("printed")),
         F.aggregate("components", F.lit(0).cast("bigint"), lambda acc, c: acc + c["cents"]),
     )
     return (

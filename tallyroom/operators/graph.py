@@ -6,7 +6,7 @@ a lost executor replays one round. State is a set of nodes, never of pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.operators.skew import FAN, hot_keys, salted_copies, spread_join
@@ -138,21 +138,26 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
 
 def primary_citation(refs: DataFrame, inputs: DataFrame, facts: DataFrame) -> DataFrame:
     """Citation of each printed reference within two levels: the fact itself, or
-    the first input fact, one that has a link before one that has none.
+    the first input fact that has a link, direct inputs before theirs. Without a
+    link below it a node has no citation.
 
     ``refs(ref_id, node_id)``, ``inputs(node_id, position, input_id)``,
     ``facts(fact_id, url)``.
     """
     f = facts.select("fact_id", "url")
+
+    def place(first: Column, second: Column) -> Column:
+        return F.struct(first.cast("bigint").alias("p1"), second.cast("bigint").alias("p2")).alias("position")
+
     # Resolve each cited node once, then hand the answer to all its references.
     nodes = refs.select("node_id").distinct()
     direct = nodes.join(f.withColumnRenamed("fact_id", "node_id"), "node_id").select(
-        "node_id", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("position"), F.col("node_id").alias("fact_id"), "url"
+        "node_id", F.lit(0).alias("level"), place(F.lit(0), F.lit(0)), F.col("node_id").alias("fact_id"), "url"
     )
     one = inputs.join(nodes, "node_id", "left_semi").select("node_id", "position", F.col("input_id").alias("next"))
     hot_next = hot_keys(inputs.select(F.col("input_id").alias("next")), ["next"])
     first = spread_join(one, f.withColumnRenamed("fact_id", "next"), ["next"], spread_on=["node_id", "position"], hot=hot_next).select(
-        "node_id", F.lit(1).alias("level"), F.col("position").cast("bigint").alias("position"), F.col("next").alias("fact_id"), "url"
+        "node_id", F.lit(1).alias("level"), place(F.col("position"), F.lit(0)), F.col("next").alias("fact_id"), "url"
     )
     below = inputs.select(F.col("node_id").alias("next"), F.col("position").alias("p2"), F.col("input_id").alias("deep"))
     two = spread_join(one, below, ["next"], spread_on=["node_id", "position"], hot=hot_next)
@@ -160,11 +165,12 @@ def primary_citation(refs: DataFrame, inputs: DataFrame, facts: DataFrame) -> Da
         two, f.withColumnRenamed("fact_id", "deep"), ["deep"], spread_on=["node_id", "position"],
         hot=hot_next.withColumnRenamed("next", "deep"),
     ).select(
-        "node_id", F.lit(2).alias("level"), (F.col("position") * 1000 + F.col("p2")).cast("bigint").alias("position"), F.col("deep").alias("fact_id"), "url"
+        "node_id", F.lit(2).alias("level"), place(F.col("position"), F.col("p2")), F.col("deep").alias("fact_id"), "url"
     )
     every = direct.unionByName(first).unionByName(second)
-    rank = F.struct(F.col("url").isNull().alias("no_link"), "level", "position", "fact_id")
-    picked = every.groupBy("node_id").agg(F.min(F.struct(rank.alias("r"), F.col("url").alias("u"))).alias("_b"), F.count_distinct("fact_id").alias("facts"))
+    rank = F.when((F.col("level") == 0) | F.col("url").isNotNull(), F.struct("level", "position", "fact_id"))
+    best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.col("url").alias("u"))))
+    picked = every.groupBy("node_id").agg(best.alias("_b"), F.count_distinct("fact_id").alias("facts"))
     return spread_join(refs, picked, ["node_id"], "left", spread_on=["ref_id"]).select(
         "ref_id", F.col("_b.r.fact_id").alias("primary_fact"), F.col("_b.u").alias("url"), F.col("_b.r.level").alias("level"),
         F.coalesce("facts", F.lit(0)).alias("facts"),

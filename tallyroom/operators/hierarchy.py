@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.operators.gates import first_reason
 from tallyroom.operators.skew import hot_keys, spread_join
+from tallyroom.session import cut_lineage
 
 # Code length and parent code length of each geography level.
 LEVELS = {1: "region", 2: "province-territory", 4: "census-division", 7: "census-subdivision"}
@@ -94,25 +95,38 @@ def parent_verdicts(bodies: DataFrame) -> DataFrame:
     )
 
 
-def ancestor_chains(nodes: DataFrame, depth: int = 3) -> DataFrame:
-    """``nodes(code, parent_code)`` to (code, ancestors nearest first), a fixed
-    number of levels.
+def ancestor_chains(nodes: DataFrame, most: int = 64) -> DataFrame:
+    """``nodes(code, parent_code)`` to (code, ancestors nearest first), up to the root.
 
-    The chains are built on the codes that are parents, a far smaller table, and
-    then meet all nodes in one join that spreads a parent of very many children.
+    The chains are built on the codes that are parents, a far smaller table, one
+    level a round until none has a parent left, and then meet all nodes in one
+    join that spreads a parent of very many children. A tree of more than
+    ``most`` levels, or a loop, is refused.
     """
     used = nodes.filter("parent_code IS NOT NULL").select(F.col("parent_code").alias("code")).distinct()
-    parents = nodes.select("code", "parent_code").join(used, "code", "left_semi")
-    chains = parents.select(F.col("code").alias("parent_code"), F.array("code").alias("_chain"))
-    for _ in range(depth - 1):
-        up = parents.select(F.col("code").alias("_below"), "parent_code")
-        longer = spread_join(up, chains, ["parent_code"], "left", spread_on=["_below"], hot=hot_keys(parents, ["parent_code"]))
+    parents = cut_lineage(nodes.select("code", "parent_code").join(used, "code", "left_semi"))
+    hot = hot_keys(parents, ["parent_code"]).withColumnRenamed("parent_code", "_top")
+    above = parents.select(F.col("code").alias("_top"), F.col("parent_code").alias("_next"))
+    chains = parents.select(F.col("code").alias("parent_code"), F.array("code").alias("_chain"), F.col("parent_code").alias("_top"))
+    done = None
+    for _ in range(most):
+        chains = cut_lineage(chains)
+        complete = chains.filter("_top IS NULL").select("parent_code", "_chain")
+        done = complete if done is None else done.unionAll(complete)
+        open_ = chains.filter("_top IS NOT NULL")
+        if open_.isEmpty():
+            break
+        # a parent that is no node itself ends the chain
+        longer = spread_join(open_, above.withColumn("_known", F.lit(True)), ["_top"], "left", spread_on=["parent_code"], hot=hot)
         chains = longer.select(
-            F.col("_below").alias("parent_code"),
-            F.concat(F.array("_below"), F.coalesce("_chain", F.array().cast(chains.schema["_chain"].dataType))).alias("_chain"),
+            "parent_code",
+            F.when(F.col("_known"), F.concat("_chain", F.array("_top"))).otherwise(F.col("_chain")).alias("_chain"),
+            F.col("_next").alias("_top"),
         )
+    else:
+        raise ValueError(f"the tree has more than {most} levels")
     below = nodes.filter("parent_code IS NOT NULL").select("code", "parent_code")
-    return spread_join(below, chains, ["parent_code"], "inner", spread_on=["code"]).select("code", F.col("_chain").alias("ancestors"))
+    return spread_join(below, done, ["parent_code"], "inner", spread_on=["code"]).select("code", F.col("_chain").alias("ancestors"))
 
 
 def contained(claims: DataFrame, governed: DataFrame, chains: DataFrame) -> DataFrame:

@@ -19,12 +19,13 @@ def allow_listed(df: DataFrame, column: str, fields: dict) -> DataFrame:
     return df.withColumn(column, _keep(F.col(column), fields))
 
 
-def approved_findings(receipts: DataFrame, findings: DataFrame, key: str, finding: str) -> DataFrame:
-    """Findings of receipts whose review is approved, signed and dated."""
-    signed = receipts.filter(
-        (F.col("review") == "approved") & F.col("reviewer").isNotNull() & F.col("reviewed_at").isNotNull()
-    ).select(key)
-    return findings.select(key, finding).distinct().join(signed, key, "left_semi")
+def approved_findings(receipts: DataFrame, findings: DataFrame, key: str, finding: str, approved: str) -> DataFrame:
+    """Findings that their receipt lists in the array ``approved``, of receipts
+    whose review is approved, signed and dated (blank is neither)."""
+    filled = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False))
+    signed = receipts.filter((F.col("review") == "approved") & filled("reviewer") & filled("reviewed_at"))
+    listed = signed.select(key, F.explode(approved).alias(finding)).distinct()
+    return findings.select(key, finding).distinct().join(listed, [key, finding], "left_semi")
 
 
 def key_form(name: Column) -> Column:

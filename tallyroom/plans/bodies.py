@@ -130,7 +130,7 @@ def ancestor_contains(spark: SparkSession, sf: str) -> DataFrame:
         F.col("s_suppkey").alias("parent"), F.when(F.col("s_acctbal") < 3000, F.substring("ncode", 1, 1)).otherwise(F.col("ncode")).alias("geography")
     )
     claims = nodes.filter("level = 'place'").select(F.col("place").alias("body"), (F.col("place") % 100).alias("parent"), F.col("code").alias("geography"))
-    return hierarchy.contained(claims, governed, hierarchy.ancestor_chains(nodes.select("code", "parent_code"), 2))
+    return hierarchy.contained(claims, governed, hierarchy.ancestor_chains(nodes.select("code", "parent_code")))
 
 
 @query("provenance_join", """

@@ -146,12 +146,17 @@ def excerpt_search(spark: SparkSession, sf: str) -> DataFrame:
 WITH {SQL_PAGES},
 f AS (SELECT doc_id, page, body, regexp_extract_all(body, '[0-9]+') AS nums, list_transform(regexp_extract_all(body, '[\\p{{L}}]{{4,}}'), lambda w: lower(w)) AS words FROM pages_)
 SELECT doc_id, CAST(page AS INTEGER) AS page FROM f
-WHERE len(words) >= 2 AND len(nums) > 0
+WHERE len(words) >= 2 AND len(nums) > 0 AND page % 3 <> 0
 """)
 def row_bound(spark: SparkSession, sf: str) -> DataFrame:
-    # Each line cites itself: bound when it holds a number and two label words.
+    # Each line is cited against a page that holds it whole, or broken in two by
+    # a form feed after its last letter or digit: then no row holds all of it.
     pages = line_pages(spark, sf)
-    return pages.filter(evidence.row_bound(F.col("text"), F.col("text"))).select(F.col("source_id").alias("doc_id"), "page")
+    digits, letters = F.regexp_replace("text", r"[^0-9.,\s]", ""), F.regexp_replace("text", "[0-9]", "")
+    page = F.when(F.col("page") % 3 != 0, F.concat(F.lit("Total 1\f"), F.col("text"), F.lit("\x0bend"))).otherwise(
+        F.concat(digits, F.lit("\f"), letters)
+    )
+    return pages.filter(evidence.row_bound(F.col("text"), page)).select(F.col("source_id").alias("doc_id"), "page")
 
 
 @query("number_tokens", f"""
@@ -345,14 +350,14 @@ def cycle_nodes(spark: SparkSession, sf: str) -> DataFrame:
 @query("citation_resolve", """
 WITH f AS (SELECT s_suppkey AS fact_id, CASE WHEN s_acctbal > 0 THEN s_name END AS url FROM supplier),
 i AS (SELECT p_partkey + 1000000 AS node_id, 0 AS position, p_partkey % 50 AS input_id FROM part
-      UNION ALL SELECT p_partkey + 1000000, 1, (p_partkey // 7) % 50 FROM part UNION ALL SELECT p_partkey + 1000000, 2, p_partkey // 2 + 1000000 FROM part WHERE p_partkey > 0),
+      UNION ALL SELECT p_partkey + 1000000, CASE WHEN p_size > 40 THEN 1500 ELSE 1 END, (p_partkey // 7) % 50 FROM part UNION ALL SELECT p_partkey + 1000000, 2, p_partkey // 2 + 1000000 FROM part WHERE p_partkey > 0),
 r AS (SELECT p_partkey AS ref_id, CASE WHEN p_size < 5 THEN p_partkey % 100 ELSE p_partkey + 1000000 END AS node_id FROM part),
 a AS (
-  SELECT ref_id, 0 AS level, 0 AS position, fact_id, url FROM r JOIN f ON fact_id = node_id
-  UNION ALL SELECT ref_id, 1, position, fact_id, url FROM r JOIN i USING (node_id) JOIN f ON fact_id = input_id
-  UNION ALL SELECT ref_id, 2, i.position * 1000 + j.position, fact_id, url FROM r JOIN i USING (node_id) JOIN i j ON j.node_id = i.input_id JOIN f ON fact_id = j.input_id
+  SELECT ref_id, 0 AS level, 0 AS position, 0 AS p2, fact_id, url FROM r JOIN f ON fact_id = node_id
+  UNION ALL SELECT ref_id, 1, position, 0, fact_id, url FROM r JOIN i USING (node_id) JOIN f ON fact_id = input_id
+  UNION ALL SELECT ref_id, 2, i.position, j.position, fact_id, url FROM r JOIN i USING (node_id) JOIN i j ON j.node_id = i.input_id JOIN f ON fact_id = j.input_id
 ),
-b AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY url IS NULL, level, position, fact_id) AS k FROM a),
+b AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY level, position, p2, fact_id) AS k FROM a WHERE level = 0 OR url IS NOT NULL),
 n AS (SELECT ref_id, count(DISTINCT fact_id) AS facts FROM a GROUP BY 1)
 SELECT r.ref_id, b.fact_id AS primary_fact, b.url, CAST(b.level AS INTEGER) AS level, coalesce(facts, 0) AS facts
 FROM r LEFT JOIN b ON b.ref_id = r.ref_id AND k = 1 LEFT JOIN n ON n.ref_id = r.ref_id
@@ -363,7 +368,7 @@ def citation_resolve(spark: SparkSession, sf: str) -> DataFrame:
     node = F.col("p_partkey") + 1000000
     inputs = (
         part.select(node.alias("node_id"), F.lit(0).alias("position"), (F.col("p_partkey") % 50).alias("input_id"))
-        .unionByName(part.select(node.alias("node_id"), F.lit(1).alias("position"), F.expr("(p_partkey div 7) % 50").alias("input_id")))
+        .unionByName(part.select(node.alias("node_id"), F.when(F.col("p_size") > 40, 1500).otherwise(1).alias("position"), F.expr("(p_partkey div 7) % 50").alias("input_id")))
         .unionByName(part.filter("p_partkey > 0").select(node.alias("node_id"), F.lit(2).alias("position"), F.expr("p_partkey div 2 + 1000000").alias("input_id")))
     )
     refs = part.select(F.col("p_partkey").alias("ref_id"), F.when(F.col("p_size") < 5, F.col("p_partkey") % 100).otherwise(node).alias("node_id"))
@@ -503,8 +508,10 @@ def table_row_extract(spark: SparkSession, sf: str) -> DataFrame:
         F.sum(F.round("l_quantity").cast("bigint")).alias("q"),
     )
     whole = lambda c: F.format_number(c, 0)
-    areas = [F.concat(F.lit("12.5% $"), whole(F.col("q") * k)) for k in (1, 2, 3, 4, 5)]
-    row = F.concat_ws(" ", F.concat(F.lit("Service "), F.col("line_no").cast("string"), F.lit(" (2)")), whole(F.col("net")), F.concat(F.lit("$"), whole(F.expr("net div 2"))), *areas)
+    bare = F.col("line_no") % 2 == 1  # the published form has no percent signs, and dollar signs only on amounts
+    areas = [F.concat(F.when(bare, "12.5 ").otherwise("12.5% "), F.lit("$"), whole(F.col("q") * k)) for k in (1, 2, 3, 4, 5)]
+    levy = F.concat(F.when(bare, "").otherwise("$"), whole(F.expr("net div 2")))
+    row = F.concat_ws(" ", F.concat(F.lit("Service "), F.col("line_no").cast("string"), F.lit(" (2)")), whole(F.col("net")), levy, *areas)
     return tables_on_pages.service_rows(lines.select("code", row.alias("row")), "row", ["blended", "urban", "rural", "west", "mixed"]).select(
         "code", "label", "net", "levy", "area", "household"
     )

@@ -27,7 +27,7 @@ facts AS (
   UNION ALL
   SELECT c.code, g || '99', CAST(sum(cents) + max(CASE WHEN o_orderstatus = 'P' THEN 52 ELSE 0 END) AS BIGINT)
   FROM comp c JOIN orders ON o_orderkey = c.code
-  WHERE g = '02' OR (g = '04' AND o_orderpriority <> '1-URGENT') GROUP BY c.code, g
+  WHERE g = '02' OR (g = '04' AND o_orderpriority <> '1-URGENT') OR (g = '19' AND o_orderpriority = '3-MEDIUM' AND c.code % 5 = 0) GROUP BY c.code, g
   UNION ALL
   SELECT c.code, '9910', CAST(sum(cents) + max(CASE o_orderpriority WHEN '5-LOW' THEN 52 WHEN '2-HIGH' THEN 51 ELSE 0 END) AS BIGINT)
   FROM comp c JOIN orders ON o_orderkey = c.code
@@ -45,11 +45,11 @@ SQL_TOTALS = f"""{SQL_GROUPS},
 per_filer AS (
   SELECT code,
          coalesce(string_agg(CASE WHEN grp <> '1999' AND printed IS NULL THEN grp END, ',' ORDER BY grp), '') AS orphans,
-         min(CASE WHEN grp <> '1999' AND abs(parts - printed) > 51 THEN grp END) AS bad_group,
-         CAST(coalesce(sum(CASE WHEN grp <> '1999' THEN printed END), 0) AS BIGINT) AS functions_cents,
+         min(CASE WHEN abs(CASE WHEN grp = '1999' THEN 0 ELSE parts END - printed) > 51 THEN grp END) AS bad_group,
+         CAST(coalesce(sum(printed), 0) AS BIGINT) AS functions_cents,
          CAST(coalesce(sum(CASE WHEN grp = '1999' THEN parts END), 0) AS BIGINT) AS other_cents,
-         max(CASE WHEN grp <> '1999' THEN printed END) AS largest_function,
-         min(CASE WHEN grp <> '1999' THEN printed END) AS smallest_function
+         max(printed) AS largest_function,
+         min(printed) AS smallest_function
   FROM groups GROUP BY code
 ),
 totals AS (
@@ -73,17 +73,32 @@ def spend_facts(spark: SparkSession, sf: str) -> DataFrame:
         F.lpad(F.col("l_linenumber").cast("string"), 2, "0").alias("n"),
         F.when(flag == "R", -cents("l_extendedprice")).otherwise(cents("l_extendedprice")).alias("cents"),
     )
-    # Components, rollups and grand totals in one pass over the lines.
-    sums = amounts.groupingSets(
-        [[F.col("code"), F.col("g"), F.col("n")], [F.col("code"), F.col("g")], [F.col("code")]], "code", "g", "n"
-    ).agg(F.sum("cents").alias("cents"), F.grouping("g").alias("no_g"), F.grouping("n").alias("no_n"))
+    # Components first; rollups and the grand total come from those few rows per filer.
+    parts = amounts.groupBy("code", "g", "n").agg(F.sum("cents").alias("cents")).groupBy("code").agg(
+        F.collect_list(F.struct("g", "n", "cents")).alias("parts")
+    )
+    added = lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda acc, x: acc + x["cents"])
+    of = lambda g: F.filter("parts", lambda x: x["g"] == g)
+    rows = lambda g, n, c, no_g, no_n: F.struct(
+        g.alias("g"), n.alias("n"), c.alias("cents"), F.lit(no_g).alias("no_g"), F.lit(no_n).alias("no_n")
+    )
+    none = F.lit(None).cast("string")
+    every = F.concat(
+        F.transform("parts", lambda x: rows(x["g"], x["n"], x["cents"], 0, 0)),
+        F.transform(F.array_distinct(F.transform("parts", lambda x: x["g"])), lambda g: rows(g, none, added(of(g)), 0, 1)),
+        F.array(rows(none, none, added(F.col("parts")), 1, 1)),
+    )
+    sums = parts.select("code", F.explode(every).alias("_r")).select("code", "_r.*")
     filer = table(spark, sf, "orders").select(F.col("o_orderkey").alias("code"), "o_orderstatus", "o_orderpriority")
     priority = F.col("o_orderpriority")
     component, grand = F.col("no_n") == 0, F.col("no_g") == 1
     printed = (
         F.when(grand, priority != "4-NOT SPECIFIED")
         .when(component, True)
-        .otherwise((F.col("g") == "02") | ((F.col("g") == "04") & (priority != "1-URGENT")))
+        .otherwise(
+            (F.col("g") == "02") | ((F.col("g") == "04") & (priority != "1-URGENT"))
+            | ((F.col("g") == "19") & (priority == "3-MEDIUM") & (F.col("code") % 5 == 0))
+        )
     )
     drift = (
         F.when(component, 0)
@@ -256,7 +271,7 @@ def share_policy(spark: SparkSession, sf: str) -> DataFrame:
 WITH {SQL_SPEND},
 g AS (
   SELECT code, left(line, 2) || '99' AS grp,
-         coalesce(max(CASE WHEN line LIKE '%99' THEN cents END),
+         coalesce(max(CASE WHEN line LIKE '%99' AND line <> '1999' THEN cents END),
                   CAST(sum(CASE WHEN line NOT LIKE '%99' THEN cents END) AS BIGINT)) AS amount,
          coalesce(string_agg(CASE WHEN line NOT LIKE '%99' THEN line || '=' || CAST(cents AS VARCHAR) END, ';' ORDER BY line), '') AS comps
   FROM facts WHERE line <> '9910' GROUP BY 1, 2

@@ -536,7 +536,7 @@ def record_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("approved_only", """
 SELECT DISTINCT l_orderkey AS receipt, l_linenumber AS finding FROM lineitem
-WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '4-NOT SPECIFIED')
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW')) AND l_linenumber <= 3
 """)
 def approved_only(spark: SparkSession, sf: str) -> DataFrame:
     from tallyroom.operators.projection import approved_findings
@@ -545,11 +545,12 @@ def approved_only(spark: SparkSession, sf: str) -> DataFrame:
     receipts = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("receipt"),
         F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending").alias("review"),
-        F.when(priority != "4-NOT SPECIFIED", priority).alias("reviewer"),
-        F.col("o_orderdate").alias("reviewed_at"),
+        # one priority is unsigned, another signed with blanks
+        F.when(priority == "5-LOW", "  ").when(priority != "4-NOT SPECIFIED", priority).alias("reviewer"),
+        F.col("o_orderdate").alias("reviewed_at"), F.sequence(F.lit(1), F.lit(3)).alias("approved"),
     )
     findings = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("receipt"), F.col("l_linenumber").alias("finding"))
-    return approved_findings(receipts, findings, "receipt", "finding")
+    return approved_findings(receipts, findings, "receipt", "finding", "approved")
 
 
 @query("public_projection", f"""

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def row_pattern(areas: int) -> str:
-    """A label, a net figure, a levy, then one percentage and amount per area."""
-    return r"^\S.* \(?[0-9,]+\)? \$\(?[0-9,]+\)?" + r" [0-9.]+% \$\(?[0-9,]+\)?" * areas + "$"
+    """A label, a net figure, a levy, then one percentage and amount per area.
+    Dollar and percent signs may be missing; amounts in parentheses are negative."""
+    return r"^\S.* \(?[0-9,]+\)? \$?\(?[0-9,]+\)?" + r" [0-9.]+%? \$?\(?[0-9,]+\)?" * areas + "$"
 
 
 def whole_money(text: Column) -> Column:
@@ -41,3 +42,14 @@ def service_rows(rows: DataFrame, row: str, areas: list[str]) -> DataFrame:
     # The line's own cells are read above, once, before the areas fan out.
     fanned = read.select(*kept, "label", "net", "levy", "reason", F.explode_outer("_cells").alias("_c"))
     return fanned.select(*kept, "label", "net", "levy", "reason", "_c.area", "_c.pct", "_c.household")
+
+
+def footer_controls(rows: DataFrame, row: str, areas: list[str]) -> DataFrame:
+    """One row per area and printed control total: a footer repeats ``100% $amount``
+    once per area. Other rows give nothing."""
+    pattern = r"100%\s+\$[0-9,]+" + r"\s+100%\s+\$[0-9,]+" * (len(areas) - 1)
+    footer = F.regexp_extract(row, pattern, 0)
+    totals = F.regexp_extract_all(footer, F.lit(r"\$([0-9,]+)"), F.lit(1))
+    cells = F.array(*[F.struct(F.lit(a).alias("area"), whole_money(F.try_element_at(totals, F.lit(k + 1))).alias("control")) for k, a in enumerate(areas)])
+    kept = [c for c in rows.columns if c != row]
+    return rows.filter(footer != "").select(*kept, F.explode(cells).alias("_c")).select(*kept, "_c.area", "_c.control")

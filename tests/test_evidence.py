@@ -245,6 +245,14 @@ def test_citation_within_two_levels(spark, hot_keys):
     assert got == [*[(i, "f1", "u1", 1, 2) for i in range(6)], (10, "f1", "u1", 0, 1), (11, "f1", "u1", 2, 2), (12, None, None, None, 0)]
 
 
+def test_citation_order_holds_for_long_input_lists(spark):
+    refs = spark.createDataFrame([(1, "d"), (2, "nolink")], "ref_id int, node_id string")
+    inputs = spark.createDataFrame([("d", 0, "m0"), ("d", 1, "m1"), ("m0", 1500, "fa"), ("m1", 0, "fb"), ("nolink", 0, "fc")], "node_id string, position int, input_id string")
+    facts = spark.createDataFrame([("fa", "ua"), ("fb", "ub"), ("fc", None)], "fact_id string, url string")
+    got = rows(graph.primary_citation(refs, inputs, facts), "ref_id", "primary_fact", "url", "facts")
+    assert got == [(1, "fa", "ua", 2), (2, None, None, 1)]
+
+
 def test_closure_through_levels(spark):
     got = graph.reachable(spark.createDataFrame([("r",)], "node string"), edges(spark, [("r", "a"), ("a", "b"), ("r", "b"), ("x", "y")]))
     assert rows(got, "node", "steps") == [("a", 1), ("b", 1), ("r", 0)]

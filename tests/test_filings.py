@@ -65,6 +65,14 @@ def test_share_policy(spark, lines, policy):
     assert rows(filings.share_policy(verdict(spark, f=lines)), "policy", "shares_reported") == [(policy, policy.startswith("reported"))]
 
 
+def test_printed_rollup_of_the_other_group_is_refused(spark):
+    lines = {**CLEAN, "1910": -20, "1999": -20, "9910": 80}
+    assert rows(verdict(spark, f=lines), "status", "bad_group") == [("refused", "1999")]
+    facts = spark.createDataFrame([("f", k, v) for k, v in cents(lines).items()], SPEND)
+    assert ("1999", "parts-differ") in rows(filings.group_identity(filings.spend_groups(facts)), "grp", "reason")
+    assert [(f.grp, f.amount) for f in filings.nest_spend(facts).first().functions] == [("0299", 10000), ("1999", -2000)]
+
+
 def test_nested_tree_is_ordered(spark):
     facts = spark.createDataFrame([("a", k, v) for k, v in cents(CLEAN).items()], SPEND)
     row = filings.nest_spend(facts).collect()[0]

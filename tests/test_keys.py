@@ -243,8 +243,12 @@ def test_bodies_and_parents(spark):
 
 def test_containment_under_a_parent(spark):
     nodes = df(spark, "code string, parent_code string", *[(c, p) for c, _, p in GEO])
-    closure = hierarchy.ancestor_chains(nodes, 3)
+    closure = hierarchy.ancestor_chains(nodes)
     assert {r.code: r.ancestors for r in closure.collect()} == {"35": ["3"], "3518": ["35", "3"], "3518013": ["3518", "35", "3"]}
     claims = df(spark, "body string, parent string, geography string", ("m", "r", "3518013"), ("n", "t", "3518013"), ("o", "r", "3518"))
+    deep = df(spark, "code string, parent_code string", *[(f"n{i}", f"n{i - 1}" if i else None) for i in range(6)], ("x", "gone"))
+    assert {r.code: r.ancestors for r in hierarchy.ancestor_chains(deep).collect()}["n5"] == ["n4", "n3", "n2", "n1", "n0"]
+    with pytest.raises(ValueError, match="more than 4 levels"):
+        hierarchy.ancestor_chains(deep, 4)
     governed = df(spark, "parent string, geography string", ("r", "3518"), ("t", "9999"))
     assert rows(hierarchy.contained(claims, governed, closure), "body", "contained") == [("m", True), ("n", False), ("o", True)]
