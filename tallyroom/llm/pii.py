@@ -88,26 +88,31 @@ def spans(text: Column, kind: str) -> Column:
     kind_of = "struct<start:int,rank:int,end:int,kind:string,score:double>"
     none = F.array().cast(f"array<{kind_of}>")
 
-    def add(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.length(part["gap"])
-        end = start + F.length(part["hit"])
-        around = F.lower(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, end - start + 2 * NEAR))
+    # Ends of the matches: a running sum of gaps and matches.
+    ends = F.aggregate(
+        parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
+        lambda acc, part: F.struct(
+            (acc["at"] + F.length(part["gap"]) + F.length(part["hit"])).alias("at"),
+            F.array_append(acc["ends"], acc["at"] + F.length(part["gap"]) + F.length(part["hit"])).alias("ends"),
+        ),
+    )["ends"]
+
+    def span(part: Column) -> Column:
+        start = part["end"] - F.length(part["hit"])
+        around = F.lower(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, part["end"] - start + 2 * NEAR))
         score = F.least(
             F.lit(1.0),
             F.lit(PRIOR[kind])
             + F.when(around.rlike(CONTEXT[kind]), 0.1).otherwise(0.0)
             - F.when(around.rlike(AGAINST), 0.3).otherwise(0.0),
         )
-        found = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score")
-        )
         return F.struct(
-            end.alias("at"),
-            F.when(valid(kind, part["hit"]), F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"),
+            start.alias("start"), F.lit(rank).alias("rank"), part["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score")
         )
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add)["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    matched = F.arrays_zip(hits.alias("hit"), ends.alias("end"))
+    confirmed = F.filter(matched, lambda part: valid(kind, part["hit"]))
+    return F.when(text.rlike(pattern), F.transform(confirmed, span)).otherwise(none)
 
 
 def find(documents: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
