@@ -75,23 +75,50 @@ def archive_member_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("json_collection_scan", """
-WITH j AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events)
-SELECT event_type, 'k' AS json_key, count(v) AS records, CAST(sum(v) AS BIGINT) AS total, min(v) AS low, max(v) AS high FROM j GROUP BY 1
+WITH j AS (SELECT event_type, event_id % 40 = 0 AS broken, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events)
+SELECT event_type, 'k' AS json_key, CAST(NULL AS VARCHAR) AS reason, count(*) AS documents, CAST(sum(v) AS BIGINT) AS total, min(v) AS low, max(v) AS high
+FROM j WHERE NOT broken GROUP BY 1
+UNION ALL SELECT event_type, NULL, 'not a JSON object', count(*), NULL, NULL, NULL FROM j WHERE broken GROUP BY 1
 """)
 def json_collection_scan(spark: SparkSession, sf: str) -> DataFrame:
-    entries = documents.json_entries(table(spark, sf, "events").select("event_type", "props"), "props")
+    # some documents are cut short
+    props = F.when(F.col("event_id") % 40 == 0, F.expr("left(props, 3)")).otherwise(F.col("props")).alias("props")
+    entries = documents.json_entries(table(spark, sf, "events").select("event_type", props), "props")
     v = F.col("json_value").try_cast("bigint")
-    return entries.groupBy("event_type", "json_key").agg(
-        F.count(v).alias("records"), F.sum(v).alias("total"), F.min(v).alias("low"), F.max(v).alias("high")
+    return entries.groupBy("event_type", "json_key", "reason").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(v).alias("total"), F.min(v).alias("low"), F.max(v).alias("high")
     )
 
 
+@query("json_record_scan", """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS m, 'c' || CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS p FROM orders)
+SELECT k, CAST(NULL AS INTEGER) AS position, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS name,
+       CASE m WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'no collection at the path' WHEN 2 THEN 'empty collection' ELSE 'not an array' END AS reason FROM o WHERE m <= 3
+UNION ALL SELECT k, 0, id, p, CASE WHEN m = 4 THEN 'key is repeated' END FROM o WHERE m >= 4
+UNION ALL SELECT k, 1, CASE m WHEN 4 THEN id WHEN 5 THEN ' ' ELSE 'second' END, CASE WHEN m = 6 THEN '[1,2]' ELSE p END,
+                 CASE m WHEN 4 THEN 'key is repeated' WHEN 5 THEN 'record has no key' ELSE 'record holds a list or an object' END FROM o WHERE m >= 4
+""")
+def json_record_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Record collections of order documents, most with one defect each."""
+    m, record = F.col("o_orderkey") % 7, lambda key, name: F.concat(F.lit('{"id":"'), key, F.lit('","name":'), name, F.lit("}"))
+    first, name = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))
+    second = F.when(m == 4, first).when(m == 5, F.lit(" ")).otherwise(F.lit("second"))
+    both = F.concat(record(first, name), F.lit(","), record(second, F.when(m == 6, F.lit("[1,2]")).otherwise(name)))
+    body = F.when(m == 2, F.lit("[]")).when(m == 3, F.lit('"text"')).otherwise(F.concat(F.lit("["), both, F.lit("]")))
+    document = F.when(m == 0, F.lit('{"a":')).when(m == 1, F.lit('{"a":{}}')).otherwise(F.concat(F.lit('{"a":{"b":'), body, F.lit("}}")))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), document.alias("document"))
+    return documents.json_records(rows, "document", "a.b", "id", ["id", "name"])
+
+
 @query("ledger_explode", """
+WITH refused AS (SELECT o_orderkey % 50 = 0 AS broken, * FROM orders), orders AS (SELECT * FROM refused WHERE NOT broken)
+SELECT CAST(NULL AS VARCHAR) AS ledger, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS INTEGER) AS position, CAST(NULL AS VARCHAR) AS node_id, 'not a JSON object' AS reason FROM refused WHERE broken
+UNION ALL SELECT *, NULL FROM (
 SELECT CAST(o_orderkey AS VARCHAR) AS ledger, 'sources' AS kind, 0 AS position, 's' || CAST(o_custkey AS VARCHAR) AS node_id FROM orders
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'facts', 0, 'total' FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'facts', 1, 'date' FROM orders
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'derived', 0, 'd' || CAST(o_orderkey AS VARCHAR) FROM orders
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'gaps', 0, 'gap' FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'
-UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'findings', 0, 'f' FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'findings', 0, 'f' FROM orders WHERE o_orderstatus = 'F')
 """)
 def ledger_explode(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
@@ -107,6 +134,7 @@ def ledger_explode(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.array(F.struct(F.lit("gap").alias("id")))).alias("gaps"),
         F.when(F.col("o_orderstatus") == "F", F.array(F.struct(F.lit("f").alias("id"), F.array(F.lit("total")).alias("cited")))).alias("findings"),
     ))
+    doc = F.when(F.col("o_orderkey") % 50 == 0, F.expr("'{\"id\"'")).otherwise(doc)  # cut short
     return documents.ledger_nodes(table(spark, sf, "orders").select(doc.alias("document")), "document")
 
 
@@ -237,7 +265,8 @@ def release_intake_stream(spark: SparkSession, sf: str) -> DataFrame:
     lock = events.filter("event_type <> 'signup'").select(
         "event_id", record_digest("event_type", F.when(F.col("value") > 150, F.lit("0")).otherwise(F.col("value").cast("string"))).alias("digest")
     )
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # The glob names the table itself, whether it is one file or a folder of parts.
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parq[u]et")
     folder = f"{checkpoint_folder(spark)}/intake-{uuid.uuid4().hex}"
     target = intake.run_intake(stream, lock, "event_id", ["event_type", "value"], folder)
     return intake.taken(spark, target).groupBy("event_type", "status").agg(F.count(F.lit(1)).alias("records"), F.sum(cents("value")).alias("cents"))

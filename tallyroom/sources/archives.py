@@ -3,6 +3,7 @@ tasks, one archive at a time; what they yield is plain rows again."""
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import io
 import zipfile
@@ -69,37 +70,59 @@ def inspect_archives(archives: DataFrame) -> DataFrame:
 
 
 def member_blocks(archives: DataFrame, encoding: str = "utf-8", fallback: str | None = None) -> DataFrame:
-    """Accepted members as blocks of whole lines ``(path, block, text)``, so a
-    large member becomes many rows of bounded size. ``fallback`` is tried for a
-    block that is not valid in ``encoding``; a byte-order mark is dropped."""
-    schema = "path string, block long, text string"
-
-    def decode(data: bytes) -> str:
+    """Accepted members as blocks of whole lines ``(path, block, text, reason)``, so a
+    large member becomes many rows of bounded size. A member that is not valid in
+    ``encoding`` as a whole is read in ``fallback`` as a whole; a byte-order mark
+    is dropped. A refused archive gives one row with its reason."""
+    schema = "path string, block long, text string, reason string"
+
+    def readable(archive: zipfile.ZipFile, member: str, name: str) -> bool:
+        decoder = codecs.getincrementaldecoder(name)()
         try:
-            return data.decode(encoding)
+            with archive.open(member) as stream:
+                while chunk := stream.read(BLOCK_BYTES):
+                    decoder.decode(chunk)
+            decoder.decode(b"", True)
         except UnicodeDecodeError:
-            if fallback is None:
-                raise
-            return data.decode(fallback)
+            return False
+        return True
+
+    def row(path: str, number: int | None, text: str | None, reason: str | None = None) -> pd.DataFrame:
+        return pd.DataFrame({
+            "path": [path], "block": pd.array([number], "Int64"), "text": pd.Series([text], dtype=object),
+            "reason": pd.Series([reason], dtype=object),
+        })
+
+    def members(path: str, content: bytes, member: str):
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            reason = _problem(archive, member)
+            if reason is not None:
+                yield row(path, None, None, reason)
+                return
+            name = next((n for n in (encoding, fallback) if n and readable(archive, member, n)), None)
+            if name is None:
+                yield row(path, None, None, "text is not in the declared encoding")
+                return
+            with archive.open(member) as stream:
+                number, rest = 0, b""
+                while chunk := stream.read(BLOCK_BYTES):
+                    head, cut, rest = (rest + chunk).rpartition(b"\n")
+                    if cut:
+                        yield row(path, number, head.decode(name).removeprefix("\ufeff") if number == 0 else head.decode(name))
+                        number += 1
+                if rest:
+                    yield row(path, number, rest.decode(name).removeprefix("\ufeff") if number == 0 else rest.decode(name))
 
     def blocks(batches):
         for batch in batches:
             for path, content, member in zip(batch["path"], batch["content"], batch["member"]):
                 if content is None:
+                    yield row(path, None, None, "archive too large")
                     continue
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    if _problem(archive, member) is not None:
-                        continue
-                    with archive.open(member) as stream:
-                        number, rest = 0, b""
-                        while chunk := stream.read(BLOCK_BYTES):
-                            head, cut, tail = (rest + chunk).rpartition(b"\n")
-                            rest = tail
-                            if cut:
-                                yield pd.DataFrame({"path": [path], "block": [number], "text": [decode(head).removeprefix("\ufeff") if number == 0 else decode(head)]})
-                                number += 1
-                        if rest:
-                            yield pd.DataFrame({"path": [path], "block": [number], "text": [decode(rest).removeprefix("\ufeff") if number == 0 else decode(rest)]})
+                try:
+                    yield from members(path, content, member)
+                except zipfile.BadZipFile:
+                    yield row(path, None, None, "not an archive")
 
     return archives.select("path", "content", "member").mapInPandas(blocks, schema)
 

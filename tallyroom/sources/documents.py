@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_MARK = r"=====\s*PAGE\s+([0-9]+)\s*====="
@@ -57,10 +57,54 @@ def page_anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def json_entries(rows: DataFrame, document: str) -> DataFrame:
-    """One row per key of a flat JSON object, values as text; unreadable
-    documents give no row."""
+    """One row per key of a flat JSON object, values as text. A document that is
+    no object, or has no key, gives one row with a ``reason`` instead."""
     entries = F.from_json(document, "map<string,string>")
-    return rows.select(*[c for c in rows.columns if c != document], F.explode(entries).alias("json_key", "json_value"))
+    kept = [c for c in rows.columns if c != document]
+    held = rows.select(
+        *kept, entries.alias("_e"), F.when(entries.isNull(), "not a JSON object").when(F.size(entries) == 0, "no keys").alias("reason")
+    )
+    return held.select(*kept, F.explode_outer("_e").alias("json_key", "json_value"), "reason")
+
+
+def json_records(rows: DataFrame, document: str, path: str, key: str, fields: list[str]) -> DataFrame:
+    """The records of the array of objects at ``path`` (``a.b``), one row each:
+    ``position``, the key, the fields as text, and a ``reason``.
+
+    A document without that array, or with an empty one, gives one refused row.
+    A record is refused when it is no object, holds a list or an object in any
+    field, lacks a non-empty key, or repeats a key of its document.
+    """
+    kept = [c for c in rows.columns if c != document]
+    found = F.get_json_object(document, "$." + path)
+    items = F.from_json(found, "array<string>")
+    problem = (
+        F.when(document_unreadable(F.col(document)), "not a JSON object")
+        .when(found.isNull(), "no collection at the path")
+        .when(items.isNull() | ~F.ltrim(found).startswith("["), "not an array")
+        .when(F.size(items) == 0, "empty collection")
+    )
+    each = rows.select(*kept, F.monotonically_increasing_id().alias("_doc"), problem.alias("_p"), items.alias("_i")).select(
+        *kept, "_doc", "_p", F.posexplode_outer(F.when(F.col("_p").isNull(), F.col("_i"))).alias("position", "_r")
+    )
+    entries = F.from_json("_r", "map<string,string>")
+    nested = F.exists(F.map_values(entries), lambda v: F.coalesce(F.ltrim(v).rlike(r"^[\[{]"), F.lit(False)))
+    read = each.withColumn("_e", entries).withColumn("_k", F.col("_e")[key])
+    copies = F.count("_k").over(Window.partitionBy("_doc", "_k"))
+    reason = F.coalesce(
+        F.col("_p"),
+        F.when(F.col("_e").isNull(), "record is not an object")
+        .when(nested, "record holds a list or an object")
+        .when(F.coalesce(F.trim("_k"), F.lit("")) == "", "record has no key")
+        .when(copies > 1, "key is repeated"),
+    )
+    return read.withColumn("reason", reason).select(
+        *kept, "position", F.col("_k").alias(key), *[F.col("_e")[f].alias(f) for f in fields if f != key], "reason"
+    )
+
+
+def document_unreadable(document: Column) -> Column:
+    return F.from_json(document, "map<string,string>").isNull()
 
 
 def closed_fields(document: Column, allowed: list[str], required: list[str]) -> tuple[Column, Column]:
@@ -82,8 +126,9 @@ LEDGER_SCHEMA = """
 
 
 def ledger_nodes(ledgers: DataFrame, document: str) -> DataFrame:
-    """The five arrays of an evidence document as one node table."""
-    parsed = ledgers.select(F.from_json(document, LEDGER_SCHEMA).alias("d"))
+    """The five arrays of an evidence document as one node table. A document that
+    cannot be read, has no id or no node gives one row with a ``reason``."""
+    parsed = ledgers.select(F.col(document).alias("t"), F.from_json(document, LEDGER_SCHEMA).alias("d"))
 
     def listed(kind: str) -> Column:
         nodes = F.transform(
@@ -92,4 +137,11 @@ def ledger_nodes(ledgers: DataFrame, document: str) -> DataFrame:
         return F.coalesce(nodes, F.array().cast("array<struct<kind:string,position:int,node_id:string>>"))
 
     nodes = F.concat(*[listed(kind) for kind in ("sources", "facts", "derived", "gaps", "findings")])
-    return parsed.select(F.col("d.id").alias("ledger"), F.explode(nodes).alias("n")).select("ledger", "n.kind", "n.position", "n.node_id")
+    reason = (
+        F.when(document_unreadable(F.col("t")), "not a JSON object").when(F.coalesce(F.col("d.id"), F.lit("")) == "", "no id")
+        .when(F.size(nodes) == 0, "no nodes")
+    )
+    listed_or_refused = parsed.select(F.col("d.id").alias("ledger"), reason.alias("reason"), nodes.alias("_n"))
+    return listed_or_refused.select("ledger", "reason", F.explode_outer(F.when(F.col("reason").isNull(), F.col("_n"))).alias("n")).select(
+        "ledger", "n.kind", "n.position", "n.node_id", "reason"
+    )

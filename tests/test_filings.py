@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tallyroom.operators import filings, gates
-from tallyroom.sources.filings import FILING_HEADERS, read_filing_csv, scan_facts
+from tallyroom.sources.filings import FILING_HEADERS, read_filing_csv, refused_amounts, scan_facts
 
 SPEND = "code string, line string, cents long"
 
@@ -142,6 +142,17 @@ def test_csv_scan_skips_blank_and_junk_amounts(spark, tmp_path):
     assert scan_facts(read_filing_csv(spark, str(path)), filings.SPEND_ADDRESS, only).count() == 1
 
 
+def test_amounts_keep_their_digits_or_are_refused(spark, tmp_path):
+    path = tmp_path / "filing.csv"
+    amounts = ["1234567890123456789", "1.005", "9" * 30, "0.12345678901", "x", ""]
+    path.write_text("\n".join([",".join(FILING_HEADERS), *[filing_line(AMOUNT=a) for a in amounts]]) + "\n")
+    read = read_filing_csv(spark, str(path))
+    kept = [str(a).rstrip("0") for (a,) in rows(scan_facts(read, filings.SPEND_ADDRESS), "amount")]
+    assert "1.005" in kept and "1234567890123456789." in kept
+    assert rows(refused_amounts(read, filings.SPEND_ADDRESS), "printed", "reason") == [
+        ("0.12345678901", "more decimals than can be kept"), ("9" * 30, "amount out of range")]
+
+
 def test_changed_header_fails_the_read(spark, tmp_path):
     path = tmp_path / "filing.csv"
     path.write_text("\n".join([",".join(["YEAR", *FILING_HEADERS[1:]]), filing_line()]) + "\n")

@@ -36,7 +36,38 @@ def test_archives(spark, tmp_path):
         "good.zip": None, "again.zip": None, "extra.zip": "member set differs", "bomb.zip": "compression ratio too high", "junk.zip": "not an archive"}
     assert got["good.zip"].member_sha256 == got["again.zip"].member_sha256 and got["good.zip"].member_bytes == len(good)
     blocks = archives.member_blocks(files.filter(F.col("path").endswith("good.zip"))).collect()
-    assert "\n".join(b.text for b in blocks) == good.rstrip("\n")
+    assert "\n".join(b.text for b in blocks) == good.rstrip("\n") and {b.reason for b in blocks} == {None}
+    refused = {r.path.rsplit("/", 1)[1]: r.reason for r in archives.member_blocks(files).filter("reason IS NOT NULL").collect()}
+    assert refused == {"extra.zip": "member set differs", "bomb.zip": "compression ratio too high", "junk.zip": "not an archive"}
+
+
+def test_a_member_has_one_encoding(spark, monkeypatch):
+    monkeypatch.setattr(archives, "BLOCK_BYTES", 8)
+    mixed = "été\n".encode() * 5 + "é\n".encode("cp1252")
+    data = spark.createDataFrame([("p", zipped({"m": mixed}), "m")], "path string, content binary, member string")
+    text = "\n".join(b.text for b in sorted(archives.member_blocks(data, fallback="cp1252").collect(), key=lambda b: b.block))
+    assert text == mixed.decode("cp1252").rstrip("\n")
+    assert rows(archives.member_blocks(data), "block", "reason") == [(None, "text is not in the declared encoding")]
+
+
+def test_unreadable_documents_carry_a_reason(spark):
+    df = spark.createDataFrame([(1, '{"a":1}'), (2, "broken"), (3, "{}"), (4, None)], "k int, d string")
+    assert rows(documents.json_entries(df, "d"), "k", "json_key", "reason") == [
+        (1, "a", None), (2, None, "not a JSON object"), (3, None, "no keys"), (4, None, "not a JSON object")]
+    ledgers = documents.ledger_nodes(spark.createDataFrame([("broken",), ('{"facts":[{"id":"f"}]}',), ('{"id":"x"}',)], "d string"), "d")
+    assert rows(ledgers, "ledger", "reason") == [(None, "no id"), (None, "not a JSON object"), ("x", "no nodes")]
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_release_stream_reads_a_file_or_a_folder_of_parts(spark, tmp_path, parts):
+    from tallyroom.plans import QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    if parts:
+        events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    else:
+        (tmp_path / "events.parquet").symlink_to("/root/testdata/sf0.001/events.parquet")
+    assert QUERIES["release_intake_stream"](spark, str(tmp_path)).agg(F.sum("records")).first()[0] == events.count()
 
 
 def test_member_encoding(spark):
