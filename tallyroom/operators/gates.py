@@ -92,10 +92,11 @@ def identity_conflicts(df: DataFrame, code: str, attributes: list[str]) -> DataF
     )
 
 
-def identity_scan(df: DataFrame, code: str, attributes: list[str], updated: str) -> DataFrame:
-    """One identity per code with its row count and newest date; conflicts refused."""
+def identity_scan(df: DataFrame, code: str, attributes: list[str], updated: str, rows: str | None = None) -> DataFrame:
+    """One identity per code with its row count and newest date; conflicts refused.
+    ``rows`` names a count that each row already stands for."""
     variants = df.groupBy(code, *attributes).agg(
-        F.count(F.lit(1)).alias("rows"), F.max(updated).alias("last_updated")
+        (F.sum(rows) if rows else F.count(F.lit(1))).alias("rows"), F.max(updated).alias("last_updated")
     )
     return (
         variants.groupBy(code)

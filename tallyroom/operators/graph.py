@@ -33,7 +33,7 @@ class _Links:
         self.hot = _settled_hot(self.rows, ["src"]) if isinstance(hot, str) else hot
         if self.hot is not None:
             salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("dst"), F.lit(FAN)).cast("int")).otherwise(F.lit(0))
-            self.rows = cut_lineage(self.rows.join(F.broadcast(self.hot), "src", "left").select("src", "dst", salt.alias("_salt")))
+            self.rows = cut_lineage(self.rows.join(self.hot, "src", "left").select("src", "dst", salt.alias("_salt")))
 
     def follow(self, frontier: DataFrame, how: str = "left_semi") -> DataFrame:
         """Edges that leave the frontier ``(src, …)``."""

@@ -16,9 +16,10 @@ def hot_row_limit(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, keys: list[str], count: str | None = None) -> DataFrame:
-    """Keys above ``spark.tallyroom.hotRows`` rows: at most rows / limit of them,
-    which is what makes the list safe to broadcast. ``count`` names a column of
-    ``df`` that already holds the rows per key."""
+    """Keys above ``spark.tallyroom.hotRows`` rows: at most rows / limit of them. The
+    list grows with the data, so it is never forced into a broadcast: the planner
+    decides by its measured size. ``count`` names a column of ``df`` that already
+    holds the rows per key."""
     limit = hot_row_limit(df)
     counted = df if count else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return counted.filter(F.col(count or "_n") > limit).select(*keys, F.lit(True).alias("_hot"))
@@ -38,18 +39,20 @@ def spread_join(
     Rows of hot keys spread over ``fan`` salts by a hash of ``spread_on`` (a
     deterministic salt, safe under task retries) and only the hot keys of
     ``small`` are repeated. Rows with a null key match nothing and are spread as
-    well. ``hot`` is the list of hot keys when a cheaper table than ``big`` can
-    tell them (see ``hot_keys``); it may hold a part of the key columns.
+    well. ``hot`` is the list of hot keys where a cheaper table than ``big`` can
+    tell them (see ``hot_keys``); it may hold a part of the key columns. Without
+    it the join is left to adaptive skew splitting: counting the keys of ``big``
+    would compute it twice.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the row side is kept on the left")
     if hot is None:
-        hot = hot_keys(big, keys)
+        return big.join(small, keys, how)
     on = [c for c in hot.columns if c != "_hot"]
     salt = F.pmod(F.xxhash64(*(spread_on or big.columns)), F.lit(fan)).cast("int")
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     rows = (
-        big.join(F.broadcast(hot), on, "left")
+        big.join(hot, on, "left")
         .withColumn("_salt", F.when(F.col("_hot") | null_key, salt).otherwise(F.lit(0)))
         .drop("_hot")
     )
@@ -60,7 +63,7 @@ def salted_copies(small: DataFrame, hot: DataFrame, fan: int = FAN) -> DataFrame
     """``small`` with a ``_salt``: hot keys once per salt, the others once."""
     on = [c for c in hot.columns if c != "_hot"]
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))
-    return small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return small.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
 
 
 def _before(df: DataFrame, keys: list[str], chunk: str, carry: Column, fold) -> DataFrame:

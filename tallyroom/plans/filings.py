@@ -183,27 +183,30 @@ def levy_facts(spark: SparkSession, sf: str) -> DataFrame:
 @query("group_identity", f"""
 WITH lines AS (
   SELECT l_orderkey, CAST(sum({CENTS}) AS BIGINT) AS parts, count(*) AS n_parts FROM lineitem GROUP BY 1
+), g AS (
+  SELECT o_orderkey AS code, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN {sql_cents('o_totalprice')} END AS printed,
+         coalesce(parts, 0) AS parts, coalesce(n_parts, 0) AS n_parts
+  FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey
 )
-SELECT o_orderkey AS code, {sql_cents('o_totalprice')} AS printed, parts, coalesce(n_parts, 0) AS n_parts,
-       parts - {sql_cents('o_totalprice')} AS difference,
-       CASE WHEN parts IS NULL THEN 'no components'
-            WHEN abs(parts - {sql_cents('o_totalprice')}) > 51 THEN 'components do not sum to the printed total' END AS reason,
-       CASE WHEN parts IS NOT NULL AND abs(parts - {sql_cents('o_totalprice')}) <= 51 THEN 'accepted' ELSE 'refused' END AS status
-FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey
+SELECT code, '0299' AS grp, printed, parts, n_parts, parts - printed AS difference,
+       CASE WHEN printed IS NULL THEN 'no-rollup' WHEN abs(parts - printed) > 51 THEN 'parts-differ' END AS reason,
+       CASE WHEN printed IS NOT NULL AND abs(parts - printed) <= 51 THEN 'accepted' ELSE 'refused' END AS status
+FROM g
 """)
 def group_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as the components of a group, order totals as its rollup; some are not printed."""
     parts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("code")).agg(
         F.sum(cents("l_extendedprice")).alias("parts"), F.count(F.lit(1)).alias("n_parts")
     )
-    printed = table(spark, sf, "orders").select(F.col("o_orderkey").alias("code"), cents("o_totalprice").alias("printed"))
-    joined = printed.join(parts, "code", "left").select(
-        "code", "printed", "parts", F.coalesce("n_parts", F.lit(0)).alias("n_parts"),
-        (F.col("parts") - F.col("printed")).alias("difference"),
+    printed = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("code"), F.lit("0299").alias("grp"),
+        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", cents("o_totalprice")).alias("printed"),
     )
-    return gates.verdicts(joined, [
-        ("no components", F.col("parts").isNull()),
-        ("components do not sum to the printed total", F.abs("difference") > filings.TOLERANCE_CENTS),
-    ])
+    none = F.lit(0).cast("bigint")
+    groups = printed.join(parts, "code", "left").select(
+        "code", "grp", "printed", F.coalesce("parts", none).alias("parts"), F.coalesce("n_parts", none).alias("n_parts")
+    )
+    return filings.group_identity(groups)
 
 
 @query("grand_identity", f"""
@@ -341,18 +344,18 @@ def shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("per_capita", f"""
-SELECT o_custkey AS code, CAST(sum({sql_cents('o_totalprice')}) AS BIGINT) AS cents, count(*) AS population,
-       CAST(sum({sql_cents('o_totalprice')}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS per_capita_cents,
-       CASE WHEN count(*) < 10 THEN 'below-floor' ELSE 'ok' END AS floor_flag
-FROM orders GROUP BY 1
+WITH t AS (SELECT o_custkey AS code, CAST(sum({sql_cents('o_totalprice')}) AS BIGINT) AS cents, count(*) FILTER (o_orderstatus <> 'P') AS population FROM orders GROUP BY 1)
+SELECT code, cents, population,
+       CAST(CASE WHEN population > 0 THEN CAST((2 * cents + population) // (2 * population) AS DECIMAL(20,2)) / 100 END AS DECIMAL(20,2)) AS per_capita,
+       CASE WHEN population < 10 THEN 'below-floor' ELSE 'ok' END AS floor_flag
+FROM t
 """)
 def per_capita(spark: SparkSession, sf: str) -> DataFrame:
     totals = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("code")).agg(
-        F.sum(cents("o_totalprice")).alias("cents"), F.count(F.lit(1)).alias("population")
+        F.sum(cents("o_totalprice")).alias("cents"), F.count(F.when(F.col("o_orderstatus") != "P", F.lit(1))).alias("population")
     )
     return totals.select(
-        "code", "cents", "population",
-        F.try_divide(F.col("cents").cast("double"), F.when(F.col("population") > 0, F.col("population")).cast("double")).alias("per_capita_cents"),
+        "code", "cents", "population", filings.per_capita(F.col("cents"), F.col("population")).alias("per_capita"),
         F.when(F.col("population") < 10, "below-floor").otherwise("ok").alias("floor_flag"),
     )
 

@@ -29,9 +29,8 @@ def filer_identity(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.max(F.col("o_orderdate").cast("date")).alias("updated")
     )
     named = rows.join(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
-    identities = gates.identity_scan(named.withColumnRenamed("c_custkey", "code"), "code", ["c_name", "c_mktsegment"], "updated")
-    counted = named.groupBy(F.col("c_custkey").alias("code")).agg(F.sum("rows").alias("n"))
-    return identities.drop("rows").join(counted.withColumnRenamed("n", "rows"), "code").withColumn("last_updated", F.col("last_updated").cast("string"))
+    identities = gates.identity_scan(named.withColumnRenamed("c_custkey", "code"), "code", ["c_name", "c_mktsegment"], "updated", rows="rows")
+    return identities.withColumn("last_updated", F.col("last_updated").cast("string"))
 
 
 @query("identity_conflict", """
