@@ -52,15 +52,26 @@ def place_search(records: DataFrame, fields: list[Column], query: str, order: li
     return top.withColumn("total_matches", total.scalar()).withColumn("capped", F.col("total_matches") > shown)
 
 
-def quota(records: DataFrame, kind: str, first: str, order: list, limit: int = MAX_RESULTS) -> DataFrame:
-    """Rows of the first kind fill the quota, the other kind gets what is left.
+def quota(records: DataFrame, kind: str, first: str, order: list, queried: bool, limit: int = MAX_RESULTS) -> DataFrame:
+    """Rows of the first kind fill the quota, the other kind gets what is left,
+    and only when something was searched for. Every row carries both totals and
+    whether rows were left out.
 
     Both lists are cut to the limit before they meet, so the final ranking sees
     at most twice the limit.
     """
+    if not queried:
+        records = records.filter(F.col(kind) == first)
+    totals = records.agg(
+        F.count(F.when(F.col(kind) == first, F.lit(1))).alias("first_total"), F.count(F.when(F.col(kind) != first, F.lit(1))).alias("other_total")
+    )
     a = records.filter(F.col(kind) == first).orderBy(*order).limit(limit).withColumn("_rank", F.lit(0))
     b = records.filter(F.col(kind) != first).orderBy(*order).limit(limit).withColumn("_rank", F.lit(1))
-    return a.unionByName(b).orderBy("_rank", *order).limit(limit).drop("_rank")
+    shown = a.unionByName(b).orderBy("_rank", *order).limit(limit).drop("_rank")
+    return (
+        shown.withColumn("first_total", totals.select("first_total").scalar()).withColumn("other_total", totals.select("other_total").scalar())
+        .withColumn("capped", F.col("first_total") + F.col("other_total") > limit)
+    )
 
 
 def top_lines(lines: DataFrame, key: str, line: str, amount: str, top: int = TOP_LINES, share: float = REMAINDER_SHARE) -> DataFrame:

@@ -399,10 +399,14 @@ def place_search(spark: SparkSession, sf: str) -> DataFrame:
 WITH m AS (SELECT r_name AS name, 'receipt' AS kind FROM region UNION ALL SELECT n_name, 'directory' FROM nation UNION ALL SELECT c_name, 'directory' FROM customer),
 a AS (SELECT *, row_number() OVER (ORDER BY name) AS r FROM m WHERE kind = 'receipt'),
 b AS (SELECT *, row_number() OVER (ORDER BY name) AS r FROM m WHERE kind <> 'receipt')
-SELECT name, kind FROM a WHERE r <= 20
-UNION ALL SELECT name, kind FROM b WHERE r <= 20 - least(20, (SELECT count(*) FROM a))
+,t AS (SELECT (SELECT count(*) FROM a) AS x, (SELECT count(*) FROM b) AS y)
+SELECT 'query' AS mode, name, kind, x AS first_total, y AS other_total, x + y > 20 AS capped FROM a, t WHERE r <= 20
+UNION ALL SELECT 'query', name, kind, x, y, x + y > 20 FROM b, t WHERE r <= 20 - least(20, x)
+UNION ALL SELECT 'browse', name, kind, x, 0, x > 20 FROM a, t WHERE r <= 20
 """)
 def quota_topk(spark: SparkSession, sf: str) -> DataFrame:
     kinds = [("region", "r_name", "receipt"), ("nation", "n_name", "directory"), ("customer", "c_name", "directory")]
     parts = [table(spark, sf, t).select(F.col(c).alias("name"), F.lit(k).alias("kind")) for t, c, k in kinds]
-    return search.quota(parts[0].unionByName(parts[1]).unionByName(parts[2]), "kind", "receipt", ["name"])
+    records = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    shown = [search.quota(records, "kind", "receipt", ["name"], queried).withColumn("mode", F.lit(mode)) for mode, queried in (("query", True), ("browse", False))]
+    return shown[0].unionByName(shown[1])

@@ -439,6 +439,24 @@ def sensitive_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(found, ",").alias("findings")).filter("findings <> ''")
 
 
+@query("handover_text", r"""
+WITH s AS (
+  SELECT doc_id, concat_ws(',',
+    CASE WHEN regexp_matches(text, '(?i)((^|[^\p{L}\p{N}_])[a-z]:[\\/]|file://|\\\\[^\\\s]+\\|(^|[^a-z0-9])~[\\/]|(^|[^a-z0-9:/])/(users|home|tmp|var|etc|opt|root|private|volumes|mnt|srv|workspace)/)') THEN 'local path' END,
+    CASE WHEN regexp_matches(text, '(^|[^\p{L}\p{N}_])(sk-(ant-|proj-)?[A-Za-z0-9_-]{20,}|xai-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{25,}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[baprs]-[A-Za-z0-9-]{20,}|(?i:bearer)\s+[A-Za-z0-9._~+/-]{20,}=*|(?i:basic)\s+[A-Za-z0-9+/]{16,}={0,2}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})($|[^\p{L}\p{N}_])')
+      OR regexp_matches(text, '(?i)((^|[^\p{L}\p{N}_])(password|passwd|pwd|secret|token)\s*[:=]\s*[^\s,;]{8,}|[?&](sig|signature|token)=[a-z0-9%._~+/-]{16,})')
+      OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'credential' END,
+    CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}($|[^A-Za-z0-9._%+-])') THEN 'email address' END,
+    CASE WHEN regexp_matches(text, '(?i)(^|[^a-z0-9])(\+?1[\s.-]?)?(\([2-9][0-9]{2}\)[\s.-]?|[2-9][0-9]{2}[\s.-]?)[2-9][0-9]{2}[\s.-]?[0-9]{4}(\s*(x|ext\.?)\s*[0-9]{1,6})?($|[^a-z0-9])') THEN 'telephone number' END) AS findings
+  FROM documents
+)
+SELECT * FROM s WHERE findings <> ''
+""")
+def handover_text(spark: SparkSession, sf: str) -> DataFrame:
+    found = F.filter(privacy.handover_labels(F.col("text")), lambda label: label != "checksum id")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(found, ",").alias("findings")).filter("findings <> ''")
+
+
 @query("luhn_ids", r"""
 WITH c AS (SELECT event_id, lpad(CAST((event_id * 7919 + user_id * 104729 + 123456789) % 1000000000 AS VARCHAR), 9, '0') AS d FROM events),
 s AS (SELECT event_id, d, list_sum(list_transform(range(1, 10), lambda i: CASE WHEN i % 2 = 0 THEN (CAST(substr(d, i, 1) AS INTEGER) * 2) // 10 + (CAST(substr(d, i, 1) AS INTEGER) * 2) % 10 ELSE CAST(substr(d, i, 1) AS INTEGER) END)) AS total FROM c)

@@ -162,14 +162,16 @@ def exact_cover(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("set_difference", """
 SELECT doc_id, 'unlabelled' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT DISTINCT user_id, 'labelled-only' FROM events WHERE user_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT DISTINCT doc_id, 'label without document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT DISTINCT user_id, 'user without document' FROM events WHERE user_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT DISTINCT doc_id, 'document without user' FROM documents WHERE doc_id NOT IN (SELECT user_id FROM events)
 """)
 def set_difference(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id")
     labelled = table(spark, sf, "labels").select("doc_id")
     users = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"))
-    a = compare.two_sided_difference(docs, labelled, ["doc_id"], ("unlabelled", "unexpected")).filter("side = 'unlabelled'")
-    b = compare.two_sided_difference(users, docs, ["doc_id"], ("labelled-only", "unexpected")).filter("side = 'labelled-only'")
+    a = compare.two_sided_difference(docs, labelled, ["doc_id"], ("unlabelled", "label without document"))
+    b = compare.two_sided_difference(users, docs, ["doc_id"], ("user without document", "document without user"))
     return a.unionByName(b)
 
 

@@ -160,9 +160,11 @@ def test_place_search(spark, query, limit, shown, total, capped):
 
 def test_quota(spark):
     r = df(spark, "id int, kind string", *[(i, "receipt") for i in range(15)], *[(100 + i, "directory") for i in range(15)])
-    got = search.quota(r, "kind", "receipt", ["id"])
+    got = search.quota(r, "kind", "receipt", ["id"], True)
     assert dict(rows(got.groupBy("kind").count(), "kind", "count")) == {"receipt": 15, "directory": 5}
-    assert search.quota(df(spark, "id int, kind string", *[(i, "receipt") for i in range(21)], (200, "directory")), "kind", "receipt", ["id"]).count() == 20
+    assert search.quota(df(spark, "id int, kind string", *[(i, "receipt") for i in range(21)], (200, "directory")), "kind", "receipt", ["id"], True).count() == 20
+    browse = search.quota(r, "kind", "receipt", ["id"], False)
+    assert {k for (k,) in rows(browse, "kind")} == {"receipt"} and {(o, c) for o, c in rows(browse, "other_total", "capped")} == {(0, False)}
 
 
 def test_top_lines(spark):
