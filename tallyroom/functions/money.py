@@ -26,3 +26,11 @@ def shares_of_total(parts: DataFrame, keys: list[str], amount: str) -> DataFrame
     totals = parts.groupBy(*keys).agg(F.sum(amount).cast("bigint").alias("total"), F.count(F.lit(1)).alias("_n"))
     share = F.when(F.col("total") > 0, F.col(amount).cast("double") / F.col("total").cast("double"))
     return spread_join(parts, totals.drop("_n"), keys, "inner", hot=hot_keys(totals, keys, "_n")).withColumn("share", share)
+
+
+def display_tolerance(printed: Column, money: Column) -> Column:
+    """Half the last displayed unit of a number as printed. Money is shown in
+    cents, or in whole units when it has no decimal point."""
+    places = F.when(printed.contains("."), F.length(F.substring_index(printed, ".", -1))).otherwise(0)
+    shown = F.when(money & (places > 0), 2).otherwise(places)
+    return F.lit(0.5) * F.pow(F.lit(10.0), -shown)

@@ -180,7 +180,9 @@ def value_binding(printed: DataFrame, nodes: DataFrame) -> DataFrame:
 def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
     """Derived metrics from stored inputs, formulas as rows.
 
-    ``derived(derived_id, stored, tolerance, control)``;
+    ``derived(derived_id, stored, tolerance, control)``, with the tolerance of the
+    control as ``control_tolerance`` where it has one of its own: an identity is
+    held to the larger of the two;
     ``terms(derived_id, factor_no, numerator, sign, input_id, constant)``;
     ``nodes(node_id, value)``. The value is the product of signed sums, the
     numerator factors over the denominator ones. ``control`` (a value or null)
@@ -214,13 +216,14 @@ def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: Da
     )
     computed = F.try_divide(F.coalesce("_num", F.lit(1.0)), F.coalesce("_den", F.lit(1.0)))
     out = derived.join(values, "derived_id", "left").withColumn("_c", computed)
+    wide = F.greatest("tolerance", "control_tolerance") if "control_tolerance" in derived.columns else F.col("tolerance")
     return out.select(
         "derived_id",
         F.when(F.col("_lost").isNull(), "no formula")
         .when(~F.col("_stated"), "formula input is not declared")
         .when(F.col("_lost") > 0, "formula input is missing")
         .when(F.col("_c").isNull(), "division by zero")
-        .when(F.col("control").isNotNull() & (F.abs(F.col("_c") - F.col("control")) > F.col("tolerance")), "identity fails")
+        .when(F.col("control").isNotNull() & (F.abs(F.col("_c") - F.col("control")) > wide), "identity fails")
         .when(F.abs(F.col("_c") - F.col("stored")) > F.col("tolerance"), "does not recompute")
         .otherwise("recomputed").alias("status"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.functions import numbers, privacy, rates, text
+from tallyroom.functions.money import display_tolerance
 from tallyroom.operators import evidence, graph, projection
 from tallyroom.plans.registry import cents, query, sql_cents, table
 from tallyroom.sources import documents as docs
@@ -230,7 +231,8 @@ WITH v AS (
   FROM orders JOIN customer ON c_custkey = o_custkey
 )
 SELECT derived_id, CASE WHEN pr = '1-URGENT' THEN 'formula input is missing' WHEN pr = '5-LOW' AND st = 'O' THEN 'division by zero'
-  WHEN pr = '2-HIGH' AND st = 'F' THEN 'identity fails' WHEN st = 'P' THEN 'does not recompute' ELSE 'recomputed' END AS status FROM v
+  WHEN pr = '2-HIGH' AND st = 'F' THEN 'identity fails' WHEN st = 'P' THEN 'does not recompute'
+  WHEN pr = '4-NOT SPECIFIED' AND (t + b) % 200 <> 0 THEN 'does not recompute' ELSE 'recomputed' END AS status FROM v
 """)
 def derived_recompute(spark: SparkSession, sf: str) -> DataFrame:
     """Each order derives the mean of its total and its customer's balance."""
@@ -257,9 +259,21 @@ def derived_recompute(spark: SparkSession, sf: str) -> DataFrame:
     ).select("derived_id", "t.*")
     stored = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey").select(
         F.col("o_orderkey").alias("derived_id"),
-        (((money("o_totalprice") + money("c_acctbal")) / 2).cast("double") + F.when(st == "P", 1.0).otherwise(0.0)).alias("stored"),
-        F.lit(0.0051).alias("tolerance"),
-        F.when((pr == "2-HIGH") & (st == "F"), F.lit(-1.0e9)).alias("control"),
+        ((money("o_totalprice") + money("c_acctbal")) / 2 + F.when(st == "P", 20).otherwise(0)).alias("exact"),
+        F.when((pr == "2-HIGH") & (st == "F"), F.lit(-1.0e9)).when((pr == "2-HIGH") & (st == "O"), F.lit(0.4)).alias("off"), pr.alias("pr"),
+    )
+    # Shown in whole units, cut to whole units but shown in cents, or exact to the tenth of a cent.
+    printed = (
+        F.when(F.col("pr") == "3-MEDIUM", F.round("exact", 0).cast("decimal(20,0)").cast("string"))
+        .when(F.col("pr") == "4-NOT SPECIFIED", (F.floor("exact") - F.when(F.col("exact") != F.floor("exact"), 1).otherwise(0)).cast("decimal(20,2)").cast("string"))
+        .otherwise(F.col("exact").cast("decimal(20,3)").cast("string"))
+    )
+    stored = stored.withColumn("printed", printed).select(
+        "derived_id", F.col("printed").cast("double").alias("stored"),
+        display_tolerance(F.col("printed"), F.lit(True)).alias("tolerance"),
+        # a control in whole units may be off by less than half of one
+        F.when(F.col("off") < 0, F.col("off")).when(F.col("off") > 0, F.col("exact").cast("double") + F.col("off")).alias("control"),
+        F.when(F.col("off") > 0, display_tolerance(F.lit("1"), F.lit(True))).alias("control_tolerance"),
     )
     return evidence.recompute(stored, terms, nodes)
 

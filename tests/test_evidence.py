@@ -231,6 +231,14 @@ def edges(spark, pairs):
     return spark.createDataFrame(pairs, "src string, dst string")
 
 
+def test_tolerance_follows_the_display(spark):
+    from tallyroom.functions.money import display_tolerance
+
+    df = spark.createDataFrame([("5", True), ("5.1", True), ("5.123", True), ("5", False), ("5.1", False), ("5.123", False)], "p string, m boolean")
+    got = [round(r[0], 9) for r in df.select(display_tolerance(F.col("p"), F.col("m"))).collect()]
+    assert got == [0.5, 0.005, 0.005, 0.5, 0.05, 0.0005]
+
+
 def test_closure_through_a_hub(spark, hot_keys):
     pairs = [("hub", f"n{i}") for i in range(20)] + [("n3", "deep"), ("r", "hub")]
     got = graph.reachable(spark.createDataFrame([("r",)], "node string"), edges(spark, pairs))
