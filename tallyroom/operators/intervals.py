@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.operators.skew import previous_max, running_sum
+from tallyroom.operators.skew import previous_max, range_chunks, running_sum
 
 
 def union_length(intervals: DataFrame, key: str, chunk_width: int) -> DataFrame:
@@ -36,18 +36,17 @@ def ceil_cost(tokens: Column, rate_per_million: int) -> Column:
 
 def budget(
     items: DataFrame, keys: list[str], order: str, tokens: Column, output_tokens: int,
-    input_rate: int, output_rate: int, item_cap: int, run_cap: int, block: int = 4096,
+    input_rate: int, output_rate: int, item_cap: int, run_cap: int,
 ) -> DataFrame:
     """Byte-length token ceilings, cost ceilings and caps per item and per run.
 
-    The running spend of a run is chunked by blocks of the order id.
+    The running spend of a run is carried from range chunk to range chunk.
     """
     out_cost = (output_tokens * output_rate + 999_999) // 1_000_000
     priced = items.withColumn("tokens", tokens).withColumn("cost", ceil_cost(F.col("tokens"), input_rate) + F.lit(out_cost).cast("bigint"))
-    counted = priced.withColumn("_c", F.when(F.col("tokens") <= item_cap, F.col("cost")).otherwise(F.lit(0).cast("bigint"))).withColumn(
-        "_chunk", F.floor(F.col(order) / block)
-    )
-    run = running_sum(counted.select(*keys, order, "tokens", "cost", "_c", "_chunk"), keys, "_chunk", [order], "_c", "spent")
+    counted = priced.withColumn("_c", F.when(F.col("tokens") <= item_cap, F.col("cost")).otherwise(F.lit(0).cast("bigint")))
+    chunked = range_chunks(counted.select(*keys, order, "tokens", "cost", "_c"), keys, [F.col(order)])
+    run = running_sum(chunked, keys, "_chunk", [order], "_c", "spent")
     return run.select(
         *keys, order, "tokens", "cost", "spent",
         F.when(F.col("tokens") > item_cap, "item-over-cap").when(F.col("spent") > run_cap, "run-over-cap").otherwise("queued").alias("status"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.functions.text import search_text
-from tallyroom.operators.skew import hot_keys, magnitude_chunk, running_sum, spread_join
+from tallyroom.operators.skew import hot_keys, range_chunks, running_sum, spread_join
 
 # The most places one search shows, and the line budget of a view.
 MAX_RESULTS = 20
@@ -98,13 +98,11 @@ def top_lines(lines: DataFrame, key: str, line: str, amount: str, top: int = TOP
 
 
 def cumulative_share(parts: DataFrame, key: str, order: str, amount: str) -> DataFrame:
-    """Start and end of each positive part on the total of its key, in ``order``.
-
-    ``order`` is a bounded line number, so one chunk per value is enough.
-    """
+    """Start and end of each positive part on the total of its key, in ``order``
+    (distinct within a key)."""
     kept = parts.filter(F.col(amount) > 0)
     totals = kept.groupBy(key).agg(F.sum(amount).cast("bigint").alias("_total"), F.count(F.lit(1)).alias("_n"))
-    run = running_sum(kept.withColumn("_chunk", F.col(order)), [key], "_chunk", [order], amount, "_end")
+    run = running_sum(range_chunks(kept.select(key, order, amount), [key], [F.col(order)]), [key], "_chunk", [order], amount, "_end")
     joined = spread_join(run, totals.drop("_n"), [key], "inner", spread_on=[order], hot=hot_keys(totals, [key], "_n"))
     share = lambda c: c.cast("double") / F.col("_total").cast("double")
     return joined.select(
@@ -116,14 +114,15 @@ def cumulative_share(parts: DataFrame, key: str, order: str, amount: str) -> Dat
 def rank_by_magnitude(lines: DataFrame, key: str, line: str, amount: str) -> DataFrame:
     """Rank by absolute amount, largest first, unknown amounts last.
 
-    The rank is a running count over magnitude chunks, so one long key is
-    sorted a chunk at a time.
+    The rank is a running count over range chunks, so one long key is sorted a
+    chunk at a time, whatever its amounts are.
     """
     size = F.abs(amount)
-    chunked = lines.withColumn("_one", F.lit(1).cast("bigint")).withColumn(
-        "_chunk", F.coalesce(magnitude_chunk(size), F.lit(1).cast("bigint"))
-    )
-    return running_sum(chunked, [key], "_chunk", [F.desc_nulls_last(size), F.asc(line)], "_one", "rank").drop("_one", "_chunk")
+    falling = [F.desc_nulls_last(size), F.asc(line)]
+    chunked = range_chunks(lines.withColumn("_one", F.lit(1).cast("bigint")), [key], falling)
+    # the order of the chunks, for rows that are equal in all it names
+    whole = [*falling, F.xxhash64(*[F.col(f"`{c}`") for c in chunked.columns if c != "_chunk"])]
+    return running_sum(chunked, [key], "_chunk", whole, "_one", "rank").drop("_one", "_chunk")
 
 
 def best_candidate(candidates: DataFrame, key: str, score: Column, position: str, payload: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyroom.session import cut_lineage
+
 HOT_ROWS = 2_000_000
 FAN = 64
 
@@ -66,6 +68,18 @@ def salted_copies(small: DataFrame, hot: DataFrame, fan: int = FAN) -> DataFrame
     return small.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
 
 
+def range_chunks(df: DataFrame, keys: list[str], order: list, out: str = "_chunk") -> DataFrame:
+    """``df`` with a chunk number that ascends along (keys, order): the partition
+    of a range partitioning. A key owns no more chunks than there are partitions,
+    and equal rows of one key are told apart by their hash, so no key, and no run
+    of equal or unknown values, meets in one task. The partitioning is written
+    once, because all its readers must see the same chunks.
+    """
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order, every)
+    return cut_lineage(ranged.withColumn(out, F.spark_partition_id().cast("bigint")))
+
+
 def _before(df: DataFrame, keys: list[str], chunk: str, carry: Column, fold) -> DataFrame:
     """Per (key, chunk): the folded carry of all earlier chunks of the key.
 

@@ -316,9 +316,9 @@ WITH s AS (SELECT event_id, event_type, value, lag(value) OVER (PARTITION BY eve
 SELECT event_type, count(*) AS rows, count(CASE WHEN value < prior THEN 1 END) AS descents FROM s GROUP BY 1
 """)
 def sorted_check(spark: SparkSession, sf: str) -> DataFrame:
-    # Five event types: each owns a fifth of the rows, so the lag runs per id block.
-    rows = table(spark, sf, "events").select("event_type", "event_id", "value", F.expr("event_id div 4096").alias("block"))
-    with_prior = skew.previous_value(rows, ["event_type"], "block", ["event_id"], "value", "prior")
+    # Five event types: each owns a fifth of the rows, so the lag runs per range chunk.
+    rows = skew.range_chunks(table(spark, sf, "events").select("event_type", "event_id", "value"), ["event_type"], [F.col("event_id")])
+    with_prior = skew.previous_value(rows, ["event_type"], "_chunk", ["event_id"], "value", "prior")
     return with_prior.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("value") < F.col("prior"), F.lit(1))).alias("descents")
     )

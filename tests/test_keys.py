@@ -203,6 +203,20 @@ def test_interval_union(spark):
     assert rows(union_length(i, "k", 4), "k", "intervals", "islands", "covered") == [("a", 5, 2, 11), ("b", 1, 1, 2)]
 
 
+def test_one_key_with_equal_and_unknown_amounts_spreads(spark):
+    lines = [("k", i, [5, 5, 5, None, -5, 0, None][i % 7]) for i in range(700)] + [("k", 1, 5), ("k", 1, 5), ("j", 0, None)]
+    rows_ = spark.createDataFrame(lines, "key string, line int, amount long")
+    chunked = skew.range_chunks(rows_, ["key"], [F.desc_nulls_last(F.abs("amount")), F.asc("line")])
+    sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 300
+    ranked = search.rank_by_magnitude(rows_, "key", "line", F.col("amount")).collect()
+    order = sorted((r for r in ranked if r.key == "k"), key=lambda r: r["rank"])
+    assert [r["rank"] for r in order] == list(range(1, 703))
+    sizes_in_order = [None if r.amount is None else abs(r.amount) for r in order]
+    known = [x for x in sizes_in_order if x is not None]
+    assert known == sorted(known, reverse=True) and sizes_in_order[len(known):] == [None] * (len(order) - len(known))
+
+
 def test_magnitude_chunks_fall_with_the_amount(spark):
     v = df(spark, "v long", *[(x,) for x in [-10**9, -7, -1, 0, 1, 2, 3, 50, 51, 10**6, 10**12]])
     chunks = [r.c for r in v.withColumn("c", skew.magnitude_chunk(F.col("v"))).orderBy(F.desc("v")).collect()]
