@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ REACH = WINDOW - GRAM
 HOT, STEP = 1000, 8
 FAMILIES = range(0, REACH + 1, STEP)
 #: Minimisers of one bucket of the first pass, contexts of one of the second, contexts of one index.
-BUCKET, CONTEXTS, INDEX = 1_500_000, 40_000, 20_000
+BUCKET, CONTEXTS, INDEX = 250_000, 25_000, 20_000
 SPACE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,6 +266,18 @@ def early(strings: list[bytes], document: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(own < doc) for own, doc in zip(least, document.tolist())]
 
 
+def _near(firsts: list[tuple[bytes, list[int]]]) -> list[tuple[bytes, list[int]]]:
+    """The contexts of one minimiser that can hold a window of another one: a window
+    reaches half of ``REACH`` to one side of the minimiser at least, so the two
+    agree there. Contexts cut by an edge of their text are not told apart."""
+    half = REACH // 2
+    if len(firsts) < 2 or any(len(t) != REACH + WINDOW for t, _ in firsts):
+        return firsts
+    left = Counter(t[half:REACH] for t, _ in firsts)
+    right = Counter(t[WINDOW : WINDOW + half] for t, _ in firsts)
+    return [(t, e) for t, e in firsts if left[t[half:REACH]] > 1 or right[t[WINDOW : WINDOW + half]] > 1]
+
+
 def marks(dealt: DataFrame) -> DataFrame:
     """doc_id, name, spans (begin, end, begin, end, ...) from the buckets."""
 
@@ -296,6 +309,7 @@ def marks(dealt: DataFrame) -> DataFrame:
                 least = min(doc[e] for e in entries)
                 found += [(e, 0, len(text)) for e in entries if doc[e] > least]
                 firsts.append((text, [e for e in entries if doc[e] == least]))
+            firsts = _near(firsts)
             if len({int(doc[e[0]]) for _, e in firsts}) > 1:
                 strings += [t for t, _ in firsts]
                 owners += [e for _, e in firsts]
