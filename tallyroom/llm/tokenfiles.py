@@ -16,6 +16,7 @@ repeated ids stay next to each other in order of text. Null ids come first.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -32,7 +33,7 @@ from tallyroom.llm.words import slices
 from tallyroom.session import checkpoint_folder
 
 #: Ids of a block; a longer document is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: A pass that shortens the sequence by less than this share is the last one.
 LEAST_GAIN = 0.02
 MOST_PASSES = 24
@@ -146,33 +147,29 @@ class Words:
     """
 
     PART = re.compile(r"[\s\S][^ ]*(?: (?!\S)[^ ]*)*")
-    #: Inside a part, punctuation after a Latin letter always starts a new token.
-    INNER = re.compile(r"(?<=[A-Za-z])(?=[.,])")
-    KEPT = 400_000
+    KEPT = 250_000
 
     def __init__(self, path: str, plain: bool = False):
         """``plain``: special tokens spelled in a text are ordinary text."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task per core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ids, self.inner = {}, {}
+        self.ids = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in coded]
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in coded]
 
     def learn(self, parts: set[str]) -> None:
         if len(self.ids) > self.KEPT:
-            self.ids, self.inner = {}, {}
+            self.ids = {}
         new = list(parts - self.ids.keys())
-        split = [self.INNER.split(p) for p in new]
-        fresh = list({x for xs in split for x in xs} - self.inner.keys())
-        if fresh:
-            self.inner.update(zip(fresh, self._library(fresh)))
-        self.ids.update(zip(new, [b"".join(map(self.inner.__getitem__, xs)) for xs in split]))
+        for at in range(0, len(new), 8192):
+            self.ids.update(zip(new[at : at + 8192], self._library(new[at : at + 8192])))
 
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id if there is one."""
