@@ -6,8 +6,11 @@
    fixed order is exact, this one keeps lists short) and deals its prefix, the
    part that two linked sets must share an element of, to buckets of elements.
    A map task sends a set once, however many copies of it there are. A bucket
-   chains the sets of an element whose sizes are compatible; the chains give
-   groups of candidates.
+   keeps the elements that several sets of compatible sizes share; there sets
+   meet by parity sketches. The sketch of a set has a bit for every class of a
+   hash, flipped by each element of it, so two sketches differ in no more bits
+   than the sets differ in elements: a pair that is linked always passes, and
+   sets that share a passage hardly ever do. What passes gives candidate groups.
 3. Groups, split into pairs of blocks where they are large, are joined exactly
    by set-relation skipping. Index lists are ordered by set size, so a lookup
    jumps over all positions whose sizes cannot match. The overlaps of a set
@@ -22,23 +25,29 @@ A node is a 64-bit hash of the whole set and its size.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm.components import components
 from tallyroom.llm.shingles import Shingler
-from tallyroom.llm.words import gather, share, shared, slices
+from tallyroom.llm.words import all_columns, gather, share, shared, slices
 from tallyroom.session import cut_lineage
 
 #: Links: WHOLE * intersection >= PART * union.
 PART, WHOLE = 75, 100
-COUNTERS = 18
+COUNTERS, SLOT = 22, 1 << 16
+#: Tasks whose counters are summed apart at first.
+PARTS = 256
 #: Shingles of one bucket of prefixes, and of one block of a candidate group.
 BUCKET, BLOCK = 4_000_000, 1_000_000
+#: Entries of shared elements in one task, and the longest list whose sets meet one by one there.
+LISTS, LONGEST = 40_000, 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,8 +59,8 @@ def sets_of(texts: list[str], shingler: Shingler) -> tuple[np.ndarray, np.ndarra
     """Distinct shingles of every text (ascending), their offsets and the node of each set."""
     hashed, offset = shingler.run(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(offset))
-    order = np.lexsort((hashed, owner))
-    hashed, owner = hashed[order], owner[order]
+    for a, b in zip(offset[:-1].tolist(), offset[1:].tolist()):
+        hashed[a:b].sort()
     first = np.ones(len(hashed), bool)
     first[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
     hashed, owner = hashed[first], owner[first]
@@ -64,47 +73,73 @@ def sets_of(texts: list[str], shingler: Shingler) -> tuple[np.ndarray, np.ndarra
     return hashed, offset, node.view(np.int64)
 
 
+def sketch(hashed: np.ndarray) -> bytes:
+    """Parity of the elements in every class; as many classes as elements, at least 128."""
+    classes = max(128, 1 << max(len(hashed) - 1, 0).bit_length())
+    mixed = (hashed ^ (hashed >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    odd = np.bincount(((mixed >> np.uint64(20)) & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def halved(sketches: np.ndarray) -> np.ndarray:
+    """Sketches with half as many classes."""
+    words = sketches.shape[1] // 2
+    return sketches[:, :words] ^ sketches[:, words:]
+
+
 def profile(documents: DataFrame, text: str) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, node) per document; (slot, counts) per task and slot of counters."""
+    """Rows of two kinds: (doc_id, n, node, sketch) per document; (slot, part, counts)
+    per task and slot of counters, packed."""
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    width = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(), np.zeros(1 << COUNTERS, np.int64)
+        shingler, counts = Shingler(), np.zeros(1 << COUNTERS, np.uint32)
+        part_of = TaskContext.get().partitionId() % PARTS
 
-        def rows(ids, n, node, slot, count) -> pa.RecordBatch:
+        def rows(ids, n, node, bits, slot, count) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(slot, pa.int32()),
-                 pa.array(count, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "slot", "counts"],
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()),
+                 pa.array(slot, pa.int32()), pa.array([None if s is None else part_of for s in slot], pa.int32()), pa.array(count, pa.binary())],
+                names=["doc_id", "n", "node", "sketch", "slot", "part", "counts"],
             )
 
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 hashed, offset, node = sets_of(texts, shingler)
-                counts += np.bincount(counter(hashed), minlength=1 << COUNTERS)
+                counts += np.bincount(counter(hashed), minlength=1 << COUNTERS).astype(np.uint32)
                 none = [None] * len(texts)
-                yield rows(part.column("doc_id"), np.diff(offset), node, none, none)
-        used = [k for k in range(0, 1 << COUNTERS, width) if counts[k : k + width].any()]
+                bits = [sketch(hashed[a:b]) for a, b in zip(offset[:-1].tolist(), offset[1:].tolist())]
+                yield rows(part.column("doc_id"), np.diff(offset), node, bits, none, none)
+        used = [k for k in range(0, 1 << COUNTERS, SLOT) if counts[k : k + SLOT].any()]
         none = [None] * len(used)
-        yield rows(none, none, none, [k // width for k in used], [counts[k : k + width].tolist() for k in used])
+        yield rows(none, none, none, none, [k // SLOT for k in used], [zlib.compress(counts[k : k + SLOT].tobytes(), 1) for k in used])
 
-    return source.mapInArrow(run, "doc_id bigint, n bigint, node bigint, slot int, counts array<bigint>")
+    return source.mapInArrow(run, "doc_id bigint, n bigint, node bigint, sketch binary, slot int, part int, counts binary")
 
 
 def frequencies(profiled: DataFrame) -> np.ndarray:
-    """The counters over all documents: a list of fixed length."""
-    rows = (
-        profiled.filter("slot IS NOT NULL").select("slot", F.posexplode("counts").alias("at", "count")).filter("count > 0")
-        .groupBy((F.col("slot") * 1024 + F.col("at")).alias("counter")).agg(F.sum("count").alias("count")).collect()
-    )
-    out = np.zeros(1 << COUNTERS, np.int64)
-    out[[r[0] for r in rows]] = [r[1] for r in rows]
-    return out
-
-
-def candidates(documents: DataFrame, text: str, frequency: np.ndarray, buckets: int) -> DataFrame:
-    """Edges (a, b) between nodes that share a prefix element and may have compatible sizes."""
+    """The counters over all documents, as steps of a quarter of a power of two: a
+    list of fixed length, one byte each. Tasks are summed in two levels."""
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        total = np.zeros(SLOT, np.uint64)
+        for packed in group.column("counts").to_pylist():
+            data = zlib.decompress(packed)
+            total += np.frombuffer(data, "<u4" if len(data) == 4 * SLOT else "<u8").astype(np.uint64)
+        return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    out = "slot int, counts binary"
+    rows = profiled.filter("slot IS NOT NULL").select("slot", "part", "counts")
+    some = rows.groupBy("slot", "part").applyInArrow(add, out)
+    steps = np.zeros(1 << COUNTERS, np.uint8)
+    for r in some.groupBy("slot").applyInArrow(add, out).collect():
+        count = np.frombuffer(zlib.decompress(r.counts), "<u8").astype(float)
+        steps[r.slot * SLOT : (r.slot + 1) * SLOT] = np.round(4 * np.log2(count + 1)).astype(np.uint8)
+    return steps
+
+
+def shared_elements(documents: DataFrame, text: str, frequency: np.ndarray, buckets: int) -> DataFrame:
+    """element, node: prefix elements that several nodes of compatible sizes share."""
     handle = share(documents.sparkSession, frequency)  # 2 ** COUNTERS numbers
     source = documents.filter(F.col("doc_id").isNotNull()).select(F.col(text).alias("text"))
 
@@ -135,12 +170,15 @@ def candidates(documents: DataFrame, text: str, frequency: np.ndarray, buckets:
                 fresh = np.array(fresh, np.int64)
                 hashed, offset = gather(hashed, offset, fresh)
                 n = np.diff(offset)
-                owner = np.repeat(np.arange(len(fresh)), n)
-                order = np.lexsort((hashed, count[counter(hashed)], owner))
                 length = n - -(-PART * n // WHOLE) + 1
-                keep = np.arange(len(hashed)) - offset[:-1][owner] < length[owner]
-                held.append((hashed[order][keep], node[fresh][owner[keep]], n[owner[keep]].astype(np.int32)))
-                size += int(keep.sum())
+                step = count[counter(hashed)]
+                order = [
+                    a + np.argsort(step[a:b], kind="stable")[:k]
+                    for a, b, k in zip(offset[:-1].tolist(), offset[1:].tolist(), length.tolist())
+                ]
+                if order:
+                    held.append((hashed[np.concatenate(order)], np.repeat(node[fresh], length), np.repeat(n.astype(np.int32), length)))
+                    size += int(length.sum())
                 if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
@@ -154,18 +192,79 @@ def candidates(documents: DataFrame, text: str, frequency: np.ndarray, buckets:
         element, node, n = element[order], node[order], n[order]
         new = np.ones(len(node), bool)
         new[1:] = (element[1:] != element[:-1]) | (WHOLE * n[:-1] < PART * n[1:])
-        head = node[np.maximum.accumulate(np.where(new, np.arange(len(node)), 0))]
-        apart = head != node
-        pair = np.unique(np.stack([head[apart], node[apart]], axis=1), axis=0)
-        return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+        # one list per element and stretch of compatible sizes, each node once
+        again = ~new
+        again[1:] &= node[1:] == node[:-1]
+        first, node, n = np.cumsum(new)[~again] - 1, node[~again], n[~again]
+        lists = element[new]
+        size = np.bincount(first, minlength=len(lists))
+        several = size[first] > 1
+        name = (lists * GOLDEN + np.arange(len(lists), dtype=np.uint64))[first[several]]
+        return pa.table({"element": pa.array(name.view(np.int64), pa.int64()), "node": pa.array(node[several], pa.int64())})
 
     dealt = source.mapInArrow(prefixes, "bucket int, element binary, node binary, n binary")
-    return dealt.groupBy("bucket").applyInArrow(chain, "a bigint, b bigint")
+    return dealt.groupBy("bucket").applyInArrow(chain, "element bigint, node bigint")
+
+
+def near_pairs(nodes: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
+    """A forest over the pairs of one list whose sizes and sketches allow a link."""
+    root = {}
+
+    def top(k: int) -> int:
+        while root.setdefault(k, k) != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    edges = []
+    words = np.array([len(s) // 8 for s in sketches])
+    for width in np.unique(words).tolist():  # sizes of linked sets differ by less than two
+        own = np.flatnonzero((words == width) | (words == 2 * width))
+        bits = np.stack([
+            w if len(w) == width else halved(w[None])[0] for w in (np.frombuffer(sketches[k], "<u8") for k in own.tolist())
+        ])
+        for i in range(len(own) - 1):
+            apart = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            # WHOLE * (s - d) >= PART * (s + d) for total size s and difference d
+            both = sizes[own[i + 1 :]] + sizes[own[i]]
+            # two sets with finer sketches meet at their own width
+            here = (words[own[i]] == width) | (words[own[i + 1 :]] == width)
+            for j in np.flatnonzero(here & ((WHOLE + PART) * apart <= (WHOLE - PART) * both)).tolist():
+                a, b = top(int(own[i])), top(int(own[i + 1 + j]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    edges.append((int(nodes[own[i]]), int(nodes[own[i + 1 + j]])))
+    return edges
+
+
+def candidates(shared_: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Edges (a, b) of candidate groups, from lists of nodes that share an element."""
+    count = shared_.count()
+    parts = max(8, -(-count // LISTS))
+    met = shared_.join(sizes.select("node", "n", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("element"), F.lit(parts)).cast("int"))
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("element", "ascending"), ("n", "ascending"), ("node", "ascending")])
+        element, node, n = (group.column(c).to_numpy() for c in ("element", "node", "n"))
+        begin = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
+        edges: set[tuple[int, int]] = set()
+        bits = group.column("sketch")
+        for a, b in zip(begin.tolist(), np.append(begin[1:], len(element)).tolist()):
+            if b - a > LONGEST:  # too many to meet here: all of them stay candidates
+                edges.update((int(node[a]), int(x)) for x in node[a + 1 : b])
+            else:
+                edges.update(near_pairs(node[a:b], n[a:b], bits.slice(a, b - a).to_pylist()))
+        pair = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+
+    return met.groupBy("part").applyInArrow(meet, "a bigint, b bigint")
 
 
 def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets (ascending arrays), as index pairs."""
     count = len(sets)
+    if count < 2:
+        return []
     order = sorted(range(count), key=lambda k: len(sets[k]))
     size = np.array([len(sets[k]) for k in order], np.int64)
     flat = np.concatenate([sets[k] for k in order])
@@ -228,31 +327,32 @@ def links(documents: DataFrame, text: str, groups: DataFrame, sizes: DataFrame)
     blocks = known.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     dealt = known.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc"), F.col(text).alias("text"))
-    met = source.join(dealt.select("doc", "node", "root", "blocks", "own"), "doc")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                hashed, offset, node = sets_of(texts, shingler)
-                # of several texts under one id, the one that is the node
-                same = pa.array(node == part.column("node").to_numpy())
-                data = pa.array([hashed[a:b].tobytes() for a, b in zip(offset[:-1], offset[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("node", "root", "blocks", "own")), data], names=["node", "root", "blocks", "own", "set"]
-                ).filter(same)
-
-    sets = met.mapInArrow(to_sets, "node bigint, root bigint, blocks int, own int, set binary").dropDuplicates(["node"])
+                data = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(data, pa.binary())], names=["doc", "data"])
+
+    met = source.mapInArrow(pack, "doc bigint, data binary").join(dealt.select("doc", "node", "root", "blocks", "own"), "doc")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    parts = sets.withColumn("_other", other).select(
-        "node", "set", "root", F.least("own", "_other").alias("left"), F.greatest("own", "_other").alias("right")
+    parts = met.withColumn("_other", other).select(
+        "node", "data", "root", F.least("own", "_other").alias("left"), F.greatest("own", "_other").alias("right")
     )
 
     def join(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        node = group.column("node").to_numpy()
-        found = np.array(linked([np.frombuffer(s, "<u8") for s in group.column("set").to_pylist()]), np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(node[found[:, 0]], pa.int64()), "b": pa.array(node[found[:, 1]], pa.int64())})
+        shingler, found = Shingler(), {}
+        packed, names = group.column("data").to_pylist(), group.column("node").to_pylist()
+        for at in range(0, len(names), 256):
+            texts = [zlib.decompress(d).decode("utf-8", "surrogatepass") for d in packed[at : at + 256]]
+            hashed, offset, node = sets_of(texts, shingler)
+            for name, wanted, a, b in zip(node.tolist(), names[at : at + 256], offset[:-1], offset[1:]):
+                if name == wanted:  # of several texts under one id, the one that is the node
+                    found[name] = hashed[a:b].copy()
+        nodes = sorted(found)
+        pair = np.array(linked([found[n] for n in nodes]), np.int64).reshape(-1, 2)
+        node = np.array(nodes, np.int64)
+        return pa.table({"a": pa.array(node[pair[:, 0]], pa.int64()), "b": pa.array(node[pair[:, 1]], pa.int64())})
 
     return parts.groupBy("root", "left", "right").applyInArrow(join, "a bigint, b bigint")
 
@@ -261,12 +361,15 @@ def jaccard_components(documents: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     profiled = cut_lineage(profile(documents, text))
     rows = profiled.filter("slot IS NULL").select("doc_id", "n", "node")
-    nodes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"))
+    nodes = (
+        profiled.filter("slot IS NULL AND n > 0 AND doc_id IS NOT NULL")
+        .groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+    )
     total = rows.agg(F.sum("n")).first()[0] or 0
-    edges = candidates(documents, text, frequencies(profiled), max(8, -(-total // BUCKET)))
-    groups = components(edges)
-    roots = components(links(documents, text, groups, nodes))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lists = cut_lineage(shared_elements(documents, text, frequencies(profiled), max(8, -(-total // BUCKET))))
+    groups = components(candidates(lists, nodes))
+    roots = components(links(documents, text, groups, nodes.drop("sketch")))
+    named = nodes.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     of_node = named.join(least, "root").select("node", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
@@ -281,5 +384,5 @@ def jaccard_components(documents: DataFrame, text: str = "text") -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each group of linked ones: the smallest id. Rows without an id stay."""
     first = jaccard_components(documents).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = documents.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    kept = documents.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*all_columns(documents))
     return kept.unionAll(documents.filter(F.col("doc_id").isNull()))

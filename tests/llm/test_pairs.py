@@ -111,3 +111,23 @@ def test_leaks_equal_all_pairs(spark, frame, monkeypatch, chars):
     assert sorted(r.doc_id for r in cleaned.collect()) == sorted(d for d, _ in rows if d not in {e[0] for e in expected})
     assert decontamination.leaks(frame([]), benchmark).count() == 0
     assert decontamination.leaks(documents, benchmark.limit(0)).count() == 0
+
+
+def test_sketches_never_hide_a_link():
+    import numpy as np
+
+    rng = random.Random(17)
+    for _ in range(40):
+        base = rng.sample(range(10**6), rng.choice([5, 100, 130, 260, 700]))
+        sets = [np.unique(np.array([x if rng.random() < 0.9 else rng.randrange(10**6) for x in base[: rng.randrange(3 * len(base) // 4, len(base) + 1)]], np.uint64)) for _ in range(9)]
+        sets.append(np.unique(np.array(rng.sample(range(10**6), len(base)), np.uint64)))
+        sizes = np.array([len(s) for s in sets])
+        root = list(range(10))
+        for a, b in jaccard.near_pairs(np.arange(10), sizes, [jaccard.sketch(s) for s in sets]):
+            root = [root[b] if r == root[a] else r for r in root]
+        for a in range(10):
+            for b in range(a):
+                if 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b])):
+                    assert root[a] == root[b]
+        if len(base) >= 100:
+            assert all(root[9] != r for r in root[:9])  # an unrelated set of the same size stays apart
