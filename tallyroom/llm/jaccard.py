@@ -25,13 +25,14 @@ A node is a 64-bit hash of the whole set and its size.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.llm.components import components
@@ -88,19 +89,19 @@ def halved(sketches: np.ndarray) -> np.ndarray:
 
 
 def profile(documents: DataFrame, text: str) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, node, sketch) per document; (slot, part, counts)
-    per task and slot of counters, packed."""
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    """Rows of two kinds: (doc_id, mark, n, node, sketch) per document, mark a hash of its
+    text; (slot, part, counts) per task and slot of counters, packed."""
+    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(), np.zeros(1 << COUNTERS, np.uint32)
         part_of = TaskContext.get().partitionId() % PARTS
 
-        def rows(ids, n, node, bits, slot, count) -> pa.RecordBatch:
+        def rows(ids, mark, n, node, bits, slot, count) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()),
+                [pa.array(ids, pa.int64()), pa.array(mark, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()),
                  pa.array(slot, pa.int32()), pa.array([None if s is None else part_of for s in slot], pa.int32()), pa.array(count, pa.binary())],
-                names=["doc_id", "n", "node", "sketch", "slot", "part", "counts"],
+                names=["doc_id", "mark", "n", "node", "sketch", "slot", "part", "counts"],
             )
 
         for batch in batches:
@@ -109,12 +110,12 @@ def profile(documents: DataFrame, text: str) -> DataFrame:
                 counts += np.bincount(counter(hashed), minlength=1 << COUNTERS).astype(np.uint32)
                 none = [None] * len(texts)
                 bits = [sketch(hashed[a:b]) for a, b in zip(offset[:-1].tolist(), offset[1:].tolist())]
-                yield rows(part.column("doc_id"), np.diff(offset), node, bits, none, none)
+                yield rows(part.column("doc_id"), part.column("mark"), np.diff(offset), node, bits, none, none)
         used = [k for k in range(0, 1 << COUNTERS, SLOT) if counts[k : k + SLOT].any()]
         none = [None] * len(used)
-        yield rows(none, none, none, none, [k // SLOT for k in used], [zlib.compress(counts[k : k + SLOT].tobytes(), 1) for k in used])
+        yield rows(none, none, none, none, none, [k // SLOT for k in used], [zlib.compress(counts[k : k + SLOT].tobytes(), 1) for k in used])
 
-    return source.mapInArrow(run, "doc_id bigint, n bigint, node bigint, sketch binary, slot int, part int, counts binary")
+    return source.mapInArrow(run, "doc_id bigint, mark bigint, n bigint, node bigint, sketch binary, slot int, part int, counts binary")
 
 
 def frequencies(profiled: DataFrame) -> np.ndarray:
@@ -357,19 +358,26 @@ def links(documents: DataFrame, text: str, groups: DataFrame, sizes: DataFrame)
     return parts.groupBy("root", "left", "right").applyInArrow(join, "a bigint, b bigint")
 
 
-def jaccard_components(documents: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def rooted(documents: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, mark, n, node of every row; node, root, n of every set that has an id,
+    with the smallest id (doc) of its rows and the text (mark) of that."""
     profiled = cut_lineage(profile(documents, text))
-    rows = profiled.filter("slot IS NULL").select("doc_id", "n", "node")
+    rows = profiled.filter("slot IS NULL").select("doc_id", "mark", "n", "node")
     nodes = (
         profiled.filter("slot IS NULL AND n > 0 AND doc_id IS NOT NULL")
-        .groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+        .groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+        .select("node", F.col("least.doc_id").alias("doc"), F.col("least.mark").alias("mark"), "n", "sketch")
     )
     total = rows.agg(F.sum("n")).first()[0] or 0
     lists = cut_lineage(shared_elements(documents, text, frequencies(profiled), max(8, -(-total // BUCKET))))
     groups = components(candidates(lists, nodes))
-    roots = components(links(documents, text, groups, nodes.drop("sketch")))
-    named = nodes.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = components(links(documents, text, groups, nodes.select("node", "doc", "n")))
+    return rows, nodes.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def jaccard_components(documents: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows, named = rooted(documents, text)
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     of_node = named.join(least, "root").select("node", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
@@ -382,7 +390,17 @@ def jaccard_components(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each group of linked ones: the smallest id. Rows without an id stay."""
-    first = jaccard_components(documents).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = documents.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*all_columns(documents))
-    return kept.unionAll(documents.filter(F.col("doc_id").isNull()))
+    """``documents`` with one row of each group of linked ones: the smallest id, and of
+    several texts under that id the smallest node. Rows are judged by id and text, so
+    unlinked texts under one id all stay; a repeated row (same id and text) stays once.
+    Rows without an id stay."""
+    rows, named = rooted(documents, "text")
+    first = named.groupBy("root").agg(F.min(F.struct("doc", "node", "mark")).alias("r")).select(F.col("r.doc").alias("_doc"), F.col("r.mark").alias("_mark"))
+    blank = rows.filter("n = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct()
+    ordered = [f"`{f.name}`" for f in documents.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    key = [F.col("doc_id").cast("bigint"), F.xxhash64("text")]
+    row = F.struct(*all_columns(documents)).alias("_row")
+    marked = documents.filter(F.col("doc_id").isNotNull()).select(row, key[0].alias("_doc"), key[1].alias("_mark"))
+    same = Window.partitionBy("_doc", "_mark").orderBy(*[F.col(f"_row.{c}") for c in ordered])
+    kept = marked.join(first.unionAll(blank), ["_doc", "_mark"], "left_semi").withColumn("_at", F.row_number().over(same))
+    return kept.filter("_at = 1").select("_row.*").unionAll(documents.filter(F.col("doc_id").isNull()))

@@ -57,6 +57,14 @@ def test_one_of_each_keeps_columns_and_groups(frame):
     assert jaccard.jaccard_components(frame([])).count() == 0
 
 
+def test_unlinked_texts_under_one_id_all_stay(frame):
+    alone, near = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, near), (7, alone), (7, near + " more"), (7, "c d e f g h"), (8, "C d  e f g h"), (9, None), (9, ""), (9, ""), (9, "k l m n o")]
+    for documents in (frame(rows), frame(rows[::-1]).repartition(3)):
+        kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(documents).collect()]
+        assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[3], (9, None), (9, ""), rows[8]], key=str)
+
+
 def test_linked_gives_a_forest_of_all_links():
     import numpy as np
 
