@@ -36,9 +36,40 @@ CONTRACTS = {
     for t, columns in CONTRACTS.items() for c, kind in columns.items()
 ))
 def schema_contract(spark: SparkSession, sf: str) -> DataFrame:
-    # Date columns are left to the readers: their timestamp flavour depends on the writer.
-    checked = {n: (table(spark, sf, n).select(*c), c) for n, c in CONTRACTS.items()}
-    return contracts.contract_reports(checked)
+    # Whole tables: a declared column that is gone is a row, not an error. Columns that
+    # CONTRACTS leaves out are the subject of schema_drift.
+    checked = {n: (table(spark, sf, n), c) for n, c in CONTRACTS.items()}
+    return contracts.contract_reports(checked).filter("declared_type IS NOT NULL")
+
+
+# Every table with every column, then some drift on purpose: a changed type, columns
+# that no table has, and columns that nothing declares.
+DECLARED = {t: dict(columns) for t, columns in CONTRACTS.items()}
+DECLARED["orders"]["o_orderdate"] = DECLARED["lineitem"]["l_shipdate"] = DECLARED["events"]["ts"] = "timestamp_ntz"
+DECLARED["embeddings"] = {"vec_id": "bigint", "embedding": "array<float>", "label": "int"}
+GONE = {"nation": "n_comment", "conversations": "language"}
+DECLARED["nation"] |= {"n_regionkey": "bigint", GONE["nation"]: "string"}
+DECLARED["conversations"][GONE["conversations"]] = "string"
+del DECLARED["labels"]["toxic"], DECLARED["supplier"]["s_acctbal"]
+
+
+@query("schema_drift", f"""
+WITH found AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, column_type FROM (DESCRIBE {t})" for t in DECLARED)}),
+typed AS (
+  SELECT table_name, column_name, CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+    WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(column_type) END AS actual_type FROM found
+),
+declared(table_name, column_name, declared_type) AS (VALUES {", ".join(f"('{t}', '{c}', '{kind}')" for t, columns in DECLARED.items() for c, kind in columns.items())}),
+empty AS ({" UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS null_rows FROM {t}"
+    for t, columns in DECLARED.items() for c in columns if GONE.get(t) != c
+)})
+SELECT table_name, column_name, declared_type, actual_type,
+  CASE WHEN actual_type IS NULL THEN 'missing' WHEN declared_type IS NULL THEN 'extra' WHEN actual_type = declared_type THEN 'ok' ELSE 'changed' END AS status, null_rows
+FROM declared FULL JOIN typed USING (table_name, column_name) LEFT JOIN empty USING (table_name, column_name)
+""")
+def schema_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return contracts.contract_reports({n: (table(spark, sf, n), c) for n, c in DECLARED.items()})
 
 
 @query("csv_quality_profile", """

@@ -4,6 +4,7 @@ import datetime
 import io
 import json
 import zipfile
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.operators import projection
 from tallyroom.operators.digests import record_digest, set_digest
+from tallyroom.plans import QUERIES
 from tallyroom.sources import adapters, archives, contracts, documents, editions, inventory, sinks
 from tallyroom.streaming import intake
 
@@ -116,6 +118,21 @@ def test_contract_reports_drift(spark):
     assert rows(out, "column_name", "status", "null_rows") == [("a", "changed", 0), ("b", "ok", 1), ("c", "missing", None)]
 
 
+def test_schema_queries_see_whole_tables(spark, tmp_path):
+    given = Path("/root/testdata/sf0.001")
+    for f in given.iterdir():
+        (tmp_path / f.name).symlink_to(f)
+    (tmp_path / "region.parquet").unlink()
+    spark.read.parquet(f"{given}/region.parquet").selectExpr("cast(r_regionkey as string) AS r_regionkey", "1 AS added").write.parquet(f"{tmp_path}/region.parquet")
+    found = {name: {(r.table_name, r.column_name): r.status for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("schema_contract", "schema_drift")}
+    for report in found.values():
+        assert (report["region", "r_regionkey"], report["region", "r_name"]) == ("changed", "missing")
+    drift = found["schema_drift"]
+    assert {k for k, v in drift.items() if v == "extra"} == {("region", "added"), ("labels", "toxic"), ("supplier", "s_acctbal")}
+    assert drift["nation", "n_comment"] == "missing" and drift["nation", "n_regionkey"] == "changed"
+    assert {drift[c] for c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts"), ("embeddings", "embedding"))} == {"ok"}
+
+
 REMARK = "Now part of (dissolution) - Maintenant partie de (dissolution) - Chapple , TP"
 
 
