@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -111,6 +112,87 @@ def context_agreement(artifacts: list[DataFrame], key: str, field: str) -> DataF
     )
 
 
+@dataclass(frozen=True)
+class Rule:
+    """How artifacts must agree on one field.
+
+    ``compare``: ``exact``; ``upper`` (without case); ``text`` (without case and
+    repeated spaces, an empty text is no value); ``prefix`` (as text, every value
+    starts with that of the first artifact). ``artifacts`` are compared (all, if
+    empty), ``required`` must carry a value. ``together``: all of them carry one or
+    none does. ``anchored``: a value differs from no value in the first artifact.
+    """
+
+    field: str
+    compare: str = "exact"
+    artifacts: tuple[str, ...] = ()
+    required: tuple[str, ...] = ()
+    together: bool = False
+    anchored: bool = False
+
+
+def compared(value: Column, how: str) -> Column:
+    value = value.cast("string")
+    if how in ("text", "prefix"):
+        return F.nullif(F.lower(F.trim(F.regexp_replace(value, r"(?U)\s+", " "))), F.lit(""))
+    if how not in ("exact", "upper"):
+        raise ValueError(f"unknown comparison {how}")
+    return F.upper(value) if how == "upper" else value
+
+
+def context_fields(artifacts: dict[str, DataFrame], key: str, rules: dict[str, Rule], strict: bool) -> DataFrame:
+    """One row per key and rule: status (agree, disagree or silent), the artifacts whose
+    value is missing, and severity. A disagreement is an error; a missing value is one
+    in strict mode and a warning otherwise. An artifact without a row for a key carries
+    no value. A field that an artifact has no column for is not carried by it.
+
+    All rules come from one aggregation per key.
+    """
+    order = list(artifacts)
+    names = {r: rule.artifacts or tuple(order) for r, rule in rules.items()}
+    unknown = {a for r, rule in rules.items() for a in (*names[r], *rule.required)} - set(order)
+    if unknown:
+        raise ValueError(f"unknown artifacts {sorted(unknown)}")
+
+    def cells(name: str, df: DataFrame) -> DataFrame:
+        values = [
+            compared(F.col(f"`{rule.field}`"), rule.compare) if rule.field in df.columns and name in {*names[r], *rule.required} else F.lit(None).cast("string")
+            for r, rule in rules.items()
+        ]
+        return df.select(key, F.lit(order.index(name)).alias("_a"), *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+
+    every, shown = [], []
+    for i, (r, rule) in enumerate(rules.items()):
+        value, at = F.col(f"_v{i}"), F.col("_a")
+        inside = at.isin([order.index(a) for a in names[r]])
+        first = at == order.index(names[r][0])
+        every += [
+            F.min(F.when(inside, value)).alias(f"_low{i}"), F.max(F.when(inside, value)).alias(f"_high{i}"),
+            F.min(F.when(first, value)).alias(f"_lead{i}"),
+            *[F.count(F.when(at == k, value)).alias(f"_n{i}_{k}") for k in range(len(order))],
+        ]
+        low, high, lead = (F.col(f"_{x}{i}") for x in ("low", "high", "lead"))
+        has = {a: F.col(f"_n{i}_{order.index(a)}") > 0 for a in order}
+        # what sorts between two texts with the same beginning has that beginning too
+        same = F.coalesce(F.startswith(low, lead) & F.startswith(high, lead), F.lit(True)) if rule.compare == "prefix" else low == high
+        if rule.anchored:
+            same = same & lead.isNotNull()
+        some = reduce(lambda x, y: x | y, [has[a] for a in names[r]])
+        lacks = [
+            F.when(~has[a] & (F.lit(a in rule.required) | (F.lit(rule.together and a in names[r]) & some)), a) for a in order
+        ]
+        shown.append(F.struct(
+            F.lit(r).alias("rule"),
+            F.when(low.isNull(), "silent").when(same, "agree").otherwise("disagree").alias("status"),
+            F.concat_ws(", ", *lacks).alias("missing"),
+        ))
+    rows = reduce(DataFrame.unionByName, [cells(name, df) for name, df in artifacts.items()])
+    wrong = (F.col("status") == "disagree") | ((F.col("missing") != "") & F.lit(strict))
+    return rows.groupBy(key).agg(*every).select(key, F.explode(F.array(*shown)).alias("_r")).select(key, "_r.*").withColumn(
+        "severity", F.when(wrong, "error").when(F.col("missing") != "", "warning").otherwise("none")
+    )
+
+
 def request_cover(requests: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     """Every required request needs a closing source or a gap.
 

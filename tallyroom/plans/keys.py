@@ -280,6 +280,75 @@ def context_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return crosswalk.context_agreement([pack, ledger, receipt], "code", "field")
 
 
+# What must agree of a place in its pack (customer), ledger (supplier) and receipt (events).
+CONTEXT = {
+    "slug": crosswalk.Rule("slug", required=("pack", "ledger", "receipt")),
+    "name": crosswalk.Rule("name", "text", ("pack", "ledger"), ("ledger",)),
+    "display name": crosswalk.Rule("name", "prefix", ("pack", "receipt")),
+    "level": crosswalk.Rule("level"),
+    "code": crosswalk.Rule("nation", artifacts=("pack", "ledger"), together=True),
+    "year": crosswalk.Rule("year", required=("ledger", "receipt"), anchored=True),
+    "currency": crosswalk.Rule("currency", "upper", required=("ledger", "receipt"), anchored=True),
+}
+
+
+@query("context_fields", """
+WITH c AS (SELECT c_custkey AS code, right(c_name, 4) AS slug, lower(c_name) AS name, c_nationkey % 2 AS level, c_nationkey AS nation,
+    c_nationkey % 3 AS year, CASE WHEN c_mktsegment <> 'BUILDING' THEN CASE WHEN c_acctbal < 0 THEN 'usd' ELSE 'cad' END END AS currency FROM customer),
+s AS (SELECT s_suppkey AS code, right(s_name, 4) AS slug, CASE WHEN s_suppkey % 3 = 0 THEN lower(s_name) WHEN s_suppkey % 3 = 1 THEN lower(replace(s_name, 'Supplier', 'Customer')) END AS name,
+    s_nationkey % 2 AS level, CASE WHEN s_suppkey % 4 > 0 THEN CASE WHEN s_suppkey % 4 = 1 THEN s_nationkey ELSE s_suppkey % 25 END END AS nation, s_nationkey % 3 AS year,
+    CASE WHEN s_acctbal < 0 THEN 'USD' ELSE 'CAD' END AS currency FROM supplier),
+e AS (SELECT user_id AS code, lpad(CAST(user_id % 997 AS VARCHAR), 4, '0') AS slug,
+    CASE user_id % 4 WHEN 0 THEN 'user' ELSE 'customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') || ' (in town)' END AS name,
+    CASE WHEN max(value) > 150 THEN 1 END AS level, CASE WHEN min(value) < 5 THEN user_id % 3 END AS year, 'CAD' AS currency FROM events GROUP BY 1),
+j AS (
+  SELECT coalesce(c.code, s.code, e.code) AS code, c.slug AS cs, s.slug AS ss, e.slug AS es, c.name AS cn, s.name AS sn, e.name AS en,
+    c.level AS cl, s.level AS sl, e.level AS el, c.nation AS ca, s.nation AS sa, c.year AS cy, s.year AS sy, e.year AS ey, upper(c.currency) AS cu, s.currency AS su, e.currency AS eu
+  FROM c FULL JOIN s ON s.code = c.code FULL JOIN e ON e.code = coalesce(c.code, s.code)
+),
+r AS (
+  SELECT code, 'slug' AS rule, CASE WHEN coalesce(cs, ss, es) IS NULL THEN 'silent' WHEN cs <> ss OR cs <> es OR ss <> es THEN 'disagree' ELSE 'agree' END AS status,
+    concat_ws(', ', CASE WHEN cs IS NULL THEN 'pack' END, CASE WHEN ss IS NULL THEN 'ledger' END, CASE WHEN es IS NULL THEN 'receipt' END) AS missing FROM j
+  UNION ALL SELECT code, 'name', CASE WHEN coalesce(cn, sn) IS NULL THEN 'silent' WHEN cn <> sn THEN 'disagree' ELSE 'agree' END, CASE WHEN sn IS NULL THEN 'ledger' ELSE '' END FROM j
+  UNION ALL SELECT code, 'display name', CASE WHEN coalesce(cn, en) IS NULL THEN 'silent' WHEN NOT starts_with(en, cn) THEN 'disagree' ELSE 'agree' END, '' FROM j
+  UNION ALL SELECT code, 'level', CASE WHEN coalesce(cl, sl, el) IS NULL THEN 'silent' WHEN cl <> sl OR cl <> el OR sl <> el THEN 'disagree' ELSE 'agree' END, '' FROM j
+  UNION ALL SELECT code, 'code', CASE WHEN coalesce(ca, sa) IS NULL THEN 'silent' WHEN ca <> sa THEN 'disagree' ELSE 'agree' END,
+    CASE WHEN ca IS NULL AND sa IS NOT NULL THEN 'pack' WHEN sa IS NULL AND ca IS NOT NULL THEN 'ledger' ELSE '' END FROM j
+  UNION ALL SELECT code, 'year', CASE WHEN coalesce(cy, sy, ey) IS NULL THEN 'silent' WHEN cy IS NULL OR cy <> sy OR cy <> ey THEN 'disagree' ELSE 'agree' END,
+    concat_ws(', ', CASE WHEN sy IS NULL THEN 'ledger' END, CASE WHEN ey IS NULL THEN 'receipt' END) FROM j
+  UNION ALL SELECT code, 'currency', CASE WHEN coalesce(cu, su, eu) IS NULL THEN 'silent' WHEN cu IS NULL OR cu <> su OR cu <> eu THEN 'disagree' ELSE 'agree' END,
+    concat_ws(', ', CASE WHEN su IS NULL THEN 'ledger' END, CASE WHEN eu IS NULL THEN 'receipt' END) FROM j
+)
+SELECT code, rule, status, missing, mode, CASE WHEN status = 'disagree' OR (missing <> '' AND mode = 'strict') THEN 'error' WHEN missing <> '' THEN 'warning' ELSE 'none' END AS severity
+FROM r CROSS JOIN (VALUES ('strict'), ('lenient')) m(mode)
+""")
+def context_fields(spark: SparkSession, sf: str) -> DataFrame:
+    key, user = F.col("s_suppkey"), F.col("user_id")
+    pack = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("code"), F.right("c_name", F.lit(4)).alias("slug"), F.col("c_name").alias("name"),
+        (F.col("c_nationkey") % 2).alias("level"), F.col("c_nationkey").alias("nation"), (F.col("c_nationkey") % 3).alias("year"),
+        F.when(F.col("c_mktsegment") != "BUILDING", F.when(F.col("c_acctbal") < 0, "usd").otherwise("cad")).alias("currency"),
+    )
+    shouted = F.concat(F.lit(" "), F.upper(F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))), F.lit("  "))
+    ledger = table(spark, sf, "supplier").select(
+        key.alias("code"), F.right("s_name", F.lit(4)).alias("slug"),
+        F.when(key % 3 == 0, F.col("s_name")).when(key % 3 == 1, shouted).otherwise(" ").alias("name"),
+        (F.col("s_nationkey") % 2).alias("level"),
+        F.when(key % 4 > 0, F.when(key % 4 == 1, F.col("s_nationkey")).otherwise(key % 25)).alias("nation"),
+        (F.col("s_nationkey") % 3).alias("year"), F.when(F.col("s_acctbal") < 0, "USD").otherwise("CAD").alias("currency"),
+    )
+    shown = F.concat(F.lit("Customer#"), F.lpad(user.cast("string"), 9, "0"), F.lit("  (In Town)"))
+    receipt = table(spark, sf, "events").groupBy(user.alias("code")).agg(F.max("value").alias("most"), F.min("value").alias("least")).select(
+        "code", F.lpad((F.col("code") % 997).cast("string"), 4, "0").alias("slug"), "most", "least", F.col("code").alias("user_id")
+    ).select(
+        "code", "slug", F.when(user % 4 == 0, "User").otherwise(shown).alias("name"), F.when(F.col("most") > 150, 1).alias("level"),
+        F.when(F.col("least") < 5, user % 3).alias("year"), F.lit("CAD").alias("currency"),
+    )
+    artifacts = {"pack": pack, "ledger": ledger, "receipt": receipt}
+    modes = [crosswalk.context_fields(artifacts, "code", CONTEXT, mode == "strict").withColumn("mode", F.lit(mode)) for mode in ("strict", "lenient")]
+    return modes[0].unionByName(modes[1])
+
+
 @query("request_cover", """
 WITH a AS (
   SELECT l_orderkey AS code, CASE l_returnflag WHEN 'A' THEN 'closing' WHEN 'N' THEN 'non-closing' ELSE 'gap' END AS kind,

@@ -17,6 +17,28 @@ def df(spark, schema, *data):
     return spark.createDataFrame(list(data), schema)
 
 
+def test_context_of_every_field(spark):
+    pack = spark.createDataFrame([(1, "a", "Old  Town", "7", "cad"), (2, "b", "North", "8", None), (3, "c", "", None, "cad")], "k int, slug string, name string, code string, currency string")
+    ledger = spark.createDataFrame([(1, "a", "old town ", 7, "CAD"), (2, "x", "South", None, "CAD"), (3, "c", None, None, None)], "k int, slug string, name string, code int, currency string")
+    receipt = spark.createDataFrame([(1, "a", "Old Town (Paris)"), (2, None, "Northern"), (4, "d", "x")], "k int, slug string, name string")
+    rules = {
+        "slug": crosswalk.Rule("slug", required=("pack", "ledger", "receipt")), "name": crosswalk.Rule("name", "text", ("pack", "ledger"), ("ledger",)),
+        "shown": crosswalk.Rule("name", "prefix", ("pack", "receipt")), "code": crosswalk.Rule("code", artifacts=("pack", "ledger"), together=True),
+        "currency": crosswalk.Rule("currency", "upper", ("pack", "ledger"), ("ledger",), anchored=True),
+    }
+    artifacts = {"pack": pack, "ledger": ledger, "receipt": receipt}
+    for strict, gap in ((True, "error"), (False, "warning")):
+        out = crosswalk.context_fields(artifacts, "k", rules, strict)
+        got = {(r.k, r.rule): (r.status, r.missing, r.severity) for r in out.collect()}
+        assert len(got) == out.count() == 20
+        assert all(got[1, r] == ("agree", "", "none") for r in rules)
+        assert got[2, "slug"] == ("disagree", "receipt", "error") and got[2, "name"] == ("disagree", "", "error")
+        assert got[2, "shown"] == ("agree", "", "none") and got[2, "code"] == ("agree", "ledger", gap)
+        assert got[2, "currency"] == ("disagree", "", "error") and got[3, "currency"] == ("agree", "ledger", gap)
+        assert got[3, "slug"] == ("agree", "receipt", gap) and got[3, "name"] == ("silent", "ledger", gap) and got[3, "code"] == ("silent", "", "none")
+        assert got[4, "slug"] == ("agree", "pack, ledger", gap)
+
+
 def test_crosswalk(spark):
     directory = df(spark, "entry string, name_key string, tier string", ("A", "a", "L"), ("B", "b", "L"), ("C", "c", "L"), ("D", "d", "L"), ("E", "e", "L"), ("F", "a", "U"), ("G", "g", "L"))
     filers = df(spark, "code string, name_key string, tier string", ("1", "a", "L"), ("2", "b", "L"), ("3", "b", "L"), ("4", "x", "L"), ("5", "e", "L"))
