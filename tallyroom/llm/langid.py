@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.llm import crf
@@ -31,6 +31,8 @@ BITS = 17
 SIZES = (1, 2, 3, 4)
 #: Rows the field is fitted on, per language; words of a piece and pieces of a row.
 SAMPLE_ROWS, PIECE_WORDS, PIECES = 250, 25, 8
+#: Longer texts are not used to fit.
+SAMPLE_CHARS = 50_000
 UNKNOWN = "und"
 
 
@@ -79,20 +81,16 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
 
 
 def sample_rows(documents: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` rows of each of at most 64 languages, picked by a hash of the
-    id; up to PIECES pieces spread over each of their texts are used to fit."""
-    known = documents.filter(allowed & F.col("doc_id").isNotNull() & (F.trim("lang") != "") & F.col("text").isNotNull())
-    languages = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    picked = []
-    for lang in languages:
-        ids = known.filter(F.col("lang") == lang).select("doc_id", "lang").distinct()
-        picked.append(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    if not picked:
-        return []
-    ids = picked[0]
-    for more in picked[1:]:
-        ids = ids.unionAll(more)
-    texts = documents.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).filter(F.length("text") <= 50_000)
+    """At most ``rows`` rows of each language, of those with at most SAMPLE_CHARS
+    characters, picked by a hash of the id; up to PIECES pieces spread over each of
+    their texts are used to fit."""
+    known = documents.filter(
+        allowed & F.col("doc_id").isNotNull() & (F.trim("lang") != "") & (F.length("text") <= SAMPLE_CHARS)
+    )
+    # Each task keeps its first rows of a language before they meet, so a common one is no hot key.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("doc_id", "lang").distinct().withColumn("_place", place).filter(F.col("_place") <= rows).drop("_place")
+    texts = documents.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).filter(F.length("text") <= SAMPLE_CHARS)
     return [(r.text, r.lang) for r in texts.select("text", "lang").collect()]
 
 

@@ -67,3 +67,12 @@ def test_language_of_words_and_documents(spark):
     empty = langid.language(documents.limit(0), F.lit(True))
     assert empty.count() == 0
     assert {r.lang_pred for r in langid.predict(documents, None, ["doc_id"]).collect()} == {"und"}
+
+
+def test_every_language_is_learnt_from_rows_short_enough(spark):
+    rows = [(10 * k + i, f"word{k} text", f"l{k:02}") for k in range(70) for i in range(4 if k else 2)]
+    rows += [(10_000 + i, "long " * 12_000, "l00") for i in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    picked = langid.sample_rows(documents, F.lit(True), 2)
+    assert sorted(lang for _, lang in picked) == sorted(f"l{k:02}" for k in range(70) for _ in range(2))
+    assert all(len(text) < 50 for text, _ in picked)
