@@ -39,9 +39,10 @@ def quantised(vector: Column, scale: float = 256.0) -> Column:
 
 
 def packed(rows: DataFrame, count: int, size: int, name: str) -> DataFrame:
-    """Rows (id, vector, dim) in blocks: (dim, ``name``, ids, values) with about ``size`` rows each."""
+    """Rows (id, vector, dim) in blocks: (dim, ``name``, ids, values) with about ``size`` rows each.
+    What a row holds decides its block, so a task that runs again deals its rows alike."""
     blocks = max(1, -(-count // size))
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int"))
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy().astype("<i8")

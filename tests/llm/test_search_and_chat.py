@@ -32,6 +32,17 @@ def test_top_k_equals_all_products(spark, monkeypatch):
     assert maxscore.top_k(table.limit(0), F.lit(True), 5).count() == 0
 
 
+def test_blocks_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 90, [i, -i], 2) for i in range(200)]  # some ids repeat
+
+    def blocks(given, parts):
+        table = spark.createDataFrame(given, "id bigint, vector array<bigint>, dim int").repartition(parts)
+        return {(r.block, tuple(sorted(zip(*[iter(r.vectors)] * 16)))) for r in maxscore.packed(table, 200, 20, "block").collect()}
+
+    seen = blocks(rows, 3)
+    assert seen == blocks(rows[::-1], 5) and len(seen) > 5
+
+
 def test_large_components_stay_exact(spark):
     rows = [(0, [2.0**20, 1.0]), (1, [2.0**20, 3.0]), (2, [2.0**20, 2.0])]
     out = maxscore.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, 5).collect()
