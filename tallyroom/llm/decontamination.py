@@ -12,6 +12,10 @@ The items are the stated query set. They are taken in blocks of at most
 ``BLOCK_CHARS`` characters (one item more at most), each broadcast and searched
 in one pass over the documents; how many blocks there are depends on the data.
 
+An item of one to four words is a single shingle, its whole sequence. Documents of
+five words or more have five-word shingles only, so such an item is found in a
+document of the same words and nothing else, and never inside a longer one.
+
 Null and empty texts hold and leak nothing. Repeated items give one result;
 repeated documents give one each.
 """
