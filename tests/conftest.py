@@ -22,9 +22,3 @@ def hot_keys(spark):
     spark.conf.set("spark.tallyroom.hotRows", "2")
     yield
     spark.conf.unset("spark.tallyroom.hotRows")
-
-
-def rows(df, *columns):
-    """Sorted plain tuples of the named columns."""
-    picked = [tuple(r[c] for c in columns) for r in df.collect()]
-    return sorted(picked, key=lambda t: tuple((v is not None, v) for v in t))

@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tallyroom.functions import numbers, privacy

@@ -1,7 +1,7 @@
 """Spend and levy receipts: one clean case and one planted defect per rule."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tallyroom.operators import filings, gates

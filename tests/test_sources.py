@@ -7,7 +7,7 @@ import zipfile
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tallyroom.operators import projection

@@ -1,6 +1,6 @@
 """Wide rows printed on a page, read back per area."""
 
-from conftest import rows
+from helpers import rows
 
 from tallyroom.sources.tables_on_pages import footer_controls, service_rows
 
