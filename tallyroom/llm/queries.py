@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import chat, decontamination, jaccard, langid, maxscore, pieces, pii, substrings, tokenfiles, toxicity
+from tallyroom.llm import (
+    chat, decontamination, jaccard, langid, maxscore, pieces, pii, substrings, tokenfiles, toxicity, turnrepair,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -223,3 +225,108 @@ FROM turns GROUP BY conv_id
 @query
 def op10_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations damaged by a hash of conversation and turn: rows dropped,
+    emptied, stripped of sentence ends, doubled, or given to the user."""
+    spoken = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = (F.crc32(F.concat(spoken("conv_id"), F.lit(":"), spoken("turn"))) % 20).alias("harm")
+    rows = conversations.select("conv_id", "turn", spoken("role").alias("role"), spoken("text").alias("text"), harm)
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("harm") == 3, 2).otherwise(1))
+    return rows.filter("harm <> 0").select(
+        "conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(times).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    repaired = turnrepair.repair(damaged(given))
+    every = given.filter("conv_id IS NOT NULL").select("conv_id").distinct()
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return every.join(repaired, "conv_id", "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in turnrepair.COUNTS),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(said, F.lit("")), 256).alias("repaired_sha256"),
+    )
+
+
+# The states of a role sequence are the four entries of a list, each the least
+# (cost, audit, repaired turns); a list of rows folds over them.
+_SPACE = r"\x20\x09-\x0D"
+_BEST = "list_min(list_filter([{}], lambda o: o.cost IS NOT NULL))"
+_EDIT = "{{'cost': {s}.cost + {price}, 'audit': {s}.audit || '{letter}', 'said': list_append({s}.said, {turn})}}"
+
+
+def _edit(state: str, price: str, letter: str, turn: str) -> str:
+    return _EDIT.format(s=state, price=price, letter=letter, turn=turn)
+
+
+def _drop(state: str) -> str:
+    return f"{{'cost': {state}.cost + 4, 'audit': {state}.audit || 'D', 'said': {state}.said}}"
+
+
+_INSERT_USER = "[s[1], s[2], " + _BEST.format(", ".join(["s[3]"] + [_edit(f"s[{i}]", "3", "I", "'user:'") for i in (1, 2, 4)])) + ", s[4]]"
+_INSERT_ASSISTANT = "[u[1], u[2], u[3], " + _BEST.format("u[4], " + _edit("u[3]", "3", "I", "'assistant:'")) + "]"
+_KEPT = "r.role || ':' || r.text"
+_ROW = "[" + ", ".join([
+    _drop("p[1]"),
+    _BEST.format(_drop("p[2]") + ", " + _edit("p[1]", "r.keep_s", "K", _KEPT)),
+    _BEST.format(", ".join(
+        [_drop("p[3]")] + [_edit(f"p[{i}]", "r.keep_u", "K", _KEPT) for i in (1, 2, 4)]
+        + [_edit(f"p[{i}]", "r.rerole", "R", "'user:' || r.text") for i in (1, 2, 4)]
+    )),
+    _BEST.format(", ".join([
+        _drop("p[4]"), _edit("p[3]", "r.keep_a", "K", _KEPT), _edit("p[3]", "r.rerole", "R", "'assistant:' || r.text"),
+    ])),
+]) + "]"
+_STATE = "STRUCT(cost BIGINT, audit VARCHAR, said VARCHAR[])"
+_FIRST = f"[{{'cost': 0, 'audit': '', 'said': []}}, NULL, NULL, NULL]::{_STATE}[]"
+
+
+def _with(name: str, value: str, body: str) -> str:
+    """``body`` with a name for a value: a list of one, transformed."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+_STEP = _with("u", _INSERT_USER, _with("p", _INSERT_ASSISTANT, _ROW))
+_LAST = _with("u", _INSERT_USER, _INSERT_ASSISTANT)
+
+_CRC32 = """xor(list_reduce(list_transform(string_split(conv_id || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda v, k: xor(v >> 1, (v & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+ORACLES["op13_turn_repair"] = rf"""
+WITH damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32} % 20 AS harm
+        FROM conversations WHERE conv_id IS NOT NULL)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^{_SPACE}]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][{_SPACE}]*$') THEN 'truncated' ELSE 'sound' END AS fault,
+         coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) || role[1] NOT IN ('su', 'ua', 'au'), FALSE) AS illegal
+  FROM placed
+), priced AS (
+  SELECT *, CASE WHEN fault = 'sound' THEN 0 WHEN fault = 'truncated' THEN 3 END::BIGINT AS keep FROM judged
+), folded AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (illegal) AS illegal,
+         list_reduce(
+           list({{'role': role, 'text': text, 'rerole': keep + 3, 'keep_s': CASE WHEN role[1] = 's' THEN keep END,
+                 'keep_u': CASE WHEN role[1] = 'u' THEN keep END, 'keep_a': CASE WHEN role[1] = 'a' THEN keep END}} ORDER BY k),
+           lambda s, r: {_STEP}, {_FIRST}) AS s
+  FROM priced GROUP BY conv_id
+), ended AS (SELECT * REPLACE ({_LAST} AS s) FROM folded),
+best AS (SELECT *, {_BEST.format("s[1], s[4]")} AS b FROM ended)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit,
+       sha256(coalesce(array_to_string(b.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) LEFT JOIN best USING (conv_id)
+"""
