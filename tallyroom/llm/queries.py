@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.llm import (
-    chat, decontamination, jaccard, langid, maxscore, pieces, pii, substrings, tokenfiles, toxicity, turnrepair,
+    chat, decontamination, jaccard, langid, maxscore, pieces, pii, secretscan, substrings, tokenfiles, toxicity, turnrepair,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,3 +330,48 @@ SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS
        sha256(coalesce(array_to_string(b.said, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) LEFT JOIN best USING (conv_id)
 """
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secretscan.BASE))
+    return found.select(
+        "doc_id", *(count(kind).alias(f"n_{kind}") for kind in secretscan.BASE),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("secrets")).alias("spans"),
+    )
+
+
+# The base kinds, which are all that the given tables hold; encoded keys and
+# tokens are tested on keys made for it.
+_EITHER = "".join(f"|{name}" for name in ("password", "passwd", "secret", "token", "api_?key"))[1:]
+_EITHER = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in _EITHER)
+_SECRET_PATTERNS = {
+    "assign": rf"""(?:{_EITHER})["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+",
+}
+_SECRET_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM t"
+    for rank, (kind, pattern) in enumerate(_SECRET_PATTERNS.items())
+)
+ORACLES["op12_secret_scan"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_SECRET_MATCHES}),
+u AS (SELECT doc_id, kind, rank, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+lengths AS (
+  SELECT doc_id, kind, rank, i, hits[i] AS hit, length(gaps[i]) AS gap FROM u
+), spans AS (
+  SELECT *, CAST(sum(gap + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS until FROM lengths
+), valid AS (
+  SELECT doc_id, kind, rank, until - length(hit) AS begin, until FROM spans
+  WHERE CASE kind WHEN 'hex' THEN length(hit) >= 24 WHEN 'access' THEN length(hit) >= 20
+        ELSE length(regexp_extract(hit, '^(?:{_EITHER})["'']?\x20*[:=]\x20*["'']?(.*)$', 1)) >= 6 END
+), lists AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || begin || ':' || until, ',' ORDER BY begin, rank) AS spans
+  FROM valid GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN lists USING (doc_id)
+"""
