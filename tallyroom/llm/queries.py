@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.llm import (
-    chat, decontamination, jaccard, langid, maxscore, pieces, pii, secretscan, substrings, tokenfiles, toxicity, turnrepair,
+    chat, decontamination, jaccard, langid, maxscore, pieces, pii, secretscan, substrings, tokenfiles, toxicity, turnrepair, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -375,3 +375,8 @@ SELECT t.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesc
        CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN lists USING (doc_id)
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"])
