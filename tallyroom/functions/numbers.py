@@ -1,4 +1,4 @@
-"""Printed numbers: tokens, canonical form, tolerant patterns and signs."""
+"""Printed numbers: tokens, canonical form, and what an amount may be printed as."""
 
 from __future__ import annotations
 
@@ -35,65 +35,30 @@ def canonical_number(token: Column) -> Column:
     )
 
 
-def tolerant_pattern(token: Column) -> Column:
-    """A pattern that finds the number under spacing and grouping noise."""
-    canonical = canonical_number(token)
-    spaced = lambda digits, gap: F.array_join(F.filter(F.split(digits, ""), lambda d: d != ""), gap)
-    whole = spaced(F.substring_index(canonical, ".", 1), r"[\s,\u00a0\u202f]*")
-    part = F.when(
-        canonical.contains("."), F.concat(F.lit(r"\s*[.,]\s*"), spaced(F.substring_index(canonical, ".", -1), r"\s*"))
-    ).otherwise("")
-    return F.concat(F.lit(r"(?<![0-9])"), whole, part, F.lit(r"(?![0-9])"))
-
-
-def all_present(patterns: Column, text: Column) -> Column:
-    return F.forall(patterns, lambda p: F.rlike(text, p))
-
-
 def renderings(amount: Column, scale: Column) -> Column:
-    """Plain renderings of an amount as a page prints it (canonical / scale):
+    """Plain numbers that stand for an amount where a text prints amount / scale:
     two places always, whole digits only when the printed value is whole."""
-    printed = (F.abs(amount) / F.coalesce(scale, F.lit(1).cast("decimal(10,0)"))).cast("decimal(28,8)")
-    two = F.round(printed, 2).cast("decimal(22,2)").cast("string")
-    whole = F.when(printed == F.floor(printed), F.floor(printed).cast("string"))
-    return F.array_compact(F.array(two, whole))
-
+    shown = printed_value(amount, scale)
+    two = F.round(shown, 2).cast("decimal(38,2)").cast("string")
+    whole = F.when(shown == F.floor(shown), F.floor(shown).cast("decimal(38,0)").cast("string"))
+    return F.when(shown.isNotNull(), F.array_compact(F.array(two, whole)))
 
-def magnitude_patterns(amount: Column, scale: Column) -> Column:
-    """Patterns of exact prose renderings: ``5 million``, ``1.5 billion``,
-    ``887 M``. Only a value that is exact at no or one decimal place has one; a
-    single letter must end its word."""
-    printed = (F.abs(amount) / F.coalesce(scale, F.lit(1).cast("decimal(10,0)"))).cast("decimal(28,8)")
-    # Magnitude words and abbreviations.
-    words = {
-        1_000_000_000: ("billion", "B"),
-        1_000_000: ("million", "M"),
-        1_000: ("thousand", "K"),
-    }
-    found = []
-    for size, (word, letter) in words.items():
-        quotient = (printed / F.lit(size).cast("decimal(10,0)")).cast("decimal(28,8)")
-        tenths = quotient * 10
-        exact = (printed >= size) & (tenths == F.floor(tenths))
-        text = F.regexp_replace(F.round(quotient, 1).cast("decimal(20,1)").cast("string"), r"\.0$", "")
-        number = F.replace(text, F.lit("."), F.lit(r"\s*[.,]\s*"))
-        gap = F.lit(r"\s*(?:-|\u2013)?\s*")
-        found.append(F.when(exact, F.concat(F.lit("(?i)"), number, gap, F.lit(word))))
-        found.append(F.when(exact, F.concat(number, gap, F.lit(letter + r"\b"))))
-    return F.array_compact(F.array(*found))
 
+def printed_value(amount: Column, scale: Column) -> Column:
+    """The magnitude a text prints; null without an amount or with an unsound scale."""
+    exact = F.abs(amount).cast("decimal(38,8)")
+    return F.when(scale.isNull(), exact).when(scale > 0, F.try_divide(exact, scale).cast("decimal(38,8)"))
 
-def negative_context(pattern: Column) -> Column:
-    """The pattern where the page marks it negative: a minus, or parentheses."""
-    bare = F.regexp_replace(pattern, r"^\Q(?<![0-9])\E", "")
-    return F.concat(F.lit(r"(?:[-\u2212]\s*\$?\s*"), bare, F.lit(r"|\(\s*\$?\s*"), bare, F.lit(r"\s*\))"))
 
-
-def any_match(patterns: Column, text: Column) -> Column:
-    return F.exists(patterns, lambda p: F.rlike(text, p))
-
-
-def match_count(patterns: Column, text: Column) -> Column:
-    return F.aggregate(
-        patterns, F.lit(0), lambda n, p: n + F.size(F.regexp_extract_all(text, p, F.lit(0)))
-    )
+def magnitude_names(amount: Column, scale: Column) -> Column:
+    """Exact figures in words: ``5 million``, ``1.5 billion``, ``887 M``. Only a
+    value that is exact at no or one decimal place has one."""
+    shown = printed_value(amount, scale)
+    found = []
+    # Magnitude words and their letters.
+    for size, names in {1_000_000_000: ("billion", "B"), 1_000_000: ("million", "M"), 1_000: ("thousand", "K")}.items():
+        tenths = shown / F.lit(size // 10).cast("decimal(10,0)")
+        exact = (shown >= size) & (shown % F.lit(size // 10).cast("decimal(38,8)") == 0)
+        text = F.regexp_replace((F.round(tenths, 0) / 10).cast("decimal(38,1)").cast("string"), r"\.0$", "")
+        found += [F.when(exact, F.concat(text, F.lit(f" {name}"))) for name in names]
+    return F.when(shown.isNotNull(), F.array_compact(F.array(*found)))

@@ -3,11 +3,16 @@ derived metrics against their inputs."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyroom.functions import numbers
+from tallyroom.operators import excerpts, printed
+from tallyroom.operators.printed import LINE_END
 from tallyroom.operators.skew import hot_keys, spread_join
+from tallyroom.session import written
 
 # Tiers that count as strong evidence, tiers that fail outright.
 STRONG_TIERS = ["verbatim", "normalized", "alnum", "row-bound"]
@@ -15,109 +20,156 @@ HARD_TIERS = ["not-found", "wrong-page", "bad-page-number"]
 COVERAGE_THRESHOLD = 0.90
 BOUND_CENTS = 1.1  # a cent and a tenth, for printed amounts rounded from exact ones
 LETTER_WORD = r"[\p{L}]{4,}"
-# Every mark that ends a line of a page, form feeds included.
-LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]"
 
 
-def collapse_space(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+@F.pandas_udf(StringType())
+def _folded_tier(excerpts_: pd.Series, pages: pd.Series) -> pd.Series:
+    """On Arrow batches: Spark has no case folding, and its patterns take several
+    times as long."""
 
+    def tier(excerpt, page):
+        if page is None or excerpt is None:
+            return None
+        if " ".join(excerpt.split()).casefold() in " ".join(page.split()).casefold():
+            return "normalized"
+        shown = excerpts.letters(excerpt)
+        return "alnum" if shown and shown in excerpts.letters(page) else None
 
-def collapse_alnum(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+    return pd.Series([tier(e, p) for e, p in zip(excerpts_, pages)], dtype=object)
 
 
-def row_bound(excerpt: Column, page: Column) -> Column:
-    """All numbers and enough label words of the excerpt on one page line:
-    at least two words and six tenths of them, rounded half to even."""
+def text_tier(excerpt: Column, page: Column) -> Column:
+    """Match tier by wording alone, case-folded; null when the page does not hold
+    the words. Only texts that differ as they stand travel to Python."""
+    differs = (excerpt != "") & ~page.contains(excerpt)
+    folded = _folded_tier(F.when(differs, excerpt), F.when(differs, page))
+    return F.when(excerpt == "", "no-excerpt").when(page.contains(excerpt), "verbatim").otherwise(folded)
+
+
+def labels_on(excerpt: Column, page: Column, lines: Column) -> Column:
+    """Whether one of the numbered lines holds enough label words of the excerpt:
+    at least two and six tenths of them, rounded half to even."""
     words = F.transform(F.regexp_extract_all(excerpt, F.lit(LETTER_WORD), F.lit(0)), lambda w: F.lower(w))
-    patterns = F.transform(numbers.number_tokens(excerpt), numbers.tolerant_pattern)
     need = F.greatest(F.lit(2), F.bround(F.size(words) * F.lit("0.6").cast("decimal(2,1)"), 0).cast("int"))
+    shown = F.split(page, LINE_END)
+    held = lambda at: F.size(F.filter(words, lambda w: F.lower(F.get(shown, at)).contains(w)))
+    return F.when(F.size(lines) > 0, (F.size(words) > 0) & F.exists(lines, lambda at: held(at) >= need)).otherwise(False)
 
-    def holds(line: Column) -> Column:
-        low = F.lower(line)
-        return (F.trim(line) != "") & numbers.all_present(patterns, line) & (
-            F.size(F.filter(words, lambda w: low.contains(w))) >= need
-        )
 
-    return (F.size(words) > 0) & (F.size(patterns) > 0) & F.exists(F.split(page, LINE_END), holds)
+def needles_of(facts: DataFrame) -> DataFrame:
+    """The columns of ``facts`` but the excerpt, and every distinct ``number`` of it."""
+    tokens = F.array_distinct(F.transform(numbers.number_tokens(F.col("excerpt")), numbers.canonical_number))
+    kept = [c for c in facts.columns if c != "excerpt"]
+    return facts.filter(F.col("excerpt").rlike("[0-9]")).select(*kept, F.explode(tokens).alias("number"))
 
 
-def page_tier(excerpt: Column, page: Column) -> Column:
-    """Match tier on the cited page alone; null when the page does not hold it."""
-    patterns = F.transform(numbers.number_tokens(excerpt), numbers.tolerant_pattern)
-    letters = collapse_alnum(excerpt)
-    present = (F.size(patterns) > 0) & numbers.all_present(patterns, page)
+def numbers_on(needles: DataFrame, texts: DataFrame, place: list[str], wanted: tuple) -> DataFrame:
+    """``fact_id`` and ``lines`` of facts whose text of the same ``place`` prints
+    every needle of theirs; the lines are those that print them all."""
+    index = printed.number_index(texts, place, wanted).select(*place, "number", "lines")
+    met = spread_join(needles.select("fact_id", *place, "number"), index, [*place, "number"], "left", spread_on=["fact_id"])
+    shared = F.aggregate(
+        F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0))), F.get("_lines", F.lit(0)), lambda a, b: F.array_intersect(a, b)
+    )
     return (
-        F.when(excerpt == "", "no-excerpt")
-        .when(page.contains(excerpt), "verbatim")
-        .when(collapse_space(page).contains(collapse_space(excerpt)), "normalized")
-        .when((letters != "") & collapse_alnum(page).contains(letters), "alnum")
-        .when(present & row_bound(excerpt, page), "row-bound")
-        .when(present, "numbers-only")
+        met.groupBy("fact_id").agg(F.bool_and(F.col("lines").isNotNull()).alias("_all"), F.collect_list("lines").alias("_lines"))
+        .filter("_all").select("fact_id", shared.alias("lines"))
     )
 
 
-def document_tier(excerpt: Column, document: Column, document_letters: Column) -> Column:
-    patterns = F.transform(numbers.number_tokens(excerpt), numbers.tolerant_pattern)
-    letters = collapse_alnum(excerpt)
-    elsewhere = ((letters != "") & document_letters.contains(letters)) | (
-        (F.size(patterns) > 0) & numbers.all_present(patterns, document)
-    )
-    return F.when(elsewhere, "wrong-page").otherwise("not-found")
+def row_bound(facts: DataFrame, texts: DataFrame, place: list[str]) -> DataFrame:
+    """``fact_id`` of the facts whose excerpt has all its numbers and enough of its
+    label words on one line of the text of the same ``place``."""
+    needles = needles_of(facts)
+    bound = numbers_on(needles, texts, place, printed.wanted_shapes(needles))
+    shown = spread_join(facts, texts.select(*place, F.col("text").alias("_text")), place, "inner", spread_on=["fact_id"])
+    return shown.join(bound, "fact_id").filter(labels_on(F.col("excerpt"), F.col("_text"), F.col("lines"))).select("fact_id")
+
+
+def letters_in(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """``fact_id`` of the facts whose letters and digits stand in their document,
+    which meets them in blocks."""
+    asked = facts.select("source_id", "fact_id", excerpts.shown_letters(F.col("excerpt")).alias("_shown")).filter("_shown <> ''")
+    blocks = excerpts.in_blocks(asked, ["source_id"], F.struct("fact_id", "_shown"), "fact_id")
+    met = blocks.join(documents.select("source_id", "text"), "source_id").select("_items", excerpts.shown_letters(F.col("text")).alias("_letters"))
+    held = F.filter("_items", lambda item: F.col("_letters").contains(item["_shown"]))
+    return met.select(F.explode(held).alias("_item")).select("_item.fact_id")
 
 
 def citation_tiers(facts: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
     """``facts(fact_id, source_id, page, excerpt)`` against
     ``pages(source_id, page, text)`` and ``documents(source_id, text)``.
 
-    The page decides most facts; only the rest carry a key into the join with
-    the whole document (a decided fact joins on null, which spread_join keeps
-    apart), whose normalised form is made once per document. A source cited by
-    very many facts is a hot key of both joins and is spread; its weight is
-    counted on the facts alone.
+    The numbers of an excerpt meet the numbers printed on its page, and in its
+    document, by equality (see ``printed``). Wording is compared on the cited
+    page; only facts that the page leaves open ask for the whole document, in
+    blocks, and its text is folded once. A fact without a page is compared with
+    the whole document. A source cited by very many facts is a hot key and is
+    spread; its weight is counted on the facts alone.
     """
-    page_rows = pages.select("source_id", "page", F.col("text").alias("_page"))
-    whole = documents.select(
-        F.col("source_id").alias("_open"), F.col("text").alias("_doc"), collapse_alnum(F.col("text")).alias("_letters")
-    )
     facts = facts.select("fact_id", "source_id", "page", F.trim(F.coalesce("excerpt", F.lit(""))).alias("excerpt"))
-    cited = spread_join(facts, page_rows, ["source_id", "page"], "left", spread_on=["fact_id"]).select(
-        "fact_id", "source_id", "page", "excerpt", F.col("_page").isNotNull().alias("_on_page"),
-        page_tier(F.col("excerpt"), F.col("_page")).alias("_tier"),
-    )
-    # No page cited: the whole document is searched, so the page said nothing.
-    keyed = cited.withColumn("_tier", F.when(F.col("page").isNotNull() & F.col("_on_page"), F.col("_tier"))).withColumn(
-        "_open", F.when(F.col("_tier").isNull(), F.col("source_id"))
-    )
-    hot = hot_keys(facts.select(F.col("source_id").alias("_open")), ["_open"])
-    excerpt, doc, letters = F.col("excerpt"), F.col("_doc"), F.col("_letters")
-    return spread_join(keyed, whole, ["_open"], "left", spread_on=["fact_id"], hot=hot).select(
+    needles = written(needles_of(facts))
+    wanted = printed.wanted_shapes(needles)
+    place = ["source_id", "page"]
+    on_page = numbers_on(needles.filter("page IS NOT NULL"), pages, place, wanted)
+    in_document = written(numbers_on(needles, documents, ["source_id"], wanted))
+    hot = hot_keys(facts.select("source_id"), ["source_id"])
+
+    def compared(part: DataFrame, texts: DataFrame, key: list[str], bound: DataFrame) -> DataFrame:
+        shown = spread_join(part, texts.select(*key, F.col("text").alias("_text")), key, "left", spread_on=["fact_id"], hot=hot)
+        shown = shown.join(bound.withColumn("_present", F.lit(True)), "fact_id", "left")
+        number = F.when(F.col("_present"), F.when(labels_on(F.col("excerpt"), F.col("_text"), F.col("lines")), "row-bound").otherwise("numbers-only"))
+        return shown.withColumn("_tier", F.coalesce(text_tier(F.col("excerpt"), F.col("_text")), number)).select(
+            "fact_id", "source_id", "page", "excerpt", F.col("_text").isNotNull().alias("_found"), F.when(F.col("_text").isNotNull(), F.col("_tier")).alias("_tier")
+        )
+
+    judged = compared(facts.filter("page IS NOT NULL"), pages, place, on_page)
+    unpaged = facts.filter("page IS NULL")
+    if not unpaged.isEmpty():
+        judged = judged.unionByName(compared(unpaged, documents, ["source_id"], in_document))
+    known = documents.select("source_id", F.lit(True).alias("_known")).distinct()
+    judged = written(spread_join(judged, known, ["source_id"], "left", spread_on=["fact_id"], hot=hot))
+
+    left = judged.filter(F.col("_tier").isNull() & F.col("_known") & (F.col("_found") | F.col("page").isNull()))
+    by_number = in_document.select("fact_id").join(left.select("fact_id"), "fact_id", "left_semi")
+    elsewhere = by_number.unionByName(letters_in(left, documents)).distinct().withColumn("_elsewhere", F.lit(True))
+    return judged.join(elsewhere, "fact_id", "left").select(
         "fact_id",
         F.when(F.col("_tier").isNotNull(), F.col("_tier"))
-        .when(doc.isNull(), "unverifiable")
-        .when(F.col("page").isNotNull() & ~F.col("_on_page"), "bad-page-number")
-        .when(F.col("page").isNull(), F.coalesce(page_tier(excerpt, doc), document_tier(excerpt, doc, letters)))
-        .otherwise(document_tier(excerpt, doc, letters))
+        .when(F.col("_known").isNull(), "unverifiable")
+        .when(F.col("page").isNotNull() & ~F.col("_found"), "bad-page-number")
+        .when(F.col("_elsewhere"), "wrong-page").otherwise("not-found")
         .alias("tier"),
     )
 
 
-def amount_issue(amount: Column, scale: Column, page: Column) -> Column:
-    """Whether the page prints the amount with its sign: null when it does or
-    when there is no amount to find."""
-    plain = F.transform(numbers.renderings(amount, scale), numbers.tolerant_pattern)
-    found_plain = numbers.any_match(plain, page)
-    prose = numbers.magnitude_patterns(amount, scale)
-    patterns = F.when(found_plain, plain).otherwise(prose)
-    negatives = numbers.match_count(F.transform(patterns, numbers.negative_context), page)
-    total = numbers.match_count(patterns, page)
-    wrong_sign = F.when(amount < 0, negatives == 0).otherwise(total <= negatives)
-    return (
+def amount_issues(facts: DataFrame, texts: DataFrame, place: list[str]) -> DataFrame:
+    """``fact_id`` and ``issue``: whether the text of the same ``place`` prints the
+    amount with its sign; null when it does or when there is no amount to find.
+
+    ``facts(fact_id, place, amount, scale)`` with decimal amounts; the text prints
+    amount / scale. Exact renderings in digits count first, exact ones in words
+    (``5 million``) where there are none.
+    """
+    amount, scale = F.col("amount"), F.col("scale")
+    asked = facts.select("fact_id", *place, "amount", F.explode(F.array_union(
+        F.transform(numbers.renderings(amount, scale), lambda n: F.struct(F.lit(False).alias("worded"), n.alias("number"))),
+        F.transform(numbers.magnitude_names(amount, scale), lambda n: F.struct(F.lit(True).alias("worded"), n.alias("number"))),
+    )).alias("_n")).select("fact_id", *place, "amount", "_n.*")
+    asked = written(asked)
+    index = printed.number_index(texts, place, printed.wanted_shapes(asked)).drop("lines")
+    met = spread_join(asked, index, [*place, "number"], "inner", spread_on=["fact_id"])
+    fits = F.when(F.col("amount") < 0, F.col("negatives") > 0).otherwise(F.col("positives") > 0)
+    seen = met.groupBy("fact_id").agg(
+        F.bool_or(F.when(~F.col("worded"), fits)).alias("_plain"), F.bool_or(F.when(F.col("worded"), fits)).alias("_worded")
+    )
+    fitting = F.coalesce("_plain", "_worded")
+    return facts.join(seen, "fact_id", "left").select(
+        "fact_id",
         F.when(amount.isNull() | (amount == 0), F.lit(None).cast("string"))
         .when(scale <= 0, "scale-factor-invalid")
-        .when(~found_plain & ~numbers.any_match(prose, page), "amount-not-on-cited-page")
-        .when(wrong_sign, "amount-sign-mismatch")
+        .when(fitting.isNull(), "amount-not-on-cited-page")
+        .when(~fitting, "amount-sign-mismatch").alias("issue"),
     )
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions import numbers, privacy, rates, text
 from tallyroom.functions.money import display_tolerance
-from tallyroom.operators import evidence, graph, projection
+from tallyroom.operators import evidence, excerpts, graph, intervals, projection
 from tallyroom.plans.registry import cents, query, sql_cents, table
 from tallyroom.sources import documents as docs
+from tallyroom.session import written
 from tallyroom.sources import tables_on_pages
 
 TOTAL = sql_cents("o_totalprice")
@@ -111,7 +112,7 @@ def page_split(spark: SparkSession, sf: str) -> DataFrame:
 @query("citation_audit", f"WITH {SQL_TIERS} SELECT fact_id, tier FROM tiers")
 def citation_audit(spark: SparkSession, sf: str) -> DataFrame:
     whole = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text")
-    return evidence.citation_tiers(facts_on_pages(spark, sf), line_pages(spark, sf), whole)
+    return evidence.citation_tiers(written(facts_on_pages(spark, sf)), line_pages(spark, sf), whole)
 
 
 @query("evidence_coverage", f"""
@@ -128,7 +129,7 @@ def evidence_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.evidence_coverage(tiers, bearing, ["source_id"])
 
 
-@query("excerpt_search", f"""
+@query("excerpt_repeats", f"""
 WITH {SQL_PAGES},
 f AS (
   SELECT doc_id, page, body AS excerpt FROM pages_ WHERE trim(body) <> ''
@@ -136,11 +137,70 @@ f AS (
 SELECT f.doc_id, CAST(f.page AS INTEGER) AS page, count(p.page) AS other_pages, CAST(min(p.page) AS INTEGER) AS first_other
 FROM f JOIN pages_ p ON p.doc_id = f.doc_id AND p.page <> f.page AND p.body = f.excerpt GROUP BY 1, 2
 """)
-def excerpt_search(spark: SparkSession, sf: str) -> DataFrame:
-    from tallyroom.operators.excerpts import repeated_on_other_pages
+def excerpt_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    pages = line_pages(spark, sf).withColumnRenamed("source_id", "doc_id")
+    return excerpts.repeated_on_other_pages(pages, "doc_id", "page", "text")
+
+
+SQL_LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
 
+@query("excerpt_search", f"""
+WITH {SQL_PAGES},
+f AS (
+  SELECT doc_id, page, CASE WHEN page % 7 = 0 THEN 'zzqx ' || body ELSE upper(substr(body, 1 + length(body) // 4, 8 + length(body) // 3)) END AS excerpt FROM pages_
+),
+e AS (SELECT doc_id, page, {SQL_LETTERS.format('excerpt')} AS shown FROM f),
+p AS (SELECT doc_id, page, {SQL_LETTERS.format('body')} AS shown FROM pages_),
+hits AS (SELECT e.doc_id, e.page, count(*) AS pages, min(p.page) AS first_page FROM e JOIN p ON p.doc_id = e.doc_id AND e.shown <> '' AND contains(p.shown, e.shown) GROUP BY 1, 2)
+SELECT e.doc_id, CAST(e.page AS INTEGER) AS page, coalesce(pages, 0) AS pages, CAST(first_page AS INTEGER) AS first_page,
+       CASE WHEN shown = '' THEN 'nothing to find' WHEN first_page IS NULL THEN 'not found' WHEN first_page = e.page THEN 'on its page' ELSE 'first on another page' END AS status
+FROM e LEFT JOIN hits USING (doc_id, page)
+""")
+def excerpt_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A piece of every page in capitals, without its page, searched in all pages of its document."""
     pages = line_pages(spark, sf).withColumnRenamed("source_id", "doc_id")
-    return repeated_on_other_pages(pages, "doc_id", "page", "text")
+    size = F.length("text")
+    piece = F.upper(F.substring("text", (F.floor(size / 4) + 1).cast("int"), (F.floor(size / 3) + 8).cast("int")))
+    quoted = pages.select(
+        F.col("page").alias("excerpt_id"), "doc_id", F.when(F.col("page") % 7 == 0, F.concat(F.lit("zzqx "), "text")).otherwise(piece).alias("excerpt")
+    )
+    hits = excerpts.located(pages, quoted, ["doc_id"], ["page"], every=False).groupBy("doc_id", "excerpt_id").agg(
+        F.count(F.lit(1)).alias("pages"), F.min("page").alias("first_page")
+    )
+    return quoted.join(hits, ["doc_id", "excerpt_id"], "left").select(
+        "doc_id", F.col("excerpt_id").alias("page"), F.coalesce("pages", F.lit(0).cast("bigint")).alias("pages"), "first_page",
+        F.when(~F.col("excerpt").rlike(r"[\p{L}\p{N}]"), "nothing to find").when(F.col("first_page").isNull(), "not found")
+        .when(F.col("first_page") == F.col("excerpt_id"), "on its page").otherwise("first on another page").alias("status"),
+    )
+
+
+@query("excerpt_coverage", r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\s]+') AS words FROM documents),
+e AS (SELECT DISTINCT doc_id, text, CASE k WHEN 3 THEN 'qzx' WHEN 4 THEN words[1] ELSE words[1 + (doc_id + k * 7) % len(words)] || ' ' || coalesce(words[2 + (doc_id + k * 7) % len(words)], '') END AS excerpt
+      FROM w, (VALUES (0), (1), (2), (3), (4)) AS k(k) WHERE len(words) > 0),
+p AS (SELECT doc_id, excerpt, string_split(text, excerpt) AS gaps FROM e WHERE NOT contains(substr(excerpt, 2), excerpt[1])),
+u AS (SELECT doc_id, excerpt, gaps, unnest(range(1, len(gaps))) AS i FROM p WHERE len(gaps) > 1),
+g AS (SELECT doc_id, excerpt, i, length(gaps[i]) AS gap FROM u),
+s AS (SELECT doc_id, CAST(sum(gap + length(excerpt)) OVER (PARTITION BY doc_id, excerpt ORDER BY i) - length(excerpt) AS BIGINT) AS a, length(excerpt) AS n FROM g),
+m AS (SELECT *, max(a + n) OVER (PARTITION BY doc_id ORDER BY a, a + n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s)
+SELECT doc_id, count(*) AS intervals, count(CASE WHEN reach IS NULL OR a > reach THEN 1 END) AS islands,
+       CAST(sum(greatest(0, a + n - greatest(a, coalesce(reach, a)))) AS BIGINT) AS covered FROM m GROUP BY 1
+""")
+def excerpt_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of every document the places of some of its word pairs cover, and those of its first word."""
+    whole = table(spark, sf, "documents").select("doc_id", "text")
+    words = F.regexp_extract_all("text", F.lit(r"[^ \t\n\f\r]+"), F.lit(0))
+    at = lambda k: (F.col("doc_id") + k * 7) % F.size("words")
+    word = lambda at: F.get("words", at.cast("int"))
+    pair = lambda k: F.concat(word(at(k)), F.lit(" "), F.coalesce(word(at(k) + 1), F.lit("")))
+    quoted = whole.select("doc_id", words.alias("words")).filter(F.size("words") > 0).select(
+        "doc_id", F.explode(F.array_distinct(F.array(pair(0), pair(1), pair(2), F.lit("qzx"), word(F.lit(0))))).alias("excerpt")
+    ).withColumn("excerpt_id", F.md5("excerpt"))
+    # Such a piece cannot overlap itself, which the check does not count.
+    quoted = quoted.filter(~F.contains(F.substring("excerpt", 2, 1 << 30), F.substring("excerpt", 1, 1)))
+    spans = excerpts.located(whole, quoted, ["doc_id"], [], form="exact")
+    return intervals.union_length(spans, "doc_id", chunk_width=4096)
 
 
 @query("row_bound", f"""
@@ -157,7 +217,9 @@ def row_bound(spark: SparkSession, sf: str) -> DataFrame:
     page = F.when(F.col("page") % 3 != 0, F.concat(F.lit("Total 1\f"), F.col("text"), F.lit("\x0bend"))).otherwise(
         F.concat(digits, F.lit("\f"), letters)
     )
-    return pages.filter(evidence.row_bound(F.col("text"), page)).select(F.col("source_id").alias("doc_id"), "page")
+    facts = pages.select(F.struct("source_id", "page").alias("fact_id"), "source_id", "page", F.col("text").alias("excerpt"), page.alias("shown"))
+    held = evidence.row_bound(facts.drop("shown"), facts.select("source_id", "page", F.col("shown").alias("text")), ["source_id", "page"])
+    return held.select(F.col("fact_id.source_id").alias("doc_id"), "fact_id.page")
 
 
 @query("number_tokens", f"""
@@ -170,18 +232,80 @@ def number_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("canonical", numbers.canonical_number(F.col("token")))
 
 
-@query("amount_binding")
+def sql_stretch(number: str) -> str:
+    """A pattern for a plain number in a text whose digit groups stand between marks."""
+    whole = rf"array_to_string(string_split(split_part({number}, '.', 1), ''), '(?:\x02[\s,\x{{00A0}}\x{{202F}}]*\x01)?')"
+    part = rf"array_to_string(string_split(split_part({number}, '.', 2), ''), '(?:\x02\s*\x01)?')"
+    return rf"'\x01' || {whole} || CASE WHEN contains({number}, '.') THEN '\x02\s*[.,]\s*\x01' || {part} ELSE '' END || '\x02'"
+
+
+def sql_signs(text: str, pattern: str) -> str:
+    """Matches of a pattern in all, and those with a negative sign."""
+    negative = rf"'(?:[-\x{{2212}}]\s*\$?\s*' || {pattern} || '|\(\s*\$?\s*' || {pattern} || '\s*\))'"
+    return f"len(regexp_extract_all({text}, {pattern})) AS n, len(regexp_extract_all({text}, {negative})) AS negative"
+
+
+@query("amount_binding", rf"""
+WITH t AS (
+  SELECT doc_id, text || chr(10) || 'net (' || (doc_id % 97) || ') or -$ ' || (1000 + doc_id) || '; about ' || (doc_id % 90 + 1) || '.5 million and ' || (doc_id % 9 + 1) || ' K' AS page,
+         {sql_canonical(f"regexp_extract_all(text, {SQL_TOKEN})")} AS found FROM documents
+), tokens AS (
+  SELECT DISTINCT doc_id, TRY_CAST(k AS DECIMAL(38, 8)) AS v FROM (SELECT doc_id, unnest(list_filter(found, lambda k: length(split_part(k, '.', 1)) <= 28 AND length(split_part(k, '.', 2)) <= 8)) AS k FROM t)
+), facts AS (
+  SELECT doc_id, kind, CASE kind WHEN 'negated' THEN -v WHEN 'shifted' THEN v + 0.25 ELSE v END AS amount, CASE kind WHEN 'unscaled' THEN 0 END AS scale, abs(CASE kind WHEN 'shifted' THEN v + 0.25 ELSE v END) AS shown
+  FROM tokens, (VALUES ('printed'), ('negated'), ('thousands'), ('shifted'), ('unscaled')) AS c(kind)
+  UNION ALL SELECT doc_id, kind, v * s, NULL, v
+  FROM (SELECT doc_id, unnest([CAST(doc_id % 97 AS DECIMAL(38, 8)), 1000 + doc_id, (doc_id % 90 + 1.5) * 1000000, (doc_id % 9 + 1) * 1000]) AS v, unnest(['bracket', 'minus', 'worded', 'letter']) AS kind FROM documents),
+       (VALUES (1), (-1)) AS c(s)
+), unread AS (
+  SELECT DISTINCT doc_id, 'printed' AS kind, k AS amount FROM (SELECT doc_id, unnest(found) AS k FROM t) WHERE length(split_part(k, '.', 1)) > 28 OR length(split_part(k, '.', 2)) > 8
+), numbers AS (
+  SELECT doc_id, kind, amount, FALSE AS worded, CAST(CAST(round(shown, 2) AS DECIMAL(38, 2)) AS VARCHAR) AS number FROM facts
+  UNION ALL SELECT doc_id, kind, amount, FALSE, CAST(CAST(shown AS DECIMAL(38, 0)) AS VARCHAR) FROM facts WHERE shown = floor(shown)
+  UNION ALL SELECT doc_id, kind, amount, TRUE, regexp_replace(CAST(CAST(shown / size AS DECIMAL(38, 1)) AS VARCHAR), '\.0$', '') || ' ' || word
+  FROM facts, (VALUES (1000000000, 'billion'), (1000000000, 'B'), (1000000, 'million'), (1000000, 'M'), (1000, 'thousand'), (1000, 'K')) AS m(size, word)
+  WHERE shown >= size AND shown % (size // 10) = 0
+), matched AS (
+  SELECT doc_id, kind, amount, worded, {sql_signs("regexp_replace(page, '([0-9]+)', chr(1) || chr(92) || '1' || chr(2), 'g')", sql_stretch("number"))} FROM numbers JOIN t USING (doc_id) WHERE NOT worded
+  UNION ALL SELECT doc_id, kind, amount, worded, {sql_signs("page", "p")}
+  FROM (SELECT *, replace(split_part(number, ' ', 1), '.', '\s*[.,]\s*') || '\s*(?:-|\x{{2013}})?\s*' || CASE WHEN length(split_part(number, ' ', 2)) = 1 THEN split_part(number, ' ', 2) || '\b' ELSE '(?i:' || split_part(number, ' ', 2) || ')' END AS p
+        FROM numbers WHERE worded) JOIN t USING (doc_id)
+), held AS (
+  SELECT doc_id, kind, amount, worded, sum(negative) > 0 AS minus, sum(n) > sum(negative) AS plus FROM matched WHERE n > 0 GROUP BY ALL
+), best AS (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY doc_id, kind, amount ORDER BY worded) = 1)
+SELECT f.doc_id, f.kind, CAST(f.amount AS VARCHAR) AS amount, CASE WHEN f.amount = 0 THEN 'bound' WHEN scale = 0 THEN 'scale-factor-invalid' WHEN b.doc_id IS NULL THEN 'amount-not-on-cited-page'
+  WHEN NOT CASE WHEN f.amount < 0 THEN minus ELSE plus END THEN 'amount-sign-mismatch' ELSE 'bound' END AS status
+FROM (SELECT DISTINCT doc_id, kind, amount, scale FROM facts) f LEFT JOIN best b ON b.doc_id = f.doc_id AND b.kind = f.kind AND b.amount = f.amount
+UNION ALL SELECT doc_id, kind, amount, 'amount-out-of-range' FROM unread
+""")
 def amount_binding(spark: SparkSession, sf: str) -> DataFrame:
-    """The first and largest printed numbers of every document as facts, with
-    both signs and a declared scale, against the document."""
+    """Every printed number of a document as an amount: as it stands, negated, in
+    thousands, shifted off the page, and with an unsound scale; and figures that the
+    page ends with, in brackets, behind a minus, and in words, with both signs. A
+    number that no amount can hold is refused by name."""
     whole = table(spark, sf, "documents").select("doc_id", "text")
-    amounts = F.transform(numbers.number_tokens(F.col("text")), lambda t: numbers.canonical_number(t).try_cast("decimal(20,2)"))
-    facts = whole.select("doc_id", "text", F.explode(F.array_distinct(F.filter(amounts, lambda a: a.isNotNull()))).alias("amount"))
-    issue = lambda amount, scale: F.coalesce(evidence.amount_issue(amount, scale, F.col("text")), F.lit("bound"))
-    none = F.lit(None).cast("decimal(10,0)")
-    return facts.select(
-        "doc_id", "amount", issue(F.col("amount"), none).alias("as_printed"), issue(-F.col("amount"), none).alias("negated"),
-        issue((F.col("amount") * 1000).cast("decimal(24,2)"), F.lit(1000).cast("decimal(10,0)")).alias("in_thousands"),
+    number = lambda n: n.cast("string")
+    doc = F.col("doc_id")
+    page = F.concat(
+        "text", F.lit("\nnet ("), number(doc % 97), F.lit(") or -$ "), number(doc + 1000), F.lit("; about "), number(doc % 90 + 1),
+        F.lit(".5 million and "), number(doc % 9 + 1), F.lit(" K"),
+    )
+    tokens = whole.select("doc_id", F.explode(F.array_distinct(F.transform(numbers.number_tokens(F.col("text")), numbers.canonical_number))).alias("k"))
+    readable = (F.length(F.substring_index("k", ".", 1)) <= 28) & (~F.col("k").contains(".") | (F.length(F.substring_index("k", ".", -1)) <= 8))
+    v, none = F.col("v"), F.lit(None).cast("decimal(10,0)")
+    case = lambda kind, amount, scale=none: F.struct(F.lit(kind).alias("kind"), amount.cast("decimal(38,8)").alias("amount"), scale.cast("decimal(10,0)").alias("scale"))
+    printed = tokens.filter(readable).select("doc_id", F.col("k").cast("decimal(38,8)").alias("v")).distinct().select("doc_id", F.explode(F.array(
+        case("printed", v), case("negated", -v), case("thousands", v.cast("decimal(36,6)") * 1000, F.lit(1000)), case("shifted", v + F.lit("0.25").cast("decimal(4,2)")), case("unscaled", v, F.lit(0)),
+    )).alias("c"))
+    signed = lambda kind, amount: [case(kind, amount), case(kind, -amount)]
+    added = whole.select("doc_id", F.explode(F.array(
+        *signed("bracket", doc % 97), *signed("minus", doc + 1000), *signed("worded", (doc % 90) * 1_000_000 + 1_500_000), *signed("letter", (doc % 9 + 1) * 1000),
+    )).alias("c"))
+    facts = printed.unionByName(added).select("doc_id", "c.*").distinct().withColumn("fact_id", F.struct("doc_id", "kind", "amount"))
+    judged = evidence.amount_issues(facts, whole.select("doc_id", page.alias("text")), ["doc_id"])
+    shown = F.when(F.col("kind") == "thousands", (F.col("amount") / 1000).cast("decimal(38,8)")).otherwise(F.col("amount"))
+    return judged.select("fact_id.*", F.coalesce("issue", F.lit("bound")).alias("status")).select("doc_id", "kind", shown.cast("string").alias("amount"), "status").unionByName(
+        tokens.filter(~readable).select("doc_id", F.lit("printed").alias("kind"), F.col("k").alias("amount"), F.lit("amount-out-of-range").alias("status"))
     )
 
 

@@ -8,7 +8,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from tallyroom.functions import numbers, privacy
-from tallyroom.operators import evidence, graph
+from tallyroom.operators import evidence, excerpts, graph, printed
 
 FACTS = "fact_id string, source_id string, page int, excerpt string"
 
@@ -27,7 +27,7 @@ PAGES = {"s": {
 }}
 
 
-@pytest.mark.parametrize("page,excerpt,tier", [
+TIERS = [
     (1, "Police Service operating budget  1,234.50", "verbatim"),
     (1, "police service OPERATING budget 1,234.50", "normalized"),
     (1, "PoliceService—operating/budget 1234.50", "alnum"),
@@ -42,9 +42,12 @@ PAGES = {"s": {
     (None, "zebra", "not-found"),
     (1, "", "no-excerpt"),
     (1, None, "no-excerpt"),
-])
-def test_tier(spark, page, excerpt, tier):
-    assert tiers(spark, [("f", "s", page, excerpt)], PAGES) == {"f": tier}
+]
+
+
+def test_tiers(spark):
+    facts = [(f"f{i}", "s", page, excerpt) for i, (page, excerpt, _) in enumerate(TIERS)]
+    assert tiers(spark, facts, PAGES) == {f"f{i}": tier for i, (_, _, tier) in enumerate(TIERS)}
 
 
 def test_missing_source_is_unverifiable(spark):
@@ -118,7 +121,7 @@ def test_canonical_number(spark, token, canonical):
     assert rows(df.select(numbers.canonical_number(F.col("t")).alias("c")), "c") == [(canonical,)]
 
 
-@pytest.mark.parametrize("amount,scale,page,issue", [
+AMOUNTS = [
     ("1234.50", None, "total 1,234.50", None),
     ("1234.50", None, "total 1 234,50", None),
     ("1234", None, "total 1,234 paid", None),
@@ -142,11 +145,18 @@ def test_canonical_number(spark, token, canonical):
     ("10", "0", "10", "scale-factor-invalid"),
     ("0", None, "nothing", None),
     (None, None, "nothing", None),
-])
-def test_amount_binding(spark, amount, scale, page, issue):
-    df = spark.createDataFrame([(amount, scale, page)], "a string, s string, p string")
-    got = df.select(evidence.amount_issue(F.col("a").cast("decimal(20,2)"), F.col("s").cast("decimal(10,0)"), F.col("p")).alias("i"))
-    assert rows(got, "i") == [(issue,)]
+    ("15000000", None, "some 5 million", "amount-not-on-cited-page"),
+    ("5000000", None, "some 15 million", None),
+    ("1234567890123456789012345.5", None, "in all 1,234,567,890,123,456,789,012,345.50", None),
+]
+
+
+def test_amount_binding(spark):
+    facts = spark.createDataFrame([(f"f{i}", i, a, s) for i, (a, s, _, _) in enumerate(AMOUNTS)], "fact_id string, doc int, a string, s string").select(
+        "fact_id", "doc", F.col("a").cast("decimal(38,8)").alias("amount"), F.col("s").cast("decimal(10,0)").alias("scale"))
+    texts = spark.createDataFrame([(i, page) for i, (_, _, page, _) in enumerate(AMOUNTS)] + [(99, "10 and 5 million and 78")], "doc int, text string")
+    got = {r.fact_id: r.issue for r in evidence.amount_issues(facts, texts, ["doc"]).collect()}
+    assert got == {f"f{i}": issue for i, (_, _, _, issue) in enumerate(AMOUNTS)}
 
 
 PRINTED = "path string, cited_id string, amount double, sibling double, rate double, assessment double"
@@ -324,3 +334,50 @@ def test_sensitive(spark, text, labels):
 def test_checksum_ids(spark, text, found):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(privacy.has_checksum_id(F.col("t")).alias("f")).collect()[0].f is found
+
+
+def plain_pattern(number):
+    whole, _, part = number.partition(".")
+    body = r"[\s,]*".join(whole) + (r"\s*[.,]\s*" + r"\s*".join(part) if part else "")
+    return re.compile(rf"(?<!\d){body}(?!\d)")
+
+
+def test_number_stretches_equal_plain_patterns():
+    rng = random.Random(8)
+    vocab = ["1", "12", "234", "5", "  ", ",", ".", "\n", "\u00a0", " ", "-", "($", ")", "\u202f", "x", "99", "million", "M ", "\u2212"]
+    for _ in range(600):
+        text = "".join(rng.choice(vocab) for _ in range(rng.randrange(1, 14)))
+        needles = {"".join(rng.choice("12345") for _ in range(rng.randrange(1, 5))) + rng.choice(["", "", ".5", ".12"]) for _ in range(6)} | {"1", "112", "1.12", "12.5", "1.234"}
+        shapes = {}
+        for n in needles:
+            shapes.setdefault(len(n.partition(".")[0]), set()).add(len(n.partition(".")[2]))
+        found = printed.indexed(text, shapes, True)
+        for n in needles:
+            hits = list(plain_pattern(n).finditer(text))
+            negative = sum(printed.is_negative(text, *m.span()) for m in hits)
+            held = found.get(n, [set(), 0, 0])
+            assert (held[1], held[2]) == (len(hits) - negative, negative), (text, n)
+            assert held[0] == {k for k, line in enumerate(re.split(printed.LINE_END, text)) if plain_pattern(n).search(line)}
+
+
+@pytest.mark.parametrize("form", ["exact", "letters"])
+def test_excerpts_are_found_where_they_stand(spark, monkeypatch, form):
+    monkeypatch.setattr(excerpts, "BLOCK", 3)
+    monkeypatch.setattr(excerpts, "_PART", 50)
+    rng = random.Random(9)
+    vocab = ["Fire", "fire ", "levy", "stra\u00dfe", "STRASSE", "12", "1,2", "  ", "\n", "\u00e9", "\u00c9", "-", "a", "b", "ab"]
+    text = lambda n: "".join(rng.choice(vocab) for _ in range(n))
+    pages = [(d, p, text(rng.randrange(0, 40))) for d in range(6) for p in range(4)] + [(9, 1, None)]
+    quoted = [(k, rng.randrange(7), text(rng.randrange(0, 9))) for k in range(200)] + [(900, 1, None), (901, 2, ""), (902, 0, "-- "), (903, 0, pages[0][2])]
+    texts = spark.createDataFrame(pages, "doc int, page int, text string")
+    asked = spark.createDataFrame(quoted, "excerpt_id int, doc int, excerpt string")
+    want = []
+    for k, d, q in quoted:
+        for shown, place, page in [(*(excerpts.letter_places(t) if form == "letters" else (t, range(len(t)))), p) for dd, p, t in pages if dd == d and t]:
+            bare = excerpts.letters(q or "") if form == "letters" else q or ""
+            want += [(k, d, page, place[i], place[i + len(bare) - 1] + 1) for i in range(len(shown) - len(bare) + 1) if bare and shown[i : i + len(bare)] == bare]
+    got = excerpts.located(texts, asked, ["doc"], ["page"], form).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 80
+    first = excerpts.located(texts, asked, ["doc"], ["page"], form, every=False).collect()
+    assert {(r.excerpt_id, r.page): r.start for r in first} == {(k, p): min(w[3] for w in want if (w[0], w[2]) == (k, p)) for k, _, p, _, _ in want}
+    assert excerpts.located(texts.limit(0), asked, ["doc"], ["page"], form).count() == 0
