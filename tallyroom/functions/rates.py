@@ -38,11 +38,22 @@ def unit_of(name: Column) -> Column:
     return F.try_element_at(names, clean)
 
 
+#: Decimal places a printed rate may have.
+PLACES = 18
+
+
+def plain_rate(raw: Column) -> Column:
+    """A printed rate with a decimal point; a lone comma is the decimal mark."""
+    return F.when(raw.contains(",") & ~raw.contains("."), F.regexp_replace(raw, ",", ".")).otherwise(raw)
+
+
 def rate_value(raw: Column, unit: Column) -> Column:
-    """A printed rate as an exact decimal rate; a lone comma is the decimal mark."""
-    text = F.when(raw.contains(",") & ~raw.contains("."), F.regexp_replace(raw, ",", ".")).otherwise(raw)
+    """A printed rate as an exact decimal rate; null beyond PLACES places or twelve
+    digits before the point."""
+    text = plain_rate(raw)
     factor = F.coalesce(*[F.when(unit == u, F.lit(f).cast("decimal(4,3)")) for u, f in UNIT_FACTORS.items()])
-    return (text.try_cast("decimal(18,9)") * factor).cast("decimal(18,12)")
+    exact = F.when(F.length(F.regexp_extract(text, r"\.([0-9]*)$", 1)) <= PLACES, text.try_cast("decimal(30,18)"))
+    return (exact * factor).cast("decimal(38,21)")
 
 
 def resolve_unit(declared: Column, printed: Column) -> tuple[Column, Column]:
@@ -89,5 +100,8 @@ def rate_rows(pages: DataFrame, text: str, declared: str | None = None) -> DataF
     off = F.abs(F.col("rate_city") + F.col("rate_region") + F.col("rate_education") - F.col("rate_total"))
     score = F.when(F.col("label").rlike(r"(?i)\bRT\b|RTEP|Residential"), 2).otherwise(0) - F.when(low.contains("new multi"), 1).otherwise(0)
     return rows.withColumn(
-        "reason", F.coalesce("reason", F.when(off > F.lit("0.0000000001").cast("decimal(12,10)"), "rates do not add to the total"))
+        "reason", F.coalesce(
+            "reason", F.when(off.isNull(), "rate has too many digits"),
+            F.when(off > F.lit("0.0000000001").cast("decimal(12,10)"), "rates do not add to the total"),
+        )
     ).withColumn("score", score).drop("units", "marked", "suffixes")

@@ -635,6 +635,7 @@ def denied_keys(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o_orderkey AS code, CAST(43743 + o_custkey % 7 AS BIGINT) AS city, CASE o_orderstatus WHEN 'F' THEN 'percent' WHEN 'O' THEN 'mill' END AS unit,
   CASE WHEN o_orderstatus = 'P' THEN 'ambiguous unmarked rate' WHEN o_orderpriority = '5-LOW' THEN 'rates do not add to the total' END AS reason
 FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'
+UNION ALL SELECT -o_orderkey, 12345, 'decimal', CASE o_custkey % 3 WHEN 1 THEN 'rates do not add to the total' WHEN 2 THEN 'rate has too many digits' END FROM orders
 """)
 def rate_row_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Each order prints a rate table on a page; one row of it is residential."""
@@ -646,7 +647,14 @@ def rate_row_extract(spark: SparkSession, sf: str) -> DataFrame:
     row = F.concat(label, show(city), F.lit("  "), show(F.lit(84183)), F.lit("  "), show(F.lit(15300)), F.lit("  "), show(total))
     page = F.concat(F.lit("By-law schedule\n"), row, F.lit("\nFarmland 1.0 2.0\n"))
     rows = rates.rate_rows(table(spark, sf, "orders").select(F.col("o_orderkey").alias("code"), page.alias("page_text")), "page_text")
-    return rows.select("code", (F.col("raw_city").cast("decimal(12,5)") * 100000).cast("bigint").alias("city"), "unit", "reason")
+    # Declared decimal rates whose digits lie beyond the ninth place: they add up, miss by
+    # more than the tolerance, or have more places than a rate can.
+    kind = F.pmod("o_custkey", F.lit(3))
+    total = F.when(kind == 1, "0.1234567903").when(kind == 2, "0.12345679010000000001").otherwise("0.1234567901")
+    fine = F.concat(F.lit("RT 0.12345678912 0.00000000049 0.00000000049 "), total)
+    declared = rates.rate_rows(table(spark, sf, "orders").select((-F.col("o_orderkey")).alias("code"), fine.alias("page_text")), "page_text", "decimal")
+    both = rows.unionByName(declared)
+    return both.select("code", F.floor(F.col("raw_city").cast("decimal(12,11)") * 100000).cast("bigint").alias("city"), "unit", "reason")
 
 
 @query("table_row_extract", f"""

@@ -122,25 +122,68 @@ def json_collection_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("json_record_scan", """
-WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS m, 'c' || CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS p FROM orders)
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 11 AS m, 'c' || CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS p FROM orders)
 SELECT k, CAST(NULL AS INTEGER) AS position, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS name,
        CASE m WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'no collection at the path' WHEN 2 THEN 'empty collection' ELSE 'not an array' END AS reason FROM o WHERE m <= 3
 UNION ALL SELECT k, 0, id, p, CASE WHEN m = 4 THEN 'key is repeated' END FROM o WHERE m >= 4
-UNION ALL SELECT k, 1, CASE m WHEN 4 THEN id WHEN 5 THEN ' ' ELSE 'second' END, CASE WHEN m = 6 THEN '[1,2]' ELSE p END,
-                 CASE m WHEN 4 THEN 'key is repeated' WHEN 5 THEN 'record has no key' ELSE 'record holds a list or an object' END FROM o WHERE m >= 4
+UNION ALL SELECT k, 1, CASE m WHEN 4 THEN id WHEN 5 THEN '' ELSE 'second' END, CASE m WHEN 6 THEN '[1,2]' WHEN 7 THEN '[sic] Town' WHEN 8 THEN NULL WHEN 9 THEN 'True' WHEN 10 THEN 'padded' ELSE p END,
+                 CASE m WHEN 4 THEN 'key is repeated' WHEN 5 THEN 'record has no key' WHEN 6 THEN 'record holds a list or an object' WHEN 8 THEN 'record holds a null' END FROM o WHERE m >= 4
 """)
 def json_record_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Record collections of order documents, most with one defect each."""
-    m, record = F.col("o_orderkey") % 7, lambda key, name: F.concat(F.lit('{"id":"'), key, F.lit('","name":'), name, F.lit("}"))
+    """Record collections of order documents: most with one defect each, the others
+    with a text that looks like a list, a flag, or a padded text."""
+    m, record = F.col("o_orderkey") % 11, lambda key, name: F.concat(F.lit('{"id":"'), key, F.lit('","name":'), name, F.lit("}"))
     first, name = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))
     second = F.when(m == 4, first).when(m == 5, F.lit(" ")).otherwise(F.lit("second"))
-    both = F.concat(record(first, name), F.lit(","), record(second, F.when(m == 6, F.lit("[1,2]")).otherwise(name)))
+    odd = F.when(m == 6, "[1,2]").when(m == 7, '"[sic] Town"').when(m == 8, "null").when(m == 9, "true").when(m == 10, '" padded "').otherwise(name)
+    both = F.concat(record(first, name), F.lit(","), record(second, odd))
     body = F.when(m == 2, F.lit("[]")).when(m == 3, F.lit('"text"')).otherwise(F.concat(F.lit("["), both, F.lit("]")))
     document = F.when(m == 0, F.lit('{"a":')).when(m == 1, F.lit('{"a":{}}')).otherwise(F.concat(F.lit('{"a":{"b":'), body, F.lit("}}")))
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), document.alias("document"))
     return documents.json_records(rows, "document", "a.b", "id", ["id", "name"])
 
 
+@query("csv_record_scan", """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 AS m, 'c' || CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS p FROM orders)
+SELECT k, CAST(NULL AS INTEGER) AS position, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS name, CASE m WHEN 0 THEN 'key is absent from the header' ELSE 'empty collection' END AS reason FROM o WHERE m <= 1
+UNION ALL SELECT k, 0, id, p || ', "old"', CASE WHEN m = 2 THEN 'key is repeated' END FROM o WHERE m >= 2
+UNION ALL SELECT k, 1, CASE m WHEN 2 THEN id WHEN 3 THEN '' ELSE 'second' END, CASE WHEN m = 4 THEN '' ELSE p END, CASE m WHEN 2 THEN 'key is repeated' WHEN 3 THEN 'record has no key' END FROM o WHERE m >= 2
+""")
+def csv_record_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records as comma-separated texts: quoted cells, a byte-order mark,
+    blank lines and short rows among them."""
+    m, p = F.col("o_orderkey") % 6, F.col("o_orderpriority")
+    first = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    head = F.when(m == 0, "code,name").when(m == 5, "\ufeffname,id").otherwise("id,name")
+    quoted = F.concat(F.lit('"'), p, F.lit(', \\"old\\""'))
+    one = F.when(m == 5, F.concat(quoted, F.lit(","), first)).otherwise(F.concat(first, F.lit(","), quoted))
+    second = F.when(m == 2, first).when(m == 3, F.lit("  ")).otherwise(F.lit("second"))
+    two = F.when(m == 4, second).when(m == 5, F.concat(p, F.lit(", "), second, F.lit(" "))).otherwise(F.concat(second, F.lit(","), p))
+    text = F.when(m == 1, F.concat(head, F.lit("\n \n"))).otherwise(F.concat_ws("\n", head, one, F.lit(""), F.concat(two, F.lit("\r"))))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text.alias("document"))
+    return documents.csv_records(rows, "document", "id", ["id", "name"], width=8)
+
+
+@query("edition_lines", """
+WITH w AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line_no FROM customer)
+SELECT CAST(c_nationkey AS INTEGER) AS file_no, line_no, CAST(c_custkey AS VARCHAR) AS dissolved, CASE WHEN c_custkey % 5 = 0 THEN 'Québec, “old”' ELSE c_name END AS successor FROM w WHERE c_custkey % 7 <> 3
+""")
+def edition_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows-1252 lists written to files of their own, one for each nation, with
+    blank lines between the rows, and read back with the numbers of their lines."""
+    name = F.when(F.col("c_custkey") % 5 == 0, "Québec, “old”").otherwise(F.col("c_name"))
+    row = F.when(F.col("c_custkey") % 7 == 3, "").otherwise(F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), name, F.lit('"')))
+    # Windows-1252 bytes: Latin ones, and those of the two quotes.
+    latin = F.encode(F.translate(row, "“”", "\x93\x94"), "ISO-8859-1")
+    folder = f"{checkpoint_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lists = table(spark, sf, "customer").select(F.col("c_nationkey").alias("file_no"), "c_custkey", latin.cast("string").alias("value"))
+    lists.repartition("file_no").sortWithinPartitions("file_no", "c_custkey").drop("c_custkey").write.partitionBy("file_no").text(folder)
+    rows = editions.read_edition(spark, folder, 2, with_path=True)
+    return rows.select(
+        F.regexp_extract("path", "file_no=([0-9]+)", 1).cast("int").alias("file_no"), "line_no", F.col("c0").alias("dissolved"), F.col("c1").alias("successor")
+    )
+
+
 @query("ledger_explode", """
 WITH refused AS (SELECT o_orderkey % 50 = 0 AS broken, * FROM orders), orders AS (SELECT * FROM refused WHERE NOT broken)
 SELECT CAST(NULL AS VARCHAR) AS ledger, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS INTEGER) AS position, CAST(NULL AS VARCHAR) AS node_id, 'not a JSON object' AS reason FROM refused WHERE broken

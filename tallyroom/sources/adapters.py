@@ -44,17 +44,27 @@ ADAPTERS: dict[str, Parser] = {
 }
 
 
+def parsed(parser: Parser | None, payload: bytes | None) -> list[tuple]:
+    """Rows of one payload; a payload its adapter cannot read is one refused row."""
+    if parser is None:
+        return [(None, None, "no adapter")]
+    try:
+        return parser(payload)
+    except (ValueError, LookupError, TypeError, AttributeError, csv.Error) as problem:
+        return [(None, None, f"unreadable payload: {type(problem).__name__}")]
+
+
 def parse_payloads(payloads: DataFrame, adapters: dict[str, Parser] | None = None) -> DataFrame:
     """``payloads(source_id, adapter, payload)`` to canonical rows, each payload
-    by its named adapter; an unknown adapter is refused, not guessed."""
+    by its named adapter; an unknown adapter, or a payload that it cannot read, is
+    refused, not guessed."""
     registry = dict(adapters or ADAPTERS)
 
     def run(batches):
         for batch in batches:
             out = []
             for source_id, adapter, payload in zip(batch["source_id"], batch["adapter"], batch["payload"]):
-                parser = registry.get(adapter)
-                rows = parser(payload) if parser else [(None, None, "no adapter")]
+                rows = parsed(registry.get(adapter), payload)
                 out.extend((source_id, *row) for row in rows)
             yield pd.DataFrame(out, columns=["source_id", "record_id", "name", "reason"])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyroom.sources.lines import cells_of
+
 PAGE_MARK = r"=====\s*PAGE\s+([0-9]+)\s*====="
 
 
@@ -68,38 +70,78 @@ def json_entries(rows: DataFrame, document: str) -> DataFrame:
 
 
 def json_records(rows: DataFrame, document: str, path: str, key: str, fields: list[str]) -> DataFrame:
-    """The records of the array of objects at ``path`` (``a.b``), one row each:
-    ``position``, the key, the fields as text, and a ``reason``.
+    """The records of the array of objects at ``path`` (``a.b``, or ``$`` for the
+    document itself), one row each: ``position``, the key, the fields as trimmed
+    text, and a ``reason``.
 
     A document without that array, or with an empty one, gives one refused row.
-    A record is refused when it is no object, holds a list or an object in any
-    field, lacks a non-empty key, or repeats a key of its document.
+    A record is refused when it is no object, holds a list, an object or a null in
+    any field, lacks a non-empty key, or repeats a key of its document. Types are
+    those of the JSON, so a text that begins with a bracket is a text.
     """
     kept = [c for c in rows.columns if c != document]
-    found = F.get_json_object(document, "$." + path)
-    items = F.from_json(found, "array<string>")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    steps = "$" if path == "$" else "$" + "".join(f"['{step}']" for step in path.split("."))
+    parsed = rows.select(*kept, F.monotonically_increasing_id().alias("_doc"), F.try_parse_json(document).alias("_v"))
+    found = parsed.select(*kept, "_doc", F.col("_v").isNotNull().alias("_ok"), F.try_variant_get("_v", steps, "variant").alias("_f"))
+    items = F.try_variant_get("_f", "$", "array<variant>")
     problem = (
-        F.when(document_unreadable(F.col(document)), "not a JSON object")
-        .when(found.isNull(), "no collection at the path")
-        .when(items.isNull() | ~F.ltrim(found).startswith("["), "not an array")
+        F.when(~F.col("_ok"), "not a JSON object")
+        .when(F.col("_f").isNull(), "no collection at the path")
+        .when(~kind(F.col("_f")).startswith("ARRAY"), "not an array")
         .when(F.size(items) == 0, "empty collection")
     )
-    each = rows.select(*kept, F.monotonically_increasing_id().alias("_doc"), problem.alias("_p"), items.alias("_i")).select(
-        *kept, "_doc", "_p", F.posexplode_outer(F.when(F.col("_p").isNull(), F.col("_i"))).alias("position", "_r")
-    )
-    entries = F.from_json("_r", "map<string,string>")
-    nested = F.exists(F.map_values(entries), lambda v: F.coalesce(F.ltrim(v).rlike(r"^[\[{]"), F.lit(False)))
-    read = each.withColumn("_e", entries).withColumn("_k", F.col("_e")[key])
-    copies = F.count("_k").over(Window.partitionBy("_doc", "_k"))
+    each = found.select(*kept, "_doc", problem.alias("_p"), F.posexplode_outer(F.when(problem.isNull(), items)).alias("position", "_r"))
+    entries = F.when(kind(F.col("_r")).startswith("OBJECT"), F.try_variant_get("_r", "$", "map<string,variant>"))
+    read = each.withColumn("_e", entries)
+    kinds = F.transform(F.map_values("_e"), kind)
+    shown = lambda f: F.trim(F.when(kind(F.col("_e")[f]) == "BOOLEAN", F.initcap(as_text(F.col("_e")[f]))).otherwise(as_text(F.col("_e")[f])))
+    read = read.select(*kept, "_doc", "_p", "position", "_e", kinds.alias("_kinds"), shown(key).alias("_k"), *[shown(f).alias(f"_x{i}") for i, f in enumerate(fields)])
     reason = F.coalesce(
         F.col("_p"),
         F.when(F.col("_e").isNull(), "record is not an object")
-        .when(nested, "record holds a list or an object")
-        .when(F.coalesce(F.trim("_k"), F.lit("")) == "", "record has no key")
-        .when(copies > 1, "key is repeated"),
+        .when(F.exists("_kinds", lambda k: k.startswith("ARRAY") | k.startswith("OBJECT")), "record holds a list or an object")
+        .when(F.exists("_kinds", lambda k: k == "VOID"), "record holds a null")
+        .when(F.coalesce("_k", F.lit("")) == "", "record has no key")
+        .when(_copies() > 1, "key is repeated"),
+    )
+    return read.withColumn("reason", reason).select(
+        *kept, "position", F.col("_k").alias(key), *[F.col(f"_x{i}").alias(f) for i, f in enumerate(fields) if f != key], "reason"
+    )
+
+
+def as_text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
+def _copies() -> Column:
+    return F.count("_k").over(Window.partitionBy("_doc", "_k"))
+
+
+def csv_records(rows: DataFrame, document: str, key: str, fields: list[str], width: int = 64) -> DataFrame:
+    """The records of a text of comma-separated values with a header, as in
+    ``json_records``: cells are trimmed, missing ones empty, blank lines skipped. A
+    header without the key, or with more than ``width`` columns, refuses the text.
+    A line is a record: no cell holds a line end."""
+    kept = [c for c in rows.columns if c != document]
+    lines = F.split(F.regexp_replace(document, "^\ufeff", ""), "\r\n|\n|\r")
+    parsed = rows.select(*kept, F.monotonically_increasing_id().alias("_doc"), F.get(lines, F.lit(0)).alias("_head"), F.filter(
+        F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda line: F.trim(line) != ""
+    ).alias("_lines"))
+    headed = parsed.select(*kept, "_doc", "_lines", cells_of("_head", width + 1).alias("_names"))
+    problem = (
+        F.when(F.get("_names", F.lit(width)).isNotNull(), "too many columns")
+        .when(~F.coalesce(F.array_contains("_names", key), F.lit(False)), "key is absent from the header")
+        .when(F.size("_lines") == 0, "empty collection")
     )
+    each = headed.select(*kept, "_doc", "_names", problem.alias("_p"), F.posexplode_outer(F.when(problem.isNull(), F.col("_lines"))).alias("position", "_line"))
+    read = each.select(*kept, "_doc", "_names", "_p", "position", F.when(F.col("_line").isNotNull(), cells_of("_line", width)).alias("_cells"))
+    place = lambda f: (F.array_position("_names", f) - 1).cast("int")
+    shown = lambda f: F.when(place(f) >= 0, F.when(F.col("_cells").isNotNull(), F.trim(F.coalesce(F.get("_cells", place(f)), F.lit("")))))
+    read = read.select(*kept, "_doc", "_p", "position", shown(key).alias("_k"), *[shown(f).alias(f"_x{i}") for i, f in enumerate(fields)])
+    reason = F.coalesce(F.col("_p"), F.when(F.coalesce("_k", F.lit("")) == "", "record has no key").when(_copies() > 1, "key is repeated"))
     return read.withColumn("reason", reason).select(
-        *kept, "position", F.col("_k").alias(key), *[F.col("_e")[f].alias(f) for f in fields if f != key], "reason"
+        *kept, "position", F.col("_k").alias(key), *[F.col(f"_x{i}").alias(f) for i, f in enumerate(fields) if f != key], "reason"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.functions.text import slash_date
-from tallyroom.sources.encodings import windows_text
+from tallyroom.sources.lines import cells_of, numbered_lines
 
 # Types that never levied, the dissolution code, the region prefix.
 NON_LEVYING_TYPES = ["IRI", "NO", "S-E", "S-É", "SE"]
@@ -18,16 +18,12 @@ REGION_PREFIX = "35"
 REMARK = r"\(dissolution\)[^-]*-\s*([^-]+?)\s*,\s*([A-ZÉ-]{1,4})\s*$"
 
 
-def read_edition(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """``(line_no, c0 … c<width-1>)`` of a headerless Windows-1252 change list.
-
-    A file is read by one task here (these lists are small, and the line number
-    has to count from the top), so row ids within the task are line numbers.
-    """
-    schema = ", ".join(f"c{i} STRING" for i in range(width))
-    rows = spark.read.schema(schema).option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").option("multiLine", "true").csv(path)
-    cells = [windows_text(F.col(f"c{i}")).alias(f"c{i}") for i in range(width)]
-    return rows.select(((F.monotonically_increasing_id() % F.lit(1 << 33)) + 1).alias("line_no"), *cells)
+def read_edition(spark: SparkSession, path: str, width: int, with_path: bool = False) -> DataFrame:
+    """``(line_no, c0 … c<width-1>)`` of headerless Windows-1252 change lists; line
+    numbers count from the top of each file, blank lines included."""
+    cells = cells_of("line", width)
+    rows = numbered_lines(spark, path, windows=True).filter(F.trim("line") != "").select("path", "line_no", cells.alias("_c"))
+    return rows.select(*(["path"] if with_path else []), "line_no", *[F.get("_c", F.lit(i)).alias(f"c{i}") for i in range(width)])
 
 
 def _cell(i: int) -> Column:

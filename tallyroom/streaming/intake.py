@@ -19,27 +19,38 @@ def judge(batch: DataFrame, lock: DataFrame, key: str, fields: list[str]) -> Dat
     ).drop("_locked")
 
 
+# A state store that keeps the keys on disk, not in the heap.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_intake(stream: DataFrame, lock: DataFrame, key: str, fields: list[str], folder: str) -> str:
     """Process everything that has landed and stop.
 
-    Each micro-batch overwrites its own ``epoch`` folder, so a replayed batch
-    leaves one copy. Records that an earlier epoch already took with the same
-    digest are left out, so a file that is dropped again adds nothing.
+    Which records were taken is keyed state of the stream: one entry per (key,
+    digest) in the state store, so a micro-batch reads what landed and looks its
+    keys up, and nothing of earlier batches is read again. A record that lands
+    again, in whatever file, adds nothing. Each micro-batch overwrites its own
+    ``epoch`` folder, and state is kept by batch, so a batch that runs again after
+    a failure leaves one copy.
     """
     spark = stream.sparkSession
     target = f"{folder}/rows"
+    fresh = judge(stream, lock, key, fields).dropDuplicates([key, "digest"])
 
     def take(batch: DataFrame, epoch: int) -> None:
-        judged = judge(batch, lock, key, fields).dropDuplicates([key, "digest"])
-        if epoch > 0:
-            before = batch.sparkSession.read.parquet(target).filter(F.col("epoch") < epoch).select(key, "digest")
-            judged = judged.join(before, [key, "digest"], "left_anti")
-        judged.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
-
-    query = (
-        stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(take).start()
-    )
-    query.awaitTermination()
+        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        query = fresh.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(take).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
     return target
 
 

@@ -264,3 +264,82 @@ def test_encoding_policies(spark, tmp_path):
 def test_preamble(spark):
     df = spark.createDataFrame([(1, "Title"), (2, "note"), (3, "id,name"), (4, "1,a")], "n int, line string")
     assert rows(contracts.drop_preamble(df, "n", 2), "line") == [("1,a",)]
+
+
+def test_line_numbers_of_split_and_packed_files(spark, tmp_path):
+    from tallyroom.sources.lines import numbered_lines
+
+    (tmp_path / "big.txt").write_text("".join(f"row {i}\n" if i % 9 else "\n" for i in range(1, 4001)))
+    for k in range(12):
+        (tmp_path / f"small{k:02}.txt").write_bytes(f"a{k}\r\n\r\ncôté\n".encode("cp1252"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        lines = numbered_lines(spark, str(tmp_path), windows=True)
+        assert lines.rdd.getNumPartitions() > 1
+        got = {}
+        for r in lines.collect():
+            got.setdefault(r.path.rsplit("/", 1)[1], {})[r.line_no] = r.line
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got.pop("big.txt") == {i: f"row {i}" if i % 9 else "" for i in range(1, 4001)}
+    assert got == {f"small{k:02}.txt": {1: f"a{k}", 2: "", 3: "côté"} for k in range(12)}
+
+
+def test_many_small_editions_keep_their_line_numbers(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"e{k:02}.csv").write_text(f"x{k},1\ny,2\nz,3\n", encoding="cp1252")
+    got = editions.read_edition(spark, str(tmp_path), 2).collect()
+    assert len(got) == 60 and {(r.line_no, r.c1) for r in got} == {(1, "1"), (2, "2"), (3, "3")}
+
+
+def test_json_records_keep_their_types(spark):
+    docs = [
+        (1, '{"r": [{"id": 1, "name": "[sic] Town"}, {"id": "2", "name": null}, {"id": "3", "name": true}, {"id": " 4 ", "name": " {x "}, 7, {"id": "5", "name": {"a": 1}}]}'),
+        (2, "not json"), (3, '{"r": null}'), (4, '{"q": []}'), (5, '{"r": []}'), (6, '{"r": "[1]"}'), (7, "[1]"), (8, None), (9, '{"r": [{"name": "no key"}]}'),
+    ]
+    out = documents.json_records(spark.createDataFrame(docs, "d int, t string"), "t", "r", "id", ["id", "name"])
+    got = {(r.d, r.position): (r.id, r.name, r.reason) for r in out.collect()}
+    assert got == {
+        (1, 0): ("1", "[sic] Town", None), (1, 1): ("2", None, "record holds a null"), (1, 2): ("3", "True", None), (1, 3): ("4", "{x", None),
+        (1, 4): (None, None, "record is not an object"), (1, 5): ("5", '{"a":1}', "record holds a list or an object"), (2, None): (None, None, "not a JSON object"),
+        (3, None): (None, None, "not an array"), (4, None): (None, None, "no collection at the path"), (5, None): (None, None, "empty collection"),
+        (6, None): (None, None, "not an array"), (7, None): (None, None, "no collection at the path"), (8, None): (None, None, "not a JSON object"),
+        (9, 0): (None, "no key", "record has no key"),
+    }
+    whole = documents.json_records(spark.createDataFrame([('[{"id": "a"}, {"id": "a"}]',)], "t string"), "t", "$", "id", ["id"])
+    assert rows(whole, "position", "id", "reason") == [(0, "a", "key is repeated"), (1, "a", "key is repeated")]
+
+
+def test_csv_records(spark):
+    texts = [(1, 'id,name\n1,"a, b"\n\n2\n ,x\n3, c ,more'), (2, "code\n1"), (3, "id\n"), (4, ",".join(f"c{i}" for i in range(5)) + "\n1"), (5, "\ufeffid\r\n7\r\n7")]
+    out = documents.csv_records(spark.createDataFrame(texts, "d int, t string"), "t", "id", ["id", "name"], width=4)
+    assert rows(out, "d", "position", "id", "name", "reason") == [
+        (1, 0, "1", "a, b", None), (1, 1, "2", "", None), (1, 2, "", "x", "record has no key"), (1, 3, "3", "c", None),
+        (2, None, None, None, "key is absent from the header"), (3, None, None, None, "empty collection"), (4, None, None, None, "too many columns"),
+        (5, 0, "7", None, "key is repeated"), (5, 1, "7", None, "key is repeated")]
+
+
+def test_unreadable_payloads_are_refused_alone(spark):
+    payloads = spark.createDataFrame(
+        [("a", "json-directory", b"{"), ("b", "json-directory", b"[]"), ("c", "json-directory", b'{"records": [1]}'), ("d", "json-directory", b"\xff"), ("e", "csv-directory", None), ("f", "csv-directory", b"id,name\n1,A\n")],
+        "source_id string, adapter string, payload binary")
+    got = {r.source_id: (r.record_id, r.reason) for r in adapters.parse_payloads(payloads).collect()}
+    assert got.pop("f") == ("1", None)
+    assert all(reason.startswith("unreadable payload") for _, reason in got.values()) and set(got) == set("abcde")
+
+
+def test_stream_reads_only_what_landed(spark, tmp_path):
+    schema = "id long, v string"
+    source, folder = tmp_path / "landing", str(tmp_path / "run")
+    lock = spark.createDataFrame([(1, "a")], schema).select("id", record_digest("v").alias("digest"))
+
+    def run(*records):
+        spark.createDataFrame(list(records), schema).coalesce(1).write.mode("append").parquet(str(source))
+        return intake.run_intake(spark.readStream.schema(schema).parquet(str(source)), lock, "id", ["v"], folder)
+
+    target = run((1, "a"), (2, "b"))
+    for old in Path(target).glob("epoch=0/*.parquet"):
+        old.unlink()  # an earlier epoch is not needed to know what was taken
+    run((1, "a"), (2, "b"), (2, "c"))
+    assert [(r.id, r.v) for r in spark.read.schema(schema).parquet(f"{target}/epoch=1").collect()] == [(2, "c")]
