@@ -75,34 +75,64 @@ def marginals(emission: np.ndarray, starts: np.ndarray, start: np.ndarray, trans
     return both / both.sum(axis=1, keepdims=True), forward, carried, move
 
 
+#: Tokens whose messages are held at once while training.
+PART = 50_000
+
+
+def parts(starts: np.ndarray, size: int = PART) -> list[tuple[int, int]]:
+    """Stretches of whole sequences with about ``size`` tokens each (a longer sequence is one)."""
+    begins = np.flatnonzero(starts)
+    edges, last = [0], 0
+    for begin, end in zip(begins, [*begins[1:], len(starts)]):
+        if end - last > size and begin > last:
+            edges.append(int(begin))
+            last = begin
+    return list(zip(edges, [*edges[1:], len(starts)]))
+
+
 def train(feature: np.ndarray, offset: np.ndarray, label: np.ndarray, starts: np.ndarray, size: int, states: int,
           rounds: int = 30, rate: float = 0.5, decay: float = 1e-4):
     """Weights (size, states), start and transition scores of the maximum
     penalised likelihood. ``feature``: hashed feature numbers of all tokens,
-    token i owns ``feature[offset[i]:offset[i + 1]]`` (at least one)."""
+    token i owns ``feature[offset[i]:offset[i + 1]]`` (at least one). Memory is
+    that of the weights and of PART tokens, however many tokens and states."""
     n = len(label)
     weight = np.zeros((size, states))
     start, transition = np.zeros(states), np.zeros((states, states))
     grown = np.full_like(weight, 1e-8)
     grown_start, grown_move = np.full(states, 1e-8), np.full((states, states), 1e-8)
-    truth = np.eye(states)[label]
-    count = np.diff(offset)
-    inside = ~starts[1:]
+    follows = ~starts[1:]
+    seen = np.zeros((states, states))
+    np.add.at(seen, (label[:-1][follows], label[1:][follows]), 1.0)
+    gradient = np.zeros_like(weight)
     for _ in range(rounds):
-        emission = np.add.reduceat(weight[feature], offset[:-1], axis=0)
-        posterior, forward, carried, move = marginals(emission, starts, start, transition)
-        residual = np.repeat(truth - posterior, count, axis=0)
-        gradient = np.stack([np.bincount(feature, residual[:, k], size) for k in range(states)], axis=1) / n
+        gradient[:] = 0
+        expected, begun = np.zeros((states, states)), np.zeros(states)
+        for a, b in parts(starts):
+            own, first = feature[offset[a] : offset[b]], starts[a:b]
+            emission = np.add.reduceat(weight[own], offset[a:b] - offset[a], axis=0)
+            posterior, forward, carried, move = marginals(emission, first, start, transition)
+            expected += pairs(forward, carried, move, first)
+            residual = -posterior
+            residual[np.arange(b - a), label[a:b]] += 1.0
+            begun += residual[first].sum(axis=0)
+            count = np.diff(offset[a : b + 1])
+            for k in range(states):
+                gradient[:, k] += np.bincount(own, np.repeat(residual[:, k], count), size)
+        gradient /= n
         gradient -= decay * weight
-        pair = forward[:-1][inside][:, :, None] * move * carried[1:][inside][:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        seen = np.zeros((states, states))
-        np.add.at(seen, (label[:-1][inside], label[1:][inside]), 1.0)
-        move_gradient = (seen - pair.sum(axis=0)) / n
-        start_gradient = (truth[starts] - posterior[starts]).sum(axis=0) / n
         for value, slope, history in (
-            (weight, gradient, grown), (start, start_gradient, grown_start), (transition, move_gradient, grown_move),
+            (weight, gradient, grown), (start, begun / n, grown_start), (transition, (seen - expected) / n, grown_move),
         ):
             history += slope * slope
             value += rate * slope / np.sqrt(history)
     return weight.astype(np.float32), start, transition
+
+
+def pairs(forward: np.ndarray, carried: np.ndarray, move: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Expected transitions (s, s) inside the sequences: the pairwise marginals summed,
+    without holding those of each token."""
+    inside = ~starts[1:]
+    before, after = forward[:-1][inside], carried[1:][inside]
+    total = ((before @ move) * after).sum(axis=1)
+    return move * ((before / total[:, None]).T @ after)
