@@ -76,3 +76,36 @@ def test_every_language_is_learnt_from_rows_short_enough(spark):
     picked = langid.sample_rows(documents, F.lit(True), 2)
     assert sorted(lang for _, lang in picked) == sorted(f"l{k:02}" for k in range(70) for _ in range(2))
     assert all(len(text) < 50 for text, _ in picked)
+
+
+def test_many_languages_fit_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    from tallyroom.llm import crf
+
+    monkeypatch.setattr(langid, "BITS", 12)
+    rng = random.Random(6)
+    sample = [(" ".join(f"{chr(97 + k % 26)}{k}{chr(97 + rng.randrange(26))}o".translate({48 + d: 103 + d for d in range(10)}) for _ in range(60)), f"l{k:02}") for k in range(70) for _ in range(4)]
+    tracemalloc.start()
+    model = langid.fit(sample)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) == 70 and peak < 1_000_000_000
+    assert crf.parts(__import__("numpy").array([True, False, True, False, False, True]), 3) == [(0, 2), (2, 5), (5, 6)]
+
+
+def test_long_rows_are_left_out_before_rows_are_picked(spark, frame):
+    documents = frame([(i, "long " * 5_000) for i in range(40)] + [(100 + i, f"short {i}") for i in range(6)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(100 + i, i % 2) for i in range(6)], "doc_id bigint, toxic int")
+    assert sorted(toxicity.sample_rows(documents, labels, F.lit(True), 2))[0][0].startswith("short")
+    assert len(toxicity.sample_rows(documents, labels, F.lit(True), 3)) == 6
+
+
+def test_held_out_toxicity_on_the_given_tables(spark):
+    from tallyroom.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    held = queries.op1_toxicity(spark, sf).filter("held_out").join(queries.table(spark, sf, "labels"), "doc_id").filter("toxic IN (0, 1)")
+    counts = {(r.predicted, r.toxic): r["count"] for r in held.groupBy("predicted", "toxic").count().collect()}
+    hits, alarms, misses = (counts.get(k, 0) for k in ((1, 1), (1, 0), (0, 1)))
+    assert hits >= 0.9 * (hits + alarms) and hits >= 0.9 * (hits + misses), counts
