@@ -76,4 +76,4 @@ def test_stages_keep_columns_and_survive_odd_rows(spark):
 
 def test_names_and_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "decontamination", "pii", "sentencepiece"]
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
