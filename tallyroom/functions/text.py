@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Words that describe a body's type and are left out of a slug.
 SLUG_TYPE_WORDS = ["tp", "c", "t", "r", "uco", "st", "lt", "ut"]
@@ -32,27 +31,62 @@ OFFICIAL_SUFFIXES = [
 ]
 
 
-@F.pandas_udf(T.StringType())
-def fold_marks(values: pd.Series) -> pd.Series:
-    """Case-folded text in compatibility form without combining marks. Spark has
-    no Unicode normalisation, so this one step runs on Arrow batches."""
+@lru_cache(maxsize=1)
+def fold_tables() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that folding replaces by at most one, and by several. Folding
+    (case, compatibility form, combining marks dropped) looks at one character
+    at a time, so two tables say all of it; Hangul syllables follow a rule."""
+    single: dict[str, str] = {}
+    several: dict[str, str] = {}
+    for point in (*range(0x41, 0x5B), *range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x33480), *range(0xE0000, 0xE0200)):
+        ch = chr(point)
+        form = "".join(c for c in unicodedata.normalize("NFKD", ch.casefold()) if not unicodedata.combining(c))
+        if form != ch:
+            (several if len(form) > 1 else single)[ch] = form
+    return single, several
 
-    def fold(text):
-        if text is None:
-            return None
-        if text.isascii():
-            return text.lower()
-        form = unicodedata.normalize("NFKD", text.casefold())
-        return "".join(ch for ch in form if not unicodedata.combining(ch))
 
-    return values.map(fold)
+def _translated(value: Column, table: dict[str, str]) -> Column:
+    """Each character by its entry, which has one character or none."""
+    order = sorted(table, key=lambda ch: not table[ch])
+    return F.translate(value, "".join(order), "".join(table[ch] for ch in order))
+
+
+def _ranges(characters: list[str]) -> str:
+    """A character class of a pattern, neighbours joined to ranges."""
+    points = sorted(map(ord, characters))
+    starts = [p for p in points if p - 1 not in set(points)]
+    ends = [p for p in points if p + 1 not in set(points)]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
+HANGUL = r"\x{ac00}-\x{d7a3}"
+
+
+def _jamo(ch: Column) -> Column:
+    """A Hangul syllable as its two or three letters."""
+    place = F.conv(F.hex(F.encode(ch, "UTF-16BE")), 16, 10).cast("int") - 0xAC00
+    parts = [F.floor(place / 588) + 0x1100, F.floor(F.pmod(place, F.lit(588)) / 28) + 0x1161, F.pmod(place, F.lit(28)) + 0x11A7]
+    letters = [F.decode(F.unhex(F.hex(p.cast("bigint"))), "UTF-16BE") for p in parts]
+    return F.concat(letters[0], letters[1], F.when(F.pmod(place, F.lit(28)) > 0, letters[2]).otherwise(""))
 
 
 def folded(value: Column) -> Column:
-    """``fold_marks``, with plain ASCII text handled in the JVM: Python only
-    receives the texts that need it."""
-    special = value.rlike(r"[^\x00-\x7F]")
-    return F.when(special, fold_marks(F.when(special, value))).otherwise(F.lower(value))
+    """Case-folded text in compatibility form without combining marks, in the
+    JVM: one character map, and a step by character only for texts that hold
+    one which becomes several."""
+    single, several = fold_tables()
+    wide = _ranges(list(several))
+    longest = max(map(len, several.values()))
+
+    def spelled(ch: Column) -> Column:
+        # Position by position; a character without a letter there leaves nothing.
+        letters = [_translated(ch, {c: form[at:at + 1] for c, form in several.items()}) for at in range(longest)]
+        return F.when(ch.rlike(f"[{HANGUL}]"), _jamo(ch)).when(ch.rlike(f"[{wide}]"), F.concat(*letters)).otherwise(ch)
+
+    plain = _translated(value, single)
+    apart = F.array_join(F.transform(F.split(plain, ""), spelled), "")
+    return F.when(value.rlike(f"[{wide}{HANGUL}]"), apart).otherwise(plain)
 
 
 def normalized_name(name: Column) -> Column:

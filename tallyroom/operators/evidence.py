@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tallyroom.functions import numbers
+from tallyroom.functions import exact, numbers
 from tallyroom.operators import excerpts, printed
 from tallyroom.operators.printed import LINE_END
 from tallyroom.operators.skew import hot_keys, spread_join
@@ -237,7 +237,8 @@ def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: Da
     held to the larger of the two;
     ``terms(derived_id, factor_no, numerator, sign, input_id, constant)``;
     ``nodes(node_id, value)``. The value is the product of signed sums, the
-    numerator factors over the denominator ones. ``control`` (a value or null)
+    numerator factors over the denominator ones, without rounding: values of up to
+    18 + 16 digits are compared at the very tolerance, wider ones refused. ``control`` (a value or null)
     is the other side of a sum identity. One join to the nodes, then the two
     aggregation levels of the formula; an input cited by very many formulas is
     spread. With ``inputs(derived_id, input_id)`` a term that uses an undeclared
@@ -254,29 +255,44 @@ def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: Da
         stated.withColumnRenamed("input_id", "node_id"),
         nodes.select("node_id", F.col("value").alias("_v")),
         ["node_id"], "left", spread_on=["derived_id", "factor_no"],
-    ).withColumn("_x", F.when(F.col("node_id").isNull(), F.col("constant")).otherwise(F.col("_v")))
+    ).withColumn("_x", F.when(F.col("node_id").isNull(), F.col("constant")).otherwise(F.col("_v"))).withColumn("_e", F.col("_x").try_cast(exact.EXACT))
     factors = valued.groupBy("derived_id", "factor_no", "numerator").agg(
-        F.sum((F.col("sign") * F.col("_x")).cast("decimal(30,8)")).alias("_f"),
+        F.sum(F.when(F.col("sign") < 0, -F.col("_e")).otherwise(F.col("_e"))).try_cast(exact.EXACT).alias("_f"),
         F.count(F.when(F.col("_x").isNull(), F.lit(1))).alias("_lost"),
+        F.count(F.when(F.col("_x").isNotNull() & F.col("_e").isNull(), F.lit(1))).alias("_beyond"),
         F.bool_and("_stated").alias("_stated"),
     )
+    # A formula has few factors, so its lists are short.
+    listed = lambda numerator: F.collect_list(F.when(numerator, exact.limbs(F.col("_f"))))
     values = factors.groupBy("derived_id").agg(
-        F.product(F.when(F.col("numerator"), F.col("_f").cast("double"))).alias("_num"),
-        F.product(F.when(~F.col("numerator"), F.col("_f").cast("double"))).alias("_den"),
+        listed(F.col("numerator")).alias("_over"), listed(~F.col("numerator")).alias("_under"),
+        F.count(F.when(F.col("_f") < 0, F.lit(1))).alias("_negative"),
+        F.count(F.when(~F.col("numerator") & (F.col("_f") == 0), F.lit(1))).alias("_zero"),
         F.sum("_lost").alias("_lost"),
+        F.count(F.when(F.col("_f").isNull() | (F.col("_beyond") > 0), F.lit(1))).alias("_beyond"),
         F.bool_and("_stated").alias("_stated"),
+    ).select(
+        "derived_id", "_lost", "_beyond", "_stated", "_zero", F.when(F.col("_negative") % 2 == 1, -1).otherwise(1).alias("_sign"),
+        F.size("_over").alias("_o"), F.size("_under").alias("_u"), exact.product(F.col("_over")).alias("_num"), exact.product(F.col("_under")).alias("_den"),
     )
-    computed = F.try_divide(F.coalesce("_num", F.lit(1.0)), F.coalesce("_den", F.lit(1.0)))
-    out = derived.join(values, "derived_id", "left").withColumn("_c", computed)
+    out = derived.join(values, "derived_id", "left")
     wide = F.greatest("tolerance", "control_tolerance") if "control_tolerance" in derived.columns else F.col("tolerance")
+    # One expression for both comparisons.
+    compared = F.array(*[F.struct(F.col(v).try_cast(exact.EXACT).alias("v"), t.try_cast(exact.EXACT).alias("t")) for v, t in (("control", wide), ("stored", F.col("tolerance")))])
+    off = F.transform(compared, lambda c: exact.outside(
+        F.col("_num"), F.col("_sign"), F.col("_o"), F.col("_den"), F.col("_u"), c["v"], c["t"]
+    ))
+    out = out.withColumn("_off", off)
+    beyond = lambda c: F.col(c).isNotNull() & F.col(c).try_cast(exact.EXACT).isNull()
     return out.select(
         "derived_id",
         F.when(F.col("_lost").isNull(), "no formula")
         .when(~F.col("_stated"), "formula input is not declared")
         .when(F.col("_lost") > 0, "formula input is missing")
-        .when(F.col("_c").isNull(), "division by zero")
-        .when(F.col("control").isNotNull() & (F.abs(F.col("_c") - F.col("control")) > wide), "identity fails")
-        .when(F.abs(F.col("_c") - F.col("stored")) > F.col("tolerance"), "does not recompute")
+        .when((F.col("_beyond") > 0) | beyond("stored") | beyond("control"), "value is out of range")
+        .when(F.col("_zero") > 0, "division by zero")
+        .when(F.col("control").isNotNull() & F.get("_off", F.lit(0)), "identity fails")
+        .when(F.get("_off", F.lit(1)), "does not recompute")
         .otherwise("recomputed").alias("status"),
     )
 

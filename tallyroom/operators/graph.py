@@ -56,12 +56,79 @@ def reachable(start: DataFrame, edges: DataFrame | _Links, node: str = "node", s
     return seen
 
 
+def _hops(near: DataFrame, by: DataFrame) -> DataFrame:
+    """``near(node, one, two)`` with three and four hops from ``by``; where the
+    strand ends the last node stands for the rest."""
+    far = by.select(F.col("node").alias("two"), F.col("one").alias("_a"), F.col("two").alias("_b"))
+    return spread_join(near, far, ["two"], "left", spread_on=["node"], hot=_settled_hot(near, ["two"])).select(
+        "node", "one", "two", F.coalesce("_a", "two").alias("three"), F.coalesce("_b", "two").alias("four"), F.col("_a").isNotNull().alias("_open")
+    )
+
+
+def _strands(steps: DataFrame) -> list[DataFrame]:
+    """Jumps along nodes with a single way on, ``steps(node, next)``: table k
+    holds one, two, three and four jumps of 4^k steps. The last table reaches
+    every end; a ring has none and stops after as many steps as there are nodes."""
+    tables, size, width = [], steps.count(), 1
+    jump = steps
+    while size:
+        far = jump.select(F.col("node").alias("next"), F.col("next").alias("_far"))
+        twice = spread_join(jump, far, ["next"], "left", spread_on=["node"], hot=_settled_hot(jump, ["next"])).select(
+            "node", F.col("next").alias("one"), F.coalesce("_far", "next").alias("two")
+        )
+        twice = cut_lineage(twice)
+        table = cut_lineage(_hops(twice, twice))
+        tables.append(table.drop("_open"))
+        width *= 4
+        if width >= size or table.filter("_open").isEmpty():
+            break
+        jump = table.select("node", F.col("four").alias("next"))
+    return tables
+
+
+def reached(start: DataFrame, edges: DataFrame | _Links, node: str = "node", src: str = "src", dst: str = "dst", worth: int = 2) -> DataFrame:
+    """Every node reached from ``start``, in rounds that do not grow with the
+    length of unbranched strands.
+
+    Nodes with one way on are jumped over by doubled pointers, so a round of the
+    search leads from branching node to branching node. The nodes in between are
+    marked last, long jumps before short ones. State is one row per node and
+    table; a strand of n nodes takes log4(n) tables and as many marking rounds.
+    Where all strands end within ``worth`` - 1 tables, the plain search is as short.
+    """
+    links = edges if isinstance(edges, _Links) else _Links(edges, src, dst)
+    ways = links.rows.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min("dst").alias("next"))
+    steps = cut_lineage(ways.filter("_n = 1 AND next <> node").select("node", "next"))
+    tables = _strands(steps)
+    if len(tables) < worth:
+        return reachable(start, links, node).select(node)
+    entries = cut_lineage(start.select(F.col(node).alias("node")).distinct())
+    frontier, seen = entries, None
+    while True:
+        ends = frontier
+        if tables:
+            ends = frontier.join(tables[-1].select("node", "four"), "node", "left").select(F.coalesce("four", "node").alias("node")).distinct()
+            ends = ends.join(steps, "node", "left_anti")  # a ring leads nowhere else
+        fresh = cut_lineage(ends if seen is None else ends.join(seen, "node", "left_anti"))
+        if fresh.isEmpty():
+            break
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        out = links.follow(fresh.select(F.col("node").alias("src"))).select(F.col("dst").alias("node")).distinct()
+        frontier = cut_lineage(out.join(entries, "node", "left_anti"))
+        entries = entries.unionByName(frontier)
+    marked = entries
+    for table in reversed(tables):
+        passed = marked.join(table, "node").select(F.explode(F.array("node", "one", "two", "three", "four")).alias("node"))
+        marked = cut_lineage(marked.unionByName(passed).distinct())
+    return marked.select(F.col("node").alias(node))
+
+
 def lineage_verified(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes(node, is_leaf, verified)``: whether all leaves below a node are
     verified, and whether any is. Both are reachability against the edges."""
     back = _Links(edges, "dst", "src")
-    bad = reachable(nodes.filter("is_leaf AND NOT verified").select("node"), back).select("node", F.lit(True).alias("_bad"))
-    good = reachable(nodes.filter("is_leaf AND verified").select("node"), back).select("node", F.lit(True).alias("_good"))
+    bad = reached(nodes.filter("is_leaf AND NOT verified").select("node"), back).select("node", F.lit(True).alias("_bad"))
+    good = reached(nodes.filter("is_leaf AND verified").select("node"), back).select("node", F.lit(True).alias("_good"))
     return nodes.select("node").join(bad, "node", "left").join(good, "node", "left").select(
         "node",
         (F.col("_bad").isNull() & F.col("_good").isNotNull()).alias("fully_verified"),

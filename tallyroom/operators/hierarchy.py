@@ -98,33 +98,27 @@ def parent_verdicts(bodies: DataFrame) -> DataFrame:
 def ancestor_chains(nodes: DataFrame, most: int = 64) -> DataFrame:
     """``nodes(code, parent_code)`` to (code, ancestors nearest first), up to the root.
 
-    The chains are built on the codes that are parents, a far smaller table, one
-    level a round until none has a parent left, and then meet all nodes in one
-    join that spreads a parent of very many children. A tree of more than
-    ``most`` levels, or a loop, is refused.
+    The chains are built on the codes that are parents, a far smaller table, by
+    pointer doubling: a round appends to each chain the chain of its top, so d
+    levels take about log2(d) rounds. They then meet all nodes in one join that
+    spreads a parent of very many children. A node below a loop, or with more
+    than ``most`` levels above it, has null ancestors; the others keep theirs.
     """
     used = nodes.filter("parent_code IS NOT NULL").select(F.col("parent_code").alias("code")).distinct()
-    parents = cut_lineage(nodes.select("code", "parent_code").join(used, "code", "left_semi"))
-    hot = hot_keys(parents, ["parent_code"]).withColumnRenamed("parent_code", "_top")
-    above = parents.select(F.col("code").alias("_top"), F.col("parent_code").alias("_next"))
-    chains = parents.select(F.col("code").alias("parent_code"), F.array("code").alias("_chain"), F.col("parent_code").alias("_top"))
-    done = None
-    for _ in range(most):
-        chains = cut_lineage(chains)
-        complete = chains.filter("_top IS NULL").select("parent_code", "_chain")
-        done = complete if done is None else done.unionAll(complete)
-        open_ = chains.filter("_top IS NOT NULL")
-        if open_.isEmpty():
-            break
+    parents = nodes.select("code", "parent_code").join(used, "code", "left_semi")
+    chains = cut_lineage(parents.select(F.col("code").alias("parent_code"), F.array("code").alias("_chain"), F.col("parent_code").alias("_top")))
+    length = 1
+    while length <= most and not chains.filter("_top IS NOT NULL").isEmpty():
+        above = chains.select(F.col("parent_code").alias("_top"), F.col("_chain").alias("_more"), F.col("_top").alias("_next"))
         # a parent that is no node itself ends the chain
-        longer = spread_join(open_, above.withColumn("_known", F.lit(True)), ["_top"], "left", spread_on=["parent_code"], hot=hot)
-        chains = longer.select(
-            "parent_code",
-            F.when(F.col("_known"), F.concat("_chain", F.array("_top"))).otherwise(F.col("_chain")).alias("_chain"),
+        longer = spread_join(chains, above, ["_top"], "left", spread_on=["parent_code"], hot=hot_keys(chains.filter("_top IS NOT NULL"), ["_top"]))
+        chains = cut_lineage(longer.select(
+            "parent_code", F.when(F.col("_more").isNull(), F.col("_chain")).otherwise(F.concat("_chain", "_more")).alias("_chain"),
             F.col("_next").alias("_top"),
-        )
-    else:
-        raise ValueError(f"the tree has more than {most} levels")
+        ))
+        length *= 2
+    whole = F.col("_top").isNull() & (F.size("_chain") <= most)
+    done = chains.select("parent_code", F.when(whole, F.col("_chain")).alias("_chain"))
     below = nodes.filter("parent_code IS NOT NULL").select("code", "parent_code")
     return spread_join(below, done, ["parent_code"], "inner", spread_on=["code"]).select("code", F.col("_chain").alias("ancestors"))
 

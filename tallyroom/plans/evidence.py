@@ -402,6 +402,43 @@ def derived_recompute(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.recompute(stored, terms, nodes)
 
 
+@query("exact_products", """
+WITH l AS (SELECT l_orderkey, l_linenumber, CAST(round(min(l_extendedprice) * 100) AS BIGINT) AS p, CAST(round(min(l_discount) * 100) AS BIGINT) AS d,
+  CAST(round(min(l_tax) * 100) AS BIGINT) AS t, l_orderkey % 4 AS k FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT l_orderkey, l_linenumber, CASE WHEN k IN (0, 2) OR p * (100 - d) * (100 + t) = 0 AND k = 3 THEN 'recomputed' ELSE 'does not recompute' END AS status FROM l
+""")
+def exact_products(spark: SparkSession, sf: str) -> DataFrame:
+    """The charge of each line number of an order (the least price, discount and tax
+    where it repeats). What is stored is off
+    by the tolerance (0, 2), by the smallest step beyond it (1), or has the wrong
+    sign (3); the prices are in units of 10^10, where doubles no longer tell."""
+    big = F.lit(10**10).cast("decimal(11,0)")
+    money = lambda c: F.round(F.col(c) * 100).cast("decimal(12,0)")
+    key = F.concat_ws("/", "l_orderkey", "l_linenumber")
+    least = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_extendedprice", "l_discount", "l_tax")])
+    lines = least.select(
+        "l_orderkey", "l_linenumber", key.alias("derived_id"), money("l_extendedprice").alias("p"), money("l_discount").alias("d"), money("l_tax").alias("t")
+    )
+    nodes = lines.select(F.concat(F.lit("p"), "derived_id").alias("node_id"), (F.col("p") * big).cast("decimal(34,16)").alias("value")).unionByName(
+        lines.select(F.concat(F.lit("d"), "derived_id").alias("node_id"), (F.col("d") / 100).cast("decimal(34,16)").alias("value"))
+    )
+    none, one = F.lit(None).cast("string"), F.lit(1).cast("decimal(34,16)")
+
+    def term(factor, numerator, sign, node, constant=F.lit(None).cast("decimal(34,16)")):
+        return F.struct(F.lit(factor).alias("factor_no"), F.lit(numerator).alias("numerator"), F.lit(sign).alias("sign"), node.alias("input_id"), constant.alias("constant"))
+
+    terms = lines.select("derived_id", F.explode(F.array(
+        term(1, True, 1, F.concat(F.lit("p"), "derived_id")), term(2, True, 1, none, one), term(2, True, -1, F.concat(F.lit("d"), "derived_id")),
+        term(3, True, 1, none, one + (F.col("t") / 100).cast("decimal(6,2)")), term(4, False, 1, none, F.lit(10).cast("decimal(34,16)")),
+    )).alias("t")).select("derived_id", "t.*")
+    charge = ((F.col("p") * (100 - F.col("d")) * (100 + F.col("t"))).cast("decimal(16,0)") * F.lit(10**5).cast("decimal(6,0)")).cast("decimal(20,0)")
+    kind, step = F.col("l_orderkey") % 4, lambda text: F.lit(text).cast("decimal(16,16)")
+    stored = F.when(kind == 0, charge + step("0.005")).when(kind == 1, charge + step("0.0050000000000001")).when(kind == 2, charge - step("0.005")).otherwise(-charge)
+    derived = lines.select("derived_id", stored.cast("decimal(34,16)").alias("stored"), step("0.005").cast("decimal(34,16)").alias("tolerance"), F.lit(None).cast("double").alias("control"))
+    parts = F.split("derived_id", "/")
+    return evidence.recompute(derived, terms, nodes).select(parts[0].cast("bigint").alias("l_orderkey"), parts[1].cast("int").alias("l_linenumber"), "status")
+
+
 @query("scope_asof", """
 WITH h AS (SELECT n_nationkey, n_regionkey FROM nation)
 SELECT 'd' AS doc, CAST(n_regionkey AS VARCHAR) || '/' || CAST(c_nationkey AS VARCHAR) || '/' || CAST(c_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) AS path,
@@ -441,7 +478,7 @@ SELECT node FROM c
 """)
 def lineage_closure(spark: SparkSession, sf: str) -> DataFrame:
     roots = table(spark, sf, "part").filter("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("node"))
-    return graph.reachable(roots, part_edges(spark, sf)).select("node")
+    return graph.reached(roots, part_edges(spark, sf))
 
 
 @query("lineage_verified", f"""

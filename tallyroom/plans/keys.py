@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -455,6 +458,36 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return compare.compare_sets(rebuilt, published, ["code"], ["digest"], ("missing", "stale", "changed", "fresh")).drop("differs")
 
 
+@query("publish_freshness", """
+WITH o AS (SELECT o_orderkey AS code, o_orderpriority AS pr, o_orderstatus AS st FROM orders),
+f AS (SELECT code, 1 AS version, 'fresh' AS status FROM o WHERE pr <> '5-LOW'
+  UNION ALL SELECT code, 2, CASE WHEN pr = '5-LOW' THEN 'missing' WHEN pr = '2-HIGH' THEN 'stale' WHEN st = 'P' THEN 'changed' ELSE 'fresh' END FROM o
+  UNION ALL SELECT code, 3, 'fresh' FROM o WHERE pr <> '2-HIGH')
+SELECT code, CAST(version AS BIGINT) AS version, status FROM f
+""")
+def publish_freshness(spark: SparkSession, sf: str) -> DataFrame:
+    """Receipts of orders published, judged against themselves (1) and against a
+    rebuild (2), published again from the rebuild and judged against that (3)."""
+    from tallyroom.session import checkpoint_folder
+    from tallyroom.sources import sinks
+
+    root = f"{checkpoint_folder(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "code")
+    shown = sinks.receipt_documents(orders.filter("o_orderpriority <> '5-LOW'"), "code", ["o_custkey", "o_orderpriority"])
+    revised = orders.filter("o_orderpriority <> '2-HIGH'").withColumn(
+        "o_orderpriority", F.when(F.col("o_orderstatus") == "P", "x").otherwise(F.col("o_orderpriority"))
+    )
+    rebuilt = sinks.receipt_documents(revised, "code", ["o_custkey", "o_orderpriority"])
+    first = sinks.publish(shown, root, "code")
+    judged = [
+        sinks.freshness(shown, root, "code").withColumn("version", F.lit(first).cast("bigint")),
+        sinks.freshness(rebuilt, root, "code").withColumn("version", F.lit(first + 1).cast("bigint")),
+    ]
+    second = sinks.publish(rebuilt, root, "code")
+    judged.append(sinks.freshness(rebuilt, root, "code").withColumn("version", F.lit(second + 1).cast("bigint")))
+    return reduce(DataFrame.unionByName, judged).select("code", "version", "status")
+
+
 @query("lock_diff", f"""
 WITH o AS (SELECT l_orderkey, count(*) AS rows, count(DISTINCT l_linenumber) AS records FROM lineitem GROUP BY 1),
 l AS (

@@ -7,7 +7,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tallyroom.functions import numbers, privacy
+from tallyroom.functions import exact, numbers, privacy
 from tallyroom.operators import evidence, excerpts, graph, printed
 
 FACTS = "fact_id string, source_id string, page int, excerpt string"
@@ -204,6 +204,44 @@ def test_recompute(spark, hot_keys):
         "off": "does not recompute", "ident": "identity fails", "bare": "no formula"}
 
 
+def test_products_are_exact(spark):
+    """Random quotients of products against fractions, at and beside the tolerance."""
+    import random
+    from decimal import Decimal, localcontext
+    from fractions import Fraction
+
+    rng, cases = random.Random(3), []
+    some = lambda: rng.choice([-1, 0, 1]) * Decimal(rng.randrange(10 ** rng.randrange(1, 34))).scaleb(-16)
+    with localcontext() as context:
+        context.prec = 80
+        for i in range(300):
+            over, under = [some() for _ in range(rng.randrange(4))], [x for x in (some() for _ in range(rng.randrange(3))) if x]
+            value = Fraction(1)
+            for x in over:
+                value *= Fraction(x)
+            for x in under:
+                value /= Fraction(x)
+            step = rng.choice([Decimal(0), Decimal("1e-16"), Decimal("0.005")])
+            near = Decimal(round(value * 10**16)).scaleb(-16) + rng.choice([-1, 0, 1]) * step
+            stored = near if abs(near) < 10**17 else some()
+            cases.append((i, over, under, stored, step, abs(value - Fraction(stored)) > Fraction(step)))
+    d = exact.EXACT
+    df = spark.createDataFrame(cases, f"i int, n array<{d}>, d array<{d}>, s {d}, tol {d}, want boolean")
+    sign = F.when(F.size(F.filter(F.concat("n", "d"), lambda x: x < 0)) % 2 == 1, -1).otherwise(1)
+    size = lambda c: exact.product(F.transform(c, exact.limbs))
+    got = df.select("i", "want", exact.outside(size("n"), sign, F.size("n"), size("d"), F.size("d"), F.col("s"), F.col("tol")).alias("got"))
+    assert [r.i for r in got.collect() if r.want != r.got] == []
+
+
+def test_values_beyond_the_range_are_refused(spark):
+    nodes = spark.createDataFrame([("a", "1"), ("wide", "1" + "0" * 19)], "node_id string, value string").withColumn("value", F.col("value").cast("decimal(38,2)"))
+    terms = spark.createDataFrame([("x", 1, True, 1, "a", None), ("y", 1, True, 1, "wide", None), ("z", 1, True, 1, "a", None)],
+                                  "derived_id string, factor_no int, numerator boolean, sign int, input_id string, constant double")
+    derived = spark.createDataFrame([("x", 1.0, 0.0, None), ("y", 1.0, 0.0, None), ("z", 1e25, 0.0, None)], "derived_id string, stored double, tolerance double, control double")
+    out = "value is out of range"
+    assert rows(evidence.recompute(derived, terms, nodes), "derived_id", "status") == [("x", "recomputed"), ("y", out), ("z", out)]
+
+
 def test_undeclared_input(spark):
     nodes = spark.createDataFrame([("a", 10.0), ("b", 4.0)], "node_id string, value double")
     terms = spark.createDataFrame([("x", 1, True, 1, "a", None), ("x", 1, True, 1, "b", None), ("y", 1, True, 1, "a", None), ("y", 2, False, 1, None, 2.0)],
@@ -276,6 +314,37 @@ def test_closure_through_levels(spark):
     assert rows(got, "node", "steps") == [("a", 1), ("b", 1), ("r", 0)]
 
 
+@pytest.mark.parametrize("pairs", [
+    [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)],                                              # a strand
+    [("r", "a"), ("a", "b"), ("b", "c"), ("c", "a")],                                               # into a ring
+    [("r", "r"), ("r", "a"), ("a", "a")],                                                           # loops
+    [("r", "a"), ("a", "b"), ("b", "c"), ("b", "d"), ("d", "e"), ("e", "f"), ("f", "b"), ("x", "e"), ("c", "y"), ("y", "z")],
+    [(f"s{i}", "hub") for i in range(9)] + [("hub", "h1"), ("h1", "h2"), ("r", "s1"), ("r", "s2"), ("h2", "r")],
+    [("q", "w")],
+])
+def test_reached_equals_a_plain_search(spark, hot_keys, pairs):
+    starts = ["r", "n03"]
+    found, todo = set(starts), list(starts)
+    while todo:
+        at = todo.pop()
+        fresh = {b for a, b in pairs if a == at} - found
+        found |= fresh
+        todo += fresh
+    got = graph.reached(spark.createDataFrame([(s,) for s in starts], "node string"), edges(spark, pairs), worth=0)
+    assert rows(got, "node") == sorted((n,) for n in found)
+
+
+def test_long_strand_takes_few_rounds(spark, monkeypatch):
+    written_tables = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: written_tables.append(1) or cut(df))
+    line = spark.range(4000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.reached(spark.createDataFrame([(7,)], "node bigint"), line).count() == 3994
+    assert len(written_tables) < 45
+    rounds = len(graph._strands(line.select(F.col("src").alias("node"), F.col("dst").alias("next"))))
+    assert rounds == 6
+
+
 def test_verified_needs_every_leaf(spark):
     nodes = spark.createDataFrame([("r", False, None), ("q", False, None), ("ok", True, True), ("no", True, False)], "node string, is_leaf boolean, verified boolean")
     got = graph.lineage_verified(nodes, edges(spark, [("r", "ok"), ("r", "no"), ("q", "ok")]))

@@ -202,6 +202,26 @@ def test_receipts_round_trip(spark, tmp_path):
     assert rows(sinks.receipt_index(docs, "code"), "path") == [("by-code/0001.json",)] * 2
 
 
+def test_a_failed_publication_leaves_the_last_version(spark, tmp_path):
+    root = str(tmp_path / "out")
+    docs = lambda *pairs: sinks.receipt_documents(spark.createDataFrame(list(pairs), "code string, grand int"), "code", ["grand"])
+    with pytest.raises(LookupError):
+        sinks.published(spark, root)
+    assert sinks.publish(docs(("a", 1), ("b", 2), ("c", 3)), root, "code") == 1
+    with pytest.raises(ValueError, match="2 documents have 1 keys"):
+        sinks.publish(docs(("a", 8), ("a", 9)), root, "code")
+    broken = docs(("a", 7)).withColumn("document", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish(broken, root, "code")
+    now = docs(("a", 1), ("b", 5), ("d", 4))
+    assert rows(sinks.freshness(now, root, "code"), "code", "status") == [("a", "fresh"), ("b", "changed"), ("c", "stale"), ("d", "missing")]
+    assert sinks.publish(now, root, "code") == 2
+    assert rows(sinks.published(spark, root, "documents"), "code", "grand") == [("a", 1), ("b", 5), ("d", 4)]
+    assert rows(sinks.published(spark, root, "documents", 1), "code", "grand") == [("a", 1), ("b", 2), ("c", 3)]
+    assert rows(sinks.commits(spark, root), "version", "records") == [(1, 3), (2, 3)]
+    assert sinks.publish(now.limit(0), root, "code") == 3 and sinks.published(spark, root).count() == 0
+
+
 def test_digests(spark):
     df = spark.createDataFrame([(1, "a"), (1, None), (1, "a"), (2, "a")], "g int, v string")
     digests = df.withColumn("d", record_digest("v"))
