@@ -31,25 +31,30 @@ class RunIndex:
         self._runs()
 
     def _suffixes(self) -> np.ndarray:
-        """Suffix array by prefix doubling; ends differ, so doubling stops soon."""
+        """Suffix array by prefix doubling; a round sorts only what is still tied,
+        and ends differ, so the ties are gone soon. A rank is the first row of
+        the suffixes that share it."""
         n = len(self.text)
-        rank, step = self.text, 1
+        key, step = self.text, 1
         self.half = None  # equal numbers: equal first ``half_depth`` symbols
-        if int(rank.max()) < 1 << 15:  # four symbols fit into one number
-            padded = np.concatenate([rank, np.zeros(3, np.int64)])
-            rank = ((padded[:n] << 45) | (padded[1 : n + 1] << 30) | (padded[2 : n + 2] << 15) | padded[3:])
-            rank, step = np.unique(rank, return_inverse=True)[1], 4
+        if int(key.max()) < 1 << 15:  # four symbols fit into one number
+            padded = np.concatenate([key, np.zeros(3, np.int64)])
+            key, step = (padded[:n] << 45) | (padded[1 : n + 1] << 30) | (padded[2 : n + 2] << 15) | padded[3:], 4
+        order, rank, rows, suffix = np.empty(n, np.int64), np.empty(n, np.int64), np.arange(n), np.arange(n)
         while True:
+            by = np.argsort(key)
+            suffix, key = suffix[by], key[by]
+            new = np.append(True, key[1:] != key[:-1])
+            order[rows] = suffix
+            rank[suffix] = rows[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             if 2 * step > self.depth >= step:
-                self.half, self.half_depth = rank, step
-            key = rank * (max(n, int(rank.max()) + 1) + 1)
-            key[: max(n - step, 0)] += rank[step:] + 1
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
-            if rank[order[-1]] == n - 1 or step >= n:
+                self.half, self.half_depth = rank.copy(), step
+            tied = ~(new & np.append(new[1:], True))
+            if not tied.any():
                 return order
+            rows, suffix = rows[tied], suffix[tied]
+            after = np.where(suffix + step < n, rank[np.minimum(suffix + step, n - 1)] + 1, 0)
+            key = rank[suffix] * (n + 1) + after
             step *= 2
 
     def _runs(self) -> None:

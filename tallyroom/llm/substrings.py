@@ -249,21 +249,28 @@ def contexts(met: DataFrame, buckets: int) -> DataFrame:
     return met.mapInArrow(send, ENTRY)
 
 
-def early(strings: list[bytes], document: np.ndarray) -> list[np.ndarray]:
-    """Per string: the starts of its windows that an earlier document holds. More
+def early(asked: list[bytes], asked_in: np.ndarray, held: list[bytes], held_in: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of the ``asked`` strings that a string of ``held`` with a
+    smaller document has too: number of the string, first and last start. More
     strings than an index takes go through the indexes of all blocks."""
-    least = [np.full(max(len(s) - WINDOW + 1, 0), np.iinfo(np.int64).max) for s in strings]
-    blocks = range(0, len(strings), INDEX)
-    for at in blocks:
-        index = RunIndex(strings[at : at + INDEX], WINDOW)
-        first = index.earliest(document[at : at + INDEX])
-        for other in blocks:
-            offset, length, _, row = index.stream(strings[other : other + INDEX])
-            value = np.where(length >= WINDOW, first[row], np.iinfo(np.int64).max)
-            for k in range(len(offset) - 1):
-                own = least[other + k]
-                np.minimum(own, value[offset[k] : offset[k] + len(own)], out=own)
-    return [np.flatnonzero(own < doc) for own, doc in zip(least, document.tolist())]
+    far = np.iinfo(np.int64).max
+    blocks = range(0, len(asked), INDEX)
+    least: list[np.ndarray | None] = [None] * len(blocks)
+    for at in range(0, len(held), INDEX):
+        index = RunIndex(held[at : at + INDEX], WINDOW)
+        first = index.earliest(held_in[at : at + INDEX])
+        for k, other in enumerate(blocks):
+            _, length, _, row = index.stream(asked[other : other + INDEX])
+            value = np.where(length >= WINDOW, first[row], far)
+            least[k] = value if least[k] is None else np.minimum(least[k], value)
+    # A match never passes the end of its string, so no run of places does.
+    offset = np.cumsum([0, *(len(s) + 1 for s in asked)])
+    hits = np.concatenate([x for x in least if x is not None] or [np.zeros(0, np.int64)])
+    hits = np.flatnonzero(hits < np.repeat(asked_in, np.diff(offset))[: len(hits)])
+    edge = np.flatnonzero(np.append(True, np.diff(hits) > 1)) if len(hits) else np.zeros(0, np.int64)
+    begin, end = hits[edge], hits[np.append(edge[1:], len(hits)) - 1] if len(hits) else hits
+    string = np.searchsorted(offset, begin, "right") - 1
+    return string, begin - offset[string], end - offset[string]
 
 
 def _near(firsts: list[tuple[bytes, list[int]]]) -> list[tuple[bytes, list[int]]]:
@@ -290,43 +297,71 @@ def marks(dealt: DataFrame) -> DataFrame:
         out = [(doc[told], name[told], begin[told], begin[told] - size[told])]
         ends = np.cumsum(np.maximum(size, 0))
         by_key: dict[int, dict[bytes, list[int]]] = {}
-        for at in np.flatnonzero(~told).tolist():
-            by_key.setdefault(int(keys[at]), {}).setdefault(data[ends[at] - size[at] : ends[at]], []).append(at)
+        met = np.flatnonzero(~told)
+        _, group_of, members = np.unique(keys[met], return_inverse=True, return_counts=True)
+        met = met[members[group_of] > 1]  # a context alone meets nothing
+        for at, key, left, right in zip(met.tolist(), keys[met].tolist(), (ends - np.abs(size))[met].tolist(), ends[met].tolist()):
+            by_key.setdefault(key, {}).setdefault(data[left:right], []).append(at)
+        where = doc.tolist()
         found: list[tuple[int, int, int]] = []
-        strings, owners = [], []
+        asked: list[bytes] = []
+        owners: list[list[int]] = []
+        held: list[bytes] = []
+        held_in: list[int] = []
 
         def look() -> None:
-            documents = np.array([doc[o[0]] for o in owners], np.int64)
-            for entries, starts in zip(owners, early(strings, documents)):
-                if len(starts):
-                    edge = np.flatnonzero(np.append(True, np.diff(starts) > 1))
-                    for a, b in zip(starts[edge].tolist(), starts[np.append(edge[1:], len(starts)) - 1].tolist()):
-                        found.extend((e, a, b + WINDOW) for e in entries)
+            asked_in = np.array([where[o[0]] for o in owners], np.int64)
+            string, first, last = early(asked, asked_in, held, np.array(held_in, np.int64))
+            copies = np.array([len(o) for o in owners], np.int64)
+            entry, start = np.array([e for o in owners for e in o], np.int64), np.cumsum(copies) - copies
+            times = copies[string]
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            entry = entry[np.repeat(start[string], times) + step]
+            left, right = np.repeat(first, times), np.repeat(last, times) + WINDOW
+            out.append((doc[entry], name[entry], begin[entry] + left, begin[entry] + right))
+            for part in (asked, owners, held, held_in):
+                part.clear()
 
         for texts in by_key.values():
             firsts = []
             for text, entries in texts.items():
-                least = min(doc[e] for e in entries)
-                found += [(e, 0, len(text)) for e in entries if doc[e] > least]
-                firsts.append((text, [e for e in entries if doc[e] == least]))
+                if len(entries) > 1:
+                    least = min(where[e] for e in entries)
+                    found += [(e, 0, len(text)) for e in entries if where[e] > least]
+                    entries = [e for e in entries if where[e] == least]
+                firsts.append((text, entries))
+            if len(firsts) < 2:
+                continue
             firsts = _near(firsts)
-            if len({int(doc[e[0]]) for _, e in firsts}) > 1:
-                strings += [t for t, _ in firsts]
-                owners += [e for _, e in firsts]
-            if len(strings) >= INDEX:
+            documents = [where[e[0]] for _, e in firsts]
+            low, high = min(documents, default=0), max(documents, default=0)
+            # Nothing here is earlier than the first document, or later than the last.
+            for (text, entries), at in zip(firsts, documents):
+                if at > low:
+                    asked.append(text)
+                    owners.append(entries)
+                if at < high:
+                    held.append(text)
+                    held_in.append(at)
+            if len(asked) >= INDEX or len(held) >= INDEX:
                 look()
-                strings, owners = [], []
-        if strings:
+        if asked:
             look()
         hit = np.array(found, np.int64).reshape(-1, 3)
         out.append((doc[hit[:, 0]], name[hit[:, 0]], begin[hit[:, 0]] + hit[:, 1], begin[hit[:, 0]] + hit[:, 2]))
         doc, name, left, right = (np.concatenate(x) for x in zip(*out))
         order = np.lexsort((left, name, doc))
-        doc, name, spans = doc[order], name[order], np.stack([left[order], right[order]], axis=1)
-        at = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(name) != 0))) if len(doc) else np.zeros(0, np.int64)
+        doc, name, left, right = doc[order], name[order], left[order], right[order]
+        new = np.append(True, (np.diff(doc) != 0) | (np.diff(name) != 0)) if len(doc) else np.zeros(0, bool)
+        # The texts side by side, so far apart that no interval touches the next text's.
+        shift = (np.cumsum(new) - 1) * (right.max(initial=0) + 1)
+        spans = union(np.stack([left + shift, right + shift], axis=1))
+        at = np.flatnonzero(new)
+        edge = np.searchsorted(spans[:, 0], shift[at])
+        spans -= np.repeat(shift[at], np.diff(np.append(edge, len(spans))))[:, None]
         return pa.table({
             "doc_id": pa.array(doc[at], pa.int64()), "name": pa.array(name[at], pa.int64()),
-            "spans": pa.array([union(spans[a:b]).ravel() for a, b in zip(at, np.append(at[1:], len(doc)))], pa.list_(pa.int64())),
+            "spans": pa.ListArray.from_arrays(pa.array(2 * np.append(edge, len(spans)), pa.int32()), pa.array(spans.ravel(), pa.int64())),
         })
 
     return dealt.groupBy("bucket").applyInArrow(match, "doc_id bigint, name bigint, spans array<bigint>")
