@@ -29,6 +29,12 @@ OFFICIAL_SUFFIXES = [
     "District Municipality", "Regional Municipality", "United Counties",
     "Municipality", "Township", "Village", "County", "City", "Town",
 ]
+# Official names without a type ending, as (display, type).
+WHOLE_NAMES = {
+    "Haldimand County": ("Haldimand County", "County"),
+    "Norfolk County": ("Norfolk County", "County"),
+    "The Nation Municipality": ("The Nation", "Municipality"),
+}
 
 
 @lru_cache(maxsize=1)
@@ -121,9 +127,23 @@ def filing_name_parts(name: Column) -> tuple[Column, Column]:
 
 
 def official_name_parts(name: Column) -> tuple[Column, Column]:
-    """(display, type) of ``X, Type of``; both null for another form."""
+    """(display, type) of ``X, Type of`` and of the names without that ending;
+    both null for another form."""
     kind = F.coalesce(*[F.when(name.endswith(f", {t} of"), F.lit(t)) for t in OFFICIAL_SUFFIXES])
-    return F.when(kind.isNotNull(), F.regexp_extract(name, r"^(.*), [A-Z][A-Za-z ]* of$", 1)), kind
+    display = F.when(kind.isNotNull(), F.regexp_extract(name, r"^(.*), [A-Z][A-Za-z ]* of$", 1))
+    for whole, (shown, label) in WHOLE_NAMES.items():
+        display, kind = F.when(name == whole, shown).otherwise(display), F.when(name == whole, label).otherwise(kind)
+    return display, kind
+
+
+def is_digest(value: Column) -> Column:
+    """Whether a value is a SHA-256 digest in lower-case hex; null is not."""
+    return F.coalesce(value.rlike(SHA256_FORM), F.lit(False))
+
+
+def is_identifier(value: Column) -> Column:
+    """Whether a value is lower-case words joined by single ``-``; null is not."""
+    return F.coalesce(value.rlike(ID_FORM), F.lit(False))
 
 
 def compact_date(value: Column) -> Column:

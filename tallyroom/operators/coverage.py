@@ -53,6 +53,26 @@ def layer_verdicts(layers: DataFrame, observed: DataFrame) -> DataFrame:
     )
 
 
+def layer_cover(layers: DataFrame, required: list[str]) -> DataFrame:
+    """Whether each jurisdiction of ``layers(jurisdiction, layer)`` states exactly
+    the required layers, each once: what is missing and what is unexpected or
+    repeated. Only the required layers are gathered by name, so no list grows
+    with the rows."""
+    known = F.col("layer").isin(required)
+    held = layers.groupBy("jurisdiction").agg(
+        F.collect_set(F.when(known, F.col("layer"))).alias("_held"), F.count(F.when(known, F.lit(1))).alias("_known"),
+        F.count(F.when(F.coalesce(~known, F.lit(True)), F.lit(1))).alias("unexpected"),
+    )
+    missing = F.array_join(F.array_except(F.array(*[F.lit(r) for r in sorted(required)]), F.col("_held")), ", ")
+    repeated = F.col("_known") - F.size("_held")
+    return held.select(
+        "jurisdiction", missing.alias("missing"), "unexpected", repeated.cast("bigint").alias("repeated"),
+        first_reason([
+            ("a required layer is missing", missing != ""), ("a layer is unexpected", F.col("unexpected") > 0), ("a layer is repeated", repeated > 0),
+        ]).alias("reason"),
+    )
+
+
 def counts_by(rows: DataFrame, sets: list[list[str]], date: str) -> DataFrame:
     """Counts and newest date for several groupings in one pass."""
     columns = list(dict.fromkeys(c for s in sets for c in s))

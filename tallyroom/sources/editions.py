@@ -67,6 +67,17 @@ def union_editions(editions: dict[str, tuple[DataFrame, Callable[[DataFrame, str
     return reduce(DataFrame.unionByName, [parse(rows, source_id) for source_id, (rows, parse) in editions.items()])
 
 
+def source_counts(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """Events found per registered source of ``sources(source_id, …)``; a source
+    that gave none has 0, and events of no registered source have a reason."""
+    found = events.groupBy("source_id").agg(F.count(F.lit(1)).alias("found"), F.min("effective_date").alias("earliest"), F.max("effective_date").alias("latest"))
+    listed = sources.withColumn("_listed", F.lit(True))
+    return listed.join(found, "source_id", "full").select(
+        *sources.columns, F.coalesce("found", F.lit(0)).alias("found"), "earliest", "latest",
+        F.when(F.col("_listed").isNull(), "source is not registered").when(F.col("found").isNull(), "source gave no event").alias("reason"),
+    )
+
+
 def dedupe_events(events: DataFrame, edition_order: list[str]) -> DataFrame:
     """One event per (code, date), the earliest edition's row; another place or
     successor under the same key is a conflict."""

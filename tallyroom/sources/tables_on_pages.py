@@ -53,3 +53,19 @@ def footer_controls(rows: DataFrame, row: str, areas: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(a).alias("area"), whole_money(F.try_element_at(totals, F.lit(k + 1))).alias("control")) for k, a in enumerate(areas)])
     kept = [c for c in rows.columns if c != row]
     return rows.filter(footer != "").select(*kept, F.explode(cells).alias("_c")).select(*kept, "_c.area", "_c.control")
+
+
+def control_verdicts(cells: DataFrame, controls: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of the table's cells ``(keys, area, household)`` against the printed
+    controls ``(keys, area, control)``, one row per table and area."""
+    by = [*keys, "area"]
+    summed = cells.filter(F.col("area").isNotNull()).groupBy(*by).agg(
+        F.sum("household").cast("bigint").alias("total"), F.count(F.when(F.col("household").isNull(), F.lit(1))).alias("unread")
+    )
+    printed = controls.groupBy(*by).agg(F.min("control").alias("control"), F.max("control").alias("_other"))
+    return summed.join(printed, by, "full").select(
+        *by, "total", "control",
+        F.when(F.col("total").isNull(), "no line was read").when(F.col("unread") > 0, "a cell could not be read")
+        .when(F.col("control").isNull(), "no control is printed").when(F.col("control") != F.col("_other"), "two controls are printed")
+        .when(F.col("total") != F.col("control"), "lines do not add to the control").alias("reason"),
+    )
