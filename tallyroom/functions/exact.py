@@ -17,6 +17,8 @@ BASE = 100_000_000
 EXACT = "decimal(34,16)"
 PLACES = 2  # limbs after the point
 _LIMBS = "array<bigint>"
+#: Factors that a double holds without overflow: each lies between 1e-16 and 1e18.
+FEW = 12
 
 
 def held(body: Callable[..., Column], *values: Column) -> Column:
@@ -105,3 +107,22 @@ def outside(over: Column, over_sign: Column, over_factors: Column, under: Column
     divisor = shifted(under, over_factors * PLACES)
     scaled = F.transform(F.array(value, tolerance), lambda x: times(divisor, limbs(x)))
     return F.when(value.isNotNull() & tolerance.isNotNull(), held(judged, shifted(over, (under_factors + 1) * PLACES), scaled))
+
+
+def surely_outside(over: Column, under: Column, value: Column, tolerance: Column) -> Column:
+    """The same by doubles, for lists of ``EXACT`` factors: null where the error of
+    the doubles could reach the tolerance's edge, so that the exact way decides.
+
+    A factor is rounded once when it is read and once when it is multiplied in; up
+    to ``FEW`` of them neither overflow nor lose digits to underflow.
+    """
+    size = lambda factors: F.aggregate(factors, F.lit(1.0), lambda so_far, x: so_far * x.cast("double"))
+    value, tolerance = value.cast("double"), tolerance.cast("double")
+
+    def judged(quotient: Column) -> Column:
+        slack = (F.size(over) + F.size(under) + 4) * F.lit(1e-15) * (F.abs(quotient) + F.abs(value) + F.abs(tolerance))
+        gap = F.abs(quotient - value) - tolerance
+        return F.when(gap > slack, True).when(gap < -slack, False)
+
+    few = (F.size(over) <= FEW) & (F.size(under) <= FEW)
+    return F.when(few, held(judged, F.try_divide(size(over), size(under))))

@@ -263,7 +263,7 @@ def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: Da
         F.bool_and("_stated").alias("_stated"),
     )
     # A formula has few factors, so its lists are short.
-    listed = lambda numerator: F.collect_list(F.when(numerator, exact.limbs(F.col("_f"))))
+    listed = lambda numerator: F.collect_list(F.when(numerator, F.col("_f")))
     values = factors.groupBy("derived_id").agg(
         listed(F.col("numerator")).alias("_over"), listed(~F.col("numerator")).alias("_under"),
         F.count(F.when(F.col("_f") < 0, F.lit(1))).alias("_negative"),
@@ -273,14 +273,19 @@ def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: Da
         F.bool_and("_stated").alias("_stated"),
     ).select(
         "derived_id", "_lost", "_beyond", "_stated", "_zero", F.when(F.col("_negative") % 2 == 1, -1).otherwise(1).alias("_sign"),
-        F.size("_over").alias("_o"), F.size("_under").alias("_u"), exact.product(F.col("_over")).alias("_num"), exact.product(F.col("_under")).alias("_den"),
+        "_over", "_under",
     )
     out = derived.join(values, "derived_id", "left")
     wide = F.greatest("tolerance", "control_tolerance") if "control_tolerance" in derived.columns else F.col("tolerance")
-    # One expression for both comparisons.
+    # One expression for both comparisons. Doubles tell all but those near the
+    # tolerance's edge; only these are multiplied out.
     compared = F.array(*[F.struct(F.col(v).try_cast(exact.EXACT).alias("v"), t.try_cast(exact.EXACT).alias("t")) for v, t in (("control", wide), ("stored", F.col("tolerance")))])
-    off = F.transform(compared, lambda c: exact.outside(
-        F.col("_num"), F.col("_sign"), F.col("_o"), F.col("_den"), F.col("_u"), c["v"], c["t"]
+    whole = lambda factors: exact.product(F.transform(factors, exact.limbs))
+    off = F.transform(compared, lambda c: F.coalesce(
+        exact.surely_outside(F.col("_over"), F.col("_under"), c["v"], c["t"]),
+        F.when((F.col("_zero") == 0) & c["v"].isNotNull(), exact.outside(
+            whole(F.col("_over")), F.col("_sign"), F.size("_over"), whole(F.col("_under")), F.size("_under"), c["v"], c["t"]
+        )),
     ))
     out = out.withColumn("_off", off)
     beyond = lambda c: F.col(c).isNotNull() & F.col(c).try_cast(exact.EXACT).isNull()

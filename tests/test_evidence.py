@@ -231,6 +231,12 @@ def test_products_are_exact(spark):
     size = lambda c: exact.product(F.transform(c, exact.limbs))
     got = df.select("i", "want", exact.outside(size("n"), sign, F.size("n"), size("d"), F.size("d"), F.col("s"), F.col("tol")).alias("got"))
     assert [r.i for r in got.collect() if r.want != r.got] == []
+    # Doubles answer only what they know; what lies on the edge is left to the exact way.
+    known = df.select("want", exact.surely_outside(F.col("n"), F.col("d"), F.col("s"), F.col("tol")).alias("got")).collect()
+    assert all(r.got is None or r.got == r.want for r in known)
+    assert {r.got for r in known} == {True, False, None}
+    many = spark.range(1).select(F.array_repeat(F.lit("0.0000000000000001").cast(d), exact.FEW + 1).alias("n"), F.array(F.lit(1).cast(d)).alias("d"), F.lit(5).cast(d).alias("s"))
+    assert many.select(exact.surely_outside(F.col("n"), F.col("d"), F.col("s"), F.col("s"))).first()[0] is None
 
 
 def test_values_beyond_the_range_are_refused(spark):
