@@ -125,3 +125,25 @@ def test_repeated_ids_and_rows_without_one(frame):
     out = substrings.remove_repeats(frame(rows)).collect()
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in out) == [(-1, 80, 0), (5, 80, 0), (5, 80, 0), (5, 87, 0), (9, 80, 80)]
     assert substrings.remove_repeats(frame([])).count() == 0
+
+
+def test_a_passage_in_a_third_of_the_documents(frame):
+    """More texts share a passage than ``HOT``: its minimisers are dealt by longer strings."""
+    rng = random.Random(15)
+    noise = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+    passage = noise(90)
+    rows = [(i, noise(40) + (passage if i % 3 == 0 else noise(60)) + noise(30)) for i in range(3 * substrings.HOT + 300)]
+    rng.shuffle(rows)
+    expected = brute(rows)
+    out = substrings.remove_repeats(frame(rows).repartition(6)).collect()
+    assert len(out) == len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id] for r in out)
+    assert sum(r.n_removed >= 90 for r in out) == len(rows) // 3 - 1
+
+
+def test_early_windows_of_a_held_string():
+    word = bytes(range(33, 33 + substrings.WINDOW + 10))
+    held = [word, b"-" * 70]
+    asked = [b"xx" + word[:-1] + b"y", word[: substrings.WINDOW - 1], b"z" + word + word]
+    string, first, last = substrings.early(asked, np.array([5, 5, 5]), held, np.array([4, 9]))
+    assert list(zip(string.tolist(), first.tolist(), last.tolist())) == [(0, 2, 11), (2, 1, 11), (2, 61, 71)]
+    assert [x.tolist() for x in substrings.early(asked, np.array([4, 4, 4]), held, np.array([4, 9]))] == [[], [], []]
