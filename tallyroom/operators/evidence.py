@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 from tallyroom.functions import exact, numbers
 from tallyroom.operators import excerpts, printed
 from tallyroom.operators.printed import LINE_END
-from tallyroom.operators.skew import hot_keys, spread_join
+from tallyroom.operators.skew import hot_keys, in_tasks, spread_join
 from tallyroom.session import written
 
 # Tiers that count as strong evidence, tiers that fail outright.
@@ -229,7 +229,7 @@ def value_binding(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: DataFrame | None = None, rows: int = 0) -> DataFrame:
     """Derived metrics from stored inputs, formulas as rows.
 
     ``derived(derived_id, stored, tolerance, control)``, with the tolerance of the
@@ -239,9 +239,10 @@ def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: Da
     ``nodes(node_id, value)``. The value is the product of signed sums, the
     numerator factors over the denominator ones, without rounding: values of up to
     18 + 16 digits are compared at the very tolerance, wider ones refused. ``control`` (a value or null)
-    is the other side of a sum identity. One join to the nodes, then the two
-    aggregation levels of the formula; an input cited by very many formulas is
-    spread. With ``inputs(derived_id, input_id)`` a term that uses an undeclared
+    is the other side of a sum identity. Terms with an input are joined to the nodes;
+    constants are not, since without a key they would all meet in one task. Then the
+    two aggregation levels of the formula; ``rows`` is the number of terms, where it is known
+    beforehand, and keeps the tasks small (see ``in_tasks``). With ``inputs(derived_id, input_id)`` a term that uses an undeclared
     input refuses its metric.
     """
     if inputs is None:
@@ -251,11 +252,12 @@ def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: Da
         stated = terms.join(listed, ["derived_id", "input_id"], "left").withColumn(
             "_stated", F.col("input_id").isNull() | F.coalesce("_listed", F.lit(False))
         ).drop("_listed")
+    plain = ["derived_id", "factor_no", "numerator", "sign", "_stated"]
+    cited = stated.filter("input_id IS NOT NULL").select(*plain, F.col("input_id").alias("node_id"))
     valued = spread_join(
-        stated.withColumnRenamed("input_id", "node_id"),
-        nodes.select("node_id", F.col("value").alias("_v")),
-        ["node_id"], "left", spread_on=["derived_id", "factor_no"],
-    ).withColumn("_x", F.when(F.col("node_id").isNull(), F.col("constant")).otherwise(F.col("_v"))).withColumn("_e", F.col("_x").try_cast(exact.EXACT))
+        in_tasks(cited, rows, "node_id"), nodes.select("node_id", F.col("value").alias("_x")), ["node_id"], "left", spread_on=["derived_id", "factor_no"]
+    ).drop("node_id").unionByName(stated.filter("input_id IS NULL").select(*plain, F.col("constant").alias("_x")))
+    valued = in_tasks(valued.withColumn("_e", F.col("_x").try_cast(exact.EXACT)), rows, "derived_id")
     factors = valued.groupBy("derived_id", "factor_no", "numerator").agg(
         F.sum(F.when(F.col("sign") < 0, -F.col("_e")).otherwise(F.col("_e"))).try_cast(exact.EXACT).alias("_f"),
         F.count(F.when(F.col("_x").isNull(), F.lit(1))).alias("_lost"),
@@ -277,17 +279,13 @@ def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: Da
     )
     out = derived.join(values, "derived_id", "left")
     wide = F.greatest("tolerance", "control_tolerance") if "control_tolerance" in derived.columns else F.col("tolerance")
-    # One expression for both comparisons. Doubles tell all but those near the
-    # tolerance's edge; only these are multiplied out.
-    compared = F.array(*[F.struct(F.col(v).try_cast(exact.EXACT).alias("v"), t.try_cast(exact.EXACT).alias("t")) for v, t in (("control", wide), ("stored", F.col("tolerance")))])
-    whole = lambda factors: exact.product(F.transform(factors, exact.limbs))
-    off = F.transform(compared, lambda c: F.coalesce(
-        exact.surely_outside(F.col("_over"), F.col("_under"), c["v"], c["t"]),
-        F.when((F.col("_zero") == 0) & c["v"].isNotNull(), exact.outside(
-            whole(F.col("_over")), F.col("_sign"), F.size("_over"), whole(F.col("_under")), F.size("_under"), c["v"], c["t"]
-        )),
-    ))
-    out = out.withColumn("_off", off)
+    # Doubles tell all but those near the tolerance's edge; only these are multiplied out.
+    for name, tolerance in (("control", wide), ("stored", F.col("tolerance"))):
+        v, t = F.col(name).try_cast(exact.EXACT), tolerance.try_cast(exact.EXACT)
+        out = out.withColumn(f"_sure_{name}", exact.surely_outside(F.col("_over"), F.col("_under"), v, t))
+        near = F.col(f"_sure_{name}").isNull() & (F.col("_zero") == 0)
+        multiplied = exact.off_by(F.when(near, F.col("_over")), F.when(near, F.col("_under")), v, t)
+        out = out.withColumn(f"_off_{name}", F.coalesce(f"_sure_{name}", multiplied))
     beyond = lambda c: F.col(c).isNotNull() & F.col(c).try_cast(exact.EXACT).isNull()
     return out.select(
         "derived_id",
@@ -296,8 +294,8 @@ def recompute(derived: DataFrame, terms: DataFrame, nodes: DataFrame, inputs: Da
         .when(F.col("_lost") > 0, "formula input is missing")
         .when((F.col("_beyond") > 0) | beyond("stored") | beyond("control"), "value is out of range")
         .when(F.col("_zero") > 0, "division by zero")
-        .when(F.col("control").isNotNull() & F.get("_off", F.lit(0)), "identity fails")
-        .when(F.get("_off", F.lit(1)), "does not recompute")
+        .when(F.col("control").isNotNull() & F.col("_off_control"), "identity fails")
+        .when(F.col("_off_stored"), "does not recompute")
         .otherwise("recomputed").alias("status"),
     )
 

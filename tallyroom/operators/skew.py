@@ -11,6 +11,8 @@ from tallyroom.session import cut_lineage
 
 HOT_ROWS = 2_000_000
 FAN = 64
+#: Rows that one task holds in the sort buffers and hash tables of a stage.
+TASK_ROWS = 250_000
 
 
 def hot_row_limit(df: DataFrame) -> int:
@@ -27,6 +29,15 @@ def hot_keys(df: DataFrame, keys: list[str], count: str | None = None) -> DataFr
     return counted.filter(F.col(count or "_n") > limit).select(*keys, F.lit(True).alias("_hot"))
 
 
+def in_tasks(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` so that a task gets about ``TASK_ROWS`` of its
+    ``rows`` rows, whatever the number of shuffle partitions is and however much
+    they compress; a table of few rows is left to the planner. ``rows`` may be an
+    estimate, such as the rows of the table behind it, which Parquet footers tell."""
+    tasks = -(-rows // int(df.sparkSession.conf.get("spark.tallyroom.taskRows", str(TASK_ROWS))))
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def spread_join(
     big: DataFrame,
     small: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyroom.functions import numbers, privacy, rates, text
 from tallyroom.functions.money import display_tolerance
 from tallyroom.operators import evidence, excerpts, graph, intervals, projection
+from tallyroom.operators.skew import in_tasks
 from tallyroom.plans.registry import cents, query, sql_cents, table
 from tallyroom.sources import documents as docs
 from tallyroom.session import written
@@ -399,7 +400,7 @@ def derived_recompute(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("off") < 0, F.col("off")).when(F.col("off") > 0, F.col("exact").cast("double") + F.col("off")).alias("control"),
         F.when(F.col("off") > 0, display_tolerance(F.lit("1"), F.lit(True))).alias("control_tolerance"),
     )
-    return evidence.recompute(stored, terms, nodes)
+    return evidence.recompute(stored, terms, nodes, rows=3 * orders.count())
 
 
 @query("exact_products", """
@@ -415,8 +416,10 @@ def exact_products(spark: SparkSession, sf: str) -> DataFrame:
     big = F.lit(10**10).cast("decimal(11,0)")
     money = lambda c: F.round(F.col(c) * 100).cast("decimal(12,0)")
     key = F.concat_ws("/", "l_orderkey", "l_linenumber")
-    least = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_extendedprice", "l_discount", "l_tax")])
-    lines = least.select(
+    items = table(spark, sf, "lineitem")
+    count = items.count()
+    least = items.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_extendedprice", "l_discount", "l_tax")])
+    lines = in_tasks(least, count, "l_orderkey", "l_linenumber").select(
         "l_orderkey", "l_linenumber", key.alias("derived_id"), money("l_extendedprice").alias("p"), money("l_discount").alias("d"), money("l_tax").alias("t")
     )
     nodes = lines.select(F.concat(F.lit("p"), "derived_id").alias("node_id"), (F.col("p") * big).cast("decimal(34,16)").alias("value")).unionByName(
@@ -436,7 +439,7 @@ def exact_products(spark: SparkSession, sf: str) -> DataFrame:
     stored = F.when(kind == 0, charge + step("0.005")).when(kind == 1, charge + step("0.0050000000000001")).when(kind == 2, charge - step("0.005")).otherwise(-charge)
     derived = lines.select("derived_id", stored.cast("decimal(34,16)").alias("stored"), step("0.005").cast("decimal(34,16)").alias("tolerance"), F.lit(None).cast("double").alias("control"))
     parts = F.split("derived_id", "/")
-    return evidence.recompute(derived, terms, nodes).select(parts[0].cast("bigint").alias("l_orderkey"), parts[1].cast("int").alias("l_linenumber"), "status")
+    return evidence.recompute(derived, terms, nodes, rows=5 * count).select(parts[0].cast("bigint").alias("l_orderkey"), parts[1].cast("int").alias("l_linenumber"), "status")
 
 
 @query("scope_asof", """

@@ -239,6 +239,41 @@ def test_products_are_exact(spark):
     assert many.select(exact.surely_outside(F.col("n"), F.col("d"), F.col("s"), F.col("s"))).first()[0] is None
 
 
+def test_off_by_says_what_outside_says(spark):
+    """The same comparison on Arrow batches, with nulls, negative factors and empty lists."""
+    import random
+    from decimal import Decimal
+
+    rng, d = random.Random(5), exact.EXACT
+    some = lambda: rng.choice([-1, 1]) * Decimal(rng.randrange(1, 10 ** rng.randrange(1, 34))).scaleb(-16)
+    cases = [([some() for _ in range(rng.randrange(4))], [some() for _ in range(rng.randrange(3))], some(), some()) for _ in range(200)]
+    one, edge = Decimal(1), Decimal("0.005")
+    cases += [([one], [one], one + edge, edge), ([one], [one], one + edge + Decimal("1e-16"), edge), ([-one, edge], [one], -edge, Decimal(0)), ([one], [one], None, edge), ([], [], one, None)]
+    df = spark.createDataFrame(cases, f"n array<{d}>, d array<{d}>, s {d}, tol {d}")
+    sign = F.when(F.size(F.filter(F.concat("n", "d"), lambda x: x < 0)) % 2 == 1, -1).otherwise(1)
+    size = lambda c: exact.product(F.transform(c, exact.limbs))
+    got = df.select(exact.off_by("n", "d", "s", "tol").alias("a"), exact.outside(size("n"), sign, F.size("n"), size("d"), F.size("d"), F.col("s"), F.col("tol")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert [r.a for r in got[-5:]] == [False, True, False, None, None]
+    assert df.select(exact.off_by(F.when(F.lit(False), F.col("n")), "d", "s", "tol").alias("a")).distinct().collect()[0].a is None
+
+
+@pytest.mark.parametrize("name", ["exact_products", "derived_recompute"])
+def test_formulas_are_dealt_out_by_their_rows(spark, name):
+    """Tasks get so many terms at most, whatever the number of shuffle partitions, and
+    constants, which have no key to join by, do not meet in one of them."""
+    from tallyroom.plans import QUERIES
+
+    spark.conf.set("spark.tallyroom.taskRows", "500")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.tallyroom.taskRows")
+    assert any("hashpartitioning(derived_id" in x and "REPARTITION_BY_NUM" in x for x in plan.splitlines())
+    joined = [x for x in plan.splitlines() if "Exchange hashpartitioning(node_id" in x or "Join [node_id" in x]
+    assert joined and "Union" in plan and any("isnotnull" in x and "input_id" in x for x in plan.splitlines())
+
+
 def test_values_beyond_the_range_are_refused(spark):
     nodes = spark.createDataFrame([("a", "1"), ("wide", "1" + "0" * 19)], "node_id string, value string").withColumn("value", F.col("value").cast("decimal(38,2)"))
     terms = spark.createDataFrame([("x", 1, True, 1, "a", None), ("y", 1, True, 1, "wide", None), ("z", 1, True, 1, "a", None)],
