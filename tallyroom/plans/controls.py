@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions import text
 from tallyroom.operators import coverage, figures, filings
+from tallyroom.operators.skew import in_tasks
 from tallyroom.plans.intake import EDITION_ORDER, SQL_EVENTS, edition_events
 from tallyroom.plans.registry import cents, query, sql_cents, table
 from tallyroom.sources import editions, tables_on_pages
@@ -141,7 +142,10 @@ SELECT code, area, total, control, CASE WHEN control IS NULL THEN 'no control is
 """)
 def footer_controls(spark: SparkSession, sf: str) -> DataFrame:
     """Each order prints a table of its lines and, most of them, a footer of controls."""
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("code"), F.col("l_linenumber").alias("line")).agg(F.sum(F.round("l_quantity").cast("bigint")).alias("q"))
+    items = table(spark, sf, "lineitem")
+    lines = items.groupBy(F.col("l_orderkey").alias("code"), F.col("l_linenumber").alias("line")).agg(F.sum(F.round("l_quantity").cast("bigint")).alias("q"))
+    # A line becomes a cell for each area; all of a table's meet in the task that gets its lines here.
+    lines = in_tasks(lines, items.count(), "code")
     shown = lambda share, amount: F.concat(F.lit(f"{share} $"), F.format_number(amount, 0))
     row = F.concat_ws(" ", F.concat(F.lit("Service "), F.col("line").cast("string")), F.lit("1,000"), F.lit("$500"), *[shown("12.5%", F.col("q") * k) for k in (1, 2, 3)])
     off = F.when(F.col("code") % 3 == 0, 1).otherwise(0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions import addresses, money
 from tallyroom.operators import filings, gates
+from tallyroom.operators.skew import in_tasks
 from tallyroom.plans.registry import cents, query, sql_cents, table
 from tallyroom.sources.filings import scan_facts
 
@@ -67,14 +68,17 @@ def spend_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Long spend facts from order lines: components, printed rollups and a
     printed grand total, with the defects a filing can have."""
     flag = F.col("l_returnflag")
-    amounts = table(spark, sf, "lineitem").select(
+    items = table(spark, sf, "lineitem")
+    amounts = items.select(
         F.col("l_orderkey").alias("code"),
         F.when(flag == "A", "02").when(flag == "N", "04").otherwise("19").alias("g"),
         F.lpad(F.col("l_linenumber").cast("string"), 2, "0").alias("n"),
         F.when(flag == "R", -cents("l_extendedprice")).otherwise(cents("l_extendedprice")).alias("cents"),
     )
     # Components first; rollups and the grand total come from those few rows per filer.
-    parts = amounts.groupBy("code", "g", "n").agg(F.sum("cents").alias("cents")).groupBy("code").agg(
+    # All further steps are by filer and stay in the tasks that get its components here.
+    added_up = in_tasks(amounts.groupBy("code", "g", "n").agg(F.sum("cents").alias("cents")), items.count(), "code")
+    parts = added_up.groupBy("code").agg(
         F.collect_list(F.struct("g", "n", "cents")).alias("parts")
     )
     added = lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda acc, x: acc + x["cents"])
@@ -156,8 +160,9 @@ judged AS (
 def levy_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Long levy facts (code, tier, class, measure, cents) from order lines."""
     flag = F.col("l_returnflag")
+    items = table(spark, sf, "lineitem")
     base = (
-        table(spark, sf, "lineitem")
+        items
         .groupBy(
             F.col("l_orderkey").alias("code"),
             F.when(flag == "A", "0010").when(flag == "N", "0050").otherwise("0110").alias("class"),
@@ -168,7 +173,8 @@ def levy_facts(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     filer = table(spark, sf, "orders").select(F.col("o_orderkey").alias("code"), "o_orderstatus", "o_orderpriority")
-    wide = base.join(filer, "code").selectExpr(
+    # All further steps are by filer and stay in the tasks that get its classes here.
+    wide = in_tasks(base, items.count(), "code").join(filer, "code").selectExpr(
         "code", "class", "m04", "m05x div 100 AS m05", "m04 * 700 AS m16",
         "(m04 * 700 * 153) div 100000 + IF(o_orderpriority = '1-URGENT', (m04 * 7) div 100, 0) AS m06",
         "IF(o_orderstatus = 'P' AND class = '0050', 100, 50) AS drift",

@@ -187,3 +187,18 @@ def test_severity_follows_the_strict_flag(spark):
     df = spark.createDataFrame([(True,), (False,)], "bad boolean")
     assert rows(df.select(gates.severity(F.col("bad"), True).alias("s")), "s") == [(None,), ("error",)]
     assert rows(df.select(gates.severity(F.col("bad"), False).alias("s")), "s") == [(None,), ("warning",)]
+
+
+@pytest.mark.parametrize("name", [
+    "grand_identity", "refusal_ladder", "share_policy", "refusal_summary", "receipt_index", "orphan_groups", "constant_gate", "footer_controls",
+])
+def test_filers_are_dealt_out_by_their_lines(spark, name):
+    """A task gets so many lines of filers at most, whatever the number of shuffle partitions."""
+    from tallyroom.plans import QUERIES
+
+    spark.conf.set("spark.tallyroom.taskRows", "200")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.tallyroom.taskRows")
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(code#" in plan
