@@ -5,11 +5,14 @@ stretches of ``size`` characters, the one with the least hash is an anchor; a te
 that holds an excerpt has all anchors of the excerpt, whatever stands around it.
 The anchor that the fewest texts have picks the candidates by an equality join,
 and each candidate text is searched once for a block of excerpts by an automaton.
+Where the texts of a scope are no longer than ``SCOPE_CHARS`` together with its
+excerpts, no index is made: they meet in one row, and one automaton searches them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,6 +30,8 @@ from tallyroom.session import written
 SIZES = (16, 8, 4, 2, 1)
 #: Excerpts that one automaton holds.
 BLOCK = 2_000
+#: Characters of texts and excerpts of a scope that meet in one row; larger scopes are indexed.
+SCOPE_CHARS = 1 << 18
 _LETTERS = re.compile(r"[^\W_]+")
 
 
@@ -156,6 +161,61 @@ def matches(text: str, named: dict[str, list[str]], every: bool) -> Iterator[tup
         yield last - size + 1, last, names
 
 
+def _met(texts: DataFrame, excerpts: DataFrame, scope: list[str], place: list[str], form: str, every: bool) -> DataFrame:
+    """``located`` for scopes whose texts and excerpts fit in one row."""
+    known = " AND ".join(f"{c} IS NOT NULL" for c in [*scope, *place, "text"])
+    held = texts.filter(known).groupBy(*scope).agg(F.collect_list(F.struct(*place, F.col("text").alias("_t"))).alias("_texts"))
+    asked = excerpts.filter("excerpt <> ''").groupBy(*scope).agg(F.collect_list(F.struct("excerpt_id", F.col("excerpt").alias("_quote"))).alias("_items"))
+    added = StructType.fromDDL("start int, end int")
+    types = [excerpts.schema["excerpt_id"], *(texts.schema[c] for c in [*scope, *place]), *added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (text_at, held), (item_at, items) = [(batch.column(c).offsets.to_pylist(), batch.column(c).values) for c in ("_texts", "_items")]
+            shown, quotes = held.field("_t").to_pylist(), items.field("_quote").to_pylist()
+            spots = list(zip(*[held.field(c).to_pylist() for c in place])) or [()] * len(shown)
+            out: list[tuple[int, int, int, int, int]] = []
+
+            def taken() -> pa.RecordBatch:
+                row, item, text, start, end = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5)]
+                columns = [items.field("excerpt_id").take(item), *(batch.column(c).take(row) for c in scope), *(held.field(c).take(text) for c in place)]
+                return pa.RecordBatch.from_arrays([*columns, start.cast(pa.int32()), end.cast(pa.int32())], names=[t.name for t in types])
+
+            for k in range(batch.num_rows):
+                named: dict[str, list[int]] = {}
+                for item in range(item_at[k], item_at[k + 1]):
+                    quote = letters(quotes[item]) if form == "letters" else quotes[item]
+                    if quote:
+                        named.setdefault(quote, []).append(item)
+                if not named:
+                    continue
+                automaton = ahocorasick.Automaton()
+                for quote in named:
+                    automaton.add_word(quote, quote)
+                automaton.make_automaton()
+                mine = range(text_at[k], text_at[k + 1])
+                found = []
+                for text in mine:
+                    bare, places = letter_places(shown[text]) if form == "letters" else (shown[text], None)
+                    seen = set()
+                    for last, quote in automaton.iter(bare):
+                        if every or quote not in seen:
+                            seen.add(quote)
+                            first = last - len(quote) + 1
+                            found.append((text, quote, *((first, last + 1) if places is None else (int(places[first]), int(places[last]) + 1))))
+                # Each of several texts at one place answers for all of them that hold the excerpt.
+                alike = len({spots[text] for text in mine}) < len(mine)
+                holders = Counter((spots[text], quote) for text, quote in {f[:2] for f in found}) if alike else {}
+                for text, quote, start, end in found:
+                    out += [(k, item, text, start, end) for item in named[quote] for _ in range(holders.get((spots[text], quote), 1))]
+                    if len(out) > _PART:
+                        yield taken()
+                        out = []
+            yield taken()
+
+    return held.join(asked, scope).mapInArrow(run, StructType(types))
+
+
 def located(
     texts: DataFrame, excerpts: DataFrame, scope: list[str], place: list[str], form: str = "letters", every: bool = True
 ) -> DataFrame:
@@ -168,6 +228,19 @@ def located(
     in each text. Excerpts without a character to compare are found nowhere. No
     text is copied per excerpt: one copy meets a block of them.
     """
+    if not scope:
+        return _indexed(texts, excerpts, scope, place, form, every)
+    length = lambda rows, text: rows.select(*scope, (F.coalesce(F.length(text), F.lit(0)) + 16).cast("bigint").alias("_n"))
+    weighed = length(texts, "text").unionByName(length(excerpts, "excerpt")).dropna(subset=scope)
+    large = written(weighed.groupBy(*scope).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > SCOPE_CHARS).select(*scope))
+    if large.isEmpty():
+        return _met(texts, excerpts, scope, place, form, every)
+    small, wide = [[rows.join(large, scope, how) for rows in (texts, excerpts)] for how in ("left_anti", "left_semi")]
+    return _met(*small, scope, place, form, every).unionByName(_indexed(*wide, scope, place, form, every))
+
+
+def _indexed(texts: DataFrame, excerpts: DataFrame, scope: list[str], place: list[str], form: str, every: bool) -> DataFrame:
+    """``located`` by anchors, for scopes of any size."""
     quoted = excerpts.select("excerpt_id", *scope, F.col("excerpt").alias("_quote"), F.md5("excerpt").alias("_e"))
     one = quoted.groupBy(*scope, "_e").agg(F.first("_quote").alias("_quote"))
     wanted = written(_with_anchors(one, [*scope, "_e"], "_quote", form, None))

@@ -169,9 +169,10 @@ def excerpt_search(spark: SparkSession, sf: str) -> DataFrame:
     hits = excerpts.located(pages, quoted, ["doc_id"], ["page"], every=False).groupBy("doc_id", "excerpt_id").agg(
         F.count(F.lit(1)).alias("pages"), F.min("page").alias("first_page")
     )
-    return quoted.join(hits, ["doc_id", "excerpt_id"], "left").select(
+    asked = quoted.select("doc_id", "excerpt_id", F.col("excerpt").rlike(r"[\p{L}\p{N}]").alias("_shown"))
+    return asked.join(hits, ["doc_id", "excerpt_id"], "left").select(
         "doc_id", F.col("excerpt_id").alias("page"), F.coalesce("pages", F.lit(0).cast("bigint")).alias("pages"), "first_page",
-        F.when(~F.col("excerpt").rlike(r"[\p{L}\p{N}]"), "nothing to find").when(F.col("first_page").isNull(), "not found")
+        F.when(~F.col("_shown"), "nothing to find").when(F.col("first_page").isNull(), "not found")
         .when(F.col("first_page") == F.col("excerpt_id"), "on its page").otherwise("first on another page").alias("status"),
     )
 

@@ -491,3 +491,20 @@ def test_excerpts_are_found_where_they_stand(spark, monkeypatch, form):
     first = excerpts.located(texts, asked, ["doc"], ["page"], form, every=False).collect()
     assert {(r.excerpt_id, r.page): r.start for r in first} == {(k, p): min(w[3] for w in want if (w[0], w[2]) == (k, p)) for k, _, p, _, _ in want}
     assert excerpts.located(texts.limit(0), asked, ["doc"], ["page"], form).count() == 0
+
+
+@pytest.mark.parametrize("form,every", [("letters", True), ("letters", False), ("exact", True)])
+def test_excerpts_of_small_and_large_scopes(spark, monkeypatch, form, every):
+    """Scopes that fit in one row are searched there, larger ones by the index: the
+    same rows, with texts and excerpts that repeat or have no scope, place or text."""
+    pages = [(d, p, "Fire levy 12, fire 12 " * d + f"page {p}") for d in (1, 2, 40) for p in (1, 2)]
+    texts = spark.createDataFrame([*pages, pages[0], pages[4], (None, 1, "fire"), (1, None, "fire"), (1, 7, None)], "doc int, page int, text string")
+    words = ["FIRE", "levy 12", "12", "page 2", "", None, "--", "zzqx"]
+    asked = spark.createDataFrame([(k, d, w) for d in (1, 2, 40, None) for k, w in enumerate([*words, "12"])], "excerpt_id int, doc int, excerpt string")
+    found = {}
+    for limit in (0, 300, 1 << 18):
+        monkeypatch.setattr(excerpts, "SCOPE_CHARS", limit)
+        plan = excerpts.located(texts, asked, ["doc"], ["page"], form, every)
+        assert ("_a#" in plan._jdf.queryExecution().analyzed().toString()) == (limit < 1 << 18)
+        found[limit] = sorted(tuple(r) for r in plan.collect())
+    assert found[0] == found[300] == found[1 << 18] and len(found[0]) > 20
