@@ -66,6 +66,7 @@ def _ranges(characters: list[str]) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
 
 
+ASCII, BEYOND_ASCII = r"[\x00-\x7f]", r"[^\x00-\x7f]"
 HANGUL = r"\x{ac00}-\x{d7a3}"
 
 
@@ -79,8 +80,9 @@ def _jamo(ch: Column) -> Column:
 
 def folded(value: Column) -> Column:
     """Case-folded text in compatibility form without combining marks, in the
-    JVM: one character map, and a step by character only for texts that hold
-    one which becomes several."""
+    JVM: lower case where all is ASCII, else one character map, and a step by
+    character only for texts that hold one which becomes several. The long class
+    of those is tried on characters beyond ASCII alone."""
     single, several = fold_tables()
     wide = _ranges(list(several))
     longest = max(map(len, several.values()))
@@ -88,11 +90,13 @@ def folded(value: Column) -> Column:
     def spelled(ch: Column) -> Column:
         # Position by position; a character without a letter there leaves nothing.
         letters = [_translated(ch, {c: form[at:at + 1] for c, form in several.items()}) for at in range(longest)]
-        return F.when(ch.rlike(f"[{HANGUL}]"), _jamo(ch)).when(ch.rlike(f"[{wide}]"), F.concat(*letters)).otherwise(ch)
+        return F.when(ch.rlike(f"^{ASCII}"), ch).when(ch.rlike(f"[{HANGUL}]"), _jamo(ch)).when(ch.rlike(f"[{wide}]"), F.concat(*letters)).otherwise(ch)
 
     plain = _translated(value, single)
-    apart = F.array_join(F.transform(F.split(plain, ""), spelled), "")
-    return F.when(value.rlike(f"[{wide}{HANGUL}]"), apart).otherwise(plain)
+    pieces = F.regexp_extract_all(plain, F.lit(f"{ASCII}+|{BEYOND_ASCII}"), F.lit(0))
+    apart = F.array_join(F.transform(pieces, spelled), "")
+    rest = F.regexp_replace(value, f"{ASCII}+", "")
+    return F.when(~value.rlike(BEYOND_ASCII), F.lower(value)).when(rest.rlike(f"[{wide}{HANGUL}]"), apart).otherwise(plain)
 
 
 def normalized_name(name: Column) -> Column:
