@@ -314,3 +314,35 @@ def test_folding_equals_the_unicode_tables(spark):
     got = df(spark, "t string", *[(w,) for w in words], (None,), ("",)).select("t", text.folded(F.col("t")).alias("f"))
     assert {r.t: r.f for r in got.collect()} == {**want, None: None, "": ""}
     assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_folding_tries_the_long_class_beyond_ascii_only(spark):
+    """Text in ASCII takes neither the character map nor the class; a text with one
+    character that becomes several is not cut into all its characters."""
+    import unicodedata
+
+    words = ["Plain ASCII\n& More", "Stra\u00dfe & Caf\u00c9 " * 3, "\u00dfx" * 40, "a\u0301\ufb01 \ud55c\uae00 Z", "\U0001d400 b\u0130", "\x7f\x80"]
+    want = ["".join(c for c in unicodedata.normalize("NFKD", "".join(x.casefold() for x in w)) if not unicodedata.combining(c)) for w in words]
+    got = df(spark, "i int, t string", *enumerate(words)).select("i", text.folded(F.col("t")).alias("f")).collect()
+    assert [r.f for r in sorted(got)] == want
+    pieces = df(spark, "t string", ("x",)).select(text.folded(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert text.BEYOND_ASCII in pieces and 'split' not in pieces
+
+
+def test_handover_guards_lose_nothing(spark):
+    """What the plain patterns find is found behind the cheap searches too."""
+    from tallyroom.functions import privacy
+
+    run = "Ab1" * 9
+    texts = [
+        "see c:\\x", "file://h", "\\\\srv\\d\\", "~/x", "/tmp/x", "a/b", f"sk-{run}", f"sk-ant-{run}", f"xai-{run}", f"AIza{run}", "AKIA" + "A1" * 8, f"ghp_{run}", f"github_pat_{run}",
+        f"xoxb-{run}", f"bEARER  {run}", "basic Ab1Ab1Ab1Ab1Ab1A==", "eyJabcdefgh.abcdefgh.abcdefgh", "PassWord : hunter22", "?sig=0123456789abcdef", "&Token=0123456789abcdef", "-----BEGIN PRIVATE KEY-----",
+        "a.b@c.de", "@", "416-555-1234", "(416)5551234", "1 416.555.1234 ext 5", "4165551234", "046 454 286", "046-454-286", "046454287", "", None, "plain words only",
+    ]
+    found = df(spark, "t string", *[(t,) for t in texts]).select(
+        privacy.handover_labels(F.col("t")).alias("labels"), F.array(*[F.col("t").rlike(p) for p in privacy.HANDOVER_PATTERNS.values()]).alias("plain")
+    ).collect()
+    for t, row in zip(texts, found):
+        assert [x for x in row.labels if x != "checksum id"] == [n for n, hit in zip(privacy.HANDOVER_PATTERNS, row.plain) if hit], t
+    assert sum(len(r.labels) for r in found) >= 27
+    assert set(privacy.HANDOVER_REQUIRED) == set(privacy.HANDOVER_PATTERNS)
