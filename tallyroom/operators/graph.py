@@ -42,16 +42,19 @@ class _Links:
         return self.rows.join(salted_copies(frontier, self.hot), ["src", "_salt"], how)
 
 
-def reachable(start: DataFrame, edges: DataFrame | _Links, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
+def reachable(
+    start: DataFrame, edges: DataFrame | _Links, node: str = "node", src: str = "src", dst: str = "dst", by: tuple[str, ...] = ()
+) -> DataFrame:
     """Every node reached from ``start`` along ``edges``, with its least number
-    of steps."""
+    of steps; for each value of the columns ``by`` of ``start``, which hold no nulls."""
     links = edges if isinstance(edges, _Links) else _Links(edges, src, dst)
-    frontier = cut_lineage(start.select(node).distinct().withColumn("steps", F.lit(0)))
+    frontier = cut_lineage(start.select(node, *by).distinct().withColumn("steps", F.lit(0)))
     seen, step = frontier, 0
     while not frontier.isEmpty():
         step += 1
-        reached = links.follow(frontier.select(F.col(node).alias("src"))).select(F.col("dst").alias(node)).distinct()
-        frontier = cut_lineage(reached.join(seen, node, "left_anti").withColumn("steps", F.lit(step)))
+        reached = links.follow(frontier.select(F.col(node).alias("src"), *by), "inner" if by else "left_semi")
+        reached = reached.select(F.col("dst").alias(node), *by).distinct()
+        frontier = cut_lineage(reached.join(seen, [node, *by], "left_anti").withColumn("steps", F.lit(step)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -86,7 +89,10 @@ def _strands(steps: DataFrame) -> list[DataFrame]:
     return tables
 
 
-def reached(start: DataFrame, edges: DataFrame | _Links, node: str = "node", src: str = "src", dst: str = "dst", worth: int = 2) -> DataFrame:
+def reached(
+    start: DataFrame, edges: DataFrame | _Links, node: str = "node", src: str = "src", dst: str = "dst", worth: int = 2,
+    by: tuple[str, ...] = (),
+) -> DataFrame:
     """Every node reached from ``start``, in rounds that do not grow with the
     length of unbranched strands.
 
@@ -95,44 +101,47 @@ def reached(start: DataFrame, edges: DataFrame | _Links, node: str = "node", src
     marked last, long jumps before short ones. State is one row per node and
     table; a strand of n nodes takes log4(n) tables and as many marking rounds.
     Where all strands end within ``worth`` - 1 tables, the plain search is as short.
+    Start sets told apart by the columns ``by``, which hold no nulls, share the
+    strands and the rounds.
     """
     links = edges if isinstance(edges, _Links) else _Links(edges, src, dst)
     ways = links.rows.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min("dst").alias("next"))
     steps = cut_lineage(ways.filter("_n = 1 AND next <> node").select("node", "next"))
     tables = _strands(steps)
     if len(tables) < worth:
-        return reachable(start, links, node).select(node)
-    entries = cut_lineage(start.select(F.col(node).alias("node")).distinct())
+        return reachable(start, links, node, by=by).select(node, *by)
+    entries = cut_lineage(start.select(F.col(node).alias("node"), *by).distinct())
     frontier, seen = entries, None
     while True:
         ends = frontier
         if tables:
-            ends = frontier.join(tables[-1].select("node", "four"), "node", "left").select(F.coalesce("four", "node").alias("node")).distinct()
+            ends = frontier.join(tables[-1].select("node", "four"), "node", "left").select(F.coalesce("four", "node").alias("node"), *by).distinct()
             ends = ends.join(steps, "node", "left_anti")  # a ring leads nowhere else
-        fresh = cut_lineage(ends if seen is None else ends.join(seen, "node", "left_anti"))
+        fresh = cut_lineage(ends if seen is None else ends.join(seen, ["node", *by], "left_anti"))
         if fresh.isEmpty():
             break
         seen = fresh if seen is None else seen.unionByName(fresh)
-        out = links.follow(fresh.select(F.col("node").alias("src"))).select(F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(out.join(entries, "node", "left_anti"))
+        out = links.follow(fresh.select(F.col("node").alias("src"), *by), "inner" if by else "left_semi")
+        out = out.select(F.col("dst").alias("node"), *by).distinct()
+        frontier = cut_lineage(out.join(entries, ["node", *by], "left_anti"))
         entries = entries.unionByName(frontier)
     marked = entries
     for table in reversed(tables):
-        passed = marked.join(table, "node").select(F.explode(F.array("node", "one", "two", "three", "four")).alias("node"))
+        passed = marked.join(table, "node").select(F.explode(F.array("node", "one", "two", "three", "four")).alias("node"), *by)
         marked = cut_lineage(marked.unionByName(passed).distinct())
-    return marked.select(F.col("node").alias(node))
+    return marked.select(F.col("node").alias(node), *by)
 
 
 def lineage_verified(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes(node, is_leaf, verified)``: whether all leaves below a node are
-    verified, and whether any is. Both are reachability against the edges."""
-    back = _Links(edges, "dst", "src")
-    bad = reached(nodes.filter("is_leaf AND NOT verified").select("node"), back).select("node", F.lit(True).alias("_bad"))
-    good = reached(nodes.filter("is_leaf AND verified").select("node"), back).select("node", F.lit(True).alias("_good"))
-    return nodes.select("node").join(bad, "node", "left").join(good, "node", "left").select(
-        "node",
-        (F.col("_bad").isNull() & F.col("_good").isNotNull()).alias("fully_verified"),
-        F.col("_good").isNotNull().alias("any_verified"),
+    verified, and whether any is. Both are reachability against the edges, in one
+    search."""
+    leaves = nodes.filter("is_leaf AND verified IS NOT NULL").select("node", F.col("verified").alias("_good"))
+    above = reached(leaves, _Links(edges, "dst", "src"), by=("_good",))
+    above = above.groupBy("node").agg(F.bool_and("_good").alias("_all"), F.bool_or("_good").alias("_any"))
+    told = lambda name: F.coalesce(F.col(name), F.lit(False))
+    return nodes.select("node").join(above, "node", "left").select(
+        "node", told("_all").alias("fully_verified"), told("_any").alias("any_verified")
     )
 
 

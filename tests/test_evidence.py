@@ -392,6 +392,20 @@ def test_verified_needs_every_leaf(spark):
     assert rows(got, "node", "fully_verified", "any_verified") == [("no", False, False), ("ok", True, True), ("q", True, True), ("r", False, True)]
 
 
+def test_verified_leaves_share_one_search(spark, monkeypatch):
+    searches, strands = [], graph._strands
+    monkeypatch.setattr(graph, "_strands", lambda steps: searches.append(1) or strands(steps))
+    nodes = spark.createDataFrame(
+        [(i, i > 57, None if i == 60 else i % 2 == 0) for i in range(62)] + [(3, False, True)], "node int, is_leaf boolean, verified boolean")
+    pairs = [(i, i + 2) for i in range(58)] + [(0, 1)]
+    got = graph.lineage_verified(nodes, spark.createDataFrame(pairs, "src int, dst int"))
+    # Even nodes below 58 end in leaf 58 (verified), odd ones in 59 (not); 60 tells nothing.
+    good = lambda i: i % 2 == 0 and i < 60
+    want = [(i, good(i) and i > 0, good(i)) for i in range(60)] + [(60, False, False), (61, False, False), (3, False, False)]
+    assert rows(got, "node", "fully_verified", "any_verified") == sorted(want)
+    assert len(searches) == 1
+
+
 def py_cyclic(pairs):
     out = {}
     for a, b in pairs:
