@@ -113,15 +113,26 @@ def citation_tiers(facts: DataFrame, pages: DataFrame, documents: DataFrame) ->
     place = ["source_id", "page"]
     on_page = numbers_on(needles.filter("page IS NOT NULL"), pages, place, wanted)
     in_document = written(numbers_on(needles, documents, ["source_id"], wanted))
-    hot = hot_keys(facts.select("source_id"), ["source_id"])
+    # Written, so the planner knows how short the list is and deals no excerpt out for it.
+    hot = written(hot_keys(facts.select("source_id"), ["source_id"]))
 
     def compared(part: DataFrame, texts: DataFrame, key: list[str], bound: DataFrame) -> DataFrame:
         shown = spread_join(part, texts.select(*key, F.col("text").alias("_text")), key, "left", spread_on=["fact_id"], hot=hot)
+        shown = shown.withColumn("_found", F.col("_text").isNotNull())
+        shown = shown.withColumn("_wording", F.when(F.col("_found"), text_tier(F.col("excerpt"), F.col("_text"))))
+        # Only what the wording leaves open takes its texts along to the numbers.
+        is_open = F.col("_wording").isNull()
+        shown = shown.select(
+            "fact_id", "source_id", "page", "_found", "_wording",
+            F.when(is_open, F.col("excerpt")).alias("excerpt"), F.when(is_open, F.col("_text")).alias("_text"),
+        )
         shown = shown.join(bound.withColumn("_present", F.lit(True)), "fact_id", "left")
-        number = F.when(F.col("_present"), F.when(labels_on(F.col("excerpt"), F.col("_text"), F.col("lines")), "row-bound").otherwise("numbers-only"))
-        return shown.withColumn("_tier", F.coalesce(text_tier(F.col("excerpt"), F.col("_text")), number)).select(
-            "fact_id", "source_id", "page", "excerpt", F.col("_text").isNotNull().alias("_found"), F.when(F.col("_text").isNotNull(), F.col("_tier")).alias("_tier")
+        number = F.when(
+            F.col("_found") & F.col("_present"),
+            F.when(labels_on(F.col("excerpt"), F.col("_text"), F.col("lines")), "row-bound").otherwise("numbers-only"),
         )
+        shown = shown.withColumn("_tier", F.coalesce(F.col("_wording"), number))
+        return shown.select("fact_id", "source_id", "page", F.when(F.col("_tier").isNull(), F.col("excerpt")).alias("excerpt"), "_found", "_tier")
 
     judged = compared(facts.filter("page IS NOT NULL"), pages, place, on_page)
     unpaged = facts.filter("page IS NULL")

@@ -45,6 +45,20 @@ TIERS = [
 ]
 
 
+def test_settled_facts_leave_their_excerpts_behind(spark, monkeypatch):
+    tables, write = [], evidence.written
+
+    def spy(df):
+        tables.append(write(df))
+        return tables[-1]
+
+    monkeypatch.setattr(evidence, "written", spy)
+    got = tiers(spark, [("a", "s", 1, "Fire rescue 900"), ("b", "s", 1, "rescue fire 900"), ("c", "s", 1, "nothing")], PAGES)
+    assert got == {"a": "verbatim", "b": "row-bound", "c": "not-found"}
+    judged = next(t for t in tables if "_tier" in t.columns)
+    assert rows(judged, "fact_id", "excerpt") == [("a", None), ("b", None), ("c", "nothing")]
+
+
 def test_tiers(spark):
     facts = [(f"f{i}", "s", page, excerpt) for i, (page, excerpt, _) in enumerate(TIERS)]
     assert tiers(spark, facts, PAGES) == {f"f{i}": tier for i, (_, _, tier) in enumerate(TIERS)}
