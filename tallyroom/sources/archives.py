@@ -7,8 +7,10 @@ import codecs
 import hashlib
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,8 @@ MAX_ARCHIVE_BYTES = 32 * 1024 * 1024
 MAX_MEMBER_BYTES = 256 * 1024 * 1024
 MAX_RATIO = 100
 BLOCK_BYTES = 4 * 1024 * 1024
+#: Archives that stand beside their Arrow batch as Python objects.
+PACKED_ROWS = 64
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -43,30 +47,35 @@ def inspect_archives(archives: DataFrame) -> DataFrame:
     size and digest, never the container's, or the reason it is refused."""
     schema = "path string, member string, member_bytes long, member_sha256 string, reason string"
 
-    def inspect(batches):
+    def inspected(content: bytes, member: str) -> tuple[int | None, str | None, str | None]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                reason = _problem(archive, member)
+                if reason is not None:
+                    return None, None, reason
+                size, digest = 0, hashlib.sha256()
+                with archive.open(member) as stream:
+                    while block := stream.read(BLOCK_BYTES):
+                        size += len(block)
+                        digest.update(block)
+                return size, digest.hexdigest(), None
+        except zipfile.BadZipFile:
+            return None, None, "not an archive"
+
+    def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, content, member in zip(batch["path"], batch["content"], batch["member"]):
-                if content is None:
-                    out.append((path, member, None, None, "archive too large"))
-                    continue
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        reason = _problem(archive, member)
-                        size, digest = 0, hashlib.sha256()
-                        if reason is None:
-                            with archive.open(member) as stream:
-                                while block := stream.read(BLOCK_BYTES):
-                                    size += len(block)
-                                    digest.update(block)
-                        out.append((path, member, size, digest.hexdigest(), None) if reason is None else (path, member, None, None, reason))
-                except zipfile.BadZipFile:
-                    out.append((path, member, None, None, "not an archive"))
-            frame = pd.DataFrame(out, columns=["path", "member", "member_bytes", "member_sha256", "reason"])
-            frame["member_bytes"] = frame["member_bytes"].astype("Int64")
-            yield frame
+            # Archives stay in the batch: one at a time is copied out.
+            out = [
+                inspected(content.as_buffer(), member) if content.is_valid else (None, None, "archive too large")
+                for content, member in zip(batch.column("content"), batch.column("member").to_pylist())
+            ]
+            size, digest, reason = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), batch.column("member"), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(reason, pa.string())],
+                names=["path", "member", "member_bytes", "member_sha256", "reason"],
+            )
 
-    return archives.select("path", "content", "member").mapInPandas(inspect, schema)
+    return archives.select("path", "content", "member").mapInArrow(inspect, schema)
 
 
 def member_blocks(archives: DataFrame, encoding: str = "utf-8", fallback: str | None = None) -> DataFrame:
@@ -127,14 +136,18 @@ def member_blocks(archives: DataFrame, encoding: str = "utf-8", fallback: str |
     return archives.select("path", "content", "member").mapInPandas(blocks, schema)
 
 
-@F.pandas_udf(T.BinaryType())
-def pack_member(names: pd.Series, texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def pack_member(names: pa.Array, texts: pa.Array) -> pa.Array:
     """A one-member archive of a text, stored uncompressed."""
 
-    def pack(name, text):
+    def pack(name: str, text: pa.StringScalar) -> bytes:
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w") as archive:
-            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text.encode("utf-8"))
+            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text.as_buffer().to_pybytes())
         return buffer.getvalue()
 
-    return pd.Series([pack(n, t) for n, t in zip(names, texts)])
+    parts = [pa.array([], pa.binary())]
+    for at in range(0, len(texts), PACKED_ROWS):
+        here = zip(names.slice(at, PACKED_ROWS).to_pylist(), texts.slice(at, PACKED_ROWS))
+        parts.append(pa.array([pack(n, t) for n, t in here], pa.binary()))
+    return pa.concat_arrays(parts)

@@ -43,6 +43,26 @@ def test_archives(spark, tmp_path):
     assert refused == {"extra.zip": "member set differs", "bomb.zip": "compression ratio too high", "junk.zip": "not an archive"}
 
 
+def test_packed_members_stand_in_small_groups(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [f"{i} é " * 20_000 for i in range(60)] + [""]
+    monkeypatch.setattr(archives, "PACKED_ROWS", 4, raising=False)
+    names, column = pa.array([f"m{i}" for i in range(len(texts))]), pa.array(texts)
+    tracemalloc.start()
+    packed = archives.pack_member.func(names, column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Python never holds the whole batch, only a group of its members.
+    assert peak < sum(len(t.encode()) for t in texts) / 2
+    for name, text, content in zip(names.to_pylist(), texts, packed.to_pylist()):
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            assert archive.namelist() == [name] and archive.read(name).decode() == text
+    assert archives.pack_member.func(names.slice(0, 0), column.slice(0, 0)).to_pylist() == []
+
+
 def test_a_member_has_one_encoding(spark, monkeypatch):
     monkeypatch.setattr(archives, "BLOCK_BYTES", 8)
     mixed = "été\n".encode() * 5 + "é\n".encode("cp1252")
