@@ -2,7 +2,7 @@
 
 A text is one space mark and the text with spaces as marks. No piece holds a
 mark after another character, so merges never cross the place before a run of
-marks: the text falls into chunks that are encoded once per Arrow stream. In a
+marks: the text falls into chunks that a Python worker encodes once. In a
 chunk an agenda holds every adjacent pair of symbols that forms a piece; the
 pair of the highest score, the leftmost among equals, is merged until none is
 left. Short chunks keep their agendas side by side as the rows of one matrix,
@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -249,8 +250,9 @@ class ChunkMemory:
         self.pieces, self.ids, self.text = pieces, {}, {}
 
     def learn(self, chunks: list[str]) -> None:
-        if len(self.ids) > KEPT:
-            self.ids, self.text = {}, {}
+        if len(self.ids) > KEPT:  # those at hand stay: the frequent ones are among them
+            here = set(chunks) & self.ids.keys()
+            self.ids, self.text = {c: self.ids[c] for c in here}, {c: self.text[c] for c in here}
         new = list(set(chunks) - self.ids.keys())
         if new:
             found = self.pieces.chunks(new)
@@ -266,6 +268,12 @@ class ChunkMemory:
         return ids, ["".join(map(self.text.__getitem__, chunks))[1:] for chunks in split]
 
 
+@lru_cache(maxsize=1)
+def chunk_memory(model: str) -> ChunkMemory:
+    """One per Python worker: its next task finds the chunks of the one before."""
+    return ChunkMemory(Pieces(model))
+
+
 def encode(documents: DataFrame, model: str, keep: list[str], text: str = "text", ids: bool = False) -> DataFrame:
     """The columns ``keep`` of every row with ``n_tokens``, ``ids_sha256`` and
     ``decoded_sha256`` (lowercase hex), with ``ids=True`` also ``ids`` and ``decoded``.
@@ -275,7 +283,7 @@ def encode(documents: DataFrame, model: str, keep: list[str], text: str = "text"
     source = documents.select(*keep, documents[text].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = ChunkMemory(Pieces(model))
+        memory = chunk_memory(model)
         for batch in batches:
             for part, texts in slices(batch, "_text", 2 << 20):
                 coded, decoded = memory.run(texts)

@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,14 +140,16 @@ class Block:
 
 
 class Words:
-    """Byte-level BPE through the tokenizers library, once per word of a stream.
+    """Byte-level BPE through the tokenizers library, once per word of a Python worker.
 
     The vocabulary splits a text before every space that stands before another
     character than white space, so pieces between such places can be encoded
-    alone. A text that spells a special token is encoded whole.
+    alone. A text that spells a special token is encoded whole. New words of one
+    leading space are encoded as one text: the ids that begin with a space part them.
     """
 
     PART = re.compile(r"[\s\S][^ ]*(?: (?!\S)[^ ]*)*")
+    WORD = re.compile(r" \S+")
     KEPT = 250_000
 
     def __init__(self, path: str, plain: bool = False):
@@ -158,18 +161,35 @@ class Words:
         self.tokenizer.encode_special_tokens = plain
         self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.spaced = np.zeros(self.size, bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            if token.startswith("\u0120") and number < self.size:  # the space byte
+                self.spaced[number] = True
         self.ids = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in coded]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        joined = "".join(words)
+        if any(s in joined for s in self.special):
+            return self._library(words)
+        coded = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        begins = np.flatnonzero(self.spaced[coded])
+        if len(begins) != len(words):
+            return self._library(words)
+        data, ends = coded.tobytes(), [*(4 * begins[1:]).tolist(), 4 * len(coded)]
+        return [data[a:b] for a, b in zip((4 * begins).tolist(), ends)]
+
     def learn(self, parts: set[str]) -> None:
-        if len(self.ids) > self.KEPT:
-            self.ids = {}
-        new = list(parts - self.ids.keys())
-        for at in range(0, len(new), 8192):
-            self.ids.update(zip(new[at : at + 8192], self._library(new[at : at + 8192])))
+        if len(self.ids) > self.KEPT:  # those at hand stay: the frequent ones are among them
+            self.ids = {p: self.ids[p] for p in parts & self.ids.keys()}
+        new = parts - self.ids.keys()
+        words = [p for p in new if self.WORD.fullmatch(p)]
+        for some, code in ((words, self._words), (list(new.difference(words)), self._library)):
+            for at in range(0, len(some), 8192):
+                self.ids.update(zip(some[at : at + 8192], code(some[at : at + 8192])))
 
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id if there is one."""
@@ -183,6 +203,12 @@ class Words:
         ]
 
 
+@lru_cache(maxsize=1)
+def worker_words(path: str) -> Words:
+    """One per Python worker: its next task finds the words of the one before."""
+    return Words(path)
+
+
 FILE = "shard int, block int, first_symbol int, doc_ids array<bigint>, n_tokens bigint, payload binary"
 
 
@@ -194,7 +220,7 @@ def write(documents: DataFrame, tokenizer: str, end: int, folder: str, text: str
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard, number = Words(tokenizer), TaskContext.get().partitionId(), 0
+        words, shard, number = worker_words(tokenizer), TaskContext.get().partitionId(), 0
         names, held, size = [], [], 0
 
         def flush() -> pa.RecordBatch:

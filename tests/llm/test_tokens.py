@@ -65,6 +65,30 @@ def test_words_equal_the_library():
         assert np.frombuffer(own, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_are_one_text_and_those_at_hand_are_kept(monkeypatch):
+    words, library = tokenfiles.Words(BYTES), Tokenizer.from_file(BYTES)
+    asked, single = [], words._library
+    monkeypatch.setattr(words, "_library", lambda texts: asked.extend(texts) or single(texts))
+    monkeypatch.setattr(tokenfiles.Words, "KEPT", 2)
+    text = 'First ▁é "97ffa8 x1y2 \u0120z don\'t\u00a0go \u0085q\n ab  cd'
+    for _ in range(2):
+        for t, own in zip([text, text + " new"], words.encode([text, text + " new"])):
+            assert np.frombuffer(own, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert " x1y2" not in asked and len(asked) == len(set(asked))
+    assert tokenfiles.worker_words(BYTES) is tokenfiles.worker_words(BYTES)
+
+
+def test_chunks_at_hand_are_kept(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT", 2)
+    memory, asked = pieces.ChunkMemory(pieces.Pieces(PIECES)), []
+    encode = memory.pieces.chunks
+    monkeypatch.setattr(memory.pieces, "chunks", lambda chunks: asked.extend(chunks) or encode(chunks))
+    first, again = memory.run(["one two three four"]), memory.run(["one two three four five"])
+    assert first[1] == ["one two three four"] and again[1] == ["one two three four five"]
+    assert len(asked) == len(set(asked)) == 5
+    assert pieces.chunk_memory(PIECES) is pieces.chunk_memory(PIECES)
+
+
 def test_grammars_expand_and_give_single_documents():
     rng = np.random.default_rng(6)
     phrase = rng.integers(0, 40, 30)
