@@ -24,13 +24,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyroom.llm.tokenfiles import Words
+from tallyroom.llm.tokenfiles import worker_words
 from tallyroom.operators.ordering import positions
 from tallyroom.session import cut_lineage
 
@@ -95,45 +97,60 @@ def numbered(conversations: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "conv_id bigint, k bigint, node binary, role string, text string")
 
 
-def tree(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """The nodes in depth-first order: node, rank, k, head, body and tail tokens, start."""
-    paths = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "node"))).alias("path"))
-    ranks = positions(paths.select("conv_id", F.col("path.node").alias("path")), [F.col("path"), F.col("conv_id")], "rank")
-    nodes = (
-        turns.join(ranks.select("conv_id", "rank"), "conv_id")
-        .groupBy("node", "k", "role", "text").agg(F.min("rank").alias("rank"))
-    )
+@lru_cache(maxsize=1)
+def worker_decoder(tokenizer: str):
+    """One per Python worker: loading it takes longer than decoding a small task."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer)
+
+
+def tokens(nodes: DataFrame, tokenizer: str) -> DataFrame:
+    """Nodes in range partitions by rank and k with their tokens, the partition and
+    the number of tokens before them in it. Text is dealt out first, so that the
+    sample of the ranges tokenises nothing."""
+    ordered = nodes.repartitionByRange("rank", "k").sortWithinPartitions("rank", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer, plain=True)
+        words, part, inside = worker_words(tokenizer, plain=True), TaskContext.get().partitionId(), 0
         for batch in batches:
             parts = [turn_parts(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
             coded = [words.encode([p[i] for p in parts]) for i in range(3)]
             size = [[len(c) // 4 for c in part] for part in coded]
             ids = [np.frombuffer(a + b + c, "<u4").astype(np.int32) for a, b, c in zip(*coded)]
             learnt = [r == LEARNT for r in batch.column("role").to_pylist()]
+            upto = inside + np.cumsum([len(i) for i in ids], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("node"), batch.column("rank"), batch.column("k"), pa.array(ids, pa.list_(pa.int32())),
                     pa.array([len(i) for i in ids], pa.int64()),
                     pa.array([h if y else 0 for h, y in zip(size[0], learnt)], pa.int64()),
                     pa.array([h + b if y else 0 for h, b, y in zip(size[0], size[1], learnt)], pa.int64()),
+                    pa.array([part] * len(ids), pa.int32()), pa.array([inside, *upto[:-1].tolist()][: len(ids)], pa.int64()),
                 ],
-                names=["node", "rank", "k", "ids", "n_tokens", "loss_from", "loss_to"],
+                names=["node", "rank", "k", "ids", "n_tokens", "loss_from", "loss_to", "_p", "_inside"],
             )
+            inside = int(upto[-1]) if len(upto) else inside
 
-    tokens = nodes.mapInArrow(
-        run, "node binary, rank bigint, k bigint, ids array<int>, n_tokens bigint, loss_from bigint, loss_to bigint"
+    return ordered.mapInArrow(
+        run,
+        "node binary, rank bigint, k bigint, ids array<int>, n_tokens bigint, loss_from bigint, loss_to bigint, _p int, _inside bigint",
     )
-    # Places in the stream: sums inside range partitions, and those of the partitions before.
-    ranged = cut_lineage(
-        tokens.repartitionByRange("rank", "k").sortWithinPartitions("rank", "k").withColumn("_p", F.spark_partition_id())
+
+
+def tree(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """The nodes in depth-first order: node, rank, k, head, body and tail tokens, start."""
+    paths = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "node"))).alias("path"))
+    ranks = positions(paths.select("conv_id", F.col("path.node").alias("path")), [F.col("path"), F.col("conv_id")], "rank")
+    nodes = (
+        turns.join(ranks.select("conv_id", "rank"), "conv_id")
+        .groupBy("node", "k", "role", "text").agg(F.min("rank").alias("rank"))
     )
-    inside = Window.partitionBy("_p").orderBy("rank", "k").rowsBetween(Window.unboundedPreceding, -1)
+    # Places in the stream: sums inside range partitions, and those of the partitions before (one row each).
+    ranged = cut_lineage(tokens(nodes, tokenizer))
     earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = ranged.groupBy("_p").agg(F.sum("n_tokens").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    running = ranged.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return running.join(before, "_p").withColumn("start", F.col("_inside") + F.col("_before")).drop("_p", "_inside", "_before")
+    return ranged.join(F.broadcast(before), "_p").withColumn("start", F.col("_inside") + F.col("_before")).drop("_p", "_inside", "_before")
 
 
 def layout(turns: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -183,9 +200,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, tokenizer: str) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        decoder = Tokenizer.from_file(tokenizer)
+        decoder = worker_decoder(tokenizer)
         current, state, done = None, None, []
 
         def emit() -> pa.RecordBatch:

@@ -203,10 +203,10 @@ class Words:
         ]
 
 
-@lru_cache(maxsize=1)
-def worker_words(path: str) -> Words:
+@lru_cache(maxsize=2)
+def worker_words(path: str, plain: bool = False) -> Words:
     """One per Python worker: its next task finds the words of the one before."""
-    return Words(path)
+    return Words(path, plain)
 
 
 FILE = "shard int, block int, first_symbol int, doc_ids array<bigint>, n_tokens bigint, payload binary"

@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyroom.llm import chat, maxscore
+from tallyroom.llm import chat, maxscore, tokenfiles
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -111,3 +111,22 @@ def test_tree_shares_turns_and_reads_back(spark):
             assert [n.start for n in stream[first : first + len(below)]] == below
     empty = chat.format_chats(table.limit(0), BYTES)
     assert chat.read_back(*empty, BYTES).count() == 0
+
+
+def test_tokenizers_stay_in_the_worker_and_the_ranges_tokenise_nothing(spark):
+    assert tokenfiles.worker_words(BYTES, plain=True) is tokenfiles.worker_words(BYTES, plain=True)
+    assert tokenfiles.worker_words(BYTES, plain=True) is not tokenfiles.worker_words(BYTES)
+    assert chat.worker_decoder(BYTES) is chat.worker_decoder(BYTES)
+    rows = [(bytes([i]), i // 4, i % 4, "assistant" if i % 2 else "user", f"text {i}" * (i % 5)) for i in range(40)]
+    coded = chat.tokens(spark.createDataFrame(rows, "node binary, rank bigint, k bigint, role string, text string"), BYTES)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("rangepartitioning") and plan.count("MapInArrow") == 1
+    parts = collections.defaultdict(list)
+    for r in coded.collect():
+        parts[r["_p"]].append((r["rank"], r.k, r["_inside"], r.n_tokens, len(r.ids)))
+    for part in parts.values():
+        part.sort()
+        assert [p[2] for p in part] == [sum(p[3] for p in part[:i]) for i in range(len(part))]
+        assert all(p[3] == p[4] for p in part)
+    order = [p[:2] for _, part in sorted(parts.items()) for p in part]
+    assert order == sorted(order) and len(order) == len(rows)
