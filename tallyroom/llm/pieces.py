@@ -33,23 +33,32 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Longer chunks go through the heap; they are not kept.
 LONG = 48
 #: Chunks that a Python worker keeps.
-KEPT = 250_000
+KEPT = 400_000
 NORMAL = 1
 
 
+#: Rank of a pair that is no piece.
+NONE = np.iinfo(np.int32).max
+
+
 class PairTable:
     """(left symbol, right symbol) to (merged symbol, rank of its score)."""
 
     BITS = 20
+    FREE = np.iinfo(np.int64).min
 
     def __init__(self, pairs: dict[int, tuple[int, int]]):
         key = np.fromiter(pairs, np.int64, len(pairs))
         value = np.array(list(pairs.values()), np.int32).reshape(-1, 2)
         slot = self._slot(key)
-        self.key = np.full(1 << self.BITS, -1, np.int64)
-        self.value = np.zeros((1 << self.BITS, 2), np.int32)
-        self.key[slot], self.value[slot] = key, value  # of pairs in one slot the last stays
+        # A key with a negative symbol is negative too, but no key is FREE.
+        self.key = np.full(1 << self.BITS, self.FREE, np.int64)
+        self.symbol = np.full(1 << self.BITS, -1, np.int32)
+        self.rank = np.full(1 << self.BITS, NONE, np.int32)
+        self.key[slot], self.symbol[slot], self.rank[slot] = key, value[:, 0], value[:, 1]  # of pairs in one slot the last stays
         lost = self.key[slot] != key
+        self.crowded = np.zeros(1 << self.BITS, bool)
+        self.crowded[slot[lost]] = True
         order = np.argsort(key[lost])
         self.other_key, self.other_value = key[lost][order], value[lost][order]
 
@@ -58,22 +67,18 @@ class PairTable:
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merged symbols and ranks; rank NONE where the pair is no piece."""
-        key = (left.astype(np.int64) << 32) | right.astype(np.int64)
+        key = (left.astype(np.int64) << 32) | right
         slot = self._slot(key)
         hit = self.key[slot] == key
-        merged = np.where(hit, self.value[slot, 0], -1)
-        rank = np.where(hit, self.value[slot, 1], NONE)
-        if len(self.other_key) and not hit.all():
-            rest = np.flatnonzero(~hit)
+        merged, rank = np.where(hit, self.symbol[slot], np.int32(-1)), np.where(hit, self.rank[slot], np.int32(NONE))
+        if len(self.other_key):
+            rest = np.flatnonzero(self.crowded[slot] & ~hit)
             at = np.minimum(np.searchsorted(self.other_key, key[rest]), len(self.other_key) - 1)
             ok = self.other_key[at] == key[rest]
             merged[rest[ok]], rank[rest[ok]] = self.other_value[at[ok], 0], self.other_value[at[ok], 1]
         return merged, rank
 
 
-NONE = np.iinfo(np.int32).max
-
-
 class Pieces:
     """Encoder and decoder of one model file."""
 
@@ -94,6 +99,7 @@ class Pieces:
         self.surface = [p.piece for p in proto.pieces]
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == schema.ModelProto.SentencePiece.BYTE}
         self.value_of = {i: b for b, i in self.byte.items()}
+        self.spelled = [str(i) for i in range(len(self.surface))]
         known = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         if any(MARK in p.lstrip(MARK) for p in known):
             raise ValueError("a piece holds a space mark after another character")
@@ -156,51 +162,48 @@ class Pieces:
 
     def agendas(self, chunks: list[str]) -> list[list[int]]:
         """Many short chunks at once: row r of the rank matrix is the agenda of
-        chunk r, each step merges the best leftmost pair of every row."""
+        chunk r, each step merges the best leftmost pair of every row, so that
+        all rows at work grow shorter together."""
         width = max(map(len, chunks))
-        length = np.array([len(c) for c in chunks])
-        code = np.frombuffer("".join(c.ljust(width, "\0") for c in chunks).encode("utf-32-le"), np.uint32)
+        code = np.frombuffer("".join([c.ljust(width, "\0") for c in chunks]).encode("utf-32-le"), np.uint32)
         symbols = self.first[code].reshape(-1, width)
-        symbols[np.arange(width) >= length[:, None]] = -2
-        merged = np.full((len(chunks), width), -1, np.int32)
-        rank = np.full((len(chunks), width), NONE, np.int32)
-        if width > 1:
-            merged[:, :-1], rank[:, :-1] = self._pairs(symbols[:, :-1], symbols[:, 1:])
-        rows = np.flatnonzero((rank < NONE).any(axis=1))
-        final = symbols.copy()
-        symbols, merged, rank = symbols[rows], merged[rows], rank[rows]
-        place = np.arange(width)
-        while len(rows):
-            at = rank.argmin(axis=1)
-            line = np.arange(len(rows))
+        symbols[np.arange(width) >= np.array([len(c) for c in chunks])[:, None]] = -2
+        merged, rank = np.full(symbols.shape, -1, np.int32), np.full(symbols.shape, NONE, np.int32)
+        merged[:, :-1], rank[:, :-1] = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        out: list[list[int]] = [[]] * len(chunks)
+        rows = np.arange(len(chunks))
+        while True:
+            at, line = rank.argmin(axis=1), np.arange(len(rows))
+            live = rank[line, at] < NONE
+            if not live.all():
+                self._settle(symbols[~live], rows[~live], chunks, out)
+                rows, symbols, merged, rank, at = rows[live], symbols[live], merged[live], rank[live], at[live]
+                line = line[: len(rows)]
+                if not len(rows):
+                    break
             symbols[line, at] = merged[line, at]
-            shift = np.minimum(place + (place > at[:, None]), width - 1)
-            symbols = np.take_along_axis(symbols, shift, 1)
-            symbols[:, -1] = -2
-            keep = np.minimum(place + (place >= at[:, None]), width - 1)  # the merged pair leaves the agenda
-            merged, rank = np.take_along_axis(merged, keep, 1), np.take_along_axis(rank, keep, 1)
-            rank[:, -1] = NONE
-            for left in (at - 1, at):
-                ok = np.flatnonzero((left >= 0) & (left + 1 < width))
-                l = left[ok]
-                merged[ok, l], rank[ok, l] = self._pairs(symbols[ok, l], symbols[ok, l + 1])
-            left_over = (rank < NONE).any(axis=1)
-            if not left_over.all():
-                final[rows[~left_over]] = symbols[~left_over]
-                rows, symbols, merged, rank = rows[left_over], symbols[left_over], merged[left_over], rank[left_over]
-        size = len(self.surface)
-        plain = ((final >= 0) & (final < size) | (final == -2)).all(axis=1).tolist()
-        count = (final != -2).sum(axis=1).tolist()
-        return [
-            row[:n] if ok else self._ids(row[:n], chunk)
-            for row, n, ok, chunk in zip(final.tolist(), count, plain, chunks)
-        ]
+            width -= 1
+            stay = np.ones(symbols.shape, bool)
+            stay[line, at + 1] = False
+            symbols = symbols[stay].reshape(-1, width)
+            stay[line, at + 1], stay[line, at] = True, False  # the merged pair leaves the agenda
+            merged, rank = merged[stay].reshape(-1, width), rank[stay].reshape(-1, width)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 1)
+            line, left = np.concatenate([before, after]), np.concatenate([at[before] - 1, at[after]])
+            merged[line, left], rank[line, left] = self._pairs(symbols[line, left], symbols[line, left + 1])
+        return out
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        merged, rank = self.table.find(np.maximum(left, 0).ravel(), np.maximum(right, 0).ravel())
-        rank[((left < 0) | (right < 0)).ravel()] = NONE
+        merged, rank = self.table.find(left.ravel(), right.ravel())
         return merged.reshape(left.shape), rank.reshape(left.shape)
 
+    def _settle(self, symbols: np.ndarray, rows: np.ndarray, chunks: list[str], out: list[list[int]]) -> None:
+        """The ids of rows whose agendas are empty."""
+        plain = ((symbols >= 0) & (symbols < len(self.surface)) | (symbols == -2)).all(axis=1).tolist()
+        count = (symbols != -2).sum(axis=1).tolist()
+        for k, row, n, ok in zip(rows.tolist(), symbols.tolist(), count, plain):
+            out[k] = row[:n] if ok else self._ids(row[:n], chunks[k])
+
     def chunks(self, chunks: list[str]) -> list[list[int]]:
         """Ids of each chunk, compared with the library."""
         out: list[list[int] | None] = [None] * len(chunks)
@@ -219,7 +222,9 @@ class Pieces:
         return out
 
     def surfaces(self, ids: list[int]) -> str:
-        """Text of ids, marks as spaces, the leading one kept."""
+        """Text of ids, marks kept."""
+        if self.value_of.keys().isdisjoint(ids):
+            return "".join(map(self.surface.__getitem__, ids))
         text, pending = [], bytearray()
         for i in ids:
             if i in self.value_of:
@@ -231,7 +236,7 @@ class Pieces:
             text.append(self.surface[i])
         if pending:
             text.append(pending.decode("utf-8", "replace"))
-        return "".join(text).replace(MARK, " ")
+        return "".join(text)
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text with the end id."""
@@ -239,33 +244,42 @@ class Pieces:
         return [i for ids in (self.chunks(chunks) if chunks else []) for i in ids] + [self.end]
 
     def decode(self, ids: list[int]) -> str:
-        text = self.surfaces([i for i in ids if i != self.end])
+        text = self.surfaces([i for i in ids if i != self.end]).replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
 class ChunkMemory:
-    """Ids (as text) and decoded text of the chunks seen in a stream."""
+    """Ids (as text) of the chunks seen in a stream, and the decoded text of those
+    that do not decode to themselves."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.ids, self.text = pieces, {}, {}
+        self.pieces, self.ids, self.other = pieces, {}, {}
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, split: list[list[str]]) -> None:
+        chunks = set().union(*split)
         if len(self.ids) > KEPT:  # those at hand stay: the frequent ones are among them
-            here = set(chunks) & self.ids.keys()
-            self.ids, self.text = {c: self.ids[c] for c in here}, {c: self.text[c] for c in here}
-        new = list(set(chunks) - self.ids.keys())
+            here = chunks & self.ids.keys()
+            self.ids = {c: self.ids[c] for c in here}
+            self.other = {c: t for c, t in self.other.items() if c in here}
+        new = list(chunks.difference(self.ids))
         if new:
-            found = self.pieces.chunks(new)
-            self.ids.update(zip(new, [" ".join(map(str, ids)) for ids in found]))
-            self.text.update(zip(new, map(self.pieces.surfaces, found)))
+            found, spelled = self.pieces.chunks(new), self.pieces.spelled.__getitem__
+            self.ids.update(zip(new, [" ".join(map(spelled, ids)) for ids in found]))
+            for chunk, decoded in zip(new, map(self.pieces.surfaces, found)):
+                if decoded != chunk:
+                    self.other[chunk] = decoded
+
+    def decoded(self, chunks: list[str]) -> str:
+        text = "".join(chunks) if self.other.keys().isdisjoint(chunks) else "".join([self.other.get(c, c) for c in chunks])
+        return text.replace(MARK, " ")[1:]
 
     def run(self, texts: list[str]) -> tuple[list[str], list[str]]:
         """Ids of each text joined by spaces, end id included, and the decoded text."""
         split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn([c for chunks in split for c in chunks])
+        self.learn(split)
         end = str(self.pieces.end)
         ids = [" ".join([*map(self.ids.__getitem__, chunks), end]) for chunks in split]
-        return ids, ["".join(map(self.text.__getitem__, chunks))[1:] for chunks in split]
+        return ids, [self.decoded(chunks) for chunks in split]
 
 
 @lru_cache(maxsize=1)

@@ -89,6 +89,23 @@ def test_chunks_at_hand_are_kept(monkeypatch):
     assert pieces.chunk_memory(PIECES) is pieces.chunk_memory(PIECES)
 
 
+def test_only_chunks_that_decode_otherwise_keep_a_text(monkeypatch):
+    memory = pieces.ChunkMemory(pieces.Pieces(PIECES))
+    assert memory.run(["one two\n é😀\0 x▁y", "one"])[1] == ["one two\n é😀\0 x y", "one"] and not memory.other
+    decode = memory.pieces.surfaces
+    monkeypatch.setattr(memory.pieces, "surfaces", lambda ids: decode(ids).replace("three", "3"))
+    assert memory.run(["one three two three", "one"])[1] == ["one 3 two 3", "one"] and memory.other == {"▁three": "▁3"}
+
+
+def test_pairs_are_found_and_others_are_none():
+    model = pieces.Pieces(PIECES)
+    keys = np.array(list(model.pairs), np.int64)
+    merged, rank = model.table.find((keys >> 32).astype(np.int32), keys.astype(np.int32))
+    assert list(zip(merged.tolist(), rank.tolist())) == list(model.pairs.values())
+    left, right = np.array([-1, 0, -2, -1, 5, 3], np.int32), np.array([0, -1, -2, -1, -2, 3], np.int32)
+    assert model.table.find(left, right)[1].tolist() == [pieces.NONE] * 6
+
+
 def test_grammars_expand_and_give_single_documents():
     rng = np.random.default_rng(6)
     phrase = rng.integers(0, 40, 30)
