@@ -207,7 +207,7 @@ class Pieces:
     def chunks(self, chunks: list[str]) -> list[list[int]]:
         """Ids of each chunk, compared with the library."""
         out: list[list[int] | None] = [None] * len(chunks)
-        order = sorted(range(len(chunks)), key=lambda k: len(chunks[k]))
+        order = np.argsort([len(c) for c in chunks], kind="stable").tolist()
         for begin in range(0, len(order), 8192):
             part = [k for k in order[begin : begin + 8192] if len(chunks[k]) <= LONG]
             for k, ids in zip(part, self.agendas([chunks[k] for k in part]) if part else []):

@@ -150,7 +150,7 @@ class Words:
 
     PART = re.compile(r"[\s\S][^ ]*(?: (?!\S)[^ ]*)*")
     WORD = re.compile(r" \S+")
-    KEPT = 250_000
+    KEPT = 400_000
 
     def __init__(self, path: str, plain: bool = False):
         """``plain``: special tokens spelled in a text are ordinary text."""
@@ -196,7 +196,7 @@ class Words:
         tail = b"" if end is None else struct.pack("<I", end)
         whole = [any(s in t for s in self.special) for t in texts]
         parts = [[] if w else self.PART.findall(t) for w, t in zip(whole, texts)]
-        self.learn({p for ps in parts for p in ps})
+        self.learn(set().union(*parts))
         get = self.ids.__getitem__
         return [
             (self._library([t])[0] if w else b"".join(map(get, ps))) + tail for w, ps, t in zip(whole, parts, texts)
