@@ -20,13 +20,12 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyroom.llm.words import output, slices
+from tallyroom.llm.words import lasting, output, slices
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -282,10 +281,9 @@ class ChunkMemory:
         return ids, [self.decoded(chunks) for chunks in split]
 
 
-@lru_cache(maxsize=1)
 def chunk_memory(model: str) -> ChunkMemory:
     """One per Python worker: its next task finds the chunks of the one before."""
-    return ChunkMemory(Pieces(model))
+    return lasting(("chunks", model), lambda: ChunkMemory(Pieces(model)))
 
 
 def encode(documents: DataFrame, model: str, keep: list[str], text: str = "text", ids: bool = False) -> DataFrame:

@@ -22,7 +22,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyroom.llm.words import slices
+from tallyroom.llm.words import lasting, slices
 from tallyroom.session import checkpoint_folder
 
 #: Ids of a block; a longer document is a block of its own.
@@ -203,10 +202,9 @@ class Words:
         ]
 
 
-@lru_cache(maxsize=2)
 def worker_words(path: str, plain: bool = False) -> Words:
     """One per Python worker: its next task finds the words of the one before."""
-    return Words(path, plain)
+    return lasting(("words", path, plain), lambda: Words(path, plain))
 
 
 FILE = "shard int, block int, first_symbol int, doc_ids array<bigint>, n_tokens bigint, payload binary"

@@ -41,6 +41,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 600, 20_000
 THRESHOLD = 0.3
 #: A word with this marginal is enough, however long its text.
 CERTAIN = 0.99
+#: Characters whose words and messages a task holds at once.
+SLICE = 1 << 20
 
 
 @dataclass
@@ -246,7 +248,7 @@ def score(documents: DataFrame, model: Model | None, keep: list[str], text: str
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, vocabulary, tables = shared(handle), Vocabulary(), []
         for batch in batches:
-            for part, texts in slices(batch, "_text"):
+            for part, texts in slices(batch, "_text", SLICE):
                 if len(vocabulary) > VOCABULARY:
                     vocabulary, tables = Vocabulary(), []
                 scores, spans = tag_texts(texts, fitted, vocabulary, tables)
@@ -267,7 +269,7 @@ def reject(documents: DataFrame, model: Model | None, threshold: float = THRESHO
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, vocabulary, tables = shared(handle), Vocabulary(), []
         for batch in batches:
-            for part, texts in slices(batch, text):
+            for part, texts in slices(batch, text, SLICE):
                 if len(vocabulary) > VOCABULARY:
                     vocabulary, tables = Vocabulary(), []
                 scores, _ = tag_texts(texts, fitted, vocabulary, tables)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +29,34 @@ class Vocabulary(dict):
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with about ``limit`` characters of text (at least one row); null reads as empty."""
-    texts = [t or "" for t in batch.column(text).to_pylist()]
+    """Parts of a batch with about ``limit`` characters of text (at least one row); null reads as empty.
+    Only the texts of one part are Python strings at a time."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
     begin = size = 0
-    for at, value in enumerate(texts):
-        if size and size + len(value) > limit:
-            yield batch.slice(begin, at - begin), texts[begin:at]
+    for at, length in enumerate([*lengths, 0]):
+        if at == len(lengths) or size and size + length > limit:
+            if begin < at:
+                part = batch.slice(begin, at - begin)
+                yield part, [t or "" for t in part.column(text).to_pylist()]
             begin, size = at, 0
-        size += len(value)
-    if begin < len(texts):
-        yield batch.slice(begin), texts[begin:]
+        size += length
+
+
+_LASTING: dict = {}
+
+
+def lasting(kind, make: Callable):
+    """What a Python worker keeps from task to task. It holds one kind: the next one takes its place, so
+    memories of several operators never add up in a worker."""
+    if kind not in _LASTING:
+        _LASTING.clear()
+        _LASTING[kind] = make()
+    return _LASTING[kind]
+
+
+def forget() -> None:
+    """For tasks with a fitted object of their own: the worker drops what an operator before them kept."""
+    _LASTING.clear()
 
 
 def word_hash(words: list[str], salt: str = "") -> np.ndarray:
@@ -88,6 +107,7 @@ def share(spark: SparkSession, value):
 
 
 def shared(handle):
+    forget()
     return pickle.loads(handle.value)
 
 

@@ -1,8 +1,11 @@
+import pickle
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyroom.llm import langid, toxicity
+from tallyroom.llm import langid, toxicity, words
 
 GOOD = "river table window green cloud paper stone music garden letter winter harbour".split()
 BAD = "vilex grubbo snarkt".split()
@@ -109,3 +112,32 @@ def test_held_out_toxicity_on_the_given_tables(spark):
     counts = {(r.predicted, r.toxic): r["count"] for r in held.groupBy("predicted", "toxic").count().collect()}
     hits, alarms, misses = (counts.get(k, 0) for k in ((1, 1), (1, 0), (0, 1)))
     assert hits >= 0.9 * (hits + alarms) and hits >= 0.9 * (hits + misses), counts
+
+
+def test_slices_hold_the_texts_of_one_part():
+    batch = pa.RecordBatch.from_pydict({"id": range(44), "text": [None, "", *("x" * 500_000 for _ in range(40)), "\u00e9" * 1_500_000, None]})
+    ids, texts = [], []
+    tracemalloc.start()
+    for part, some in words.slices(batch, "text", 1_000_000):
+        assert sum(map(len, some)) <= 1_000_000 or len(some) == 1
+        ids += part.column("id").to_pylist()
+        texts += [t[:3] + str(len(t)) for t in some]
+        del some
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == list(range(44)) and texts == ["0", "0", *["xxx500000"] * 40, "\u00e9\u00e9\u00e91500000", "0"]
+    assert peak < 8_000_000
+    assert not list(words.slices(batch.slice(0, 0), "text")) and [s for _, s in words.slices(batch.slice(0, 2), "text")] == [["", ""]]
+
+
+def test_a_worker_keeps_one_memory():
+    first = words.lasting("a", list)
+    assert words.lasting("a", list) is first
+    second = words.lasting("b", list)
+    assert words.lasting("b", list) is second and words.lasting("a", list) is not first
+
+    class Handle:
+        value = pickle.dumps(5)
+
+    kept = words.lasting("a", list)
+    assert words.shared(Handle) == 5 and words.lasting("a", list) is not kept
