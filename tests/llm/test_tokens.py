@@ -78,6 +78,19 @@ def test_new_words_are_one_text_and_those_at_hand_are_kept(monkeypatch):
     assert tokenfiles.worker_words(BYTES) is tokenfiles.worker_words(BYTES)
 
 
+def test_pieces_between_classes_of_bytes_are_encoded_once():
+    words, library = tokenfiles.Words(BYTES), Tokenizer.from_file(BYTES)
+    words.encode(["river, stone.\nriver (river)", "", "stone2 river"], 2)
+    assert set(words.now.number) == {"river", ",", " stone", ".", "\n", " (", ")", "stone", "2", " river", "\0"}
+    rng = random.Random(8)
+    some = ["".join(rng.choice("aaBs  \n\t\r'',.(|1\u0661\u00b2\u00e9\u00df\u00d7\u00a0\u3000\u2009\u0085\u201c\x1c\0\u4e00\U0001f600") for _ in range(rng.randrange(1, 40))) for _ in range(6000)]
+    some += ["ends with line\n", " \u00e9t\u00e9 \u00d7 ab\u00e9", "x" * 200 + " " + "y" * 200, "a <|endoftext|>b, c", "it's '\u00e9 we'll 'x", "  ", "a  "]
+    for end, tail in ((2, [2]), (None, [])):
+        for text, own in zip(some, words.encode(some, end)):
+            assert np.frombuffer(own, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + tail
+    assert words.encode([]) == [] and max(map(len, words.now.number)) <= words.LONG
+
+
 def test_chunks_at_hand_are_kept(monkeypatch):
     monkeypatch.setattr(pieces, "KEPT", 2)
     memory, asked = pieces.ChunkMemory(pieces.Pieces(PIECES)), []
