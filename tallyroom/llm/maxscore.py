@@ -1,20 +1,23 @@
 """Exact top-k by inner product with MaxScore over integer vectors.
 
 A dimension is a term: its postings in a shard are the components of the
-shard's vectors, counted from the smallest product the query can get there, so
-every contribution is at least nought and at most the term's score bound. Terms
-sort by bound. Those whose bounds together cannot lift a vector over the k-th
-score so far are non-essential: the others are traversed for all vectors of a
-group, and the non-essential ones are probed, largest bound first, only for
-vectors that still can compete. Shards keep their k best with ties, and a
-window merges the shards.
-
-Vectors and queries go in packed blocks of bounded size; every query block
-meets every shard once, which is the work that exact search of a given query
-set needs. Ties go to the smaller id. Vectors that are null, hold a null or
-non-finite component, or have no id take no part; vectors of other lengths are
-not compared. Rows that repeat an id are candidates each, and a query of a
-repeated id is its smallest vector.
+shard's vectors, and with the smallest and largest of them a query knows the
+least and the most that the term can add to a score there. Terms of a block of
+queries sort by how far these lie apart. Those that cannot lift any vector over
+the k-th score so far, even where all others add their least, are
+non-essential: the others are traversed for all vectors of a group, and the
+non-essential ones, a few at a time and the widest first, while many vectors
+still can compete; they are probed for the rest. A task keeps the k best of
+each query with ties from shard to shard, and a window merges the tasks.
+
+Queries go in packed blocks of bounded size, so many at a time are broadcast,
+and the vectors pass by once for each such set: no vector and no query is
+copied to meet the others, and what a task holds depends on the size of a shard
+and of a set alone. Every query meets every vector, which is the work that exact
+search of a given query set needs. Ties go to the smaller id. Vectors that are
+null, hold a null or non-finite component, or have no id take no part; vectors
+of other lengths are not compared. Rows that repeat an id are candidates each,
+and a query of a repeated id is its smallest vector.
 """
 
 from __future__ import annotations
@@ -26,8 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyroom.llm.words import share, shared
+from tallyroom.session import cut_lineage
+
 SHARD_ROWS, QUERY_ROWS = 4096, 1024
 GROUP = 512
+#: Shards of a task, at most.
+TASK_SHARDS = 8
+#: Components of the queries that are broadcast at once, about.
+QUERY_VALUES = 4 << 20
+#: Terms traversed at a time, and the share of vectors still alive (one in so many) that is probed instead.
+STEP, PROBE = 16, 256
 
 
 def quantised(vector: Column, scale: float = 256.0) -> Column:
@@ -55,49 +67,123 @@ def packed(rows: DataFrame, count: int, size: int, name: str) -> DataFrame:
     return dealt.groupBy("dim", name).applyInArrow(pack, f"dim int, {name} int, ids binary, vectors binary")
 
 
+def _largest(vectors: np.ndarray) -> int:
+    return max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
+
+
 class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].T.copy()  # postings by term
+        self.ids, self.vectors = ids, vectors.T  # postings by term
         self.low, self.high = self.vectors.min(axis=1), self.vectors.max(axis=1)
-
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors of the shard but ``own``."""
-        ends = np.stack([query * self.low, query * self.high])
-        floor, bound = ends.min(axis=0), ends.max(axis=0) - ends.min(axis=0)
-        term = np.argsort(-bound, kind="stable")
-        # rest[i]: what the terms from i on can add at most
-        rest = np.append(np.cumsum(bound[term][::-1])[::-1], 0)
-        base = floor.sum()
-        found, score = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)
-        limit = None
-        for begin in range(0, len(self.ids), GROUP):
-            end = min(begin + GROUP, len(self.ids))
-            need = None if limit is None else limit - base
-            essential = len(term) if need is None else int(np.searchsorted(-rest, -need, "right"))
-            essential = min(max(essential, 1), len(term)) if len(term) else 0
-            use = term[:essential]
-            value = query[use] @ self.vectors[use, begin:end] - floor[use].sum()
-            alive = np.arange(begin, end)
-            for i in range(essential, len(term)):
-                keep = value + rest[i] >= need
-                alive, value = alive[keep], value[keep]
-                if not len(alive):
+        self.largest = _largest(vectors)
+        self._as: dict = {}
+
+    def values(self, kind: type) -> np.ndarray:
+        if kind not in self._as:
+            self._as[kind] = np.ascontiguousarray(self.vectors, dtype=kind)
+        return self._as[kind]
+
+
+class Asked:
+    """A block of queries with the ``k`` best vectors of each so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.largest, self.seen = _largest(vectors), 0
+        self.owner = self.found = self.score = np.zeros(0, np.int64)
+        self.limit = np.full(len(ids), -1 << 62, np.int64)
+
+    def meet(self, shard: Shard) -> None:
+        dim = self.vectors.shape[1]
+        largest = self.largest * shard.largest * max(dim, 1)
+        if largest >= 1 << 61:
+            raise ValueError("inner products leave the 64-bit range")
+        # floats are exact where no sum of products, bounds and limits leaves their whole numbers
+        kind = np.float32 if largest < 1 << 21 else np.float64 if largest < 1 << 50 else np.int64
+        q = self.vectors.astype(kind)
+        ends = np.stack([q * shard.low.astype(kind), q * shard.high.astype(kind)])
+        ends = np.stack([ends.min(axis=0), ends.max(axis=0)])
+        term = np.argsort(-(ends[1] - ends[0]).sum(axis=0, dtype=float), kind="stable")
+        q, x, ends = q[:, term], shard.values(kind)[term], ends[:, :, term]
+        # least[:, i], most[:, i]: what the terms from i on add at least and at most
+        least, most = np.zeros((2, len(q), dim + 1), kind)
+        least[:, :-1], most[:, :-1] = np.cumsum(ends[:, :, ::-1], axis=2)[:, :, ::-1]
+        reach = least[:, :1] - least + most
+        begin = 0
+        while begin < len(shard.ids):
+            # the first groups are small, so that limits come early
+            end = min(begin + min(GROUP, max(self.seen, 4 * self.k)), len(shard.ids))
+            limit = np.clip(self.limit, -largest - 1, largest + 1).astype(kind)
+            at = min(max(int((reach >= limit[:, None]).sum(axis=1).max()), 1), dim)
+            score = q[:, :at] @ x[:at, begin:end]
+            while True:
+                alive = score >= (limit - most[:, at])[:, None]
+                if at == dim or np.count_nonzero(alive) * PROBE < alive.size:
+                    break
+                score += q[:, at : at + STEP] @ x[at : at + STEP, begin:end]
+                at = min(at + STEP, dim)
+            row, column = np.nonzero(alive)
+            value = score[row, column]
+            for i in range(at, dim):
+                value = value + q[row, i] * x[i, begin + column]
+                keep = value >= limit[row] - most[row, i + 1]
+                row, column, value = row[keep], column[keep], value[keep]
+                if not len(row):
                     break
-                d = term[i]
-                value = value + (query[d] * self.vectors[d, alive] - floor[d])
-            if not len(alive):
-                continue
-            keep = self.ids[alive] != own
-            found = np.concatenate([found, self.ids[alive[keep]]])
-            score = np.concatenate([score, value[keep] + base])
-            if len(score) > k:
-                top = np.lexsort((found, -score))[:k]
-                found, score = found[top], score[top]
-            if len(score) == k:
-                limit = score.min()
-        order = np.lexsort((found, -score))[:k]
-        return found[order], score[order]
+            ids = shard.ids[begin + column]
+            keep = ids != self.ids[row]
+            self._take(row[keep], ids[keep], value[keep].astype(np.int64))
+            self.seen += end - begin
+            begin = end
+
+    def _take(self, owner: np.ndarray, found: np.ndarray, score: np.ndarray) -> None:
+        if not len(owner):
+            return
+        owner, found, score = np.append(self.owner, owner), np.append(self.found, found), np.append(self.score, score)
+        order = np.lexsort((found, -score, owner))
+        owner = owner[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        best = order[place < self.k]
+        self.owner, self.found, self.score = owner[place < self.k], found[best], score[best]
+        last = order[place == self.k - 1]
+        self.limit[owner[place == self.k - 1]] = score[last]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], dims: set[int]) -> Iterator[tuple[int, Shard]]:
+    """The vectors of a task, by length, in shards."""
+    waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {dim: [] for dim in dims}
+
+    def shard(dim: int) -> tuple[int, Shard]:
+        parts, waiting[dim] = waiting[dim], []
+        return dim, Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+    for batch in batches:
+        lengths = batch.column("dim").to_numpy()
+        for dim in dims.intersection(np.unique(lengths).tolist()):
+            part = batch.filter(pa.array(lengths == dim))
+            ids = part.column("id").to_numpy()
+            vectors = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+            while len(ids):
+                room = SHARD_ROWS - sum(len(w[0]) for w in waiting[dim])
+                waiting[dim].append((ids[:room], vectors[:room]))
+                ids, vectors = ids[room:], vectors[room:]
+                if sum(len(w[0]) for w in waiting[dim]) == SHARD_ROWS:
+                    yield shard(dim)
+    for dim in dims:
+        if waiting[dim]:
+            yield shard(dim)
+
+
+def _query_sets(queries: DataFrame, count: int, dim: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """Packed blocks of queries, so many at a time as may be broadcast."""
+    blocks = packed(queries, count, QUERY_ROWS, "block")
+    number = max(1, -(-count // QUERY_ROWS))
+    step = max(1, QUERY_VALUES // (QUERY_ROWS * max(dim, 1)))
+    if number > step:
+        blocks = cut_lineage(blocks)
+    for begin in range(0, number, step):
+        part = blocks.filter((F.col("block") >= begin) & (F.col("block") < begin + step))
+        yield [(r.dim, bytes(r.ids), bytes(r.vectors)) for r in part.collect()]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -107,40 +193,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
         .filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
         .withColumn("dim", F.size("vector"))
     )
-    counts = sound.agg(F.count(F.lit(1)), F.count(F.when(F.col("query"), 1))).first()
-    shards = packed(sound.select("id", "vector", "dim"), counts[0], SHARD_ROWS, "shard")
-    queries = packed(
-        sound.filter("query").groupBy("id", "dim").agg(F.min("vector").alias("vector")).select("id", "vector", "dim"),
-        counts[1], QUERY_ROWS, "block",
-    ).withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
-    number = max(1, -(-counts[0] // SHARD_ROWS))
-    meeting = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(shards, ["dim", "shard"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = {c: batch.column(c)[at].as_py() for c in ("dim", "ids", "vectors", "query_ids", "query_vectors")}
-                dim = row["dim"]
-                ids, asked = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["query_ids"], "<i8")
-                x = np.frombuffer(row["vectors"], "<i8").reshape(len(ids), dim)
-                q = np.frombuffer(row["query_vectors"], "<i8").reshape(len(asked), dim)
-                largest = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(dim, 1)
-                if largest >= 1 << 61:
-                    raise ValueError("inner products leave the 64-bit range")
-                if largest < 1 << 51:  # doubles are exact there
-                    x, q = x.astype(float), q.astype(float)
-                shard = Shard(ids, x)
-                out = [(own, *shard.best(query, own, k)) for own, query in zip(asked.tolist(), q)]
+    count, asked, widest = sound.agg(F.count(F.lit(1)), F.count(F.when(F.col("query"), 1)), F.max(F.when(F.col("query"), F.col("dim")))).first()
+    queries = sound.filter("query").groupBy("id", "dim").agg(F.min("vector").alias("vector")).select("id", "vector", "dim")
+    spark = vectors.sparkSession
+    shards = max(1, -(-count // SHARD_ROWS))
+    tasks = max(-(-shards // TASK_SHARDS), min(shards, spark.sparkContext.defaultParallelism))
+    dealt = sound.select("id", "vector", "dim").repartition(tasks)
+    found = None
+    for blocks in _query_sets(queries, asked, widest or 0):
+        handle = share(spark, blocks)
+
+        def run(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
+            asked: dict[int, list[Asked]] = {}
+            for dim, ids, values in shared(handle):
+                ids = np.frombuffer(ids, "<i8")
+                asked.setdefault(dim, []).append(Asked(ids, np.frombuffer(values, "<i8").reshape(len(ids), dim), k))
+            for dim, shard in _shards(batches, set(asked)):
+                for block in asked[dim]:
+                    block.meet(shard)
+            for block in (b for same in asked.values() for b in same):
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(asked, [len(o[1]) for o in out]), pa.int64()),
-                        pa.array(np.concatenate([o[1] for o in out]), pa.int64()),
-                        pa.array(np.concatenate([o[2] for o in out]).astype(np.int64), pa.int64()),
-                    ],
+                    [pa.array(block.ids[block.owner], pa.int64()), pa.array(block.found, pa.int64()), pa.array(block.score, pa.int64())],
                     names=["query_id", "vec_id", "score"],
                 )
 
-    found = meeting.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        part = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        found = part if found is None else found.unionAll(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -49,6 +49,42 @@ def test_large_components_stay_exact(spark):
     assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r.rank)] == [(1, 2**56 + 3 * 2**16), (2, 2**56 + 2 * 2**16)]
 
 
+def test_vectors_pass_by_sets_of_queries(spark, monkeypatch):
+    for name, value in {"SHARD_ROWS": 16, "QUERY_ROWS": 8, "GROUP": 8, "TASK_SHARDS": 2, "QUERY_VALUES": 100, "STEP": 2, "PROBE": 3}.items():
+        monkeypatch.setattr(maxscore, name, value)
+    rng = random.Random(7)
+    rows = [(i, [rng.randint(-9, 9) / 4 * (d > 3 or rng.random() < 0.2) for d in range(5 + i % 2)]) for i in range(200)]
+    rows += rows[:30] + [(i, []) for i in range(200, 204)] + [(210, [1e5] * 5), (211, [1e3] * 6)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = maxscore.top_k(table, F.col("vec_id") % 3 == 0, 4)
+    # Several sets of queries, and no query or vector copied to meet the others.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") > 2 and "Join" not in plan and "Generate" not in plan
+    out = collections.defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.vec_id, r.score))
+    q = [(i, [int(256 * x // 1) for x in v]) for i, v in rows]
+    for own, asked in {i: v for i, v in q if i % 3 == 0}.items():
+        scores = sorted((-sum(a * b for a, b in zip(asked, v)), i) for i, v in q if i != own and len(v) == len(asked))[:4]
+        assert out.pop(own, []) == [(i, -s) for s, i in scores]
+    assert not out
+
+
+def test_a_task_keeps_the_best_of_all_its_shards():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for scale in (1, 1 << 16, 1 << 22):  # 32 and 64-bit floats and whole numbers
+        vectors, asked = rng.integers(-50, 50, (1000, 12)) * scale, rng.integers(-50, 50, (20, 12)) * scale
+        block = maxscore.Asked(np.arange(20), asked, 3)
+        for begin in range(0, 1000, 90):
+            block.meet(maxscore.Shard(np.arange(begin, min(begin + 90, 1000)), vectors[begin : begin + 90]))
+        assert len(block.owner) == 60
+        for row in range(20):
+            exact = sorted((-int(s), i) for i, s in enumerate(vectors.astype(object) @ asked[row].astype(object)) if i != row)[:3]
+            assert [(-s, i) for s, i in zip(block.score[block.owner == row].tolist(), block.found[block.owner == row].tolist())] == exact
+
+
 def digests(turns):
     learnt = "".join(t for r, t in turns if r == "assistant")
     said = "".join(f"{r}\n{t}\n" for r, t in turns)
