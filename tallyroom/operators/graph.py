@@ -1,7 +1,9 @@
 """Lineage: closure, verification and cycles by joining a frontier.
 
 Each round joins only the frontier and is written to the checkpoint folder, so
-a lost executor replays one round. State is a set of nodes, never of pairs.
+a lost executor replays one round. State is a set of nodes, never of pairs. The
+joins of a search are not broadcast: each table would be small enough, but the
+driver builds them all and holds those of many rounds until it collects its garbage.
 """
 
 from __future__ import annotations
@@ -9,21 +11,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.operators.skew import FAN, hot_keys, salted_copies, spread_join
+from tallyroom.operators.skew import FAN, hot_keys, hot_row_limit, salted_copies, spread_join
 from tallyroom.session import cut_lineage
 
 
 def _settled_hot(edges: DataFrame, keys: list[str]) -> DataFrame | None:
     """Hot keys of an edge table, or None when it has none: the loops join many
-    times, so they look once and skip the salting when there is nothing to spread."""
-    hot = cut_lineage(hot_keys(edges, keys))
-    return None if hot.isEmpty() else hot
+    times, so they look once, by one number, and skip the salting when there is nothing to spread."""
+    most = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return cut_lineage(hot_keys(edges, keys)) if (most or 0) > hot_row_limit(edges) else None
 
 
 def _join(big: DataFrame, small: DataFrame, key: str, how: str, spread_on: str, hot: DataFrame | None) -> DataFrame:
     return big.join(small, key, how) if hot is None else spread_join(big, small, [key], how, spread_on=[spread_on], hot=hot)
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """A side of a join that is sorted on the executors, however small."""
+    return df.hint("merge")
+
+
 class _Links:
     """Edges written once, the out-edges of a hub spread over salts, for joins
     with one frontier after another."""
@@ -38,8 +45,8 @@ class _Links:
     def follow(self, frontier: DataFrame, how: str = "left_semi") -> DataFrame:
         """Edges that leave the frontier ``(src, …)``."""
         if self.hot is None:
-            return self.rows.join(frontier, "src", how)
-        return self.rows.join(salted_copies(frontier, self.hot), ["src", "_salt"], how)
+            return self.rows.join(_sorted(frontier), "src", how)
+        return self.rows.join(_sorted(salted_copies(frontier, self.hot)), ["src", "_salt"], how)
 
 
 def reachable(
@@ -54,7 +61,7 @@ def reachable(
         step += 1
         reached = links.follow(frontier.select(F.col(node).alias("src"), *by), "inner" if by else "left_semi")
         reached = reached.select(F.col("dst").alias(node), *by).distinct()
-        frontier = cut_lineage(reached.join(seen, [node, *by], "left_anti").withColumn("steps", F.lit(step)))
+        frontier = cut_lineage(reached.join(_sorted(seen), [node, *by], "left_anti").withColumn("steps", F.lit(step)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -63,7 +70,7 @@ def _hops(near: DataFrame, by: DataFrame) -> DataFrame:
     """``near(node, one, two)`` with three and four hops from ``by``; where the
     strand ends the last node stands for the rest."""
     far = by.select(F.col("node").alias("two"), F.col("one").alias("_a"), F.col("two").alias("_b"))
-    return spread_join(near, far, ["two"], "left", spread_on=["node"], hot=_settled_hot(near, ["two"])).select(
+    return spread_join(near, _sorted(far), ["two"], "left", spread_on=["node"], hot=_settled_hot(near, ["two"])).select(
         "node", "one", "two", F.coalesce("_a", "two").alias("three"), F.coalesce("_b", "two").alias("four"), F.col("_a").isNotNull().alias("_open")
     )
 
@@ -76,7 +83,7 @@ def _strands(steps: DataFrame) -> list[DataFrame]:
     jump = steps
     while size:
         far = jump.select(F.col("node").alias("next"), F.col("next").alias("_far"))
-        twice = spread_join(jump, far, ["next"], "left", spread_on=["node"], hot=_settled_hot(jump, ["next"])).select(
+        twice = spread_join(jump, _sorted(far), ["next"], "left", spread_on=["node"], hot=_settled_hot(jump, ["next"])).select(
             "node", F.col("next").alias("one"), F.coalesce("_far", "next").alias("two")
         )
         twice = cut_lineage(twice)
@@ -89,15 +96,25 @@ def _strands(steps: DataFrame) -> list[DataFrame]:
     return tables
 
 
+def _landings(steps: DataFrame, last: DataFrame) -> DataFrame:
+    """``(node, end)`` for the nodes with one way on: where their strand ends, or
+    null in a ring, which leads nowhere else."""
+    ends = last.select("node", F.col("four").alias("end"))
+    ring = steps.select(F.col("node").alias("end"), F.lit(True).alias("_ring"))
+    found = spread_join(ends, _sorted(ring), ["end"], "left", spread_on=["node"], hot=_settled_hot(ends, ["end"]))
+    return cut_lineage(found.select("node", F.when(F.col("_ring").isNull(), F.col("end")).alias("end"), F.lit(True).alias("_strand")))
+
+
 def reached(
     start: DataFrame, edges: DataFrame | _Links, node: str = "node", src: str = "src", dst: str = "dst", worth: int = 2,
     by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Every node reached from ``start``, in rounds that do not grow with the
+    """Every node reached from ``start`` along ``edges``, in rounds that do not grow with the
     length of unbranched strands.
 
-    Nodes with one way on are jumped over by doubled pointers, so a round of the
-    search leads from branching node to branching node. The nodes in between are
+    Nodes with one way on are jumped over by doubled pointers: every way out of a
+    branching node is led to the end of its strand once, and the search goes
+    from branching node to branching node along these ways alone. The nodes in between are
     marked last, long jumps before short ones. State is one row per node and
     table; a strand of n nodes takes log4(n) tables and as many marking rounds.
     Where all strands end within ``worth`` - 1 tables, the plain search is as short.
@@ -108,26 +125,22 @@ def reached(
     ways = links.rows.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min("dst").alias("next"))
     steps = cut_lineage(ways.filter("_n = 1 AND next <> node").select("node", "next"))
     tables = _strands(steps)
-    if len(tables) < worth:
+    if len(tables) < max(worth, 1):
         return reachable(start, links, node, by=by).select(node, *by)
-    entries = cut_lineage(start.select(F.col(node).alias("node"), *by).distinct())
-    frontier, seen = entries, None
-    while True:
-        ends = frontier
-        if tables:
-            ends = frontier.join(tables[-1].select("node", "four"), "node", "left").select(F.coalesce("four", "node").alias("node"), *by).distinct()
-            ends = ends.join(steps, "node", "left_anti")  # a ring leads nowhere else
-        fresh = cut_lineage(ends if seen is None else ends.join(seen, ["node", *by], "left_anti"))
-        if fresh.isEmpty():
-            break
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        out = links.follow(fresh.select(F.col("node").alias("src"), *by), "inner" if by else "left_semi")
-        out = out.select(F.col("dst").alias("node"), *by).distinct()
-        frontier = cut_lineage(out.join(entries, ["node", *by], "left_anti"))
-        entries = entries.unionByName(frontier)
-    marked = entries
+    landings, keep = _landings(steps, tables[-1]), "_strand IS NULL OR end IS NOT NULL"
+    land = F.when(F.col("_strand"), F.col("end")).otherwise(F.col("node")).alias("node")
+    entries = start.select(F.col(node).alias("node"), *by).distinct()
+    first = entries.join(_sorted(landings), "node", "left").filter(keep).select(land, *by)
+    turns = spread_join(
+        links.rows.select("src", "dst"), _sorted(steps.select(F.col("node").alias("src"))), ["src"], "left_anti", spread_on=["dst"], hot=links.hot
+    ).select("src", F.col("dst").alias("node"))
+    hot = _settled_hot(links.rows.select(F.col("dst").alias("node")), ["node"])
+    led = spread_join(turns, _sorted(landings), ["node"], "left", spread_on=["src"], hot=hot).filter(keep).select("src", land)
+    landed = reachable(first, _Links(led, dst="node"), by=by).select(F.col("node").alias("src"), *by)
+    out = links.follow(landed, "inner" if by else "left_semi").select(F.col("dst").alias("node"), *by)
+    marked = cut_lineage(entries.unionByName(out).distinct())
     for table in reversed(tables):
-        passed = marked.join(table, "node").select(F.explode(F.array("node", "one", "two", "three", "four")).alias("node"), *by)
+        passed = marked.join(_sorted(table), "node").select(F.explode(F.array("node", "one", "two", "three", "four")).alias("node"), *by)
         marked = cut_lineage(marked.unionByName(passed).distinct())
     return marked.select(F.col("node").alias(node), *by)
 
@@ -140,7 +153,7 @@ def lineage_verified(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     above = reached(leaves, _Links(edges, "dst", "src"), by=("_good",))
     above = above.groupBy("node").agg(F.bool_and("_good").alias("_all"), F.bool_or("_good").alias("_any"))
     told = lambda name: F.coalesce(F.col(name), F.lit(False))
-    return nodes.select("node").join(above, "node", "left").select(
+    return nodes.select("node").join(_sorted(above), "node", "left").select(
         "node", told("_all").alias("fully_verified"), told("_any").alias("any_verified")
     )
 

@@ -400,6 +400,36 @@ def test_long_strand_takes_few_rounds(spark, monkeypatch):
     assert rounds == 6
 
 
+def test_rounds_of_a_search_join_led_ways_only(spark, monkeypatch):
+    # Branching nodes 0, 10, 20, ...: a short way and a strand of nine nodes lead to the next.
+    pairs = [(i, i + 1) for i in range(120)] + [(i, i + 10) for i in range(0, 120, 10)]
+    cut, cuts, searched, plain = graph.cut_lineage, [], [], graph.reachable
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    monkeypatch.setattr(graph, "reachable", lambda start, links, **k: searched.append(links.rows.count()) or plain(start, links, **k))
+    start = spark.createDataFrame([(5, True), (115, False)], "node int, good boolean")
+    got = graph.reached(start, spark.createDataFrame(pairs, "src int, dst int"), by=("good",))
+    assert rows(got, "node", "good") == sorted([(i, True) for i in range(5, 121)] + [(i, False) for i in range(115, 121)])
+    assert searched == [12]  # both ways of a branching node lead to the same end
+    assert len(cuts) < 30
+
+
+def test_searches_send_no_table_through_the_driver(spark, monkeypatch):
+    plans, cut = [], graph.cut_lineage
+
+    def seen(df):
+        plan = df._jdf.queryExecution()
+        df.collect()
+        plans.append(plan.executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut_lineage", seen)
+    nodes = spark.createDataFrame([(i, i > 57, i % 2 == 0) for i in range(60)], "node int, is_leaf boolean, verified boolean")
+    got = graph.lineage_verified(nodes, spark.createDataFrame([(i, i + d) for i in range(58) for d in (1, 2)[: 1 + i % 7 // 6]], "src int, dst int"))
+    assert got.count() == 60
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
 def test_verified_needs_every_leaf(spark):
     nodes = spark.createDataFrame([("r", False, None), ("q", False, None), ("ok", True, True), ("no", True, False)], "node string, is_leaf boolean, verified boolean")
     got = graph.lineage_verified(nodes, edges(spark, [("r", "ok"), ("r", "no"), ("q", "ok")]))
